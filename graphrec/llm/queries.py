@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, repetition, sharding, topk
+from . import langid, line_dedup, mixing, packing, repetition, sharding, topk
 from .shared import table
 
 
@@ -21,6 +21,15 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "source_size", "target", "taken", "shard")
 
 
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), report=True)
+    return d.select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -38,7 +47,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_source_mix, op7_kd_shards, op8_repetition, op9_slack_packing, op10_exact_topk)
+    f.__name__: f for f in (op2_source_mix, op3_language_mixture, op5_line_dedup, op7_kd_shards, op8_repetition, op9_slack_packing, op10_exact_topk)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -54,6 +63,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
     """,
+    "op5_line_dedup": r"""
+        WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+        l AS (SELECT d.*, list_distinct(list_filter(list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')) AS bare FROM d),
+        t AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+        b AS (SELECT e.source, list(line) AS drop_lines FROM (SELECT source, line, count(*) AS n FROM (SELECT source, unnest(bare) AS line FROM l) GROUP BY ALL) AS e
+              JOIN t ON e.source IS NOT DISTINCT FROM t.source WHERE n >= 5 AND n > pages * CAST(0.05 AS DOUBLE) GROUP BY e.source),
+        k AS (SELECT l.*, CASE WHEN b.drop_lines IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(b.drop_lines, trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)))) END AS kept
+              FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source)
+        SELECT doc_id, source, array_to_string(kept, chr(10)) AS text, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped FROM k
+    """,
     "op2_source_mix": """
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
