@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, line_dedup, mixing, packing, repetition, sharding, topk
+from . import langid, line_dedup, mixing, packing, repetition, sharding, topk, warc
 from .shared import table
 
 
@@ -16,6 +16,10 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.mix(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "size", "source_size", "target", "taken", "shard")
@@ -47,7 +51,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_source_mix, op3_language_mixture, op5_line_dedup, op7_kd_shards, op8_repetition, op9_slack_packing, op10_exact_topk)
+    f.__name__: f for f in (op1_capture_index, op2_source_mix, op3_language_mixture, op5_line_dedup, op7_kd_shards, op8_repetition, op9_slack_packing, op10_exact_topk)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -73,6 +77,14 @@ ORACLE_SQL: dict[str, str] = {
               FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source)
         SELECT doc_id, source, array_to_string(kept, chr(10)) AS text, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped FROM k
     """,
+    "op1_capture_index": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS first FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f
+    """,
     "op2_source_mix": """
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
