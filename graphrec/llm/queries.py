@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, line_dedup, mixing, packing, repetition, sharding, topk, warc
+from . import jaccard, langid, line_dedup, mixing, packing, repetition, sharding, topk, warc
 from .shared import table
 
 
@@ -34,6 +34,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_capture_index, op2_source_mix, op3_language_mixture, op5_line_dedup, op7_kd_shards, op8_repetition, op9_slack_packing, op10_exact_topk)
+    f.__name__: f for f in (op1_capture_index, op2_source_mix, op3_language_mixture, op5_line_dedup, op6_jaccard_join, op7_kd_shards, op8_repetition, op9_slack_packing, op10_exact_topk)
 }
 
 ORACLE_SQL: dict[str, str] = {
