@@ -63,7 +63,7 @@ def quotas(with_targets: DataFrame, block_words: int, shards: int) -> DataFrame:
     return with_targets.join(seats, "place")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = (1, 2, 3), block_words: int = 16, shards: int = 8, seed: str = "mix-1", rows_per_bucket: int = 50_000, keep_text: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = (1, 2, 3), block_words: int = 16, shards: int = 8, seed: str = "mix-1", rows_per_bucket: int = 5_000, keep_text: bool = False) -> DataFrame:
     """How much of each document the mix takes.
 
     A source's documents lie in the order of a seeded digest of their ids, end to end, as a ring of words. The source's

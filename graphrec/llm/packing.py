@@ -150,7 +150,7 @@ def minimum_slack_plan(counts: dict[int, int], capacity: int) -> list[tuple[int,
     return plan
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, rows_per_bucket: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, rows_per_bucket: int = 5_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (a table with id column first, piece, length).
 
     The driver sees one count a length (capacity rows at most) and plans on these. Pieces of a length are numbered
@@ -186,7 +186,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, rows_per_bucket: int = 50_000)
     return rows.mapInPandas(run, schema)
 
 
-def packed_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 50_000) -> DataFrame:
+def packed_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 5_000) -> DataFrame:
     """Documents as pieces in sequences of at most capacity tokens.
 
     Returns id_col, piece, start, length, ids_crc32, sequence_id, offset. Null ids are kept, rows repeated under one

@@ -107,7 +107,7 @@ def leaf_numbers(splits: list[dict], leaves: int) -> dict[int, int]:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 50_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 5_000) -> DataFrame:
     """Puts every document into one of `shards` leaves of a k-d tree of near equal bytes; equal texts share a leaf.
 
     Points are the distinct texts, weighted by the bytes of all their copies, so copies stay together (a text that

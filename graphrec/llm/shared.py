@@ -26,7 +26,7 @@ def buckets_for(df: DataFrame, rows_per_bucket: int) -> int:
     return max(1, math.ceil(df.count() / rows_per_bucket))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_bucket: int = 50_000) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_bucket: int = 5_000) -> DataFrame:
     """Adds `out`: 0, 1, 2... within each combination of keys, without gathering a combination in one task.
 
     Rows are dealt to (keys, hash bucket); numbers within a bucket start after the sizes of the buckets before it.
