@@ -53,3 +53,10 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if report:
         extra = [F.when(text.isNull(), 0).otherwise(x).cast("long").alias(n) for x, n in ((F.size(split), "n_lines"), (F.size(split) - F.size("kept"), "n_dropped"))]
     return out.select(*[(cleaned if c == text_col else F.col(of[c])).alias(c) for c in docs.columns], *extra)
+
+
+def recounted(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """docs with count_col, where there is one, counted anew from the text (null for a null text)."""
+    if count_col not in docs.columns:
+        return docs
+    return docs.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, line_dedup, mixing, packing, repetition, sharding, topk, warc
+from . import html_main, jaccard, langid, line_dedup, mixing, packing, repetition, sharding, topk, warc
 from .shared import table
 
 
@@ -29,6 +29,10 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), report=True)
     return d.select("doc_id", "source", "text", "n_lines", "n_dropped")
@@ -55,7 +59,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_capture_index, op2_source_mix, op3_language_mixture, op5_line_dedup, op6_jaccard_join, op7_kd_shards, op8_repetition, op9_slack_packing, op10_exact_topk)
+    f.__name__: f for f in (op1_capture_index, op2_source_mix, op3_language_mixture, op4_main_text, op5_line_dedup, op6_jaccard_join, op7_kd_shards, op8_repetition, op9_slack_packing, op10_exact_topk)
 }
 
 ORACLE_SQL: dict[str, str] = {
