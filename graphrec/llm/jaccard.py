@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that a wrong link follows from such a coincidence is negligible, as four fifths of a set would have to coincide.
     """
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text"))
     first = written(scatter(d, parts, words).groupBy("part").applyInPandas(count_owners(parts), _PACKED), "jaccard-owners")
 
