@@ -107,17 +107,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return d.select(*names, *[F.col(c).alias(f"mix_{c}" if keep_text else c) for c in ("size", "source_size", "target", "taken", "shard", "whole", "head", "tail_from", "tail")])
 
 
-def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", count_col: str = "n_chars", **options: object) -> DataFrame:
     """The mix itself: docs' columns, one row for each time that a document, or a part of one, is taken.
 
-    Whole documents keep their text as it is; a part is its words with a space between. n_chars, where docs has it,
+    Whole documents keep their text as it is; a part is its words with a space between. count_col, where docs has it,
     is counted anew. Documents of which nothing is taken go.
     """
-    d = mix(docs, keep_text=True, **options)
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = lambda since, n: F.when(n > 0, F.when(n == F.col("mix_size"), F.col("text")).otherwise(F.array_join(F.slice(words, (since + 1).cast("int"), n.cast("int")), " ")))
-    copies = F.concat(F.when(F.col("mix_whole") > 0, F.array_repeat("text", F.col("mix_whole").cast("int"))).otherwise(F.array().cast("array<string>")), F.array(part(F.lit(0), F.col("mix_head")), part(F.col("mix_tail_from"), F.col("mix_tail"))))
-    d = d.filter("mix_taken > 0").withColumn("text", F.explode(F.filter(copies, lambda x: x.isNotNull())))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+    names = [f"doc_{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names))
+    d = mix(docs.toDF(*names), of[id_col], of[text_col], of[source_col], keep_text=True, **options)
+    text = of[text_col]
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    part = lambda since, n: F.when(n > 0, F.when(n == F.col("mix_size"), F.col(text)).otherwise(F.array_join(F.slice(words, (since + 1).cast("int"), n.cast("int")), " ")))
+    copies = F.concat(F.when(F.col("mix_whole") > 0, F.array_repeat(text, F.col("mix_whole").cast("int"))).otherwise(F.array().cast("array<string>")), F.array(part(F.lit(0), F.col("mix_head")), part(F.col("mix_tail_from"), F.col("mix_tail"))))
+    d = d.filter("mix_taken > 0").withColumn("mix_text", F.explode(F.filter(copies, lambda x: x.isNotNull())))
+    new = {text_col: F.col("mix_text")}
+    if count_col in docs.columns:
+        new[count_col] = F.length("mix_text").cast(docs.schema[count_col].dataType)
+    return d.select(*[new.get(c, F.col(n)).alias(c) for c, n in of.items()])
