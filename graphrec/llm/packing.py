@@ -105,9 +105,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, id_col:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 
-def fullest(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
+def fullest(counts: dict[int, int], capacity: int, slack: int = 0) -> list[tuple[int, int]]:
     """[(length, uses)] of the fullest bin that holds the longest length available.
 
+    With `slack`, of a bin that is so full but for slack: lengths enter from the longest on, and once they reach that
+    sum, shorter ones are saved for other bins.
+
     Bit s of `reach` says that some choice of lengths so far sums to s. Counts are split into powers of two, so a
     length enters by a few shifts; the trail of bitsets gives the choice back.
     """
@@ -117,7 +120,7 @@ def fullest(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
     mask, reach, trail = (1 << (room + 1)) - 1, 1, []
     for length in lengths:
         left = min(counts[length] - (length == top), room // length)
-        if left > 0 and not reach >> room & 1:
+        if left > 0 and reach.bit_length() - 1 < room - slack:
             step = 1
             while left > 0:
                 n = min(step, left)
@@ -132,15 +135,15 @@ def fullest(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
     return sorted(uses.items(), reverse=True)
 
 
-def minimum_slack_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """[(bins, [(length, uses)])]: bins filled one kind at a time, each the fullest there is, until no length is left.
+def slack_plan(counts: dict[int, int], capacity: int, slack: int = 0) -> list[tuple[int, list[tuple[int, int]]]]:
+    """[(bins, [(length, uses)])]: bins filled one kind at a time, each the fullest there is (but for slack), until no length is left.
 
     A choice is repeated while the counts allow it, so the work depends on the number of different lengths (capacity
     at most), not on the number of pieces.
     """
     counts, plan = {k: v for k, v in counts.items() if v > 0}, []
     while counts:
-        uses = fullest(counts, capacity)
+        uses = fullest(counts, capacity, slack)
         bins = min(counts[k] // n for k, n in uses)
         for k, n in uses:
             counts[k] -= n * bins
@@ -150,6 +153,12 @@ def minimum_slack_plan(counts: dict[int, int], capacity: int) -> list[tuple[int,
     return plan
 
 
+def minimum_slack_plan(counts: dict[int, int], capacity: int, slacks: tuple[int, ...] = (0, 1, 2, 4, 6, 8, 12, 16, 24)) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The plan of fewest bins over these slacks. Short lengths used up early are missed by the last bins, which a
+    little slack in the first ones avoids."""
+    return min((slack_plan(counts, capacity, s) for s in slacks), key=lambda plan: sum(n for n, _ in plan))
+
+
 def pack(pieces: DataFrame, capacity: int = 1024, rows_per_bucket: int = 5_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (a table with id column first, piece, length).
 
