@@ -88,7 +88,8 @@ def top_items(edges: DataFrame, items: DataFrame | None, n: int = 20) -> DataFra
     top = node_stats(edges, "item_id").orderBy(F.desc("strength"), F.desc("degree"), "item_id").limit(n)
     if items is None:
         return top.withColumn("title", F.lit(""))
-    return items.select("item_id", "title").join(F.broadcast(top), "item_id", "right").withColumn("title", F.coalesce("title", F.lit(""))).select("item_id", "degree", "strength", "title")
+    titles = items.select("item_id", "title").join(F.broadcast(top.select("item_id")), "item_id", "left_semi")
+    return top.join(F.broadcast(titles), "item_id", "left").withColumn("title", F.coalesce("title", F.lit(""))).select("item_id", "degree", "strength", "title")
 
 
 def top_users(edges: DataFrame, n: int = 20) -> DataFrame:
