@@ -346,7 +346,10 @@ def normalized_adjacency(s, sf):
     return r6(graph.normalized_adjacency(graph.symmetric_adjacency(a.edges(s, sf))), "w")
 
 
-@query()
+@query(f"""WITH RECURSIVE {LARGE_ED}, e AS (SELECT 'u:' || client_id AS a, 'i:' || item_id AS b FROM led UNION ALL SELECT 'i:' || item_id, 'u:' || client_id FROM led),
+    cc(node, component) USING KEY (node) AS (SELECT a, min(a) FROM e GROUP BY a
+        UNION SELECT e.b, min(cc.component) FROM cc JOIN e ON e.a = cc.node JOIN recurring.cc AS r ON r.node = e.b WHERE cc.component < r.component GROUP BY e.b)
+    SELECT node, component FROM cc""")
 def connected_components(s, sf):
     adj = graph.symmetric_adjacency(a.large_edges(s, sf))
     return components.connected_components(adj.filter(F.col("src").startswith("u:")), "src", "dst")
@@ -479,15 +482,22 @@ def word_count(s, sf):
     return a.texts(s, sf).select("item_id", text.word_count(F.col("description")).cast("long").alias("wc"))
 
 
-NOPUNCT = f"trim(regexp_replace(regexp_replace(title || ' . ' || description, {PUNCT_SQL}, ' ', 'g'), '\\s+', ' ', 'g'))"
+CLEANED = "replace(title || ' . ' || description, chr(160), ' ')"
+CLEANED = rf"regexp_replace({CLEANED}, '(?i)\b((?:https?://|www\.)\S+)\b', '<URL>', 'g')"
+CLEANED = rf"regexp_replace({CLEANED}, '(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{{2,}}\b', '<EMAIL>', 'g')"
+CLEANED = rf"regexp_replace({CLEANED}, '(?:\+?\d{{1,3}}[\s\-.]?)?(?:\(?\d{{3}}\)?[\s\-.]?)?\d{{3}}[\s\-.]?\d{{2,4}}', '<PHONE>', 'g')"
+for _ in range(2):
+    CLEANED = rf"regexp_replace({CLEANED}, '(^|[^\pL\pN_])\d{{3,}}($|[^\pL\pN_])', '\1<NUM>\2', 'g')"
+CLEANED = f"lower(trim(regexp_replace(regexp_replace({CLEANED}, {PUNCT_SQL}, ' ', 'g'), '\\s+', ' ', 'g')))"
+COUNTED = f"WITH {DOCS}, c AS (SELECT item_id, {CLEANED} AS t FROM d), n AS (SELECT item_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS wc FROM c)"
 
 
-@query()
+@query(f"{COUNTED} SELECT item_id, CAST(wc AS INTEGER) AS wc FROM n WHERE wc >= 5")
 def min_word_filter(s, sf):
     return text.min_word_filter(_cleaned(s, sf)).select("item_id", "wc")
 
 
-@query()
+@query(f"{COUNTED} SELECT count(*) AS rows_before, count(*) FILTER (wc >= 5) AS rows_after FROM n")
 def length_filter_report(s, sf):
     return text.length_filter_report(_cleaned(s, sf))
 
@@ -806,17 +816,21 @@ def _grid(s: SparkSession, sf: str) -> DataFrame:
     return ranking.grid_search(lambda dim, layers, neg: (cut(u, dim), cut(i, dim)), a.events(s, sf), dims=(16, 64), layers=(2,), negatives=(1,))
 
 
-@query()
+GRID = [(0, 16, 2, 1), (1, 64, 2, 1)]
+GRID_SQL = " UNION ALL ".join(f"(SELECT {i} AS grid_order, {d} AS dim, {n} AS layers, {g} AS neg, recall, ndcg, mrr FROM ({METRICS.replace('list_transform(embedding,', f'list_transform(embedding[1:{d}],').replace('[10, 20, 50]', '[10]')}))" for i, d, n, g in GRID)
+
+
+@query(GRID_SQL)
 def grid_search(s, sf):
     return r6(_grid(s, sf), "recall", "ndcg", "mrr")
 
 
-@query()
+@query(f"SELECT * FROM ({GRID_SQL}) ORDER BY recall + ndcg DESC, grid_order LIMIT 1")
 def grid_best(s, sf):
     return r6(ranking.grid_best(written(_grid(s, sf), "grid")), "recall", "ndcg", "mrr")
 
 
-@query()
+@query(f"SELECT 10 AS k, dim, 2 AS configurations FROM ({GRID_SQL}) ORDER BY recall + ndcg DESC, grid_order LIMIT 1")
 def write_grid(s, sf):
     results, path = written(_grid(s, sf), "grid"), work_dir(s, "grid-json")
     writers.write_grid(results, ranking.grid_best(results), path, 10)
