@@ -730,7 +730,7 @@ def negative_candidates(s, sf):
     return sampling.negative_candidates(users, items, e, 8, 42, 0, 0).withColumn("draw", F.col("draw").cast("long"))
 
 
-@query()
+@query(f"WITH {ED}, {NEG.replace('range(8)', 'range(512)')} SELECT client_id, CAST(1 AS INTEGER) AS n, min_by(neg, draw) AS neg FROM neg GROUP BY client_id")
 def sample_negatives(s, sf):
     e, users, items = _sampled(s, sf)
     return sampling.sample_negatives(users, items, e, 1, 42, 0, 0)
