@@ -42,7 +42,7 @@ def best_of_block(ids: np.ndarray, block: np.ndarray, q_ids: np.ndarray, queries
             have = np.flatnonzero(q[:, d])
             if not len(rows) or not len(have):
                 continue
-            if len(rows) == n and len(have) == len(q):
+            if 2 * len(rows) > n and 2 * len(have) > len(q):  # few zeros: adding them is cheaper than passing over them
                 scores += q[:, d, None] * term
             else:
                 scores[np.ix_(have, rows)] += q[have, d, None] * term[rows]
