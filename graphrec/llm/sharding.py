@@ -9,6 +9,8 @@ from .shared import numbered, written
 
 #: Coordinates are integers below 2 ** BITS; a median is found by reading STEP bits in each pass.
 BITS, STEP = 36, 12
+#: A group of more than this share of its node's weight is placed by itself; so a node has fewer than 1 / HEAVY of them.
+HEAVY = 0.01
 
 
 def coordinates() -> dict[str, Column]:
@@ -23,12 +25,14 @@ def coordinates() -> dict[str, Column]:
 
 
 def tree(groups: DataFrame, dims: list[str], leaves: int, target_bytes: float | None = None) -> list[dict]:
-    """Splits of a k-d tree over groups (columns dims, tie, weight) into leaves of near equal weight.
+    """Splits of a k-d tree over groups (columns digest, dims, tie, weight) into leaves of near equal weight.
 
     Each node splits along its widest dimension (by the range of its groups, as a share of the whole range) at the
     weighted median that leaves each side its share of the leaves. A level takes one job for ranges and BITS / STEP
     jobs for medians: each sums weights in at most 2 ** STEP bins a node, so what reaches the driver is one row a node.
-    Equal coordinates are parted by `tie`, an even hash. A node stops at one leaf, or at target_bytes or less if given.
+    Equal coordinates are parted by `tie`, an even hash. Groups of over HEAVY of a node's weight, which a median could
+    only throw to one side whole, go from the largest on to the side that lacks more, and the median of the rest makes up
+    for them. A node stops at one leaf, or at target_bytes or less if given.
     """
     made: list[dict] = []
     nodes = [{"node": 1, "leaves": leaves}]
@@ -45,9 +49,21 @@ def tree(groups: DataFrame, dims: list[str], leaves: int, target_bytes: float |
             if n < 2 or (target_bytes and r["weight"] <= target_bytes):
                 continue
             wide = max(dims, key=lambda d: ((r[f"hi_{d}"] - r[f"lo_{d}"]) / whole[d], d))
-            splits.append({"node": r["node"], "dim": wide, "lo": r[f"lo_{wide}"], "hi": r[f"hi_{wide}"], "left": n // 2, "right": n - n // 2, "goal": r["weight"] * (n // 2) / n, "at": 0, "below": 0})
+            splits.append({"node": r["node"], "dim": wide, "lo": r[f"lo_{wide}"], "hi": r[f"hi_{wide}"], "left": n // 2, "right": n - n // 2, "goal": r["weight"] * (n // 2) / n, "at": 0, "below": 0, "sides": {}, "heavy_left": 0, "heavy_right": 0})
         if not splits:
             break
+        limit = F.lit(None).cast("double")
+        for s in splits:
+            s["weight"] = next(r["weight"] for r in ranges if r["node"] == s["node"])
+            limit = F.when(F.col("node") == s["node"], F.lit(HEAVY * s["weight"])).otherwise(limit)
+        for r in here.filter(F.col("weight") > limit).select("node", "digest", "weight").orderBy(F.desc("weight"), "digest").collect():
+            s = next(s for s in splits if s["node"] == r["node"])
+            left = s["goal"] - s["heavy_left"] >= s["weight"] - s["goal"] - s["heavy_right"]
+            s["sides"][r["digest"]] = left
+            s["heavy_left" if left else "heavy_right"] += r["weight"]
+        for s in splits:
+            s["goal"] = max(0.0, s["goal"] - s["heavy_left"])
+        here = here.filter(~F.coalesce(F.col("weight") > limit, F.lit(False)))
         for shift in range(BITS - STEP, -1, -STEP):
             bins, mine = F.lit(None).cast("long"), F.lit(False)
             for s in splits:
@@ -63,7 +79,7 @@ def tree(groups: DataFrame, dims: list[str], leaves: int, target_bytes: float |
             # The bin that holds the goal; in the last pass whichever side of it is nearer.
             found = sums.groupBy("node").agg(F.min(F.when(F.col("upto") >= F.col("goal"), F.struct("bin", "upto", "w"))).alias("hit"), F.max(F.struct("bin", "upto", "w")).alias("last")).collect()
             for r in found:
-                s, hit = next(s for s in splits if s["node"] == r["node"]), r["hit"] or r["last"]
+                s, hit = next(s for s in splits if s["node"] == r["node"]), r["hit"] or r["last"]  # last: rounding
                 need = s["goal"] - s["below"]
                 if shift == 0 and abs(hit["upto"] - need) < abs(hit["upto"] - hit["w"] - need):
                     s["at"] += hit["bin"] + 1
@@ -87,7 +103,12 @@ def locate(splits: list[dict]) -> Column:
 
     def under(node: int) -> Column:
         s = by.get(node)
-        return F.lit(node) if s is None else F.when(place(s) < s["at"], under(2 * node)).otherwise(under(2 * node + 1))
+        if s is None:
+            return F.lit(node)
+        left = place(s) < s["at"]
+        if s["sides"]:
+            left = F.when(F.col("digest").isin(list(s["sides"])), F.col("digest").isin([d for d, x in s["sides"].items() if x])).otherwise(left)
+        return F.when(left, under(2 * node)).otherwise(under(2 * node + 1))
 
     return under(1)
 

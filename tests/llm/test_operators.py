@@ -308,7 +308,7 @@ def test_shards(docs, empty):
     for r in got:
         total[r["shard"]] += r["size"]
     mean = sum(total.values()) / 8
-    assert set(total) == set(range(8)) and max(abs(v - mean) for v in total.values()) < 0.05 * mean
+    assert set(total) == set(range(8)) and max(abs(v - mean) for v in total.values()) < 0.03 * mean
     for s in range(8):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
     where = defaultdict(set)
