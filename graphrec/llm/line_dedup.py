@@ -39,9 +39,7 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text, site = F.col(of[text_col]), F.col(of[site_col]).cast("string")
     where = F.xxhash64(F.coalesce(F.concat(F.lit("s"), site), F.lit("")))
     split = F.split(text, "\n")
-    keyed = d.select(
-        "*", where.alias("site"), F.xxhash64(of[id_col], text, site).alias("row_key")
-    )
+    keyed = d.select("*", where.alias("site"), F.xxhash64(of[id_col], text, site).alias("row_key"))
     thin = keyed.select("site", "row_key", F.array_compact(F.array_distinct(F.transform(F.coalesce(split, F.array().cast("array<string>")), _hash))).alias("lines"))
     drop = boilerplate_lines(thin, max_ratio, min_pages)
     marked = thin.select("site", "row_key", F.explode("lines").alias("line")).join(drop, ["site", "line"]).groupBy("row_key").agg(F.collect_set("line").alias("drop"))
@@ -49,9 +47,7 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keep = F.filter(split, lambda x: ~F.coalesce(F.array_contains(F.col("drop"), _hash(x)), F.lit(False)))
     out = out.withColumn("kept", F.when(F.col("drop").isNull(), split).otherwise(keep))
     cleaned = F.when(F.col("drop").isNull(), text).otherwise(F.array_join("kept", "\n"))
-    extra = [F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), (F.size(split) - F.size("kept")).cast("long").alias("n_dropped")] if report else []
-    if report:
-        extra = [F.when(text.isNull(), 0).otherwise(x).cast("long").alias(n) for x, n in ((F.size(split), "n_lines"), (F.size(split) - F.size("kept"), "n_dropped"))]
+    extra = [F.when(text.isNull(), 0).otherwise(x).cast("long").alias(n) for x, n in ((F.size(split), "n_lines"), (F.size(split) - F.size("kept"), "n_dropped"))] if report else []
     return out.select(*[(cleaned if c == text_col else F.col(of[c])).alias(c) for c in docs.columns], *extra)
 
 
