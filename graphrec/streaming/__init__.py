@@ -1,0 +1 @@
+"""Nothing yet: the jobs have no streams to read, every input is a finished table."""
