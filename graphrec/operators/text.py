@@ -131,18 +131,36 @@ def encode_input(d: DataFrame, order: list[str], id_col: str = "item_id", col: s
     return item_dedupe_first(nonblank_text(d, col), order, id_col)
 
 
-def hashed_ngrams(dim: int = 64, n: int = 3, max_chars: int = 2048) -> Callable[[list[str]], np.ndarray]:
-    """An encoder that needs no model: counts of hashed character n-grams, texts cut at max_chars."""
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, t >> 1 ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+def hashed_ngrams(dim: int = 64, n: int = 3, slice_bytes: int = 1 << 18) -> Callable[[list[str]], np.ndarray]:
+    """An encoder that needs no model: counts of hashed n-grams of the whole text's bytes.
+
+    An n-gram's hash is its CRC-32, taken over slices of slice_bytes, so memory beside the text is bounded.
+    """
+    table = _crc_table()
+
+    def counts(raw: np.ndarray) -> np.ndarray:
+        total, size = np.zeros(dim, dtype=np.int64), min(n, len(raw))
+        for at in range(0, max(1, len(raw) - size + 1), slice_bytes):
+            part = raw[at : at + slice_bytes + size - 1]
+            h = np.full(len(part) - size + 1, 0xFFFFFFFF, dtype=np.uint32)
+            for k in range(size):
+                h = table[(h ^ part[k : k + len(h)]) & 0xFF] ^ h >> 8
+            h = ~h
+            place, up = h % dim, (h >> 16 & 1).astype(bool)
+            total += np.bincount(place[up], minlength=dim) - np.bincount(place[~up], minlength=dim)
+        return total
 
     def encode(texts: list[str]) -> np.ndarray:
-        import zlib
-
         out = np.zeros((len(texts), dim), dtype=np.float32)
         for row, t in zip(out, texts):
-            raw = t[:max_chars].encode()
-            for i in range(max(1, len(raw) - n + 1)):
-                h = zlib.crc32(raw[i : i + n])
-                row[h % dim] += 1 if h >> 16 & 1 else -1
+            row[:] = counts(np.frombuffer(t.encode(), dtype=np.uint8))
         return out
 
     return encode

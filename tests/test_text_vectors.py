@@ -43,6 +43,23 @@ def test_encoder_gives_unit_vectors(spark):
     assert len(norms) == 50 and np.allclose(norms, 1, atol=1e-5)
 
 
+def test_encoder_counts_the_whole_text():
+    import zlib
+
+    def want(t, dim=16, n=3):
+        row, raw = np.zeros(dim), t.encode()
+        for i in range(max(1, len(raw) - n + 1)):
+            h = zlib.crc32(raw[i : i + n])
+            row[h % dim] += 1 if h >> 16 & 1 else -1
+        return row
+
+    opening = "Ortak giriş. " * 300
+    texts = ["", "a", "ab", "abc", "ğü", opening + "one end", opening + "another end", "x" * 7000 + "çş" * 20]
+    assert np.array_equal(text.hashed_ngrams(16)(texts), [want(t) for t in texts])
+    for size in (1, 100):
+        assert np.array_equal(text.hashed_ngrams(16, slice_bytes=size)(texts), [want(t) for t in texts])
+
+
 def vecs(spark, rows):
     return spark.createDataFrame(rows, "item_id long, embedding array<float>")
 
