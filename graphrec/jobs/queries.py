@@ -743,7 +743,7 @@ def sample_negatives(s, sf):
 def bpr_loss(s, sf):
     e, users, items = _sampled(s, sf)
     p = sampling.sample_positive(users, e, 42, 0, 0)
-    n = sampling.negative_candidates(users, items, e, 8, 42, 0, 0).groupBy("client_id").agg(F.min_by("neg", "draw").alias("neg"))
+    n = sampling.sample_negatives(users, items, e, 1, 42, 0, 0)
     batch = p.join(n, "client_id").select(F.concat(F.lit("u:"), "client_id").alias("u"), F.concat(F.lit("i:"), "pos").alias("p"), F.concat(F.lit("i:"), "neg").alias("n"))
     nodes = graph.symmetric_adjacency(e).select(F.col("src").alias("node")).distinct()
     return r6(lightgcn.bpr_loss(batch, sampling.init_embeddings(nodes, 8)), "loss")

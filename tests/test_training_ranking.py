@@ -67,6 +67,41 @@ def test_negatives(spark, inter):
     assert {r[0] for r in rows} == {"b", "c"} and not {(r[0], r[2]) for r in rows} & {(a, b) for a, b, _ in PAIRS}
 
 
+def test_every_user_with_an_unmet_item_gets_a_negative(spark):
+    items = spark.range(5000).select(F.format_string("i%04d", "id").alias("item_id"), F.col("id").alias("idx"))
+    met = spark.range(5000).filter("id <> 4321").selectExpr("'hot' AS client_id", "format_string('i%04d', id) AS item_id", "1D AS weight")
+    met = met.unionByName(spark.createDataFrame([("cold", "i0000", 1.0)], met.schema)).unionByName(items.selectExpr("'all' AS client_id", "item_id", "1D AS weight"))
+    users = met.select("client_id").distinct()
+    for per_user in (1, 2):
+        rows = [tuple(r) for r in sampling.sample_negatives(users, items, met, per_user, 42, 0, 0).collect()]
+        assert [r for r in rows if r[0] == "hot"] == [("hot", 1, "i4321")]
+        assert sorted(r[:2] for r in rows if r[0] != "hot") == [("cold", k + 1) for k in range(per_user)] and ("cold", "i0000") not in {(r[0], r[2]) for r in rows}
+
+
+def test_loss_of_every_user_with_an_unmet_item(spark, tmp_path, monkeypatch):
+    from graphrec.jobs import queries
+
+    met = [(u, k) for u in range(6) for k in range(39)] + [(6, 39), (7, 0)] + [(8, k) for k in range(40)]
+    rows = [(i, u, "purchase", f'{{"k": {k}}}') for i, (u, k) in enumerate(met)]
+    d = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    d.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(queries.lightgcn, "bpr_loss", lambda batch, e: batch.agg(F.countDistinct("u").cast("double").alias("loss")))
+    assert queries.QUERIES["bpr_loss"](spark, str(tmp_path)).first()["loss"] == 8.0
+
+
+def test_draws_by_rank_are_even_and_unmet(spark):
+    left = {2, 3, 11, 19}
+    items = spark.range(20).select(F.concat(F.lit("i"), "id").alias("item_id"), F.col("id").alias("idx"))
+    short = spark.range(800).select(F.col("id").cast("string").alias("client_id"), F.lit(1).alias("have"), F.lit(2).alias("need"))
+    taken = short.select("client_id").crossJoin(items.select("idx").filter(~F.col("idx").isin(*left)))
+    for width in (4, 7, 4096):
+        rows = sampling.unmet_negatives(short, items, taken, 42, 0, 0, 20, width).collect()
+        assert len({(r["client_id"], r["neg"]) for r in rows}) == len({(r["client_id"], r["n"]) for r in rows}) == len(rows) == 1600
+        assert {r["n"] for r in rows} == {2, 3}
+        share = Counter(r["neg"] for r in rows)
+        assert set(share) == {f"i{k}" for k in left} and all(330 < v < 470 for v in share.values())
+
+
 def test_sample_users(spark):
     users = spark.createDataFrame([(str(i),) for i in range(40)], "client_id string")
     a, b = (sorted(r[0] for r in sampling.sample_users(users.repartition(n), 10, 1, 0, 0).collect()) for n in (1, 7))
