@@ -6,10 +6,14 @@ import html
 import random
 import re
 
-#: Elements inside a line of text; elements without an end tag; elements whose content is no page text.
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source map area".split())
+#: Elements inside a line of text, and those that only wrap text or markup (noscript, object, formulas, parts of drawings); elements without an end tag.
+INLINE = set("noscript object embed math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose maction msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd semantics annotation annotation-xml".split())
+INLINE |= set("g path rect circle ellipse line polyline polygon text tspan textpath use defs symbol image lineargradient radialgradient stop clippath mask filter pattern marker desc metadata foreignobject animate animatetransform".split())
+INLINE |= set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source map area".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style template noscript title textarea iframe object svg math audio video canvas xmp noembed noframes".split())
+#: Elements whose content is no page text: raw text, which runs to its end tag or to the end of the page, and others, which hide what is between their tags only where both are there.
+RAW = set("script style title textarea iframe xmp noembed noframes".split())
+HIDDEN = set("template svg audio video canvas".split())
 CONTROLS = set("button select option optgroup datalist input label legend fieldset".split())
 #: What an opening tag ends, within what.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
@@ -37,6 +41,32 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _TRUTH = re.compile(r'data-y="(\d)"')
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)?")
+_UNQUOTED = re.compile(r"""=\s*[^\s"']+$""")
+_RAW_END = {t: re.compile(f"</{t}\\b[^>]*>", re.I) for t in RAW}
+
+
+def _raw_end(tag: str, source: str, at: int) -> int:
+    end = _RAW_END[tag].search(source, at)
+    return end.end() if end else len(source)
+
+
+def _hidden_ends(source: str) -> dict[int, int]:
+    """Where the content of hidden elements begins: where their end tags end. Those that close themselves, and those without an end tag, are left out."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {t: [] for t in HIDDEN}
+    at = 0
+    while m := _TOKEN.search(source, at):
+        at, tag = m.end(), (m[2] or m[5] or "").lower()
+        if tag in RAW and not (m[1] or m[4]):
+            at = _raw_end(tag, source, at)
+        elif tag in HIDDEN:
+            attributes = m[3] or m[6] or ""
+            if m[1] or m[4]:
+                if opened[tag]:
+                    ends[opened[tag].pop()] = at
+            elif not attributes.endswith("/") or _UNQUOTED.search(attributes):
+                opened[tag].append(at)
+    return ends
 
 
 class Page:
@@ -55,7 +85,7 @@ class Page:
         return len(self.tag) - 1
 
     def _read(self, source: str) -> None:
-        stack, held, linked, in_link, at = [0], [], 0, False, 0
+        stack, held, linked, in_link, at, hidden = [0], [], 0, False, 0, None
         tags = self.tag
 
         def flush() -> None:
@@ -80,10 +110,14 @@ class Page:
             if not tag:
                 continue
             closing = bool(m[1] or m[4])
+            if tag in RAW:
+                if not closing:
+                    at = _raw_end(tag, source, at)
+                continue
             if tag in HIDDEN:
                 if not closing:
-                    end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(source, at)
-                    at = end.end() if end else len(source)
+                    hidden = _hidden_ends(source) if hidden is None else hidden
+                    at = hidden.get(at, at)
                 continue
             if tag in INLINE:
                 if tag == "a":

@@ -203,6 +203,25 @@ def test_main_text(spark):
     assert {r["page_id"]: r["text"] for r in got}[100] == "" and html_main.main_text(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ('<p>a</p><svg class="i" /><p>b</p><svg><title>t</title></svg><p>c</p>', ["a", "b", "c"]),
+        ("<p>a</p><math/><p>b</p>", ["a", "b"]),
+        ("<p>a <object data=x><b>b</b></object> c</p><noscript><p>d</p></noscript>", ["a b c", "d"]),
+        ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p>", ["let x=1 be"]),
+        ("<p>a</p><video src=x><p>b</p>", ["a", "b"]),
+        ("<svg><p>a</p><svg><text>t</text></svg><p>b</p>", ["a", "b"]),
+        ("<p>a</p><svg><svg>t</svg>t</svg><p>b</p>", ["a", "b"]),
+        ('<svg><p>a</p><script>"</svg>"</script><!-- </svg> --><p>b</p>', ["a", "b"]),
+        ("<p>a</p><svg href=/x/>t</svg><canvas>t</canvas><p>b</p><script>c", ["a", "b"]),
+        ("<title>t</title><p>a</p><style>t</style><textarea>t</textarea><iframe>t</iframe>", ["a"]),
+    ],
+)
+def test_hidden_elements_take_no_other_text(source, want):
+    assert [t for _, t, _ in dom.Page(source).blocks] == want
+
+
 def test_decoding_never_contradicts():
     page = dom.Page("<body><div><p>one</p><p>two</p></div><div><p>three</p><div>four</div></div></body>")
     r = random.Random(1)
