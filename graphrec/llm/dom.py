@@ -87,6 +87,15 @@ class Page:
     def _read(self, source: str) -> None:
         stack, held, linked, in_link, at, hidden = [0], [], 0, False, 0, None
         tags = self.tag
+        #: Places in the stack of the open elements of each tag.
+        places: dict[str, list[int]] = {}
+
+        def cut(to: int) -> None:
+            while len(stack) > to:
+                places[tags[stack.pop()]].pop()
+
+        def last(names: set[str]) -> int:
+            return max((places[t][-1] for t in names if places.get(t)), default=0)
 
         def flush() -> None:
             nonlocal held, linked
@@ -127,28 +136,23 @@ class Page:
                 continue
             flush()
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if tags[stack[i]] == tag:
-                        del stack[i:]
-                        break
+                if places.get(tag):
+                    cut(places[tag][-1])
                 continue
             if tag not in CONTROLS and len(stack) > 1 and tags[stack[-1]] == "p":
-                stack.pop()
+                cut(len(stack) - 1)
             if tag in ENDS:
                 ends, within = ENDS[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if tags[stack[i]] in within:
-                        break
-                    if tags[stack[i]] in ends:
-                        del stack[i:]
-                        break
+                if last(ends) > last(within):
+                    cut(last(ends))
             if tag in ("html", "body", "head") and tag in tags:
                 continue
             attributes = m[3] or m[6] or ""
             names = tuple(_WORD.findall(" ".join(x.strip("\"'") for x in _NAMES.findall(attributes)).lower().replace("_", " "))) if "=" in attributes else ()
             truth = _TRUTH.search(attributes)
             node = self._open(tag, stack[-1], names, truth[1] if truth else None)
-            if tag not in VOID and len(stack) < 500:
+            if tag not in VOID:
+                places.setdefault(tag, []).append(len(stack))
                 stack.append(node)
         flush()
         # Text beside blocks of the same parent becomes a node of its own.
@@ -189,6 +193,10 @@ class Page:
                 size[p] += size[v] + 1
                 if chars[v] and (first[p] == 0 or first[v] < first[p]) and not own[p]:
                     first[p] = first[v]
+        place = [0] * n
+        for c in children:
+            for i, v in enumerate(c):
+                place[v] = i
         longest = max((len(t) for _, t, _ in self.blocks), default=1)
         count, kinds = len(PURPOSES), len(TAGS)
         purposes = [[0] * count for _ in range(n)]
@@ -222,7 +230,7 @@ class Page:
             for x in c:
                 inside = [a or b for a, b in zip(inside, purposes[x])]
             siblings = children[p] if p >= 0 else [v]
-            i = siblings.index(v) if len(siblings) < 50 else 0
+            i = place[v]
             left, right = (siblings[i - 1] if i else -1), (siblings[i + 1] if i + 1 < len(siblings) else -1)
             size_ = size[v] + 1
             k = chars[v]

@@ -222,6 +222,17 @@ def test_hidden_elements_take_no_other_text(source, want):
     assert [t for _, t, _ in dom.Page(source).blocks] == want
 
 
+def test_siblings_and_depth_have_no_limit():
+    page = dom.Page("<div>" + "".join(f"<p>{'a' * (k + 1)}</p>" for k in range(120)) + "</div>")
+    rows = [f[-12:] for v, f in enumerate(page.features()) if page.tag[v] == "p"]
+    assert [round(r[1] * 120) for r in rows] == list(range(120))
+    total = sum(range(1, 121))
+    assert [round(r[3] * total) if r[3] >= 0 else -1 for r in rows] == [-1, *range(1, 120)]
+    deep = dom.Page("<section>" + "<div>" * 700 + "a" + "</div>" * 700 + "<p>b</p></section><p>c</p>")
+    at = {t: deep.tag[deep.parent[v]] for v, t, _ in deep.blocks}
+    assert (at["b"], at["c"], len(deep.tag)) == ("section", "#root", 704)
+
+
 def test_decoding_never_contradicts():
     page = dom.Page("<body><div><p>one</p><p>two</p></div><div><p>three</p><div>four</div></div></body>")
     r = random.Random(1)
