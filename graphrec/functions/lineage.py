@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session has no such setting (local tests) is a temporary folder made and set.
+    Only where all tasks run in the driver's own process (master local[...]) and the session has no such setting is a
+    temporary folder made and set; on a cluster that is an error, as no other machine would see the folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is not set, and {master} has no folder of its own that all executors see")
         base = f"file://{tempfile.mkdtemp(prefix='spark-work-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -26,3 +30,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of tables that written() made and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        base = spark.conf.get("spark.checkpoint.dir").rstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if base.split(":", 1)[-1].lstrip("/") not in folder:
+                raise ValueError(f"{folder} is not under {base}")
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,40 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import written
+from ..functions.lineage import dropped, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbor of a node to the smallest node in its neighborhood."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "cc-least")
+    out = written(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "cc-large")
+    dropped(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Links a node and its smaller neighbors to the smallest of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    """Links a node and its smaller neighbors to the smallest of them. edges have the larger end in a."""
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
+    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = written(moved.unionAll(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "cc-round")
+    dropped(least)
+    return out
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one edge, and no center is a larger end itself."""
+    many = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return many.isEmpty() and edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100) -> DataFrame:
     """(node, component) for every end of an edge; component is its smallest node.
 
     Every round is two map-side minima and two joins over the edges that are left, which become stars around the
-    smallest nodes in a number of rounds that grows with the logarithm of the longest path. Rounds are written to the
-    shared folder, so the lineage stays short. Edges with a null end, and loops to other nodes' names, count for
-    nothing but their own node.
+    smallest nodes in a number of rounds that grows with the logarithm of the longest path; a RuntimeError tells if
+    max_rounds did not do. The minima are tables, so a hub is a skewed key of a plain join, which adaptive execution
+    splits. Rounds are written to the shared folder, so the lineage stays short, and removed when the next one stands.
+    Edges with a null end, and loops to other nodes' names, count for nothing but their own node.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    nodes = written(e.select(F.col("a").alias("node")).unionAll(e.select("b")).distinct(), "cc-nodes")
-    e = written(e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
-    state = None
-    for _ in range(max_rounds):
-        e = written(_small_star(_large_star(e)), "cc-round")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+    given = written(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
+    nodes = written(given.select(F.col("a").alias("node")).unionAll(given.select("b")).distinct(), "cc-nodes")
+    e = given.filter("a <> b")
+    for done in range(max_rounds + 1):
+        if _are_stars(e):
             break
-        state = now
+        if done == max_rounds:
+            raise RuntimeError(f"components are not found after {max_rounds} rounds")
+        large = _large_star(e)
+        after = _small_star(large)
+        dropped(given, large)
+        e = given = after
     return nodes.join(e.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
