@@ -1,4 +1,4 @@
-"""Exact Jaccard join of shingle sets, by relations between sets.
+"""Jaccard join of shingle sets, by relations between sets.
 
 Only sets that can have a partner, and of these only differences from a similar set, meet in joins:
 
@@ -10,25 +10,34 @@ Only sets that can have a partner, and of these only differences from a similar
 3. Answers of other pairs in a list follow from the leader's: with both sets' differences from the leader, their overlap
    is a sum of known sizes and the overlap of the differences. Only sets not linked with their leader ask, in blocks, and
    index lists are skipped by position: entries are in order of set size, those outside the possible sizes are passed over.
+
+Words, shingles and sets are told by 64-bit hashes; but for coincidences of these the answer is exact.
+
+Counting goes by cells of the hash space, whose number follows from the bytes of all texts, so a cell's shingles fit in a
+task at any size. Up to MAX_PARTS cells each is a part of the shuffle; beyond, a part holds several cells, which its task
+tells apart and Spark sorts on disk before they are counted one by one.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .shared import written
+from .shared import dropped, written
 
 SHINGLE_WORDS = 5
+#: Bytes of text whose shingles make a cell; parts of a shuffle.
+CELL_BYTES, MAX_PARTS = 3_000_000, 16_384
 #: Shingles gathered before a task passes them on; owners in one such gathering from which a shingle counts as common.
-GATHER, COMMON = 1_500_000, 64
+GATHER, COMMON = 2_000_000, 16
 #: Frequencies are kept in a byte; the highest stands for common shingles.
 MOST, COMMON_CLASS = 254, 255
 BLOCK_MEMBERS, BLOCK_ASKING = 4096, 1024
@@ -36,11 +45,11 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
 def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """The hashes of a text's different shingles, sorted. A text with fewer words is one shingle, without any none."""
+    """The 64-bit hashes of a text's different shingles, sorted. A text with fewer words is one shingle, without any none."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.zeros(0, dtype=np.uint64)
-    c = np.fromiter(map(zlib.crc32, w), dtype=np.uint64, count=len(w)) + np.uint64(1)
+    c = np.fromiter(map(xxhash.xxh3_64_intdigest, w), dtype=np.uint64, count=len(w))
     k = min(words, len(w))
     h = np.full(len(w) - k + 1, k, dtype=np.uint64)
     for i in range(k):
@@ -54,42 +63,54 @@ def node_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _low48(h: np.ndarray) -> bytes:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def cells_for(text_bytes: int) -> tuple[int, int]:
+    """(parts, cells in a part) for so many bytes of text."""
+    cells = max(1, math.ceil(text_bytes / CELL_BYTES))
+    inside = math.ceil(cells / MAX_PARTS)
+    return math.ceil(cells / inside), inside
 
 
-def _from48(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+#: Rows between the first steps, of one cell of a part each: kind 0 has shingles of nodes, 1 documents, 2 common shingles, 3 nodes' common shingles.
+_PACKED = "part int, cell int, kind int, nodes binary, sizes binary, counts binary, hashes binary, classes binary"
+_COLUMNS = [c.split()[0] for c in _PACKED.split(", ")]
 
 
-#: Rows between the first steps: kind 0 has shingles of nodes, 1 documents, 2 common shingles, 3 nodes' common shingles.
-_PACKED = "part int, kind int, nodes binary, sizes binary, counts binary, hashes binary, classes binary"
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def _packed(part: int, kind: int, nodes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, hashes: bytes, classes: bytes = b"") -> tuple:
-    return part, kind, nodes.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), hashes, classes
+def _split(where: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, indexes in order) of each place that occurs in where, numbers below n."""
+    order = np.argsort(where.astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")
+    edges = np.searchsorted(where[order], np.arange(n + 1))
+    for p in np.flatnonzero(np.diff(edges)):
+        yield int(p), order[edges[p] : edges[p + 1]]
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["part", "kind", "nodes", "sizes", "counts", "hashes", "classes"])
+def _entries(place: tuple[int, int], kind: int, nodes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, classes: np.ndarray | None) -> tuple:
+    """A row of entries (nodes[i] has hashes[i]), those of a node side by side."""
+    first = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1])[: len(nodes)])
+    counts = np.diff(np.append(first, len(nodes)))
+    return *place, kind, nodes[first].astype("<i8").tobytes(), sizes[first].astype("<u4").tobytes(), counts.astype("<u4").tobytes(), hashes.astype("<u8").tobytes(), b"" if classes is None else classes.astype("u1").tobytes()
 
 
-def _by_part(part: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, owner: np.ndarray, hashes: np.ndarray, classes: np.ndarray | None, kind: int, parts: int) -> Iterator[tuple]:
-    """Packs entries (sorted by owner) into a row for each part, the owners of a part in order."""
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(edges)):
-        at = order[edges[p] : edges[p + 1]]
-        own = owner[at]
-        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        counts = np.diff(np.append(first, len(own)))
-        yield _packed(int(p), kind, nodes[own[first]], sizes[own[first]], counts, _low48(hashes[at]), b"" if classes is None else classes[at].astype("u1").tobytes())
+def _opened(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, sizes, hashes, classes) by entry of rows of entries."""
+    joined = lambda c, kind: np.frombuffer(b"".join(b[c]), kind)
+    counts = joined("counts", "<u4")
+    return np.repeat(joined("nodes", "<i8"), counts), np.repeat(joined("sizes", "<u4"), counts).astype(np.int64), joined("hashes", "<u8"), joined("classes", np.uint8)
+
+
+def _of_shingle(h: np.ndarray, modulus: int) -> np.ndarray:
+    return ((h ^ h >> np.uint64(31)) % np.uint64(modulus)).astype(np.int64)
+
+
+def _of_node(nodes: np.ndarray, modulus: int) -> np.ndarray:
+    return _of_shingle(nodes.astype(np.int64).view(np.uint64), modulus)
 
 
-def scatter(docs: DataFrame, parts: int, words: int) -> DataFrame:
-    """Documents' sets as packed rows by the shingles' part. docs: id (long), text."""
+def scatter(docs: DataFrame, parts: int, inside: int, words: int) -> DataFrame:
+    """Documents' sets as packed rows by the shingles' part (cell 0 where parts have several). docs: id (text), text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, int] = {}
@@ -102,28 +123,28 @@ def scatter(docs: DataFrame, parts: int, words: int) -> DataFrame:
                 at = [i for i, x in enumerate(ids) if (x is None) == null]
                 if at:
                     numbers = np.array([0 if null else int(ids[i]) for i in at], dtype="<i8")
-                    rows.append((int(abs(int(numbers[0])) % parts), 1, numbers.tobytes(), np.array([docs_sizes[i] for i in at], dtype="<u4").tobytes(), b"", np.array([docs_nodes[i] for i in at], dtype="<i8").tobytes(), b"null" if null else b""))
+                    rows.append((int(abs(int(numbers[0])) % parts), 0, 1, numbers.tobytes(), np.array([docs_sizes[i] for i in at], dtype="<u4").tobytes(), b"", np.array([docs_nodes[i] for i in at], dtype="<i8").tobytes(), b"null" if null else b""))
             if sets:
                 nodes, sizes = np.fromiter(seen, dtype=np.int64), np.array([len(s) for s in sets])
                 h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-                part = (h >> np.uint64(48)).astype(np.int64) % parts
                 # A shingle of COMMON sets here: its owners need not meet to know that it has others.
-                bins = np.bincount((h >> np.uint64(28)).astype(np.int64) & 0xFFFFF, minlength=1 << 20)
-                maybe = np.flatnonzero(bins[(h >> np.uint64(28)).astype(np.int64) & 0xFFFFF] >= COMMON)
+                low = (h >> np.uint64(28)).astype(np.int64) & 0xFFFFF
+                maybe = np.flatnonzero(np.bincount(low, minlength=1 << 20)[low] >= COMMON)
                 if len(maybe):
                     u, n = np.unique(h[maybe], return_counts=True)
                     u = u[n >= COMMON]
                     common = maybe[np.isin(h[maybe], u)]
                     if len(u):
-                        where = (u >> np.uint64(48)).astype(np.int64) % parts
-                        for p in np.unique(where):
-                            rows.append(_packed(int(p), 2, nodes[:0], sizes[:0], sizes[:0], _low48(u[where == p])))
-                        to = nodes[owner[common]] % parts
-                        rows.extend(_by_part(to, nodes, sizes, owner[common], h[common], np.full(len(common), COMMON_CLASS), 3, parts))
+                        rows += [(p, 0, 2, b"", b"", b"", u[at].astype("<u8").tobytes(), b"") for p, at in _split(_of_shingle(u, parts * inside) // inside, parts)]
+                        to = _of_node(nodes, parts * inside) // inside
+                        for p, at in _split(to[owner[common]], parts):
+                            e = common[at]
+                            rows.append(_entries((p, 0), 3, nodes[owner[e]], sizes[owner[e]], h[e], np.full(len(e), COMMON_CLASS)))
                         rest = np.ones(len(h), dtype=bool)
                         rest[common] = False
-                        h, owner, part = h[rest], owner[rest], part[rest]
-                rows.extend(_by_part(part, nodes, sizes, owner, h, None, 0, parts))
+                        h, owner = h[rest], owner[rest]
+                for p, e in _split(_of_shingle(h, parts * inside) // inside, parts):
+                    rows.append(_entries((p, 0), 0, nodes[owner[e]], sizes[owner[e]], h[e], None))
             return _frame(rows)
 
         for b in batches:
@@ -146,22 +167,80 @@ def scatter(docs: DataFrame, parts: int, words: int) -> DataFrame:
     return docs.mapInPandas(run, _PACKED)
 
 
-def count_owners(parts: int):
-    """Of a part's shingles: those with two owners or more, with their frequency, packed anew by owner."""
+def _cells_apart(whole: int, inside: int, by_node: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows of a part's entries packed anew by cell, GATHER entries at a time; `whole`: cells of all parts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], list[tuple]] = {}
+        size = 0
+
+        def flush() -> pd.DataFrame:
+            rows = []
+            for (part, kind), some in held.items():
+                b = _frame(some)
+                if kind == 2:
+                    h = np.frombuffer(b"".join(b["hashes"]), "<u8")
+                    rows += [(part, c, 2, b"", b"", b"", h[at].tobytes(), b"") for c, at in _split(_of_shingle(h, whole) % inside, inside)]
+                else:
+                    nodes, sizes, h, classes = _opened(b)
+                    for c, at in _split((_of_node(nodes, whole) if by_node else _of_shingle(h, whole)) % inside, inside):
+                        rows.append(_entries((part, c), kind, nodes[at], sizes[at], h[at], classes[at] if len(classes) else None))
+            return _frame(rows)
+
+        for b in batches:
+            for r in b.itertuples(index=False, name=None):
+                if r[2] == 1 or (r[2] == 3 and not by_node):
+                    yield _frame([r])
+                    continue
+                held.setdefault((r[0], r[2]), []).append(r)
+                size += len(r[6]) // 8
+                if size >= GATHER:
+                    yield flush()
+                    held, size = {}, 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def by_cell(packed: DataFrame, parts: int, inside: int, by_node: bool, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """f on the rows of each cell, one after the other in the task of its part."""
+    d = packed.repartitionById(parts, F.col("part"))
+    if inside > 1:
+        d = d.mapInPandas(_cells_apart(parts * inside, inside, by_node), _PACKED).sortWithinPartitions("part", "cell")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, now = [], None
+        for b in batches:
+            keys = b[["part", "cell"]].to_numpy()
+            ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for s, e in zip([0, *ends], [*ends, len(b)]):
+                if s == e:
+                    continue
+                if held and tuple(keys[s]) != now:
+                    yield f(pd.concat(held))
+                    held = []
+                now = tuple(keys[s])
+                held.append(b.iloc[s:e])
+        if held:
+            yield f(pd.concat(held))
+
+    return d.mapInPandas(run, schema)
+
+
+def count_owners(parts: int, inside: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of a cell's shingles: those with two owners or more, with their frequency, packed anew by the owners' part."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        rows = [tuple(r) for r in b[b["kind"].isin([1, 3])].itertuples(index=False)]
+        rows = list(b[b["kind"].isin([1, 3])].itertuples(index=False, name=None))
         entries = b[b["kind"] == 0]
         if len(entries):
-            counts = np.concatenate([np.frombuffer(x, "<u4") for x in entries["counts"]])
-            node = np.repeat(np.concatenate([np.frombuffer(x, "<i8") for x in entries["nodes"]]), counts)
-            size = np.repeat(np.concatenate([np.frombuffer(x, "<u4") for x in entries["sizes"]]), counts)
-            h = np.concatenate([_from48(x) for x in entries["hashes"]])
-            common = np.unique(np.concatenate([_from48(x) for x in b.loc[b["kind"] == 2, "hashes"]] or [h[:0]]))
+            node, size, h, _ = _opened(entries)
+            common = np.unique(np.frombuffer(b"".join(b.loc[b["kind"] == 2, "hashes"]), "<u8"))
             order = np.argsort(h, kind="stable")
             h, node, size = h[order], node[order], size[order]
             known = np.isin(h, common) if len(common) else np.zeros(len(h), dtype=bool)
-            pair = (h[1:] == h[:-1])
+            pair = h[1:] == h[:-1]
             keep = np.append(False, pair) | np.append(pair, False) | known
             h, node, size, known = h[keep], node[keep], size[keep], known[keep]
             order = np.lexsort((node, h))
@@ -177,32 +256,26 @@ def count_owners(parts: int):
                 h, node, size = h[keep], node[keep], size[keep]
                 order = np.argsort(node, kind="stable")
                 h, node, size, kind = h[order], node[order], size[order], kind[order]
-                new = np.append(True, node[1:] != node[:-1])[: len(node)]
-                owner = np.cumsum(new) - 1
-                rows.extend(_by_part(node % parts, node[new], size[new], owner, h, kind, 0, parts))
+                rows += [_entries((p, 0), 0, node[at], size[at], h[at], kind[at]) for p, at in _split(_of_node(node, parts * inside) // inside, parts)]
         return _frame(rows)
 
     return run
 
 
-def survivors(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-    """Of a part's nodes: those that may have a partner, with their shingles from the rarest on, and the rarest ones."""
-    counts = np.concatenate([np.frombuffer(x, "<u4") for x in b["counts"]])
-    node = np.repeat(np.concatenate([np.frombuffer(x, "<i8") for x in b["nodes"]]), counts)
-    size = np.repeat(np.concatenate([np.frombuffer(x, "<u4") for x in b["sizes"]]), counts).astype(np.int64)
-    h = np.concatenate([_from48(x) for x in b["hashes"]])
-    kind = np.frombuffer(b"".join(b["classes"]), dtype=np.uint8)
+def survivors(b: pd.DataFrame) -> pd.DataFrame:
+    """Of a cell's nodes: those that may have a partner, with their shingles from the rarest on, and the rarest ones."""
+    node, size, h, kind = _opened(b)
     order = np.lexsort((h, kind, node))
     h, node, size = h[order], node[order], size[order]
-    once = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
+    once = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))[: len(h)]
     h, node, size = h[once], node[once], size[once]
-    first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    first = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
     rows = []
     for a, z in zip(first, np.append(first[1:], len(node))):
         n = int(size[a])
         rare, prefix = n - (z - a), n - (4 * n + 4) // 5 + 1
         if rare < prefix:
-            mine = h[a:z].astype(np.int64)
+            mine = h[a:z].view(np.int64)
             rows.append((int(node[a]), n, int(rare), np.sort(mine).astype("<i8").tobytes(), mine[: prefix - rare]))
     return pd.DataFrame(rows, columns=["node", "n", "rare", "shared", "rarest"])
 
@@ -233,15 +306,18 @@ def links_by_difference(asking: pd.DataFrame, members: pd.DataFrame) -> list[tup
     diffs = [np.frombuffer(x, "<i8") for x in members["diff"]]
     sizes = np.array([len(x) for x in diffs])
     bits = max(1, int(len(members)).bit_length())
-    # An index entry is its shingle (48 bits) and its owner's place in the order of size: the entries of a shingle whose
+    # An index entry is its shingle's number and its owner's place in the order of size: the entries of a shingle whose
     # owners' sizes are possible for a set are a range.
-    entries = np.sort(np.concatenate(diffs or [np.zeros(0, np.int64)]) << bits | np.repeat(np.arange(len(members)), sizes))
+    known, number = np.unique(np.concatenate(diffs or [np.zeros(0, np.int64)]), return_inverse=True)
+    entries = np.sort(number.astype(np.int64) << bits | np.repeat(np.arange(len(members)), sizes))
     l_size, out = int(members["l_size"].iloc[0]), []
     for node, size, short, diff in zip(asking["node"], asking["n"].astype(int), asking["less"].astype(int), asking["diff"]):
         low, high = np.searchsorted(n, -(-4 * size // 5)), np.searchsorted(n, 5 * size // 4, side="right")
         if low >= high:
             continue
-        mine = np.frombuffer(diff, "<i8") << bits
+        mine = np.frombuffer(diff, "<i8")
+        at = np.searchsorted(known, mine)
+        mine = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == mine)] << bits if len(known) else at[:0]
         a, z = np.searchsorted(entries, mine | low), np.searchsorted(entries, mine + high)
         length = z - a
         at = np.repeat(a - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
@@ -252,13 +328,14 @@ def links_by_difference(asking: pd.DataFrame, members: pd.DataFrame) -> list[tup
     return out
 
 
-def links_beside_leaders(compared: DataFrame) -> DataFrame:
+def links_beside_leaders(compared: DataFrame, parts: int) -> DataFrame:
     """(a, b): links between members of a leader of which one at least isn't linked with it.
 
-    A leader's members meet in blocks of bounded size: every asking member with every member.
+    A leader's members meet in blocks of bounded size: every asking member with every member. The leaders' counts are a
+    table, so a leader of many members is a skewed key of a plain join, which adaptive execution splits.
     """
     sizes = compared.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("linked")).alias("asking")).filter("asking > 0 AND members > 1")
-    blocks = sizes.select("leader", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("mb"), F.ceil(F.col("asking") / BLOCK_ASKING).cast("int").alias("ab"))
+    blocks = written(sizes.select("leader", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("mb"), F.ceil(F.col("asking") / BLOCK_ASKING).cast("int").alias("ab")), "jaccard-blocks")
     d = compared.join(blocks, "leader")
     own = F.xxhash64("node")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -291,7 +368,7 @@ def links_beside_leaders(compared: DataFrame) -> DataFrame:
             yield done()
 
     met = members.unionByName(asking)
-    n = int(compared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(parts, int(compared.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return met.repartition(n, "leader", "m", "a").sortWithinPartitions("leader", "m", "a").mapInPandas(run, "a long, b long")
 
 
@@ -303,13 +380,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty set and are components of themselves. Null ids take part, but name no component (null if no other id is in
     it). Repeated rows are copies; an empty table gives no rows; other columns are ignored.
 
-    Equal sets are told by 64 bits, shingles by 48 (within a part of the words' hash space) and words by 32; the chance
-    that a wrong link follows from such a coincidence is negligible, as four fifths of a set would have to coincide.
+    Words, shingles and sets are told by 64-bit hashes. A text is one row of its task, so memory follows the longest
+    text; a shingle owned by COMMON documents of those gathered at once is passed on by its owners, one that keeps below
+    that everywhere has at most a share of COMMON in those documents.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts, inside = cells_for(text_bytes)
     d = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text"))
-    first = written(scatter(d, parts, words).groupBy("part").applyInPandas(count_owners(parts), _PACKED), "jaccard-owners")
+    first = written(by_cell(scatter(d, parts, inside, words), parts, inside, False, count_owners(parts, inside), _PACKED), "jaccard-owners")
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -317,19 +395,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ids = np.frombuffer(ids, "<i8")
                 yield pd.DataFrame({"id": pd.array(ids if null != b"null" else [None] * len(ids), dtype="Int64"), "n": np.frombuffer(sizes, "<u4").astype(np.int64), "node": np.frombuffer(nodes, "<i8")})
 
-    all_docs = first.filter("kind = 1").mapInPandas(documents, "id long, n long, node long")
-    sets = written(first.filter("kind <> 1").groupBy("part").applyInPandas(survivors, "node long, n int, rare int, shared binary, rarest array<long>"), "jaccard-sets")
+    all_docs = written(first.filter("kind = 1").mapInPandas(documents, "id long, n long, node long"), "jaccard-documents")
+    sets = written(by_cell(first.filter("kind <> 1"), parts, inside, True, survivors, "node long, n int, rare int, shared binary, rarest array<long>"), "jaccard-sets")
     listed = sets.select("node", "n", F.posexplode("rarest").alias("place", "shingle"), "rare")
     position = F.struct((F.col("rare") + F.col("place")).alias("at"), (-F.col("n")).alias("less"), F.col("node"))
     leaders = listed.groupBy("shingle").agg(F.min(position)["node"].alias("leader"), F.count(F.lit(1)).alias("owners")).filter("owners > 1").drop("owners")
+    # Tables on the side that has a key once leave the joins with nothing but a shuffle below them, so hot keys are split.
+    leaders = written(leaders, "jaccard-leaders")
     pairs = listed.select("shingle", "node").join(leaders, "shingle").filter("leader <> node").select("leader", "node").distinct()
     mine, theirs = sets.select("node", "n", "shared"), sets.select(F.col("node").alias("leader"), F.col("n").alias("l_n"), F.col("shared").alias("l_shared"))
     compared = written(compare_with_leader(pairs.join(mine, "node").join(theirs, "leader")), "jaccard-compared")
-    links = compared.filter("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")).unionAll(links_beside_leaders(compared))
-    labels = connected_components(links, "a", "b")
-    d = all_docs.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    least = d.filter("n > 0").groupBy("label").agg(F.min("id").alias("least"))
-    d = d.join(least, "label", "left")
+    links = compared.filter("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")).unionAll(links_beside_leaders(compared, parts))
+    labels = written(connected_components(links, "a", "b"), "jaccard-labels")
+    by_node = written(all_docs.filter("n > 0").groupBy("node").agg(F.min("id").alias("least")), "jaccard-nodes")
+    by_label = written(labels.join(by_node, "node").groupBy("component").agg(F.min("least").alias("least")), "jaccard-least")
+    linked = labels.join(by_label, "component").select("node", F.col("least").alias("of_all"))
+    named = written(by_node.join(linked, "node", "left").select("node", F.when(F.col("of_all").isNull(), F.col("least")).otherwise(F.col("of_all")).alias("least")), "jaccard-named")
+    dropped(first, sets, leaders, compared, labels, by_node, by_label)
+    d = all_docs.join(named, "node", "left")
     return d.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 

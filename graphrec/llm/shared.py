@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import work_dir, written  # noqa: F401  for this subpackage's modules
+from ..functions.lineage import dropped, work_dir, written  # noqa: F401  for this subpackage's modules
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

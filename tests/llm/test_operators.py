@@ -325,6 +325,25 @@ def test_jaccard_of_chains_around_many_leaders(spark, monkeypatch):
     assert Counter(map(tuple, got.collect())) == brute_components(rows)
 
 
+def test_jaccard_cells_and_parts(spark, docs, monkeypatch):
+    """The same answer from many cells, in parts of their own and several to a part, as from one."""
+    assert jaccard.cells_for(0) == (1, 1) and jaccard.cells_for(10**14) == (16_381, 2035) and 10**14 / (16_381 * 2035) <= jaccard.CELL_BYTES
+    monkeypatch.setattr(jaccard, "CELL_BYTES", 9_000)
+    monkeypatch.setattr(jaccard, "COMMON", 4)
+    monkeypatch.setattr(jaccard, "GATHER", 2_000)
+    want = brute_components(odd_rows())
+    for most in (100, 3):
+        monkeypatch.setattr(jaccard, "MAX_PARTS", most)
+        assert (jaccard.cells_for(sum(len(r[1] or "") for r in odd_rows()))[1] > 1) == (most == 3)
+        assert Counter(map(tuple, jaccard.near_duplicates(docs).collect())) == want
+
+
+def test_words_with_one_crc32_are_two(spark):
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    rows = [(1, "plumless one two three four"), (2, "buckeroo one two three four")]
+    assert {tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(1, 1, 1), (2, 1, 2)}
+
+
 # --- 7
 
 
