@@ -13,48 +13,71 @@ from pyspark.sql import functions as F
 from .shared import numbered, written
 
 END_ID = 2
-
-
-#: How a GPT-2 style byte-level BPE splits text before it merges.
+#: How a GPT-2 style byte-level BPE splits text before it merges, and the classes of characters that this rests on.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CLASSES = (r"\p{L}", r"\p{N}", r"\s")
 
 
 class Encoder:
-    """Ids of a byte-level BPE vocabulary file of the tokenizers library, one per worker process.
+    """Ids of a byte-level BPE file, the same as Tokenizer.from_file(path).encode(text, add_special_tokens=False), one per worker process.
 
-    The file's merges are handed to tiktoken, which gives the same ids about four times as fast: in such a file a token's
-    id is its merge's rank. Where that does not hold, or the first texts of a process do not agree with the tokenizers
-    library itself, that library does the work. Strings of special tokens are ordinary text.
+    tiktoken takes the file's merges and is about four times as fast. It gives the same ids where these hold, and the
+    tokenizers library does the work for the file or the text of which one does not:
+
+    - the file has no more than a byte-level splitter, merges in the order of their tokens' ids, and every token's bytes
+      merge to that token (so of two tokens side by side only the pair that the file lists can make a third);
+    - the text has no string of an added token in it, which tokenizers takes as that token;
+    - both libraries' Unicode tables put each of its characters into the same classes, which is looked up when a
+      character is first met.
     """
 
     loaded: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        self.fast, self.tried = self._ranked(path), 0
-
-    @staticmethod
-    def _ranked(path: str):
-        import json
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        self.added = [t["content"] for t in data.get("added_tokens", [])]
+        self.fast = self._ranked(data)
+        self.met, self.alike = np.zeros(0x110000, dtype=bool), np.zeros(0x110000, dtype=bool)
+        self._meet(np.arange(128))
 
+    def _ranked(self, data: dict):
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
-        vocabulary, merges = data["model"]["vocab"], data["model"].get("merges", [])
-        special = {t["content"] for t in data.get("added_tokens", [])}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
-        merged = [vocabulary.get(a + b, -1) for a, b in pairs]
-        if data.get("normalizer") or (data.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or merged != sorted(merged):
+        model, splitter = data["model"], data.get("pre_tokenizer") or {}
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model.get("merges", [])]
+        vocabulary = {t: i for t, i in model.get("vocab", {}).items() if t not in self.added}
+        made = [vocabulary.get(a + b, -1) for a, b in merges]
+        plain_file = model.get("type", "BPE") == "BPE" and not data.get("normalizer") and splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space")
+        if not plain_file or made != sorted(set(made)) or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None
+        if any([x.id for x in self.slow.model.tokenize(t)] != [i] for t, i in vocabulary.items()):
             return None
         # Such files write each byte as a character: printable ones as they are, the others from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in special}
-        return tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+        self.classes = [tiktoken.Encoding(f"class-{i}", pat_str=c, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}) for i, c in enumerate(CLASSES)]
+        return tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks={bytes(byte[c] for c in t): i for t, i in vocabulary.items()}, special_tokens={})
+
+    def _meet(self, codes: np.ndarray) -> None:
+        """Looks characters up in both libraries: the matches of each class among them."""
+        from tokenizers import Regex
+        from tokenizers.pre_tokenizers import Split
+
+        self.met[codes] = True
+        if self.fast is None:
+            return
+        chars = "".join(map(chr, codes))
+        self.alike[codes] = True
+        for pattern, encoding in zip(CLASSES, self.classes):
+            there = set(bytes(encoding.encode_ordinary(chars)).decode())
+            here = set("".join(x for x, _ in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(chars)))
+            self.alike[[ord(c) for c in there ^ here]] = False
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -62,15 +85,21 @@ class Encoder:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
+    def is_fast(self, text: str) -> bool:
+        if self.fast is None or any(t in text for t in self.added):
+            return False
+        if text.isascii():
+            return bool(self.alike[:128].all())
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        if not self.met[codes].all():
+            new = np.unique(codes[~self.met[codes]])
+            self._meet(new[(new < 0xD800) | (new > 0xDFFF)])
+        return bool(self.alike[codes].all())
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.fast is not None and self.tried >= 64:
-            return [self.fast.encode_ordinary(t) for t in texts]
-        out = [e.ids for e in self.slow.encode_batch_fast(texts, add_special_tokens=False)]
-        if self.fast is not None:
-            self.tried += len(texts)
-            if out != [self.fast.encode_ordinary(t) for t in texts]:
-                self.fast = None
-        return out
+        slow = [i for i, t in enumerate(texts) if not self.is_fast(t)]
+        found = dict(zip(slow, (e.ids for e in self.slow.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False)))) if slow else {}
+        return [found[i] if i in found else self.fast.encode_ordinary(t) for i, t in enumerate(texts)]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
