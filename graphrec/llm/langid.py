@@ -55,7 +55,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """(languages, log-likelihoods by [bucket, language]) from labelled documents that are not held out.
 
     Fitted on a sample: by a hash of the id, about per_language documents of each language. Counts are summed by Spark;
-    one row a language and BUCKETS numbers a language reach the driver, whatever the size of docs.
+    one row a language and BUCKETS numbers a language reach the driver, whatever the size of docs (so `lang` is meant to
+    be a code, of which there are hundreds at most).
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out(id_col).alias("out")).filter("NOT out AND lang IS NOT NULL AND text IS NOT NULL")
     known = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -80,18 +81,18 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return languages, (np.log((n + SMOOTHING) / (n.sum(0) + SMOOTHING * BUCKETS)) / OVERLAP).astype(np.float32)
 
 
-def mixtures(like: np.ndarray, counts: np.ndarray, max_languages: int = 4, penalty: float = 0.5) -> np.ndarray:
+def mixtures(like: np.ndarray, counts: np.ndarray, max_languages: int | None = None, penalty: float = 0.5) -> np.ndarray:
     """Proportions of languages by [text, language], of words with log-likelihoods `like`, counts[i] > 0 words to text i.
 
     EM over all languages ranks them; then for sets of the 1, 2... most likely ones EM runs anew on the set, and the set
-    with the largest log-likelihood less penalty * size * log(words) stands.
+    with the largest log-likelihood less penalty * size * log(words + 1) stands. Sets grow up to all languages of which
+    EM expects half a word at least, or up to max_languages where that is given.
     """
-    top = like.max(1, keepdims=True)
-    p = np.exp(like - top)
-    starts = np.append(0, np.cumsum(counts)[:-1])
-    n = counts[:, None].astype(np.float32)
+    p = np.exp(like - like.max(1, keepdims=True))
+    k = like.shape[1]
 
-    def em(share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    def em(p: np.ndarray, counts: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        starts, n = np.append(0, np.cumsum(counts)[:-1]), counts[:, None].astype(np.float32)
         for _ in range(rounds):
             weighted = p * np.repeat(share, counts, axis=0)
             all_ = weighted.sum(1, keepdims=True)
@@ -99,27 +100,26 @@ def mixtures(like: np.ndarray, counts: np.ndarray, max_languages: int = 4, penal
         all_ = (p * np.repeat(share, counts, axis=0)).sum(1)
         return share, np.add.reduceat(np.log(np.maximum(all_, 1e-30)).astype(np.float64), starts)
 
-    k = like.shape[1]
-    share, _ = em(np.full((len(counts), k), 1 / k, dtype=np.float32), ROUNDS)
-    order = np.argsort(-share, axis=1, kind="stable")
-    place = np.argsort(order, axis=1)
-    best, best_score = None, None
-    for size in range(1, min(k, max_languages) + 1):
-        inside = np.where(place < size, np.maximum(share, 1e-6), 0).astype(np.float32)
-        s, fit = em(inside / inside.sum(1, keepdims=True), SET_ROUNDS if size > 1 else 0)
-        score = fit - penalty * size * np.log(counts + 1.0)
-        if best is None:
-            best, best_score = s, score
-        else:
-            better = score > best_score
-            best[better], best_score[better] = s[better], score[better]
+    share, _ = em(p, counts, np.full((len(counts), k), 1 / k, dtype=np.float32), ROUNDS)
+    place = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
+    largest = np.clip((share * counts[:, None] >= 0.5).sum(1), 1, max_languages or k)
+    best, best_score = np.zeros_like(share), np.full(len(counts), -np.inf)
+    for size in range(1, int(largest.max()) + 1):
+        these = np.flatnonzero(largest >= size)
+        inside = np.where(place[these] < size, np.maximum(share[these], 1e-6), 0).astype(np.float32)
+        own = p if len(these) == len(counts) else p[np.repeat(largest >= size, counts)]
+        s, fit = em(own, counts[these], inside / inside.sum(1, keepdims=True), SET_ROUNDS if size > 1 else 0)
+        score = fit - penalty * size * np.log(counts[these] + 1.0)
+        better = score > best_score[these]
+        best[these[better]], best_score[these[better]] = s[better], score[better]
     return best
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: bool = False, max_languages: int | None = None) -> DataFrame:
     """Adds lang_pred, score and languages (those of the chosen set with their shares) to id_col, or to all of docs with `keep`.
 
-    The whole text counts. score is the share of lang_pred in the mixture. `und` with score 0 where the text is null, has
+    The whole text counts, however long, in slices; all words of it meet in EM, so memory follows the longest text. A set
+    may hold all languages, or max_languages of them. score is the share of lang_pred in the mixture. `und` with score 0 where the text is null, has
     no letters, or nothing was learned. Null ids, repeated rows, empty tables and other columns are allowed.
     """
     languages, table = model
@@ -129,6 +129,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     names = [f"own_{i}" for i in range(len(own))]
     schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, own)) + ", lang_pred string, score double, languages string"
     at = own.index(text_col) if text_col in own else None
+    # A word has a likelihood a language, so the more languages the fewer words at a time.
+    together = SLICE * 4 // max(4, len(languages))
 
     def predict(texts: list) -> tuple[list, list, list]:
         table, parts, owner = shared.value, [], []
@@ -140,7 +142,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         likes, words, at, size = [], np.zeros(len(texts), dtype=np.int64), 0, 0
         for j, part in enumerate(parts):
             size += len(part)
-            if size >= SLICE or j == len(parts) - 1:
+            if size >= together or j == len(parts) - 1:
                 code, starts, of = trigrams(parts[at : j + 1])
                 if len(starts):
                     likes.append(np.add.reduceat(table[code], starts, axis=0))
@@ -149,7 +151,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         pred, score, sets = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
         have = np.flatnonzero(words)
         if len(have):
-            for i, s in zip(have, mixtures(np.concatenate(likes), words[have])):
+            for i, s in zip(have, mixtures(np.concatenate(likes), words[have], max_languages)):
                 best = int(s.argmax())
                 pred[i], score[i] = languages[best], min(1.0, float(s[best]))
                 sets[i] = " ".join(f"{languages[k]}:{s[k]:.3f}" for k in np.argsort(-s) if s[k] > 0)
@@ -161,7 +163,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
             cut, chars = [0], 0
             for i, t in enumerate(texts):
                 chars += len(t or "")
-                if chars > SLICE or i == len(texts) - 1:
+                if chars > together or i == len(texts) - 1:
                     cut.append(i + 1)
                     chars = 0
             for a, z in zip(cut, cut[1:]):
@@ -173,15 +175,23 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, own)], "lang_pred", "score", "languages")
 
 
-def confident(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs whose language is certain: those without letters, and those of which no language has min_score, go."""
+def confident(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_languages: int | None = None) -> DataFrame:
+    """docs whose language is certain: those without letters, and those of which no language has min_score, go.
+
+    Null texts go; null ids and repeated rows are documents each; an empty table, or one without labels, gives no rows;
+    other columns keep their names and values, whatever they are called.
+    """
     own = [f"own_{i}" for i in range(len(docs.columns))]
-    found = identify(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col, keep=True)
+    found = identify(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col, keep=True, max_languages=max_languages)
     found = found.toDF(*own, "lang_pred", "score", "languages").filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
     return found.select(*[F.col(n).alias(c) for n, c in zip(own, docs.columns)])
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id_col, held_out, lang_pred, score, languages) of every document; learned from docs' labelled ones not held out."""
-    found = identify(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col)
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_languages: int | None = None) -> DataFrame:
+    """(id_col, held_out, lang_pred, score, languages) of every document; learned from docs' labelled ones not held out.
+
+    Null ids are not held out, null and empty texts are `und`, repeated rows are predicted each, an empty table gives no
+    rows, without labels all is `und`; columns but those named are ignored.
+    """
+    found = identify(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col, max_languages=max_languages)
     return found.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score", "languages")

@@ -36,7 +36,7 @@ def odd_rows():
         w = base.split()
         w[i * 11] = f"edit{i}"
         rows.append((110 + i, " ".join(w), "xa", "s1", 5))
-    rows += [(200, None, None, None, None), (201, "", "xa", None, 0), (202, " \t\n ", "xb", "s2", 3), (203, "... 123 !!", "xb", "s2", 3), (204, "one two", "xa", "s9", 7), (205, "one two", "xa", "s9", 7), (None, prose("xb", 40), "xb", "s2", 1), (None, None, None, None, None), (206, "word " * 30_000, "xa", "s3", 1), (300, "twice " + base, "xa", "s0", 1), (300, "twice " + base, "xa", "s0", 1)]
+    rows += [(200, None, None, None, None), (201, "", "xa", None, 0), (202, " \t\n ", "xb", "s2", 3), (203, "... 123 !!", "xb", "s2", 3), (204, "one two", "xa", "s9", 7), (205, "one two", "xa", "s9", 7), (None, prose("xb", 40), "xb", "s2", 1), (None, None, None, None, None), (206, "word " * 30_000, "xa", "s3", 1), (207, "end <|endoftext|> of text", "xa", "s3", 1), (300, "twice " + base, "xa", "s0", 1), (300, "twice " + base, "xa", "s0", 1)]
     return rows
 
 
@@ -180,6 +180,45 @@ def test_language_of_held_out_and_mixed_texts(spark, docs, empty):
     assert kept.columns == docs.columns and kept.filter("doc_id IN (200, 201, 202, 203)").count() == 0 and kept.filter("doc_id < 120").count() >= 70
 
 
+def plain_em(like, rounds, share):
+    for _ in range(rounds):
+        got = [0.0] * len(share)
+        for w in like:
+            p = [np.exp(x - max(w)) * s for x, s in zip(w, share)]
+            got = [g + x / sum(p) for g, x in zip(got, p)]
+        share = [g / len(like) for g in got]
+    return share, sum(np.log(sum(np.exp(x - max(w)) * s for x, s in zip(w, share))) for w in like)
+
+
+def plain_mixture(like, penalty=0.5):
+    """One text's proportions, by loops over words and over sets."""
+    k = len(like[0])
+    share, _ = plain_em(like, langid.ROUNDS, [1 / k] * k)
+    order = sorted(range(k), key=lambda i: -share[i])
+    found = []
+    for size in range(1, k + 1):
+        if size > 1 and share[order[size - 1]] * len(like) < 0.5:
+            break
+        start = [max(share[i], 1e-6) if i in order[:size] else 0.0 for i in range(k)]
+        s, fit = plain_em(like, langid.SET_ROUNDS if size > 1 else 0, [x / sum(start) for x in start])
+        found.append((fit - penalty * size * np.log(len(like) + 1.0), -size, s))
+    return max(found)[2]
+
+
+def test_mixtures_against_plain_em():
+    g = np.random.default_rng(5)
+    texts = []
+    for n, langs in ((1, 1), (3, 2), (40, 1), (90, 3), (300, 6), (200, 7)):
+        like = g.normal(-6, 1.5, size=(n, 7))
+        like[np.arange(n), g.integers(0, langs, n)] += 6
+        texts.append(like.astype(np.float32))
+    got = langid.mixtures(np.concatenate(texts), np.array([len(t) for t in texts]))
+    for t, m in zip(texts, got):
+        assert np.allclose(m, plain_mixture(t.astype(float)), atol=2e-3)
+    assert [(m > 0).sum() for m in got[-2:]] == [6, 7]
+    assert [(m > 0).sum() for m in langid.mixtures(np.concatenate(texts), np.array([len(t) for t in texts]), max_languages=2)][-2:] == [2, 2]
+
+
 # --- 4
 
 
@@ -424,7 +463,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
     got = packing.packed_documents(docs, vocabulary_path(), rows_per_bucket=10).collect()
     want = Counter()
     for doc, text, *_ in odd_rows():
@@ -452,11 +490,20 @@ def test_fast_and_slow_ids_agree():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
     e, r = packing.Encoder(vocabulary_path()), random.Random(2)
-    texts = ["".join(r.choice(" \n\t\rab'sreÉé12,.! \x1c\x85　日🙂<|endoftext|>") for _ in range(r.randrange(60))) for _ in range(3000)]
-    e.encode(texts[:64])
+    wide = [chr(c) for c in r.sample(range(0x20000), 6000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(r.choice(" \n\t\rab'sreÉé12,.! \x1c\x85　日🙂ǅ") if r.random() < 0.9 else r.choice(wide) for _ in range(r.randrange(60))) for _ in range(3000)]
+    texts += ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext", "x" * 5000, " " * 3000 + "é", "aé" * 2000]
     assert e.fast is not None and [list(x) for x in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert e.encode(["a<|endoftext|>b"])[0][1] == 50256 and not e.is_fast("a<|endoftext|>b") and e.is_fast("plain é 日")
+    assert sum(map(e.is_fast, texts)) > 2000
+
+
+def test_characters_of_two_classes_take_the_slow_way():
+    e = packing.Encoder(vocabulary_path())
+    assert e.is_fast("café")
+    e.alike[ord("é")] = False
+    assert not e.is_fast("café") and e.is_fast("cafe") and e.encode(["café"])[0] == e.slow.encode("café", add_special_tokens=False).ids
 
 
 def test_fullest_bins():
