@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import numbered, written
+from .shared import dropped, numbered, written
 
 #: Coordinates are integers below 2 ** BITS; a median is found by reading STEP bits in each pass.
 BITS, STEP = 36, 12
-#: A group of more than this share of its node's weight is placed by itself; so a node has fewer than 1 / HEAVY of them.
-HEAVY = 0.01
+#: A median may miss its goal by this share of its node's weight before the next widest dimension is preferred.
+SLACK = 0.002
 
 
 def coordinates() -> dict[str, Column]:
@@ -24,70 +24,70 @@ def coordinates() -> dict[str, Column]:
     }
 
 
+def _medians(here: DataFrame, splits: list[dict]) -> None:
+    """Sets at (the cut), below (weight under it) and miss of each split: BITS / STEP jobs over all of them.
+
+    Each job sums weights in at most 2 ** STEP bins a split; Spark finds the bin that holds the goal, so what reaches the
+    driver is one row a split.
+    """
+    for shift in range(BITS - STEP, -1, -STEP):
+        bins = []
+        for i, s in enumerate(splits):
+            c = place(s) - F.lit(s["at"])
+            inside = (F.col("node") == s["node"]) & (c >= 0) & (c < (1 << (shift + STEP)))
+            bins.append(F.when(inside, F.struct(F.lit(i).alias("split"), F.shiftright(c, shift).alias("bin"), F.lit(float(s["goal"] - s["below"])).alias("need"))))
+        cells = here.select("weight", F.explode(F.array_compact(F.array(*bins))).alias("c")).select("weight", "c.*")
+        sums = cells.groupBy("split", "bin", "need").agg(F.sum("weight").alias("w"))
+        sums = sums.withColumn("upto", F.sum("w").over(Window.partitionBy("split").orderBy("bin")))
+        found = sums.groupBy("split").agg(F.min(F.when(F.col("upto") >= F.col("need"), F.struct("bin", "upto", "w"))).alias("hit"), F.max(F.struct("bin", "upto", "w")).alias("last")).collect()
+        for r in found:
+            s, hit = splits[r["split"]], r["hit"] or r["last"]  # last: rounding
+            need, under = s["goal"] - s["below"], hit["upto"] - hit["w"]
+            # In the last pass whichever side of the bin is nearer.
+            over = shift == 0 and abs(hit["upto"] - need) < abs(under - need)
+            s["at"] += hit["bin"] + 1 if over else hit["bin"] << shift
+            s["below"] += hit["upto"] if over else under
+    for s in splits:
+        s["miss"] = abs(s["below"] - s["goal"])
+
+
 def tree(groups: DataFrame, dims: list[str], leaves: int, target_bytes: float | None = None) -> list[dict]:
     """Splits of a k-d tree over groups (columns digest, dims, tie, weight) into leaves of near equal weight.
 
     Each node splits along its widest dimension (by the range of its groups, as a share of the whole range) at the
-    weighted median that leaves each side its share of the leaves. A level takes one job for ranges and BITS / STEP
-    jobs for medians: each sums weights in at most 2 ** STEP bins a node, so what reaches the driver is one row a node.
-    Equal coordinates are parted by `tie`, an even hash. Groups of over HEAVY of a node's weight, which a median could
-    only throw to one side whole, go from the largest on to the side that lacks more, and the median of the rest makes up
-    for them. A node stops at one leaf, or at target_bytes or less if given.
+    weighted median that leaves each side its share of the leaves. Where a heavy group lies across that median, so that it
+    misses its goal by more than SLACK of the node's weight, the next widest dimension whose median does not is taken, or
+    the one that misses least. Equal coordinates are parted by `tie`, an even hash. A group of at least a leaf's weight,
+    which no cut can divide, is a leaf of its own, split off by its digest. A level takes one job for ranges, one for such
+    groups (fewer than leaves) and BITS / STEP for the medians of all dimensions. A node stops at one leaf, or at
+    target_bytes or less if given.
     """
     made: list[dict] = []
-    nodes = [{"node": 1, "leaves": leaves}]
+    nodes = {1: leaves}
     low = groups.agg(*[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims]).first()
     if low is None or low[f"lo_{dims[0]}"] is None:
         return made
     whole = {d: max(low[f"hi_{d}"] - low[f"lo_{d}"], 1e-12) for d in dims}
     while nodes:
-        here = groups.withColumn("node", locate(made)).filter(F.col("node").isin([n["node"] for n in nodes]))
-        ranges = here.groupBy("node").agg(F.sum("weight").alias("weight"), *[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims]).collect()
-        splits = []
-        for r in ranges:
-            n = next(n["leaves"] for n in nodes if n["node"] == r["node"])
+        here = groups.withColumn("node", locate(made)).filter(F.col("node").isin(list(nodes)))
+        figures = [F.sum("weight").alias("weight"), F.max(F.struct("weight", "digest")).alias("top"), *[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims]]
+        new, asked = [], []
+        for r in here.groupBy("node").agg(*figures).collect():
+            n = nodes[r["node"]]
             if n < 2 or (target_bytes and r["weight"] <= target_bytes):
                 continue
-            wide = max(dims, key=lambda d: ((r[f"hi_{d}"] - r[f"lo_{d}"]) / whole[d], d))
-            splits.append({"node": r["node"], "dim": wide, "lo": r[f"lo_{wide}"], "hi": r[f"hi_{wide}"], "left": n // 2, "right": n - n // 2, "goal": r["weight"] * (n // 2) / n, "at": 0, "below": 0, "sides": {}, "heavy_left": 0, "heavy_right": 0})
-        if not splits:
-            break
-        limit = F.lit(None).cast("double")
-        for s in splits:
-            s["weight"] = next(r["weight"] for r in ranges if r["node"] == s["node"])
-            limit = F.when(F.col("node") == s["node"], F.lit(HEAVY * s["weight"])).otherwise(limit)
-        for r in here.filter(F.col("weight") > limit).select("node", "digest", "weight").orderBy(F.desc("weight"), "digest").collect():
-            s = next(s for s in splits if s["node"] == r["node"])
-            left = s["goal"] - s["heavy_left"] >= s["weight"] - s["goal"] - s["heavy_right"]
-            s["sides"][r["digest"]] = left
-            s["heavy_left" if left else "heavy_right"] += r["weight"]
-        for s in splits:
-            s["goal"] = max(0.0, s["goal"] - s["heavy_left"])
-        here = here.filter(~F.coalesce(F.col("weight") > limit, F.lit(False)))
-        for shift in range(BITS - STEP, -1, -STEP):
-            bins, mine = F.lit(None).cast("long"), F.lit(False)
-            for s in splits:
-                c = place(s) - F.lit(s["at"])
-                ok = (F.col("node") == s["node"]) & (c >= 0) & (c < (1 << (shift + STEP)))
-                bins, mine = F.when(ok, F.shiftright(c, shift)).otherwise(bins), mine | ok
-            sums = here.filter(mine).groupBy("node", bins.alias("bin")).agg(F.sum("weight").alias("w"))
-            goals = F.lit(None).cast("double")
-            for s in splits:
-                goals = F.when(F.col("node") == s["node"], F.lit(float(s["goal"] - s["below"]))).otherwise(goals)
-            upto = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
-            sums = sums.withColumn("upto", upto).withColumn("goal", goals)
-            # The bin that holds the goal; in the last pass whichever side of it is nearer.
-            found = sums.groupBy("node").agg(F.min(F.when(F.col("upto") >= F.col("goal"), F.struct("bin", "upto", "w"))).alias("hit"), F.max(F.struct("bin", "upto", "w")).alias("last")).collect()
-            for r in found:
-                s, hit = next(s for s in splits if s["node"] == r["node"]), r["hit"] or r["last"]  # last: rounding
-                need = s["goal"] - s["below"]
-                if shift == 0 and abs(hit["upto"] - need) < abs(hit["upto"] - hit["w"] - need):
-                    s["at"] += hit["bin"] + 1
-                else:
-                    s["at"] += hit["bin"] << shift
-                    s["below"] += hit["upto"] - hit["w"]
-        made += splits
-        nodes = [x for s in splits for x in ({"node": 2 * s["node"], "leaves": s["left"]}, {"node": 2 * s["node"] + 1, "leaves": s["right"]})]
+            if r["top"]["weight"] * n >= r["weight"]:
+                new.append({"node": r["node"], "own": r["top"]["digest"], "own_weight": r["top"]["weight"], "left": 1, "right": n - 1})
+                continue
+            wide = sorted(dims, key=lambda d: (-(r[f"hi_{d}"] - r[f"lo_{d}"]) / whole[d], d))
+            asked += [{"node": r["node"], "own": None, "dim": d, "lo": r[f"lo_{d}"], "hi": r[f"hi_{d}"], "left": n // 2, "right": n - n // 2, "weight": r["weight"], "goal": r["weight"] * (n // 2) / n, "at": 0, "below": 0} for d in wide]
+        if asked:
+            _medians(here, asked)
+        for node in dict.fromkeys(s["node"] for s in asked):
+            mine = [s for s in asked if s["node"] == node]
+            new.append(next((s for s in mine if s["miss"] <= SLACK * s["weight"]), None) or min(mine, key=lambda s: s["miss"]))
+        made += new
+        nodes = {child: s[side] for s in new for child, side in ((2 * s["node"], "left"), (2 * s["node"] + 1, "right"))}
     return made
 
 
@@ -105,9 +105,7 @@ def locate(splits: list[dict]) -> Column:
         s = by.get(node)
         if s is None:
             return F.lit(node)
-        left = place(s) < s["at"]
-        if s["sides"]:
-            left = F.when(F.col("digest").isin(list(s["sides"])), F.col("digest").isin([d for d, x in s["sides"].items() if x])).otherwise(left)
+        left = F.col("digest") == s["own"] if s["own"] is not None else place(s) < s["at"]
         return F.when(left, under(2 * node)).otherwise(under(2 * node + 1))
 
     return under(1)
@@ -128,29 +126,35 @@ def leaf_numbers(splits: list[dict], leaves: int) -> dict[int, int]:
     return out
 
 
+def text_groups(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(digest, weight, tie, a column a dimension) of the distinct texts of rows (id, size, digest, lang, source), and the dimensions."""
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("weight"), F.max("size").alias("bytes"), F.min("id").alias("first_id"), F.min("lang").alias("lang"), F.min("source").alias("source"))
+    dims = coordinates()
+    tie = F.conv(F.substring("digest", 1, (BITS - 16) // 4), 16, 10).cast("long")
+    return groups.select("digest", "weight", tie.alias("tie"), *[c.alias(f"x_{k}") for k, c in dims.items()]), [f"x_{k}" for k in dims]
+
+
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 5_000) -> DataFrame:
     """Puts every document into one of `shards` leaves of a k-d tree of near equal bytes; equal texts share a leaf.
 
     Points are the distinct texts, weighted by the bytes of all their copies, so copies stay together (a text that
     alone outweighs a leaf makes that leaf larger). Returns id_col, size (UTF-8 bytes and 1), text_crc32, law ('bytes'),
     shard, slot (0, 1... within the shard), grown_shard (null). A null text has no bytes: size 1, crc32 0, a group with
-    the empty one. Null ids, repeated rows (each its own slot) and empty tables are allowed; lang and source count if
-    docs has them, all other columns are ignored.
+    the empty one. Texts are read once, whole, by built-in functions. Null ids, repeated rows (each its own slot) and
+    empty tables are allowed; lang and source count if docs has them, all other columns are ignored.
     """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     meta = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
     d = docs.select(F.col(id_col).alias("id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("digest"), *meta)
     d = written(d, "shard-rows")
-    groups = d.groupBy("digest").agg(F.sum("size").alias("weight"), F.max("size").alias("bytes"), F.min("id").alias("first_id"), F.min("lang").alias("lang"), F.min("source").alias("source"))
-    dims = coordinates()
-    tie = F.conv(F.substring("digest", 1, (BITS - 16) // 4), 16, 10).cast("long")
-    groups = written(groups.select("digest", "weight", tie.alias("tie"), *[c.alias(f"x_{k}") for k, c in dims.items()]), "shard-groups")
-    splits = tree(groups, [f"x_{k}" for k in dims], shards)
-    number = leaf_numbers(splits, shards)
+    groups, dims = text_groups(d)
+    groups = written(groups, "shard-groups")
+    splits = tree(groups, dims, shards)
     which = F.lit(0)
-    for node, n in number.items():
+    for node, n in leaf_numbers(splits, shards).items():
         which = F.when(F.col("node") == node, n).otherwise(which)
-    placed = groups.withColumn("node", locate(splits)).select("digest", which.cast("int").alias("shard"))
+    placed = written(groups.withColumn("node", locate(splits)).select("digest", which.cast("int").alias("shard")), "shard-of")
     rows = written(d.join(placed, "digest").select("id", "size", "text_crc32", "shard"), "shard-placed")
+    dropped(d, groups, placed)
     rows = numbered(rows, ["shard"], ["id", "size", "text_crc32"], "slot", rows_per_bucket)
     return rows.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

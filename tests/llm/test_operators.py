@@ -1,5 +1,6 @@
 """Each operator on odd rows, against brute force, a round trip, or held-out accuracy."""
 
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -408,6 +409,61 @@ def test_shards(docs, empty):
     assert sharding.shard(empty).count() == 0 and sharding.shard(docs.filter("doc_id = 1")).count() == 1
 
 
+def brute_tree(groups, dims, leaves):
+    """({digest: shard}, bytes placed by a leaf of their own): the k-d tree by sorting in memory."""
+    shards, alone = {}, 0
+    whole = {d: max(max(g[d] for g in groups) - min(g[d] for g in groups), 1e-12) for d in dims}
+
+    def grow(some, n, first):
+        nonlocal alone
+        if n < 2 or not some:
+            shards.update({g["digest"]: first for g in some})
+            return
+        total, top = sum(g["weight"] for g in some), max(some, key=lambda g: (g["weight"], g["digest"]))
+        if top["weight"] * n >= total:
+            alone += top["weight"]
+            shards[top["digest"]] = first
+            return grow([g for g in some if g is not top], n - 1, first + 1)
+        goal, best = total * (n // 2) / n, None
+        for d in sorted(dims, key=lambda d: (-(max(g[d] for g in some) - min(g[d] for g in some)) / whole[d], d)):
+            lo, hi = min(g[d] for g in some), max(g[d] for g in some)
+            at = lambda g: (int((g[d] - lo) / max(hi - lo, 1e-12) * 65535) << 20) + g["tie"]  # noqa: B023, E731
+            below, before, cut = 0, 0, None
+            for p in sorted({at(g) for g in some}):
+                before, below = below, below + sum(g["weight"] for g in some if at(g) == p)
+                if below >= goal:
+                    cut, miss = (p + 1, abs(below - goal)) if abs(below - goal) < abs(before - goal) else (p, abs(before - goal))
+                    break
+            if best is None or miss < best[0]:
+                best = miss, [g for g in some if at(g) < cut], [g for g in some if at(g) >= cut]
+            if miss <= sharding.SLACK * total:
+                best = miss, [g for g in some if at(g) < cut], [g for g in some if at(g) >= cut]
+                break
+        grow(best[1], n // 2, first)
+        grow(best[2], n - n // 2, first + n // 2)
+
+    grow(groups, leaves, 0)
+    return shards, alone
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_shards_against_a_tree_in_memory(spark, heavy):
+    if heavy:
+        d = spark.createDataFrame([(i, prose("xa", 20 + i % 9), "xa", f"s{i % 3}") for i in range(90)] + [(200, "much " * 4000, "xa", "s0"), (201, "half " * 3000, "xb", None)] + [(300 + i, "copy " * 30, "xc", "s1") for i in range(20)], "doc_id long, text string, lang string, source string")
+    else:
+        sf = "/root/testdata/sf0.001/documents.parquet"
+        if not os.path.exists(sf):
+            pytest.skip("needs the driver's tables")
+        d = spark.read.parquet(sf)
+    rows = d.select(F.col("doc_id").alias("id"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "lang", "source")
+    groups, dims = sharding.text_groups(rows)
+    want, alone = brute_tree([g.asDict() for g in groups.collect()], dims, 8)
+    digest = {r["id"]: r["digest"] for r in rows.collect()}
+    got = sharding.shard(d).collect()
+    assert {r["doc_id"]: r["shard"] for r in got} == {i: want[x] for i, x in digest.items()}
+    assert (alone > 0) == heavy
+
+
 def test_numbered(spark):
     d = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
     got = numbered(d, ["k"], ["id"], "n", rows_per_bucket=20).collect()
