@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, buckets_for, n_words
+from .shared import WORD, buckets_for, n_words, written
 
 MAX_REPEATS = 3
 
@@ -84,6 +84,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     d = docs.select(
         *own, F.col(id_col).alias("id"), n_words(F.col(text_col)).alias("size"), F.col(source_col).isNull().alias("src_null"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src_key"), digest.alias("digest")
     ).withColumn("bucket", F.floor(_first_bits(F.col("digest")) * n / F.lit(2**32)).cast("int"))
+    if not keep_text:  # without texts the rows are thin: one pass over docs makes them
+        d = written(d, "mix-rows")
     sums = d.groupBy("src_null", "src_key", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("src_null", "src_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sources = sums.groupBy("src_null", "src_key").agg(F.sum("words").alias("source_size"))
@@ -111,7 +113,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix itself: docs' columns, one row for each time that a document, or a part of one, is taken.
 
     Whole documents keep their text as it is; a part is its words with a space between. count_col, where docs has it,
-    is counted anew. Documents of which nothing is taken go.
+    is counted anew. Documents of which nothing is taken go: null, empty and wordless ones always. Null ids and repeated
+    rows are documents each, an empty table gives no rows, other columns keep their names and values.
     """
     names = [f"doc_{i}" for i in range(len(docs.columns))]
     of = dict(zip(docs.columns, names))

@@ -76,13 +76,13 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
     """,
     "op5_line_dedup": r"""
-        WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+        WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines, CASE WHEN regexp_matches(source, '^([A-Za-z][A-Za-z0-9+.-]*:)?//') THEN lower(regexp_extract(source, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)) ELSE source END AS site FROM documents),
         l AS (SELECT d.*, list_distinct(list_filter(list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')) AS bare FROM d),
-        t AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
-        b AS (SELECT e.source, list(line) AS drop_lines FROM (SELECT source, line, count(*) AS n FROM (SELECT source, unnest(bare) AS line FROM l) GROUP BY ALL) AS e
-              JOIN t ON e.source IS NOT DISTINCT FROM t.source WHERE n >= 5 AND n > pages * CAST(0.05 AS DOUBLE) GROUP BY e.source),
+        t AS (SELECT site, count(*) AS pages FROM d GROUP BY site),
+        b AS (SELECT e.site, list(line) AS drop_lines FROM (SELECT site, line, count(*) AS n FROM (SELECT site, unnest(bare) AS line FROM l) GROUP BY ALL) AS e
+              JOIN t ON e.site IS NOT DISTINCT FROM t.site WHERE n >= 2 AND n > pages * CAST(0.05 AS DOUBLE) GROUP BY e.site),
         k AS (SELECT l.*, CASE WHEN b.drop_lines IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(b.drop_lines, trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)))) END AS kept
-              FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source)
+              FROM l LEFT JOIN b ON l.site IS NOT DISTINCT FROM b.site)
         SELECT doc_id, source, array_to_string(kept, chr(10)) AS text, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped FROM k
     """,
     "op1_capture_index": """

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import work_dir
+from .shared import work_dir, written
 
 #: Payloads of so many bytes are stored once; captures in a block of the index.
 MIN_REVISIT_BYTES, BLOCK_LINES = 1000, 512
@@ -79,13 +79,16 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 def decide(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     """(page_id, url, payload, digest, record_type, refers_to): which records carry their payload.
 
-    The largest id of equal payloads (digest and length, MIN_REVISIT_BYTES at least) is found by a map-side maximum; only
-    digests seen twice or more go on to the join, so most payloads meet nothing.
+    The largest id of equal payloads (digest and length, MIN_REVISIT_BYTES at least) is found by a map-side maximum over
+    thin rows; only digests seen twice or more are kept, as a table. Where Spark finds that small it is broadcast and
+    payloads stay where they are; else they meet it in a plain join, in which adaptive execution splits a digest that
+    very many pages share.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     d = d.withColumn("digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     shared = d.filter(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n")
+    shared = written(shared, "warc-shared")
     d = d.join(shared, ["digest", "payload_bytes"], "left")
     revisit = F.col("first").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
     return d.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))

@@ -307,6 +307,16 @@ def test_lines_by_share_of_site(docs, empty):
     assert bad and got.columns[: len(docs.columns)] == docs.columns and line_dedup.drop_boilerplate(empty).count() == 0
 
 
+def test_lines_by_host(spark):
+    urls = ["https://Blog.example.org/a", "http://blog.example.org:80/b?x", "//u:p@blog.example.org", "http://other.example.org/", "blog.example.org", None]
+    d = spark.createDataFrame([(i, f"menu\nonly {i}", u, 1, "x") for i, u in enumerate(urls)] + [(9, "menu\nelse", "http://other.example.org/c", 1, "x")], "page_id long, text string, url string, site int, drop string")
+    assert [r[0] for r in d.orderBy("page_id").limit(6).select(line_dedup.host_of(F.col("url"))).collect()] == ["blog.example.org"] * 3 + ["other.example.org", "blog.example.org", None]
+    got = {r["page_id"]: r["text"] for r in line_dedup.drop_boilerplate(d, "page_id", site_col="url").collect()}
+    assert got == {0: "only 0", 1: "only 1", 2: "only 2", 3: "only 3", 4: "only 4", 5: "menu\nonly 5", 9: "else"}
+    alone = d.withColumn("url", F.concat(F.lit("http://h"), F.col("page_id"), F.lit(".org/")))
+    assert line_dedup.drop_boilerplate(alone, "page_id", site_col="url").filter("text NOT LIKE 'menu%'").count() == 0
+
+
 # --- 6
 
 
@@ -512,6 +522,12 @@ def test_repetition(spark, docs, empty):
     assert repetition.repetition(empty).count() == 0
 
 
+def test_a_very_long_repetition(spark):
+    text = "again and " * 400_000
+    r = repetition.repetition(spark.createDataFrame([(1, text), (2, text + prose("xa", 300))], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (r[0]["n_words"], r[0]["n_repeat_words"], r[0]["longest_repeat"]) == (800_000, 800_000, 799_998) and r[1]["longest_repeat"] == 799_998 and r[0]["base_failed"]
+
+
 # --- 9
 
 

@@ -29,7 +29,7 @@ def test_stages_one_by_one(spark):
         pages[r["source"]] += 1
         for line in {x.strip() for x in r["text"].split("\n")} - {""}:
             on[r["source"], line] += 1
-    bad = {k for k, n in on.items() if n >= 5 and n > 0.05 * pages[k[0]]}
+    bad = {k for k, n in on.items() if n >= 2 and n > 0.05 * pages[k[0]]}
     want = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip()) not in bad) for r in kept}
     assert {r["doc_id"]: r["text"] for r in b.collect()} == want and all(r["n_chars"] == len(r["text"]) for r in b.collect())
     c = stage["near_duplicates"](spark, b, SF).persist()
