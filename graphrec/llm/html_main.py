@@ -39,26 +39,45 @@ def _examples(source: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(x, dtype=np.float32).reshape(len(x), FEATURES), np.array(y, dtype=np.int8)
 
 
-def train(pages: DataFrame, html_col: str = "html", sample_pages: int = 400) -> Trees | None:
-    """Trees fitted on a sample of about sample_pages pages, taken by a hash of their text; None if no node has a label.
+def sampled(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample_pages: int = 400, n: int | None = None) -> DataFrame:
+    """(place, html) of sample_pages pages with text, or all if there are fewer: those with the smallest hashes of id and text.
+
+    Rows equal in both count once. Hashes are ranked alone, among a share of them that has eight times as many as needed
+    (all of them where repeated rows leave too few); the driver gets sample_pages of them, so the bound is hard and the
+    sample never empty, whatever the number of pages. n: the number of pages, counted if not given.
+    """
+    n = pages.count() if n is None else n
+    source = F.col(html_col).cast("string")
+    own = F.col(id_col) if id_col in pages.columns else F.lit(None).cast("string")
+    d = pages.select(F.xxhash64(own, source, F.lit("main-text")).alias("place"), source.alias("html")).filter("html IS NOT NULL")
+    share = min(1.0, 8.0 * sample_pages / max(n, 1))
+    for below in [int(share * 2**64) - 2**63] * (share < 1) + [2**63]:
+        few = d if below == 2**63 else d.filter(F.col("place") < below)
+        chosen = [r[0] for r in few.select("place").distinct().orderBy("place").limit(sample_pages).collect()]
+        if len(chosen) == sample_pages:
+            break
+    return d.filter(F.col("place") <= max(chosen, default=-(2**63))).dropDuplicates(["place"])
+
+
+def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample_pages: int = 400, page_nodes: int = 5000) -> Trees | None:
+    """Trees fitted on a sample of sample_pages pages (see sampled); None if no node has a label.
 
     Labels come from landmarks (article, nav, footer, names such as `sidebar`), and from pages composed of the sample's
     texts with other layouts and names, of which each part is known. Figures are made by tasks; what reaches the driver
-    is bounded by the sample.
+    is at most page_nodes seeded rows of figures for each page of the sample.
     """
-    n = pages.count()
-    share = int(1_000_000 * min(1.0, sample_pages / max(n, 1)))
-    source = F.col(html_col).cast("string")
-    sample = pages.filter(F.pmod(F.xxhash64(source, F.lit("main-text")), F.lit(1_000_000)) < share).select(source.alias("html")).filter("html IS NOT NULL")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for source in b["html"]:
+            for place, source in zip(b["place"], b["html"]):
                 x, y = _examples(source)
+                if len(y) > page_nodes:
+                    some = np.sort(np.random.default_rng(place & 0xFFFFFFFF).permutation(len(y))[:page_nodes])
+                    x, y = x[some], y[some]
                 if len(y):
-                    yield pd.DataFrame({"key": [zlib.crc32(source.encode("utf-8", "surrogatepass"))], "x": [x.tobytes()], "y": [y.tobytes()]})
+                    yield pd.DataFrame({"key": [place], "x": [x.tobytes()], "y": [y.tobytes()]})
 
-    rows = sorted((tuple(r) for r in sample.mapInPandas(run, "key long, x binary, y binary").collect()), key=lambda r: (r[0], bytes(r[1])))
+    rows = sorted((tuple(r) for r in sampled(pages, html_col, id_col, sample_pages).mapInPandas(run, "key long, x binary, y binary").collect()), key=lambda r: r[0])
     if not rows:
         return None
     x = np.concatenate([np.frombuffer(r[1], dtype=np.float32).reshape(-1, FEATURES) for r in rows]).astype(np.float64)
@@ -81,7 +100,8 @@ def extract(pages: DataFrame, model: Trees | None, id_col: str = "page_id", html
         model = pickle.loads(shared.value)
         found = [Page(s or "") for s in sources]
         if model is None:
-            return ["\n\n".join(t for v, t, _ in p.blocks if p.weak_labels()[v] != 0) for p in found]
+            labels = [p.weak_labels() for p in found]
+            return ["\n\n".join(t for v, t, _ in p.blocks if label[v] != 0) for p, label in zip(found, labels)]
         figures = [p.features() for p in found]
         odds = model.log_odds(np.array([f for page in figures for f in page], dtype=np.float32).astype(np.float64)).tolist()
         out, at = [], 0
@@ -102,4 +122,10 @@ def extract(pages: DataFrame, model: Trees | None, id_col: str = "page_id", html
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    return extract(pages, train(pages, html_col), id_col, html_col, keep)
+    """(id_col, *keep, text, n_chars) of every page, by trees fitted on a bounded sample of the same pages.
+
+    Null and empty pages have an empty text, pages without markup are one block; null ids are pages, repeated rows are
+    predicted each, an empty table gives no rows; columns but those named are ignored. Pages are read whole, a node for
+    each element whatever the depth and the number of siblings, so memory follows the longest page.
+    """
+    return extract(pages, train(pages, html_col, id_col), id_col, html_col, keep)

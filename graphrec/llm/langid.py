@@ -54,7 +54,8 @@ def held_out(id_col: str) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 2000) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihoods by [bucket, language]) from labelled documents that are not held out.
 
-    Fitted on a sample: by a hash of the id, about per_language documents of each language. Counts are summed by Spark;
+    Fitted on a sample: by a hash of id and text, about per_language documents of each language, at any number of
+    documents. Counts are summed by Spark;
     one row a language and BUCKETS numbers a language reach the driver, whatever the size of docs (so `lang` is meant to
     be a code, of which there are hundreds at most).
     """
@@ -64,7 +65,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not languages:
         return [], np.zeros((BUCKETS, 0), dtype=np.float32)
     share = F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, per_language / n)])
-    sample = d.filter(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("text", "lang")
+    place = F.xxhash64("id", "text", F.lit("langid")) / F.lit(2.0**64) + 0.5  # even in [0, 1)
+    sample = d.filter(place < share[F.col("lang")]).select("text", "lang")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(languages), BUCKETS), dtype=np.int64)

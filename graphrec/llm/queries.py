@@ -68,12 +68,13 @@ ORACLE_SQL: dict[str, str] = {
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS v
             FROM embeddings
             WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), n AS (SELECT *, row_number() OVER (ORDER BY vec_id, v) AS place FROM v
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-            FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+            SELECT q.place, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM n AS q JOIN n AS c ON q.vec_id % 50 = 0 AND q.place <> c.place
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+        FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
     """,
     "op5_line_dedup": r"""
         WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines, CASE WHEN regexp_matches(source, '^([A-Za-z][A-Za-z0-9+.-]*:)?//') THEN lower(regexp_extract(source, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)) ELSE source END AS site FROM documents),

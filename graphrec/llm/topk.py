@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import work_dir
+from .shared import numbered, work_dir, written
 
 #: Rows of a data block in a task, and queries scored against it at a time.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 64
@@ -22,9 +22,11 @@ def quantised(vector: Column) -> Column:
     return F.when(F.coalesce(fine, F.lit(False)), F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("long")))
 
 
-def best_of_block(ids: np.ndarray, block: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of_block(ids: np.ndarray, block: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int, copies: np.ndarray | None = None, q_copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best rows of a block for each query, as (query number, row id, score).
 
+    A query's own row is the one with its id and, where several rows have that, its number among them (copies).
+
     For each term (dimension) the queries that have it scatter their weight times the term's postings into dense score
     rows. float32 and float64 are used where they hold every sum exactly, else longs (which wrap round beyond 2**63).
     Rows are in order of id, so one partition over (score, place) breaks ties by the smaller id.
@@ -32,6 +34,8 @@ def best_of_block(ids: np.ndarray, block: np.ndarray, q_ids: np.ndarray, queries
     bound = float(np.abs(block).astype(float).sum(1).max(initial=0)) * float(np.abs(queries).astype(float).max(initial=0))
     kind = np.float32 if bound < 2**23 else np.float64 if bound < 2**52 else np.int64
     order = np.argsort(ids, kind="stable")
+    copies = np.zeros(len(ids), dtype=np.int64) if copies is None else copies[order]
+    q_copies = np.zeros(len(q_ids), dtype=np.int64) if q_copies is None else q_copies
     ids, block = ids[order], np.ascontiguousarray(block[order].T.astype(kind))
     n, out = len(ids), []
     postings = [(np.flatnonzero(term), term) for term in block]
@@ -46,7 +50,7 @@ def best_of_block(ids: np.ndarray, block: np.ndarray, q_ids: np.ndarray, queries
                 scores += q[:, d, None] * term
             else:
                 scores[np.ix_(have, rows)] += q[have, d, None] * term[rows]
-        own = q_ids[a : a + len(q), None] == ids[None, :]
+        own = (q_ids[a : a + len(q), None] == ids[None, :]) & (q_copies[a : a + len(q), None] == copies[None, :])
         exact = scores.astype(np.int64)
         for i in range(len(q)):
             here = np.flatnonzero(~own[i]) if own[i].any() else np.arange(n)
@@ -68,26 +72,29 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     (fixed by hash of the id, so of proven size) and reads the vectors in place, without a shuffle; a task keeps k rows
     a query for each block of its rows, and the rounds' candidates meet by query. Rounds grow with the queries.
     Ties go to the smaller id. Vectors with null or non-finite components, null vectors and null ids take no part.
-    Vectors of another length count as if filled up with zeros. Rows repeated under one id are candidates each, but
-    never for a query of that id; of vectors repeated under a query's id the least one is the query.
+    Vectors of another length count as if filled up with zeros. Of rows repeated under one id each is a query of its own
+    (their answers stand under the one query_id, ranked each) and a candidate for all others, its equals among them.
     """
     d = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    asked = d.filter(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
-    spark, n = vectors.sparkSession, asked.count()
-    schema = "query_id long, vec_id long, score long"
+    spark, asks = vectors.sparkSession, F.pmod("id", F.lit(every)) == 0
+    # The queries, numbered among the rows of their id, are a table, which is read as candidates too.
+    asked = written(numbered(written(d.filter(asks), "topk-asked"), ["id"], ["v"], "copy"), "topk-queries")
+    n = asked.count()
+    rows = d.filter(~asks).withColumn("copy", F.lit(0).cast("long")).unionByName(asked)
+    schema = "query_id long, copy long, vec_id long, score long"
     rounds = max(1, math.ceil(1.25 * n / queries_at_once))
     path = work_dir(spark, "topk")
     for r in range(rounds):
-        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r).collect() if n else []
+        part = asked.filter(F.pmod(F.xxhash64("id", "copy"), F.lit(rounds)) == r).collect() if n else []
         width = max((len(x["v"]) for x in part), default=0)
-        q_ids = np.array([x["id"] for x in part], dtype=np.int64)
+        q_ids, q_copies = (np.array([x[c] for x in part], dtype=np.int64) for c in ("id", "copy"))
         queries = np.zeros((len(part), width), dtype=np.int64)
         for i, x in enumerate(part):
             queries[i, : len(x["v"])] = x["v"]
-        shared = spark.sparkContext.broadcast((q_ids, queries))
+        shared = spark.sparkContext.broadcast((q_ids, q_copies, queries))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q_ids, queries = shared.value
+            q_ids, q_copies, queries = shared.value
             for b in batches:
                 for at in range(0, len(b), BLOCK_ROWS):
                     part = b.iloc[at : at + BLOCK_ROWS]
@@ -95,10 +102,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
                     for i, v in enumerate(part["v"]):
                         m = min(len(v), block.shape[1])
                         block[i, :m] = v[:m]
-                    i, found, score = best_of_block(part["id"].to_numpy(), block, q_ids, queries, k)
-                    yield pd.DataFrame({"query_id": q_ids[i], "vec_id": found, "score": score})
+                    i, found, score = best_of_block(part["id"].to_numpy(), block, q_ids, queries, k, part["copy"].to_numpy(), q_copies)
+                    yield pd.DataFrame({"query_id": q_ids[i], "copy": q_copies[i], "vec_id": found, "score": score})
 
-        d.mapInPandas(run, schema).write.mode("append").parquet(path)
+        rows.mapInPandas(run, schema).write.mode("append").parquet(path)
     candidates = spark.read.schema(schema).parquet(path)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id"))
     return candidates.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")

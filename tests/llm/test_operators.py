@@ -274,12 +274,84 @@ def test_siblings_and_depth_have_no_limit():
 
 
 def test_decoding_never_contradicts():
+    """Against every labelling of a small tree that obeys the rules: below dropped all is dropped, below content all is content but for dropped subtrees."""
     page = dom.Page("<body><div><p>one</p><p>two</p></div><div><p>three</p><div>four</div></div></body>")
+    n, kids = len(page.tag), defaultdict(list)
+    for v in range(1, n):
+        kids[page.parent[v]].append(v)
+    text = {v for v, _, _ in page.blocks}
+    holds = lambda v: v in text or any(map(holds, kids[v]))
+
+    def labellings(v, above):
+        for mine in {"wrapper": ("content", "dropped", "wrapper"), "content": ("content", "dropped"), "dropped": ("dropped",)}[above]:
+            if mine == "wrapper" and not kids[v] or page.tag[v] == "body" and mine != "wrapper":
+                continue
+            below = [{}]
+            for c in kids[v]:
+                below = [a | b for a in below for b in labellings(c, mine)]
+            yield from ({v: mine} | b for b in below)
+
     r = random.Random(1)
     for _ in range(200):
-        kept = dom.decode(page, [r.uniform(-3, 3) for _ in page.tag])
-        assert kept == [t for _, t, _ in page.blocks if t in kept]
-    assert dom.decode(page, [5.0] * len(page.tag)) == ["one", "two", "three", "four"] and dom.decode(page, [-5.0] * len(page.tag)) == []
+        odds = [r.uniform(-9, 9) for _ in page.tag]
+        own = [max(-6.0, min(6.0, o)) if holds(v) else 0.0 for v, o in enumerate(odds)]
+
+        def score(label):
+            total = 0.0
+            for v, x in label.items():
+                total += {"content": own[v], "dropped": -own[v], "wrapper": -0.5 * (page.tag[v] != "body")}[x]  # noqa: B023
+                total -= 6.0 * (x == "dropped" and label.get(page.parent[v]) == "content")
+            return total
+
+        best = max(labellings(kids[0][0], "wrapper"), key=score)
+        assert dom.decode(page, odds) == [t for v, t, _ in page.blocks if best[v] == "content"]
+    assert dom.decode(page, [5.0] * n) == ["one", "two", "three", "four"] and dom.decode(page, [-5.0] * n) == []
+
+
+def test_sampled_pages_have_a_hard_bound(spark):
+    copies = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("<p>one page copied</p>").alias("html"))
+    others = spark.range(1000).select(F.lit(7).cast("long").alias("page_id"), F.concat(F.lit("<p>"), "id").alias("html"))
+    again = spark.range(5000).select(F.lit(9).cast("long").alias("page_id"), F.lit("<p>the same row").alias("html"))
+    d = copies.unionAll(others).unionAll(again).unionAll(spark.createDataFrame([(None, None), (1, None)], "page_id long, html string"))
+    got = html_main.sampled(d, sample_pages=40).collect()
+    assert len(got) == len({r["place"] for r in got}) == 40 and {r["place"] for r in got} == {r["place"] for r in html_main.sampled(d.repartition(7), sample_pages=40).collect()}
+    assert sum(r["html"] == "<p>one page copied</p>" for r in got) > 15
+    for n in (10**9, 10**13):  # the share of so many pages leaves some of these, or all are ranked
+        assert {r["place"] for r in html_main.sampled(d, sample_pages=40, n=n).collect()} == {r["place"] for r in got}
+    assert html_main.sampled(d, sample_pages=10_000).count() == 4001 and html_main.sampled(d.limit(0)).count() == 0
+
+
+def test_very_long_pages(spark):
+    article = "".join(f"<p>{prose('xa', 30)}</p>" for _ in range(200))
+    long = "<nav>" + "<a href=/>x</a>" * 50 + f"</nav><article>{article}</article><footer>end</footer>"
+    deep = "<nav><ul><li><a href=/>Home</a></li></ul></nav><article>" + "<div>" * 600 + f"<p>{prose('xb', 60)}</p>" + "</div>" * 600 + f"<p>{prose('xb', 50)}</p></article><footer>end</footer>"
+    rows = [(i, "u", PAGE % (prose("xa", 5), prose("xa", 60), prose("xa", 40))) for i in range(60)] + [(100, "u", long), (101, "u", deep)]
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    inside = lambda h: "\n\n".join(x.split("</p>")[0] for x in h.split("<article>")[1].split("</article>")[0].split("<p>")[1:])
+    assert got[100] == inside(long) and got[101] == inside(deep)
+
+
+def test_main_text_without_landmarks(spark):
+    """Trees of 150 pages on 200 others, as they are and with neither telling elements nor names."""
+    import html
+    import re
+
+    path = "/root/testdata/sf0.1/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("needs the driver's tables")
+    pages = spark.read.parquet(path)
+    model = html_main.train(pages.filter("page_id < 150"))
+    rows = pages.filter("page_id >= 1000 AND page_id < 1200").collect()
+    want = {}
+    for r in rows:
+        blocks = re.split(r"<(?:/?(?:p|h1|h2|ul|li|div|blockquote))[^>]*>", r["html"].split("<article>")[1].split("</article>")[0])
+        texts = (" ".join(html.unescape(re.sub(r"<br>", " ", b)).split()) for b in blocks)
+        want[r["page_id"]] = "\n\n".join(t for t in (re.sub(r"</?b>", "", t) for t in texts) if t)
+    plain = lambda h: re.sub(r' (?:class|id)="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|footer|header|aside|main|section)\b", r"<\1div", h))
+    bare = spark.createDataFrame([(r["page_id"], r["url"], plain(r["html"])) for r in rows], "page_id long, url string, html string")
+    for d, least in ((pages.filter("page_id >= 1000 AND page_id < 1200"), 200), (bare, 196)):
+        got = {r["page_id"]: r["text"] for r in html_main.extract(d, model).collect()}
+        assert sum(got[i] == want[i] for i in want) >= least
 
 
 def test_trees_learn_a_rule():
@@ -601,16 +673,18 @@ def test_top_k(spark):
     v[:, 2] *= g.random(300) < 0.5
     rows = [(i, [float(x) for x in v[i]], "x", 1) for i in range(300)]
     rows += [(400, None, "x", 1), (450, [1.0, None], "x", 1), (500, [1.0, float("nan")], "x", 1), (550, [float("inf")], "x", 1), (None, [1.0] * 6, "x", 1), (600, [], "x", 1), (601, [0.5, 0.5], "x", 1)]
+    # Rows under one query's id, equal ones too: each asks, and is an answer to the others.
+    rows += [(100, [float(x) for x in v[100]], "x", 1), (100, [float(x) for x in v[101]], "x", 1), (7, [float(x) for x in v[7]], "x", 1)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string, rank int").repartition(4)
     ok = [(i, np.floor(np.array(x, dtype=np.float32).astype(float) * 256).astype(int)) for i, x, *_ in rows if i is not None and x is not None and all(y is not None and np.isfinite(y) for y in x)]
-    pad = {i: np.pad(x, (0, 6 - len(x))) for i, x in ok}
-    want = set()
-    for q in pad:
+    pad = [(i, np.pad(x, (0, 6 - len(x)))) for i, x in ok]
+    want = Counter()
+    for at, (q, v) in enumerate(pad):
         if q % 50 == 0:
-            best = sorted(((-int(pad[q] @ pad[c]), c) for c in pad if c != q))[:5]
-            want |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(best)}
-    assert {tuple(r) for r in topk.top_k(d).collect()} == want
-    assert {tuple(r) for r in topk.top_k(d.repartition(1), queries_at_once=2).collect()} == want
+            best = sorted((-int(v @ w), c) for i, (c, w) in enumerate(pad) if i != at)[:5]
+            want.update((q, n + 1, c, -s) for n, (s, c) in enumerate(best))
+    assert Counter(map(tuple, topk.top_k(d).collect())) == want
+    assert Counter(map(tuple, topk.top_k(d.repartition(1), queries_at_once=2).collect())) == want
     assert topk.top_k(d.limit(0)).count() == 0 and topk.top_k(d.filter("vec_id = 50")).count() == 0
 
 
