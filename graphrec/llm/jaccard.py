@@ -35,9 +35,9 @@ from .shared import dropped, written
 
 SHINGLE_WORDS = 5
 #: Bytes of text whose shingles make a cell; parts of a shuffle.
-CELL_BYTES, MAX_PARTS = 3_000_000, 16_384
+CELL_BYTES, MAX_PARTS = 6_000_000, 16_384
 #: Shingles gathered before a task passes them on; owners in one such gathering from which a shingle counts as common.
-GATHER, COMMON = 2_000_000, 16
+GATHER, COMMON = 1_000_000, 16
 #: Frequencies are kept in a byte; the highest stands for common shingles.
 MOST, COMMON_CLASS = 254, 255
 BLOCK_MEMBERS, BLOCK_ASKING = 4096, 1024
@@ -82,7 +82,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def _split(where: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(place, indexes in order) of each place that occurs in where, numbers below n."""
     order = np.argsort(where.astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")
-    edges = np.searchsorted(where[order], np.arange(n + 1))
+    edges = np.append(0, np.cumsum(np.bincount(where, minlength=n)))
     for p in np.flatnonzero(np.diff(edges)):
         yield int(p), order[edges[p] : edges[p + 1]]
 
@@ -102,7 +102,10 @@ def _opened(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _of_shingle(h: np.ndarray, modulus: int) -> np.ndarray:
-    return ((h ^ h >> np.uint64(31)) % np.uint64(modulus)).astype(np.int64)
+    x = h >> np.uint64(31)
+    x ^= h
+    x %= np.uint64(modulus)
+    return x.view(np.int64)
 
 
 def _of_node(nodes: np.ndarray, modulus: int) -> np.ndarray:
@@ -126,9 +129,10 @@ def scatter(docs: DataFrame, parts: int, inside: int, words: int) -> DataFrame:
                     rows.append((int(abs(int(numbers[0])) % parts), 0, 1, numbers.tobytes(), np.array([docs_sizes[i] for i in at], dtype="<u4").tobytes(), b"", np.array([docs_nodes[i] for i in at], dtype="<i8").tobytes(), b"null" if null else b""))
             if sets:
                 nodes, sizes = np.fromiter(seen, dtype=np.int64), np.array([len(s) for s in sets])
-                h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+                sets.clear()
                 # A shingle of COMMON sets here: its owners need not meet to know that it has others.
-                low = (h >> np.uint64(28)).astype(np.int64) & 0xFFFFF
+                low = (h >> np.uint64(28)).astype(np.int32) & 0xFFFFF
                 maybe = np.flatnonzero(np.bincount(low, minlength=1 << 20)[low] >= COMMON)
                 if len(maybe):
                     u, n = np.unique(h[maybe], return_counts=True)
