@@ -32,6 +32,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) by URL, in whatever store."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, p = _file_system(spark, path)
+    return system.exists(p)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none where it does not exist."""
+    system, p = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(p) if f.isDirectory()) if system.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, p = _file_system(spark, path)
+    system.delete(p, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes the files of tables that written() made and that nothing reads any more."""
     for df in tables:
@@ -40,5 +62,4 @@ def dropped(*tables: DataFrame) -> None:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if base.split(":", 1)[-1].lstrip("/") not in folder:
                 raise ValueError(f"{folder} is not under {base}")
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove(spark, folder)

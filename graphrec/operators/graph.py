@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import dropped, written
+from ..functions.quantiles import quantiles
 from .events import usable_session
 
 
@@ -36,8 +38,9 @@ def node_union(users: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def item_dedupe_first(items: DataFrame, order: list[str], id_col: str = "item_id") -> DataFrame:
-    """The first row of each id in a stated order."""
-    return items.withColumn("_rn", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).filter("_rn = 1").drop("_rn")
+    """The first row of each id in a stated order: minima before the shuffle, so an id of very many rows is no large group."""
+    first = F.min_by(F.struct(*items.columns), F.struct(*order))
+    return items.groupBy(F.col(id_col).alias("_id")).agg(first.alias("_row")).select("_row.*")
 
 
 def attach_item_metadata(nodes: DataFrame, items: DataFrame) -> DataFrame:
@@ -76,11 +79,17 @@ def degree_percentiles(edges: DataFrame, percents: tuple[int, ...] = (90, 99)) -
     return h.groupBy("kind").agg(median.alias("median"), *nearest)
 
 
-def weight_stats(edges: DataFrame, exact: bool = True) -> DataFrame:
-    """Median, p90 and p99 (interpolated) and sample deviation of weights; exact=False by sketch, for very many weights."""
-    q = [0.5, 0.9, 0.99]
-    found = [F.percentile("weight", p) if exact else F.percentile_approx("weight", p, 100_000) for p in q]
-    return edges.agg(*[x.alias(n) for x, n in zip(found, ("weight_median", "weight_p90", "weight_p99"))], F.stddev_samp("weight").alias("weight_std"))
+def weight_stats(edges: DataFrame) -> DataFrame:
+    """One row: median, p90 and p99 (interpolated, exact) and sample deviation of weights; nulls without edges.
+
+    Weights become a table of one column, in whose ever finer bins values are counted; no task holds all weights.
+    """
+    weights = written(edges.select("weight"), "weights")
+    found = quantiles(weights, "weight", (0.5, 0.9, 0.99))
+    std = weights.agg(F.stddev_samp("weight").alias("weight_std")).first()["weight_std"]
+    dropped(weights)
+    row = dict(zip(("weight_median", "weight_p90", "weight_p99", "weight_std"), [*found, std]))
+    return edges.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(c) for c, v in row.items()])
 
 
 def top_items(edges: DataFrame, items: DataFrame | None, n: int = 20) -> DataFrame:
@@ -109,7 +118,7 @@ def weighted_degree(adjacency: DataFrame) -> DataFrame:
 
 
 def normalized_adjacency(adjacency: DataFrame) -> DataFrame:
-    """w / sqrt(degree of src * degree of dst)."""
-    d = weighted_degree(adjacency)
+    """w / sqrt(degree of src * degree of dst). Degrees are a table, so a hub is a skewed key of plain joins, which adaptive execution splits."""
+    d = written(weighted_degree(adjacency), "degrees")
     a = adjacency.join(d.select(F.col("node").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("node").alias("dst"), F.col("degree").alias("dd")), "dst")
     return a.select("src", "dst", (F.col("w") / F.sqrt(F.col("ds") * F.col("dd"))).alias("w"))

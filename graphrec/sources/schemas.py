@@ -1,14 +1,7 @@
-"""Shapes of the inputs. Ids are text, never numbers: numeric ids lose digits and merge."""
+"""Names of columns in the inputs."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-EVENTS = T.StructType([T.StructField(c, T.StringType()) for c in ("event_type", "client_id", "item_id", "ds_search_id")] + [T.StructField("timestamp", T.TimestampType())])
-ITEMS = T.StructType([T.StructField(c, T.StringType()) for c in ("item_id", "title", "description")])
-VECTORS = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
-COLLECTION = T.StructType([T.StructField("collection", T.StringType()), *VECTORS.fields, T.StructField("source", T.StringType())])
-
 #: Names under which logs carry the three columns that every job needs, in order of preference. Fixed values.
 EVENT_ALIASES = {
     "client_id": ["client_id", "clientid", "user_id", "userid", "user"],

@@ -17,7 +17,7 @@ def log(spark, rows):
 
 
 def values(d, *order):
-    return [tuple(r) for r in d.orderBy(*order).collect()]
+    return [tuple(r) for r in (d.orderBy(*order) if order else d).collect()]
 
 
 def test_session_boost_by_intent_and_as_observed(spark):
@@ -76,6 +76,43 @@ def test_one_edge_and_no_edge(spark):
     assert graph.top_items(empty, None).count() == 0
 
 
+def test_exact_quantiles_in_ever_finer_bins(spark, monkeypatch):
+    import numpy as np
+
+    from graphrec.functions import quantiles
+
+    r = np.random.default_rng(4)
+    for bins in (2, 5, 4096):
+        monkeypatch.setattr(quantiles, "BINS", bins)
+        for x in ([3.0], [1.0, 2.0], [5.0] * 50 + [7.0], list(r.lognormal(0, 3, 400)), [-1e308, 1e308, 0.0, 1e-300, -2.0]):
+            d = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "w double").repartition(3)
+            assert quantiles.quantiles(d, "w", (0.0, 0.5, 0.9, 0.99, 1.0)) == pytest.approx(np.quantile(np.array(x) / 4, [0, 0.5, 0.9, 0.99, 1]) * 4)
+    assert quantiles.quantiles(d.filter("w IS NULL"), "w", (0.5,)) == [None]
+
+
+def test_first_rows_of_ids(spark):
+    d = spark.createDataFrame([("a", 2, "y"), ("a", 1, "z"), ("a", 1, "x"), (None, 3, None), ("b", None, "w"), ("b", 0, "v")], "item_id string, n int, t string")
+    assert sorted(values(graph.item_dedupe_first(d, ["n", "t"])), key=repr) == sorted([("a", 1, "x"), (None, 3, None), ("b", None, "w")], key=repr)
+
+
+def test_a_bot_in_the_split(spark):
+    """A client with most rows, repeated rows and rows without a time, against sorting in memory."""
+    rows = [(i % 300, "click", "bot" if i % 3 else f"c{i % 4}", f"k{i % 50}", "s", None if i % 17 == 0 else T0 + timedelta(hours=i % 200)) for i in range(900)]
+    rows += rows[100:120]
+    d = log(spark, rows).repartition(5)
+    key = lambda x: (x["timestamp"] is not None, x["timestamp"] or T0, x["event_id"], x["item_id"])
+    by, content = {}, {}
+    for x in d.collect():
+        by.setdefault(x["client_id"], []).append(x)
+        c = tuple(v for k, v in x.asDict().items() if k != "event_id")
+        content[c] = content.get(c, 0) + 1
+    left = [x for some in by.values() for x in sorted(some, key=key)[:-1]]
+    assert sorted(map(tuple, split.train_minus_last(d, drop_exact_duplicates="none").collect()), key=repr) == sorted(map(tuple, left), key=repr)
+    once = [x for x in left if content[tuple(v for k, v in x.asDict().items() if k != "event_id")] == 1]
+    assert sorted(map(tuple, split.train_minus_last(d).collect()), key=repr) == sorted(map(tuple, once), key=repr)
+    assert split.train_minus_last(d).columns == d.columns
+
+
 def test_split_quirks(spark):
     t1, t2 = T0, T0 + timedelta(days=1)
     rows = [(0, "click", "a", "1", None, t1), (1, "click", "a", "1", None, t1), (2, "click", "a", "2", None, t2), (3, "click", "b", "3", None, t1), (4, "click", "b", "3", None, t1)]
