@@ -8,30 +8,26 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from .split import leave_last_out, restrict_to_embedded, seen_items, train_minus_last
-from .vectors import block_topk
+from .vectors import block_topk, dot
 
 
 def topk_items_per_user(users: DataFrame, items: DataFrame, seen: DataFrame, k: int) -> DataFrame:
-    """(client_id, rank, item_id, score): the k unseen items of highest dot product.
-
-    As many places more than k are kept as a user has seen items, so leaving those out afterwards is exact.
-    """
-    counts = seen_items(seen).groupBy("client_id").agg(F.count(F.lit(1)).cast("int").alias("extra"))
+    """(client_id, rank, item_id, score): the k unseen items of highest dot product; seen ones are masked where they are scored."""
     double = lambda: F.array(F.transform("embedding", lambda x: x.cast("double"))).alias("vecs")
-    q = users.join(counts, "client_id", "left").select(F.col("client_id").alias("query_id"), double(), F.coalesce("extra", F.lit(0)).alias("extra"))
-    top = block_topk(q, items.select("item_id", double()), k).select(F.col("query_id").alias("client_id"), "item_id", "score")
-    unseen = top.join(seen_items(seen), ["client_id", "item_id"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("client_id").orderBy(F.desc("score"), "item_id"))
-    return unseen.withColumn("rank", rank).filter(F.col("rank") <= k).select("client_id", "rank", "item_id", "score")
+    masked = seen_items(seen).withColumnRenamed("client_id", "query_id")
+    top = block_topk(users.select(F.col("client_id").alias("query_id"), double()), items.select("item_id", double()), k, masked=masked)
+    return top.select(F.col("query_id").alias("client_id"), "rank", "item_id", "score")
 
 
-def score_user_item(users: DataFrame, items: DataFrame) -> DataFrame:
-    """(client_id, item_id, score) of stated users with every item: the users go to the items in rounds, no pair is shuffled before it is scored."""
-    n = items.count()
-    double = lambda: F.array(F.transform("embedding", lambda x: x.cast("double"))).alias("vecs")
-    top = block_topk(users.select(F.col("client_id").alias("query_id"), double()), items.select("item_id", double()), n)
-    return top.select(F.col("query_id").alias("client_id"), "item_id", "score")
+def score_user_item(users: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(client_id, item_id, score): dot products of stated pairs that have vectors on both sides; all pairs are never listed.
+
+    Both vector tables are plain sides of joins, so a client or an item of very many pairs is split by adaptive execution.
+    """
+    u, i = users.select("client_id", F.col("embedding").alias("_u")), items.select("item_id", F.col("embedding").alias("_i"))
+    return pairs.select("client_id", "item_id").join(u, "client_id").join(i, "item_id").select("client_id", "item_id", dot(F.col("_u"), F.col("_i")).alias("score"))
 
 
 def target_rank(ranked: DataFrame, test: DataFrame) -> DataFrame:
@@ -62,9 +58,13 @@ def grid_best(results: DataFrame) -> DataFrame:
 
 
 def grid_search(train: Callable[[int, int, int], tuple[DataFrame, DataFrame]], events: DataFrame, dims: tuple[int, ...] = (32, 64, 128), layers: tuple[int, ...] = (2, 3), negatives: tuple[int, ...] = (1, 2), k: int = 10) -> DataFrame:
-    """(grid_order, dim, layers, neg, recall, ndcg, mrr): each configuration trained and evaluated; a loop over configurations."""
+    """(grid_order, dim, layers, neg, recall, ndcg, mrr): each configuration trained and evaluated; a loop over configurations.
+
+    train(dim, layers, neg) returns user and item embeddings, of events without the rows that evaluate() asks for.
+    """
     out = None
     for i, (d, n_layers, neg) in enumerate(product(dims, layers, negatives)):
         m = evaluate(*train(d, n_layers, neg), events, (k,)).select(F.lit(i).alias("grid_order"), F.lit(d).alias("dim"), F.lit(n_layers).alias("layers"), F.lit(neg).alias("neg"), "recall", "ndcg", "mrr")
+        m = written(m, "grid-row")
         out = m if out is None else out.unionByName(m)
     return out
