@@ -1,5 +1,6 @@
 """Samplers, propagation, gradient and ranking."""
 
+import hashlib
 import math
 from collections import Counter
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphrec.operators import graph, lightgcn, ranking, sampling, split
+from graphrec.operators import graph, lightgcn, ranking, sampling, split, vectors
 
 PAIRS = [("a", "x", 1.0), ("a", "y", 3.0), ("b", "y", 2.0), ("c", "x", 1.0), ("c", "z", 1.0)]
 
@@ -35,8 +36,9 @@ def test_gradient_by_differences(spark):
     names, e0 = ["i:x", "i:y", "u:a", "u:b"], rng.normal(size=(4, 3))
     batch = spark.createDataFrame([("u:a", "i:x", "i:y"), ("u:b", "i:y", "i:x")], "u string, p string, n string")
     frame = lambda e: spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, e)], "node string, x array<double>")
-    loss = lambda e: lightgcn.bpr_loss(batch, frame(e)).first()[0]
-    got = {r["node"]: r["x"] for r in lightgcn.bpr_gradient(batch, frame(e0), 3, 2).collect()}
+    scored = lambda e: lightgcn.triples(batch, frame(e))
+    loss = lambda e: lightgcn.bpr_loss(scored(e)).first()["loss"]
+    got = {r["node"]: r["x"] for r in lightgcn.bpr_gradient(scored(e0), 3, 2).collect()}
     for i, k in ((0, 1), (2, 0), (3, 2)):
         up, down = e0.copy(), e0.copy()
         up[i, k] += 1e-5
@@ -44,10 +46,96 @@ def test_gradient_by_differences(spark):
         assert got[names[i]][k] == pytest.approx((loss(up) - loss(down)) / 2e-5, rel=1e-4)
 
 
-def test_training_lowers_the_loss(spark, inter):
-    users, items = lightgcn.lightgcn_train(inter, dim=4, layers=1, epochs=2, lr=0.05)
-    assert users.count() == 3 and items.count() == 3
-    assert {len(r["embedding"]) for r in users.collect()} == {4}
+def even(*key):
+    return (int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+
+
+def trained_in_memory(pairs, dim, layers, epochs, lr, seed=42):
+    """(embeddings by node, losses): the training by dense matrices, whole batches, the same draws."""
+    users, items = sorted({p[0] for p in pairs}), sorted({p[1] for p in pairs})
+    nodes = [f"i:{i}" for i in items] + [f"u:{u}" for u in users]
+    m = np.zeros((len(nodes),) * 2)
+    for u, i, w in pairs:
+        a, b = nodes.index(f"u:{u}"), nodes.index(f"i:{i}")
+        m[a, b] = m[b, a] = w
+    d = m.sum(1)
+    m = m / np.sqrt(d[:, None] * d[None, :])
+    p = sum(np.linalg.matrix_power(m, k) for k in range(layers + 1)) / (layers + 1)
+    x = np.array([[0.01 * math.sqrt(-2 * math.log(even(seed, n, k, "u"))) * math.cos(2 * math.pi * even(seed, n, k, "v")) for k in range(dim)] for n in nodes])
+    first, second, losses = np.zeros_like(x), np.zeros_like(x), []
+    for epoch in range(epochs):
+        e, g, loss, batch = p @ x, np.zeros_like(x), [], []
+        for u in users:
+            met = {i: w for a, i, w in pairs if a == u}
+            pos = min(met, key=lambda i: (-math.log(even(seed, epoch, 0, u, i)) / met[i], i))
+            draws = (items[int(even(seed, epoch, 0, "neg", u, k) * len(items))] for k in range(512))
+            batch.append([nodes.index(n) for n in (f"u:{u}", f"i:{pos}", f"i:{next(i for i in draws if i not in met)}")])
+        for a, b, c in batch:
+            s = 1 / (1 + math.exp(-(e[a] @ (e[b] - e[c]))))
+            loss.append(-math.log(s + 1e-10))
+            k = -s * (1 - s) / (s + 1e-10) / len(batch)
+            g[a] += k * (e[b] - e[c])
+            g[b] += k * e[a]
+            g[c] -= k * e[a]
+        losses.append(np.mean(loss))
+        g = p @ g
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        x = x - lr * (first / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(second / (1 - 0.999 ** (epoch + 1))) + 1e-8)
+    return dict(zip(nodes, p @ x)), losses
+
+
+def test_training_against_matrices_and_its_loss_falls(spark):
+    r = np.random.default_rng(3)
+    pairs = [(f"c{u}", f"k{i}", float(r.integers(1, 4))) for u in range(6) for i in sorted(r.choice(9, 3, replace=False))]
+    inter = spark.createDataFrame(pairs, "client_id string, item_id string, weight double")
+    t = lightgcn.lightgcn_train(inter, dim=4, layers=2, epochs=4, lr=0.05)
+    want, losses = trained_in_memory(pairs, 4, 2, 4, 0.05)
+    got = {f"u:{x['client_id']}": x["embedding"] for x in t.users.collect()} | {f"i:{x['item_id']}": x["embedding"] for x in t.items.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[n], want[n], atol=1e-6) for n in want)
+    seen = t.losses.orderBy("step").collect()
+    assert [x["epoch"] for x in seen] == [0, 1, 2, 3] and np.allclose([x["loss"] for x in seen], losses, atol=1e-9)
+    assert seen[0]["loss"] > seen[-1]["loss"] + 0.01
+
+
+def test_training_in_batches_and_on_nothing(spark, inter):
+    t = lightgcn.lightgcn_train(inter, dim=2, layers=1, epochs=1, batch_users=1)
+    assert t.losses.count() == 3 and t.users.count() == 3 and t.items.count() == 3
+    t = lightgcn.lightgcn_train(inter.limit(0), dim=2, layers=1, epochs=1)
+    assert (t.users.count(), t.items.count(), t.losses.count()) == (0, 0, 0)
+
+
+def test_a_grid_trains_without_the_last_events(spark, monkeypatch):
+    from datetime import datetime, timedelta
+
+    from graphrec.jobs import run
+    from graphrec.jobs.params import Params
+
+    rows = [(i, "click", f"c{i % 5}", f"k{i * 7 % 11}", "s", datetime(2024, 1, 1) + timedelta(hours=i)) for i in range(60)]
+    log = spark.createDataFrame(rows, "event_id long, event_type string, client_id string, item_id string, ds_search_id string, timestamp timestamp")
+    given, real = [], run.lightgcn.lightgcn_train
+    monkeypatch.setattr(run.lightgcn, "lightgcn_train", lambda edges, **o: given.append((edges.count(), o["dim"], o["layers"], o["neg_per_pos"])) or real(edges, **o))
+    got = run.trained_grid(log, Params(epochs=1), (2, 4), (1,), (1,), 3).orderBy("grid_order").collect()
+    n = split.seen_items(split.train_minus_last(log)).count()
+    assert given == [(n, 2, 1, 1), (n, 4, 1, 1)] and [(r["dim"], r["layers"], r["neg"]) for r in got] == [(2, 1, 1), (4, 1, 1)] and all(0 <= r["recall"] <= 1 for r in got)
+    users, items, _ = real(run.graph.interactions(run.events.event_weights(split.train_minus_last(log))), dim=4, layers=1, epochs=1)
+    m = ranking.evaluate(users, items, log, (3,)).first()
+    assert (got[1]["recall"], got[1]["ndcg"], got[1]["mrr"]) == pytest.approx((m["recall"], m["ndcg"], m["mrr"]))
+
+
+def test_topk_masks_where_it_scores(spark):
+    r = np.random.default_rng(2)
+    u, v = r.normal(size=(40, 3)).astype(np.float32), r.normal(size=(90, 3)).astype(np.float32)
+    seen = [(f"c{a}", f"k{b:02}") for a in range(40) for b in range(90) if a == 0 or (a * b) % 7 < 3 and a != 1]
+    d = lambda x, c, name: spark.createDataFrame([(name(i), [float(y) for y in row]) for i, row in enumerate(x)], f"{c} string, embedding array<float>")
+    users, items = d(u, "client_id", lambda i: f"c{i}"), d(v, "item_id", lambda i: f"k{i:02}")
+    pairs = spark.createDataFrame(seen + [("nobody", "k01"), ("c2", "nothing")], "client_id string, item_id string")
+    got = ranking.topk_items_per_user(users, items, pairs, 5).collect()
+    score, known = np.round(u.astype(float) @ v.astype(float).T, 9), set(seen)
+    want = {(f"c{a}", n + 1, f"k{b:02}") for a in range(40) for n, b in enumerate([b for b in np.lexsort((np.arange(90), -score[a])) if (f"c{a}", f"k{b:02}") not in known][:5])}
+    assert {(x["client_id"], x["rank"], x["item_id"]) for x in got} == want and "c0" not in {x["client_id"] for x in got}
+    double = lambda t, c, to: t.select(F.col(c).alias(to), F.array(F.transform("embedding", lambda x: x.cast("double"))).alias("vecs"))
+    small = vectors.block_topk(double(users, "client_id", "query_id"), double(items, "item_id", "item_id"), 5, masked=pairs.withColumnRenamed("client_id", "query_id"), at_once=6, block=8, tile=4)
+    assert {(x["query_id"], x["rank"], x["item_id"]) for x in small.collect()} == want
 
 
 def test_positive_samples_follow_weights(spark):
@@ -85,7 +173,7 @@ def test_loss_of_every_user_with_an_unmet_item(spark, tmp_path, monkeypatch):
     rows = [(i, u, "purchase", f'{{"k": {k}}}') for i, (u, k) in enumerate(met)]
     d = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     d.write.parquet(str(tmp_path / "events.parquet"))
-    monkeypatch.setattr(queries.lightgcn, "bpr_loss", lambda batch, e: batch.agg(F.countDistinct("u").cast("double").alias("loss")))
+    monkeypatch.setattr(queries.lightgcn, "bpr_loss", lambda scored: scored.agg(F.countDistinct("u").cast("double").alias("loss")))
     assert queries.QUERIES["bpr_loss"](spark, str(tmp_path)).first()["loss"] == 8.0
 
 
