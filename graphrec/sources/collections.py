@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import exists, folders, remove
+
+STORED = "collection string, item_id long, embedding array<float>, source string"
+
 
 def vector_upsert(collection: DataFrame | None, batches: DataFrame, order: str = "batch", reset: bool = False) -> DataFrame:
     """(collection, item_id, embedding, source) after `batches` (with an order column) were put in; the last write of an id wins.
@@ -25,10 +31,32 @@ def collection_coverage(text: DataFrame, graph: DataFrame, id_col: str = "item_i
     return both.groupBy(F.coalesce("in_text", F.lit(False)).alias("in_text"), F.coalesce("in_graph", F.lit(False)).alias("in_graph")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def upsert_to_table(collection_path: str, batches: DataFrame, reset: bool = False) -> None:
-    """The next version of a stored collection beside the current one, by collection, so a reader never sees half of it."""
-    spark = batches.sparkSession
-    old = None if reset else spark.read.parquet(collection_path)
-    vector_upsert(old, batches, reset=reset).write.mode("overwrite").partitionBy("collection").parquet(f"{collection_path}.next")
+def _versions(spark: SparkSession, path: str) -> dict[int, bool]:
+    """The versions under path in order, and which are complete: those with the marker that Spark writes last."""
+    names = {int(n.split("=")[1]): n for n in folders(spark, path) if re.fullmatch(r"version=\d+", n)}
+    return {v: exists(spark, f"{path}/{names[v]}/_SUCCESS") for v in sorted(names)}
+
 
+def read_collection(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete version of a stored collection, None where there is none."""
+    complete = [v for v, whole in _versions(spark, path).items() if whole]
+    return spark.read.schema(STORED).parquet(f"{path}/version={complete[-1]:08d}") if complete else None
 
+
+def upsert_collection(path: str, batches: DataFrame, reset: bool = False, keep: int = 2) -> DataFrame:
+    """Puts batches into the collection stored under path, which the first call makes; returns it as it is then.
+
+    Each call writes a whole new version in a folder of its own. The marker that Spark adds last is the only thing that
+    makes it count, so readers see the collection before or after, never half of it, and a job that fails leaves it as it
+    was. Complete versions before the last `keep` and incomplete ones before these are removed; whoever reads them has
+    finished. One writer at a time.
+    """
+    spark = batches.sparkSession
+    before = _versions(spark, path)
+    new = max(before, default=0) + 1
+    vector_upsert(None if reset else read_collection(spark, path), batches, reset=reset).write.parquet(f"{path}/version={new:08d}")
+    kept = [*[v for v, whole in before.items() if whole], new][-keep:]
+    for old in before:
+        if old < kept[0]:
+            remove(spark, f"{path}/version={old:08d}")
+    return read_collection(spark, path)

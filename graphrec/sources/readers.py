@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import exists, folders
 from .schemas import EVENT_ALIASES, ITEM_NAMES
 
 
@@ -16,13 +17,6 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether Spark can list a path, in whatever store."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """An event log with trimmed lower-case headers, all text but the time, ds_search_id null where the log has none."""
     d = _read(spark, path)
@@ -101,3 +95,11 @@ def latest_run(runs: DataFrame, sources: tuple[str, ...] = (), run_col: str = "r
     return runs.join(F.broadcast(newest), run_col, "left_semi")
 
 
+def newest_run(spark: SparkSession, path: str) -> str:
+    """path, or where it holds folders named by run ids the newest of these; a ValueError where there is neither."""
+    runs = [n for n in folders(spark, path) if re.fullmatch(r"\d{8}T\d{6}Z", n)]
+    if runs:
+        return f"{path.rstrip('/')}/{runs[-1]}"
+    if not exists(spark, path):
+        raise ValueError(f"{path} does not exist")
+    return path

@@ -121,6 +121,23 @@ def test_upsert_last_write_wins_and_reset(spark):
     assert collections.vector_upsert(first, new, reset=True).count() == 1
 
 
+def test_stored_collections(spark, tmp_path):
+    import os
+
+    path, row = f"{tmp_path}/text", "collection string, item_id long, embedding array<float>, source string, batch long"
+    put = lambda rows, **o: {(r["item_id"], r["embedding"][0], r["source"]) for r in collections.upsert_collection(path, spark.createDataFrame(rows, row), **o).collect()}
+    assert collections.read_collection(spark, path) is None
+    assert put([("t", 1, [1.0], "a", 0), ("t", 2, [1.0], "a", 0)]) == {(1, 1.0, "a"), (2, 1.0, "a")}
+    assert put([("t", 2, [9.0], "b", 0), ("t", 3, [3.0], "b", 0)]) == {(1, 1.0, "a"), (2, 9.0, "b"), (3, 3.0, "b")}
+    os.makedirs(f"{path}/version=00000003/_temporary")  # a job that failed half way
+    with open(f"{path}/version=00000003/part-0.parquet", "w") as f:
+        f.write("half")
+    assert collections.read_collection(spark, path).count() == 3
+    assert put([("t", 1, [4.0], "c", 0)]) == {(1, 4.0, "c"), (2, 9.0, "b"), (3, 3.0, "b")}
+    assert put([("t", 7, [7.0], "d", 0)], reset=True) == {(7, 7.0, "d")}
+    assert sorted(os.listdir(path)) == ["version=00000004", "version=00000005"]
+
+
 def test_no_common_items(spark):
     t = vecs(spark, [(1, [1.0])])
     with pytest.raises(ValueError, match="common"):
