@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +13,12 @@ from ..operators import components, events, graph, lightgcn, ranking, sampling,
 from ..sources import collections, readers, writers
 from . import adapters as a
 from .params import Params
+from .run import trained_grid
 
 RUN = "20240101T000000Z"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+LATER: dict[str, Callable[[], str]] = {}
 
 # Pieces of SQL that many oracles share.
 EV = """ev AS (SELECT event_id, lower(trim(event_type)) AS event_type, CAST(user_id AS VARCHAR) AS client_id, json_extract_string(props, '$.k') AS item_id,
@@ -41,18 +43,20 @@ SPLIT = EV + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY client_id
 UI = """uv AS (SELECT client_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM (SELECT DISTINCT client_id FROM ev) JOIN embeddings ON client_id = CAST(vec_id AS VARCHAR)),
     iv AS (SELECT item_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM (SELECT DISTINCT item_id FROM ev) JOIN embeddings ON item_id = CAST(vec_id - 300 AS VARCHAR)),
     scored AS (SELECT client_id, item_id, list_inner_product(uv.v, iv.v) AS score FROM uv CROSS JOIN iv)"""
-RANKED = SPLIT + ", " + UI + """, top AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY score DESC, item_id) AS rank FROM scored
+RANKED = SPLIT + ", " + UI + """, top AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM scored
     WHERE (client_id, item_id) NOT IN (SELECT (client_id, item_id) FROM train))"""
 DOCS = "d AS (SELECT doc_id AS item_id, source AS title, text AS description FROM documents)"
 U = lambda key: f"((CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE))"
 USERS_LAST = "(SELECT DISTINCT client_id FROM ev)"
 
 
-def query(sql: str | None = None):
+def query(sql: str | Callable[[], str] | None = None):
+    """Registers a query with its SQL, which may be a function where pieces of it stand further down."""
+
     def put(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql
+            LATER[f.__name__] = sql if callable(sql) else (lambda: sql)
         return f
 
     return put
@@ -62,6 +66,12 @@ def r6(d: DataFrame, *cols: str) -> DataFrame:
     return d.withColumns({c: F.round(c, 6) for c in cols})
 
 
+def components_of(d: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
+    """A row (keys, k, x) for each component of d's vectors, rounded."""
+    d = d.select(*keys, F.posexplode(vector).alias("k", "x"))
+    return d.select(*keys, F.col("k").cast("long").alias("k"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
 def _as_csv(d: DataFrame, name: str) -> str:
     path = work_dir(d.sparkSession, name)
     d.write.csv(path, header=True, quote='"', escape='"')
@@ -91,17 +101,17 @@ def standardize_event_columns(s, sf):
     return d.select("client_id", "item_id", F.unix_micros("timestamp").alias("micros"), F.lower(F.btrim("event_type")).alias("event_type"))
 
 
-@query("SELECT doc_id AS item_id, length(text) AS n FROM documents")
+@query("SELECT doc_id AS item_id, text FROM documents")
 def read_text_input(s, sf):
     path = work_dir(s, "texts")
     a.texts(s, sf).select("item_id", F.col("description").alias("text")).write.parquet(f"{path}.parquet")
-    return readers.read_text_input(s, f"{path}.parquet", f"{path}.csv", ("item_id", "text")).select("item_id", F.length("text").alias("n").cast("long"))
+    return readers.read_text_input(s, f"{path}.parquet", f"{path}.csv", ("item_id", "text")).select("item_id", "text")
 
 
 @query("SELECT vec_id AS item_id, unnest(range(64)) AS k, round(CAST(unnest(embedding) AS DOUBLE), 6) AS x FROM embeddings")
 def pack_vectors(s, sf):
     wide = readers.unpack_vectors(a.table(s, sf, "embeddings"), 64, "vec_id")
-    return readers.pack_vectors(wide, "vec_id").select("item_id", F.posexplode("embedding").alias("k", "x")).select("item_id", F.col("k").cast("long").alias("k"), F.round(F.col("x").cast("double"), 6).alias("x"))
+    return components_of(readers.pack_vectors(wide, "vec_id"), "item_id")
 
 
 @query("SELECT vec_id AS item_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[32] AS DOUBLE) AS last FROM embeddings")
@@ -110,11 +120,11 @@ def unpack_vectors(s, sf):
     return d.select("item_id", F.col("0").cast("double").alias("first"), F.col(str(a.DIM - 1)).cast("double").alias("last"))
 
 
-@query("SELECT doc_id AS item_id, len(embedding) AS dims FROM documents JOIN embeddings ON vec_id = doc_id")
+@query("SELECT doc_id AS item_id, unnest(range(64)) AS k, round(CAST(unnest(embedding) AS DOUBLE), 6) AS x FROM documents JOIN embeddings ON vec_id = doc_id")
 def ids_with_vectors(s, sf):
     ids = a.table(s, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("ordinal"))
     vecs = a.table(s, sf, "embeddings").select(F.col("vec_id").alias("ordinal"), "embedding")
-    return readers.ids_with_vectors(ids, vecs).select("item_id", F.size("embedding").cast("long").alias("dims"))
+    return components_of(readers.ids_with_vectors(ids, vecs), "item_id")
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%dT%H%M%SZ') AS run_id FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders WHERE o_orderpriority = '1-URGENT') AND o_orderpriority = '1-URGENT'")
@@ -150,25 +160,33 @@ def write_top_tables(s, sf):
     return one("items", "item_id", "item").unionAll(one("users", "client_id", "user"))
 
 
-@query(f"WITH {DOCS} SELECT item_id, length(title || ' . ' || description) AS raw_chars FROM d")
+def _clean_sql() -> str:
+    return f"{COUNTED}, r AS (SELECT item_id, title || ' . ' || description AS text_raw FROM d) SELECT item_id, text_raw, t AS text_clean, CAST(wc AS INTEGER) AS wc FROM r JOIN c USING (item_id) JOIN n USING (item_id)"
+
+
+@query(_clean_sql)
 def write_clean_text(s, sf):
     path = work_dir(s, "clean")
     writers.write_clean_text(_cleaned(s, sf), path)
-    return s.read.parquet(f"{path}/parquet").select("item_id", F.length("text_raw").cast("long").alias("raw_chars"))
+    return s.read.parquet(f"{path}/parquet")
 
 
-@query("SELECT vec_id AS item_id, 32 AS dims FROM embeddings")
+@query("SELECT vec_id AS item_id, unnest(range(32)) AS k, round(CAST(unnest(embedding[1:32]) AS DOUBLE), 6) AS x FROM embeddings")
 def write_embeddings(s, sf):
     path = work_dir(s, "vectors")
     writers.write_embeddings(a.text_vectors(s, sf), path)
-    return s.read.parquet(path).select("item_id", F.size("embedding").alias("dims"))
+    return components_of(s.read.parquet(path), "item_id")
 
 
-@query()
+@query(f"WITH {WT} SELECT event_id, '{RUN}' AS run_id, round(weight, 9) AS weight FROM wt")
 def write_params(s, sf):
+    """Weights of the log by the parameters of a run, as its record has them."""
     path = work_dir(s, "params")
     writers.write_params(s, Params(), path, RUN)
-    return s.read.json(path).join(F.broadcast(graph.graph_summary(a.edges(s, sf)).select("edges")))
+    stored = s.read.json(path).first().asDict()
+    p = Params(**{k: stored[k] for k in vars(Params())})
+    w = events.event_weights(a.events(s, sf), click=p.weight_click, purchase=p.weight_purchase, boost=p.session_boost, half_life_days=p.half_life_days, boost_missing=p.boost_missing_session)
+    return w.select("event_id", F.lit(stored["run_id"]).alias("run_id"), F.round("weight", 9).alias("weight"))
 
 
 METRICS = f"""WITH {RANKED}, ranks AS (SELECT t.client_id, rank FROM test AS t SEMI JOIN uv ON t.client_id = uv.client_id SEMI JOIN iv ON t.item_id = iv.item_id LEFT JOIN top USING (client_id, item_id))
@@ -186,12 +204,16 @@ def write_eval(s, sf):
 # --- Collections
 
 
-@query("""WITH b AS (SELECT 'text' AS collection, vec_id AS item_id, 'first' AS source, 0 AS batch FROM embeddings UNION ALL SELECT 'text', vec_id + 50, 'second', 1 FROM embeddings)
-    SELECT collection, item_id, max_by(source, batch) AS source FROM b GROUP BY ALL""")
+@query("""WITH b AS (SELECT 'text' AS collection, vec_id AS item_id, 'first' AS source, 0 AS batch, embedding[1:32] AS v FROM embeddings UNION ALL SELECT 'text', vec_id + 50, 'second', 1, embedding[33:64] FROM embeddings),
+    l AS (SELECT collection, item_id, max_by(struct_pack(source := source, v := v), batch) AS r FROM b GROUP BY ALL)
+    SELECT collection, item_id, r.source AS source, unnest(range(32)) AS k, round(CAST(unnest(r.v) AS DOUBLE), 6) AS x FROM l""")
 def vector_upsert(s, sf):
+    """A stored collection, made by one upsert and changed by a second one, read back."""
     row = lambda d, src, b: d.select(F.lit("text").alias("collection"), "item_id", "embedding", F.lit(src).alias("source"), F.lit(b).alias("batch"))
-    base = collections.vector_upsert(None, row(a.text_vectors(s, sf), "first", 0))
-    return collections.vector_upsert(base, row(a.graph_vectors(s, sf), "second", 1)).select("collection", "item_id", "source")
+    path = work_dir(s, "collection")
+    collections.upsert_collection(path, row(a.text_vectors(s, sf), "first", 0))
+    collections.upsert_collection(path, row(a.graph_vectors(s, sf), "second", 1))
+    return components_of(collections.read_collection(s, path), "collection", "item_id", "source")
 
 
 @query("""SELECT t.vec_id IS NOT NULL AS in_text, g.id IS NOT NULL AS in_graph, count(*) AS n FROM embeddings AS t FULL JOIN (SELECT vec_id + 50 AS id FROM embeddings) AS g ON t.vec_id = g.id GROUP BY ALL""")
@@ -207,9 +229,12 @@ def clean_events(s, sf):
     return a.events(s, sf).select("event_id", "event_type", "client_id", "item_id", "ds_search_id", F.unix_micros("timestamp").alias("micros"))
 
 
-@query(f"""WITH {EV} SELECT event_id, client_id FROM ev WHERE client_id IS NOT NULL AND item_id IS NOT NULL AND "timestamp" IS NOT NULL""")
+@query(f"""WITH {EV}, gaps AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN client_id END AS client_id, CASE WHEN event_id % 11 <> 0 THEN item_id END AS item_id, CASE WHEN event_id % 13 <> 0 THEN "timestamp" END AS t FROM ev)
+    SELECT event_id, client_id, item_id, epoch_us(t) AS micros FROM gaps WHERE client_id IS NOT NULL AND item_id IS NOT NULL AND t IS NOT NULL""")
 def drop_incomplete(s, sf):
-    return events.drop_incomplete(a.events(s, sf)).select("event_id", "client_id")
+    """The log with gaps by number of the event, without the rows that have one."""
+    gaps = a.events(s, sf).withColumns({c: F.when(F.col("event_id") % n != 0, F.col(c)) for c, n in (("client_id", 7), ("item_id", 11), ("timestamp", 13))})
+    return events.drop_incomplete(gaps).select("event_id", "client_id", "item_id", F.unix_micros("timestamp").alias("micros"))
 
 
 @query(f"WITH {EV} SELECT event_id, ds_search_id IS NOT NULL AND trim(ds_search_id) <> '' AND lower(trim(ds_search_id)) <> 'nan' AS usable FROM ev")
@@ -373,9 +398,11 @@ def drop_all_duplicates(s, sf):
     return split.drop_all_duplicates(a.events(s, sf).select("client_id", "item_id", "event_type"))
 
 
-@query(f"WITH {EV}, {UI} SELECT event_id, client_id, item_id FROM ev SEMI JOIN uv ON ev.client_id = uv.client_id SEMI JOIN iv ON ev.item_id = iv.item_id")
+@query(f"WITH {EV}, {UI} SELECT event_id, client_id, item_id FROM ev SEMI JOIN (SELECT * FROM uv WHERE CAST(client_id AS BIGINT) % 3 <> 0) AS u ON ev.client_id = u.client_id SEMI JOIN (SELECT * FROM iv WHERE CAST(item_id AS BIGINT) % 4 <> 0) AS i ON ev.item_id = i.item_id")
 def restrict_to_embedded(s, sf):
-    return split.restrict_to_embedded(a.events(s, sf), a.user_vectors(s, sf), a.item_vectors(s, sf)).select("event_id", "client_id", "item_id")
+    """The log's rows of clients and items with vectors, of which each third client and each fourth item has none."""
+    u, i = a.user_vectors(s, sf).filter(F.col("client_id").cast("long") % 3 != 0), a.item_vectors(s, sf).filter(F.col("item_id").cast("long") % 4 != 0)
+    return split.restrict_to_embedded(a.events(s, sf), u, i).select("event_id", "client_id", "item_id")
 
 
 @query(f"WITH {SPLIT} SELECT DISTINCT client_id, item_id FROM train")
@@ -502,9 +529,11 @@ def length_filter_report(s, sf):
     return text.length_filter_report(_cleaned(s, sf))
 
 
-@query(f"WITH {DOCS} SELECT item_id FROM d WHERE trim(coalesce(description, '')) <> ''")
+@query(f"WITH {DOCS}, b AS (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN '  ' WHEN item_id % 7 = 0 THEN NULL ELSE description END AS text FROM d) SELECT item_id, text FROM b WHERE trim(coalesce(text, '')) <> ''")
 def nonblank_text(s, sf):
-    return text.nonblank_text(a.texts(s, sf), "description").select("item_id")
+    """Texts of which each fifth is blank and each seventh missing, without these."""
+    blank = F.when(F.col("item_id") % 5 == 0, F.lit("  ")).when(F.col("item_id") % 7 != 0, F.col("description"))
+    return text.nonblank_text(a.texts(s, sf).select("item_id", blank.alias("text")), "text")
 
 
 @query("SELECT source AS item_id, min(doc_id) AS doc_id FROM documents WHERE trim(coalesce(text, '')) <> '' GROUP BY source")
@@ -515,8 +544,7 @@ def encode_input(s, sf):
 
 @query()
 def encode_text(s, sf):
-    d = text.encode_text(text.nonblank_text(_cleaned(s, sf), "text_clean"), text.hashed_ngrams())
-    return d.select("item_id", F.size("embedding").alias("dims"), F.round(vectors.vector_norm(F.col("embedding")), 4).alias("norm"))
+    return text.encode_text(text.nonblank_text(_cleaned(s, sf), "text_clean"), text.hashed_ngrams()).select("item_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS item_id, length(p_type || ' ' || p_brand) AS desc_len FROM part")
@@ -542,9 +570,10 @@ def _aligned(s: SparkSession, sf: str) -> DataFrame:
     return vectors.align_vectors(a.text_vectors(s, sf), a.graph_vectors(s, sf))
 
 
-@query(f"WITH {VEC} SELECT item_id, len(tv.v) AS text_dims, len(gv.v) AS graph_dims FROM tv JOIN gv USING (item_id)")
+@query(f"WITH {VEC} SELECT item_id, unnest(range(32)) AS k, round(unnest(tv.v), 6) AS t, round(unnest(gv.v), 6) AS g FROM tv JOIN gv USING (item_id)")
 def align_vectors(s, sf):
-    return _aligned(s, sf).select("item_id", F.size("text_vec").cast("long").alias("text_dims"), F.size("graph_vec").cast("long").alias("graph_dims"))
+    d = _aligned(s, sf).select("item_id", F.posexplode(F.arrays_zip("text_vec", "graph_vec")).alias("k", "v"))
+    return d.select("item_id", F.col("k").cast("long").alias("k"), *[F.round(F.col(f"v.{c}").cast("double"), 6).alias(n) for c, n in (("text_vec", "t"), ("graph_vec", "g"))])
 
 
 @query(f"WITH {VEC} SELECT item_id, round(list_inner_product(tv.v, gv.v), 6) AS dot FROM tv JOIN gv USING (item_id)")
@@ -570,7 +599,7 @@ def id_intersection(s, sf):
 
 FUSION = VEC + """, pairs AS (SELECT q.item_id AS query_item_id, c.item_id, list_inner_product(q.t, c.t) AS sim_text, list_inner_product(q.g, c.g) AS sim_graph
     FROM (SELECT item_id, tn.v AS t, gn.v AS g FROM tn JOIN gn USING (item_id)) AS q JOIN (SELECT item_id, tn.v AS t, gn.v AS g FROM tn JOIN gn USING (item_id)) AS c ON q.item_id <> c.item_id),
-    fused AS (SELECT *, 0.5 * sim_graph + 0.5 * sim_text AS score FROM pairs), fr AS (SELECT *, row_number() OVER (PARTITION BY query_item_id ORDER BY score DESC, item_id) AS rank FROM fused)"""
+    fused AS (SELECT *, 0.5 * sim_graph + 0.5 * sim_text AS score FROM pairs), fr AS (SELECT *, row_number() OVER (PARTITION BY query_item_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM fused)"""
 FUSED_TOP = f"WITH {FUSION} SELECT query_item_id, CAST(rank AS INTEGER) AS rank, item_id, round(score, 6) AS score, round(sim_text, 6) AS sim_text, round(sim_graph, 6) AS sim_graph FROM fr WHERE rank <= 10"
 
 
@@ -590,9 +619,11 @@ def fusion_topk(s, sf):
     return vectors.fusion_recommend(t, g, vectors.id_intersection(t, g), k=3).select("query_item_id", "rank", "item_id")
 
 
-@query(f"WITH {FUSION} SELECT count(*) AS rows, count(*) FILTER (query_item_id = item_id) AS itself FROM fr WHERE rank <= 10")
+@query(lambda: f"WITH {BOTH_T} SELECT query_item_id, item_id, CAST(rank AS INTEGER) AS rank FROM ({_top_sql('cosine')}) WHERE rank <= 20 AND query_item_id <> item_id")
 def exclude_self(s, sf):
-    return vectors.exclude_self(_all_fused(s, sf)).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("query_item_id") == F.col("item_id")).alias("itself"))
+    """The nearest of each item without itself, which is among them."""
+    t = a.text_vectors(s, sf)
+    return vectors.exclude_self(vectors.topm_candidates(t, t, 20)).select("query_item_id", "item_id", "rank")
 
 
 @query(f"WITH {VEC} SELECT item_id, round(0.25 * list_inner_product(tn.v, gn.v) + 0.75 * list_inner_product(tv.v, gv.v), 6) AS score FROM tv JOIN gv USING (item_id) JOIN tn USING (item_id) JOIN gn USING (item_id)")
@@ -608,32 +639,32 @@ def round_scores(s, sf):
 
 def _top_sql(metric: str) -> str:
     sim = {"cosine": "list_inner_product(q.n, c.n)", "ip": "list_inner_product(q.v, c.v)", "l2": "1 - (list_inner_product(q.v, q.v) + list_inner_product(c.v, c.v) - 2 * list_inner_product(q.v, c.v))"}[metric]
-    return f"SELECT *, row_number() OVER (PARTITION BY query_item_id ORDER BY similarity DESC, item_id) AS rank FROM (SELECT q.item_id AS query_item_id, c.item_id, {sim} AS similarity FROM both_t AS q CROSS JOIN both_t AS c)"
+    return f"SELECT *, row_number() OVER (PARTITION BY query_item_id ORDER BY round(similarity, 9) DESC, item_id) AS rank FROM (SELECT q.item_id AS query_item_id, c.item_id, {sim} AS similarity FROM both_t AS q CROSS JOIN both_t AS c)"
 
 
 BOTH_T = VEC + ", both_t AS (SELECT item_id, tv.v AS v, tn.v AS n FROM tv JOIN tn USING (item_id))"
 
 
-@query(" UNION ALL ".join(f"(WITH {BOTH_T} SELECT '{m}' AS metric, query_item_id, CAST(rank AS INTEGER) AS rank, round(similarity, 6) AS similarity FROM ({_top_sql(m)}) WHERE rank <= 20)" for m in ("cosine", "ip", "l2")))
+@query(" UNION ALL ".join(f"(WITH {BOTH_T} SELECT '{m}' AS metric, query_item_id, item_id, CAST(rank AS INTEGER) AS rank, round(similarity, 6) AS similarity FROM ({_top_sql(m)}) WHERE rank <= 20)" for m in ("cosine", "ip", "l2")))
 def topm_candidates(s, sf):
     t, out = a.text_vectors(s, sf), None
     for m in ("cosine", "ip", "l2"):
-        d = vectors.topm_candidates(t, t, 20, m).select(F.lit(m).alias("metric"), "query_item_id", "rank", F.round("similarity", 6).alias("similarity"))
+        d = vectors.topm_candidates(t, t, 20, m).select(F.lit(m).alias("metric"), "query_item_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
         out = d if out is None else out.unionByName(d)
     return out
 
 
 TWO = VEC + """, ids AS (SELECT item_id FROM tn INTERSECT SELECT item_id FROM gn),
-    tt AS (SELECT *, row_number() OVER (PARTITION BY query_item_id ORDER BY s DESC, item_id) AS r FROM (SELECT q.item_id AS query_item_id, c.item_id, list_inner_product(q.v, c.v) AS s FROM (SELECT * FROM tn SEMI JOIN ids USING (item_id)) AS q CROSS JOIN tn AS c)),
-    gt AS (SELECT *, row_number() OVER (PARTITION BY query_item_id ORDER BY s DESC, item_id) AS r FROM (SELECT q.item_id AS query_item_id, c.item_id, list_inner_product(q.v, c.v) AS s FROM (SELECT * FROM gn SEMI JOIN ids USING (item_id)) AS q CROSS JOIN gn AS c)),
+    tt AS (SELECT *, row_number() OVER (PARTITION BY query_item_id ORDER BY round(s, 9) DESC, item_id) AS r FROM (SELECT q.item_id AS query_item_id, c.item_id, list_inner_product(q.v, c.v) AS s FROM (SELECT * FROM tn SEMI JOIN ids USING (item_id)) AS q CROSS JOIN tn AS c)),
+    gt AS (SELECT *, row_number() OVER (PARTITION BY query_item_id ORDER BY round(s, 9) DESC, item_id) AS r FROM (SELECT q.item_id AS query_item_id, c.item_id, list_inner_product(q.v, c.v) AS s FROM (SELECT * FROM gn SEMI JOIN ids USING (item_id)) AS q CROSS JOIN gn AS c)),
     fc AS (SELECT query_item_id, item_id, coalesce(t.s, -1) AS sim_text, coalesce(g.s, -1) AS sim_graph, 0.5 * coalesce(g.s, -1) + 0.5 * coalesce(t.s, -1) AS score
-           FROM (SELECT * FROM tt WHERE r <= 100) AS t FULL JOIN (SELECT * FROM gt WHERE r <= 100) AS g USING (query_item_id, item_id))"""
+           FROM (SELECT * FROM tt WHERE r <= 200) AS t FULL JOIN (SELECT * FROM gt WHERE r <= 200) AS g USING (query_item_id, item_id))"""
 
 
 def _two_lists(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     t, g = a.text_vectors(s, sf), a.graph_vectors(s, sf)
     ids = vectors.id_intersection(t, g)
-    return tuple(vectors.topm_candidates(ids.join(c, "item_id"), c, 100) for c in (t, g))
+    return tuple(vectors.topm_candidates(ids.join(c, "item_id"), c) for c in (t, g))
 
 
 @query(f"WITH {TWO} SELECT query_item_id, item_id, round(sim_text, 6) AS sim_text, round(sim_graph, 6) AS sim_graph, round(score, 6) AS score FROM fc")
@@ -658,7 +689,7 @@ def two_stage_topk(s, sf):
 @query(TWO_TOP)
 def two_stage_recommend(s, sf):
     t, g = a.text_vectors(s, sf), a.graph_vectors(s, sf)
-    return vectors.two_stage_recommend(t, g, vectors.id_intersection(t, g), top_m=100)
+    return vectors.two_stage_recommend(t, g, vectors.id_intersection(t, g))
 
 
 @query("""WITH c AS (SELECT vec_id AS item_id FROM embeddings INTERSECT SELECT vec_id + 50 FROM embeddings)
@@ -736,7 +767,7 @@ def sample_negatives(s, sf):
     return sampling.sample_negatives(users, items, e, 1, 42, 0, 0)
 
 
-@query(f"""WITH {PROPAGATED.replace(ED, ED + ', ' + POS, 1)}, {NEG}, first_neg AS (SELECT client_id, min_by(neg, draw) AS neg FROM neg GROUP BY client_id),
+@query(f"""WITH {PROPAGATED.replace(ED, ED + ', ' + POS, 1)}, {NEG.replace('range(8)', 'range(512)')}, first_neg AS (SELECT client_id, min_by(neg, draw) AS neg FROM neg GROUP BY client_id),
     b AS (SELECT 'u:' || client_id AS u, 'i:' || pos AS p, 'i:' || neg AS n FROM pos JOIN first_neg USING (client_id)),
     m AS (SELECT u, sum(xu.x * (xp.x - xn.x)) AS d FROM b JOIN x0 AS xu ON u = xu.node JOIN x0 AS xp ON p = xp.node AND xp.k = xu.k JOIN x0 AS xn ON n = xn.node AND xn.k = xu.k GROUP BY u)
     SELECT round(avg(-ln(1 / (1 + exp(-d)) + 1e-10)), 6) AS loss FROM m""")
@@ -746,28 +777,39 @@ def bpr_loss(s, sf):
     n = sampling.sample_negatives(users, items, e, 1, 42, 0, 0)
     batch = p.join(n, "client_id").select(F.concat(F.lit("u:"), "client_id").alias("u"), F.concat(F.lit("i:"), "pos").alias("p"), F.concat(F.lit("i:"), "neg").alias("n"))
     nodes = graph.symmetric_adjacency(e).select(F.col("src").alias("node")).distinct()
-    return r6(lightgcn.bpr_loss(batch, sampling.init_embeddings(nodes, 8)), "loss")
+    return r6(lightgcn.bpr_loss(lightgcn.triples(batch, sampling.init_embeddings(nodes, 8))).select("loss"), "loss")
 
 
 @query()
 def lightgcn_train(s, sf):
-    users, items = lightgcn.lightgcn_train(graph.interactions(a.weighted(s, sf)), dim=8, layers=2, epochs=1, max_steps=1)
-    one = lambda d, c, kind: d.select(F.lit(kind).alias("kind"), F.col(c).alias("id"), F.size("embedding").alias("dims"))
-    return one(users, "client_id", "user").unionAll(one(items, "item_id", "item"))
+    """A whole training with the defaults of Params: the loss of each step, and each embedding's norm and first component."""
+    p = Params()
+    t = lightgcn.lightgcn_train(graph.interactions(a.weighted(s, sf)), dim=p.dim, layers=p.layers, epochs=p.epochs, batch_users=p.batch_users, neg_per_pos=p.neg_per_pos, lr=p.lr, seed=p.seed)
+    one = lambda d, c, kind: d.select(F.lit(kind).alias("kind"), F.col(c).alias("id"), F.round(vectors.vector_norm(F.col("embedding")), 4).alias("value"), F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
+    losses = t.losses.select(F.lit("loss").alias("kind"), F.col("step").cast("string").alias("id"), F.round("loss", 4).alias("value"), F.lit(None).cast("double").alias("first"))
+    return losses.unionAll(one(t.users, "client_id", "user")).unionAll(one(t.items, "item_id", "item"))
 
 
 # --- Ranking
 
 
-@query(f"WITH {EV}, {UI} SELECT client_id, item_id, round(score, 6) AS score FROM scored")
+LOGGED = f"WITH {SPLIT}, {UI}, logged AS (SELECT client_id, item_id, score FROM scored SEMI JOIN ev USING (client_id, item_id))"
+
+
+@query(f"{LOGGED} SELECT client_id, item_id, round(score, 6) AS score FROM logged")
 def score_user_item(s, sf):
-    return r6(ranking.score_user_item(a.user_vectors(s, sf), a.item_vectors(s, sf)), "score")
+    """Scores of the pairs that the log has."""
+    return r6(_logged(s, sf), "score")
 
 
-@query(f"WITH {RANKED} SELECT client_id, item_id, round(score, 6) AS score FROM top")
+@query(f"{LOGGED} SELECT client_id, item_id, round(score, 6) AS score FROM logged ANTI JOIN train USING (client_id, item_id)")
 def mask_seen(s, sf):
-    scored = ranking.score_user_item(a.user_vectors(s, sf), a.item_vectors(s, sf))
-    return r6(split.mask_seen(scored, split.train_minus_last(a.events(s, sf))), "score")
+    """Of these the pairs that are only in the test rows, or in rows left out of training."""
+    return r6(split.mask_seen(_logged(s, sf), split.train_minus_last(a.events(s, sf))), "score")
+
+
+def _logged(s: SparkSession, sf: str) -> DataFrame:
+    return ranking.score_user_item(a.user_vectors(s, sf), a.item_vectors(s, sf), a.events(s, sf).select("client_id", "item_id").distinct())
 
 
 def _top50(s: SparkSession, sf: str) -> DataFrame:
@@ -809,8 +851,15 @@ def ranking_metrics(s, sf):
     return r6(ranking.ranking_metrics(ranks), "recall", "ndcg", "mrr")
 
 
+@query()
+def grid_search(s, sf):
+    """Four trainings of two steps each, and their metrics: a small grid, as a grid is what its caller asks for."""
+    p = replace(Params(), epochs=2)
+    return r6(trained_grid(a.events(s, sf), p, (8, 16), (1, 2), (1,), p.k), "recall", "ndcg", "mrr")
+
+
 def _grid(s: SparkSession, sf: str) -> DataFrame:
-    """Embeddings of three sizes cut from the vectors stand for trained ones."""
+    """Results to choose from that SQL can give too: embeddings of two sizes cut from given vectors, evaluated."""
     u, i = a.user_vectors(s, sf), a.item_vectors(s, sf)
     cut = lambda d, dim: d.withColumn("embedding", F.slice("embedding", 1, dim))
     return ranking.grid_search(lambda dim, layers, neg: (cut(u, dim), cut(i, dim)), a.events(s, sf), dims=(16, 64), layers=(2,), negatives=(1,))
@@ -820,11 +869,6 @@ GRID = [(0, 16, 2, 1), (1, 64, 2, 1)]
 GRID_SQL = " UNION ALL ".join(f"(SELECT {i} AS grid_order, {d} AS dim, {n} AS layers, {g} AS neg, recall, ndcg, mrr FROM ({METRICS.replace('list_transform(embedding,', f'list_transform(embedding[1:{d}],').replace('[10, 20, 50]', '[10]')}))" for i, d, n, g in GRID)
 
 
-@query(GRID_SQL)
-def grid_search(s, sf):
-    return r6(_grid(s, sf), "recall", "ndcg", "mrr")
-
-
 @query(f"SELECT * FROM ({GRID_SQL}) ORDER BY recall + ndcg DESC, grid_order LIMIT 1")
 def grid_best(s, sf):
     return r6(ranking.grid_best(written(_grid(s, sf), "grid")), "recall", "ndcg", "mrr")
@@ -855,3 +899,6 @@ def iso_timestamp(s, sf):
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%dT%H%M%SZ') AS run_id FROM orders")
 def run_id(s, sf):
     return a.table(s, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", writers.RUN_ID).alias("run_id"))
+
+
+SQL |= {name: sql() for name, sql in LATER.items()}

@@ -1,16 +1,17 @@
-"""The three workloads as commands: python -m graphrec.jobs.run graph|train|items --help."""
+"""The workloads as commands: python -m graphrec.jobs.run graph|train|grid|items|collections|recommend --help."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import written
-from ..operators import components, events, graph, lightgcn, ranking, text, vectors
-from ..sources import readers, writers
+from ..operators import components, events, graph, lightgcn, ranking, split, text, vectors
+from ..sources import collections, readers, writers
 from .params import Params
 
 
@@ -39,35 +40,99 @@ def graph_job(spark: SparkSession, log: str, items: str | None, out: str, p: Par
 
 
 def train_job(spark: SparkSession, log: str, out: str, p: Params, run_id: str) -> None:
-    """Embeddings of a log, and their metrics on each client's last event."""
+    """Embeddings of a log, the loss of each step, and metrics on each client's last event."""
     raw, weighted = _weighted(spark, log, p)
-    users, items = lightgcn.lightgcn_train(graph.interactions(weighted), dim=p.dim, layers=p.layers, epochs=p.epochs, batch_users=p.batch_users, neg_per_pos=p.neg_per_pos, lr=p.lr, seed=p.seed)
-    writers.write_embeddings(users, f"{out}/users/{run_id}")
-    writers.write_embeddings(items, f"{out}/items/{run_id}")
+    trained = lightgcn.lightgcn_train(graph.interactions(weighted), dim=p.dim, layers=p.layers, epochs=p.epochs, batch_users=p.batch_users, neg_per_pos=p.neg_per_pos, lr=p.lr, seed=p.seed)
+    writers.write_embeddings(trained.users, f"{out}/users/{run_id}")
+    writers.write_embeddings(trained.items, f"{out}/items/{run_id}")
+    trained.losses.coalesce(1).write.mode("overwrite").json(f"{out}/losses/{run_id}")
     users, items = (spark.read.parquet(f"{out}/{x}/{run_id}") for x in ("users", "items"))
     writers.write_eval(ranking.evaluate(users, items, events.drop_incomplete(raw)), f"{out}/eval/{run_id}", run_id, train_on="all")
 
 
-def items_job(spark: SparkSession, items: str, graph_vectors: str, out: str, p: Params, run_id: str) -> None:
-    """Cleaned texts, their vectors, and fused recommendations for every item that has both kinds of vectors."""
+def trained_grid(log: DataFrame, p: Params, dims: tuple[int, ...], layers: tuple[int, ...], negatives: tuple[int, ...], k: int) -> DataFrame:
+    """Metrics of every configuration, each trained on the log (cleaned events) without each client's last event."""
+    log = written(events.drop_incomplete(log), "grid-log")
+    train = split.train_minus_last(log)
+    weighted = events.event_weights(train, click=p.weight_click, purchase=p.weight_purchase, boost=p.session_boost, half_life_days=p.half_life_days, boost_missing=p.boost_missing_session)
+    edges = written(graph.interactions(weighted), "grid-edges")
+
+    def one(dim: int, n_layers: int, neg: int) -> tuple[DataFrame, DataFrame]:
+        t = lightgcn.lightgcn_train(edges, dim=dim, layers=n_layers, epochs=p.epochs, batch_users=p.batch_users, neg_per_pos=neg, lr=p.lr, seed=p.seed)
+        return t.users, t.items
+
+    return ranking.grid_search(one, log, dims, layers, negatives, k)
+
+
+def grid_job(spark: SparkSession, log: str, out: str, p: Params, run_id: str, dims: tuple[int, ...] = (32, 64, 128), layers: tuple[int, ...] = (2, 3), negatives: tuple[int, ...] = (1, 2)) -> None:
+    """A grid of trainings, and the best of them."""
+    results = trained_grid(_weighted(spark, log, p)[0], p, dims, layers, negatives, p.k)
+    writers.write_grid(results, ranking.grid_best(results), f"{out}/grid/{run_id}", p.k)
+
+
+def items_job(spark: SparkSession, items: str, graph_vectors: str, out: str, p: Params, run_id: str, encoder: str | None = None) -> None:
+    """Cleaned texts, their vectors, and fused recommendations for every item that has both kinds of vectors.
+
+    encoder: module:function that takes a list of texts and gives an array, a row a text; hashed n-grams by default.
+    graph_vectors: a table of vectors, or the folder of its runs, of which the newest counts.
+    """
     d = readers.read_items(spark, items).withColumn("text_raw", text.build_text(F.col("title"), F.col("description")))
     d = d.withColumn("text_clean", text.clean_text(F.col("text_raw"), lower=True))
     d = text.min_word_filter(d.withColumn("wc", text.word_count(F.col("text_clean"))), p.min_words)
     writers.write_clean_text(d, f"{out}/texts/{run_id}")
-    encoded = text.encode_text(text.encode_input(d, ["text_clean"]), text.hashed_ngrams(p.dim))
+    given = text.hashed_ngrams(p.dim)
+    if encoder:
+        module, _, name = encoder.partition(":")
+        given = getattr(importlib.import_module(module), name)
+    encoded = text.encode_text(text.encode_input(d, ["text_clean"]), given, batch=p.encode_batch, normalize=not p.raw_vectors)
     writers.write_embeddings(encoded.withColumn("item_id", F.col("item_id").cast("long")), f"{out}/text_vectors/{run_id}")
-    t, g = spark.read.parquet(f"{out}/text_vectors/{run_id}"), spark.read.parquet(graph_vectors)
+    t, g = spark.read.parquet(f"{out}/text_vectors/{run_id}"), _vectors(spark, graph_vectors)
     common = vectors.require_rows(vectors.id_intersection(t, g), "no item has both a text and a graph vector")
     writers.write_recs(vectors.fusion_recommend(t, g, common, p.k, p.alpha), f"{out}/fusion/{run_id}")
     writers.write_recs(vectors.two_stage_recommend(t, g, common, p.k, p.top_m, p.alpha), f"{out}/two_stage/{run_id}")
 
 
+def _vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(item_id, embedding) of a table or of the newest run in a folder; ids as numbers, what is none goes."""
+    d = spark.read.parquet(readers.newest_run(spark, path))
+    return d.select(F.expr("try_cast(item_id AS LONG)").alias("item_id"), "embedding").filter("item_id IS NOT NULL")
+
+
+def collections_job(spark: SparkSession, text_vectors: str, graph_vectors: str, out: str, reset: bool = False) -> None:
+    """Puts the vectors of items that have both kinds into the stored collections `text` and `graph`."""
+    t, g = _vectors(spark, text_vectors), _vectors(spark, graph_vectors)
+    common = written(vectors.require_rows(vectors.id_intersection(t, g), "no item has both a text and a graph vector"), "common")
+    for name, d in (("text", t), ("graph", g)):
+        rows = d.join(common, "item_id", "left_semi").select(F.lit(name).alias("collection"), "item_id", F.col("embedding").cast("array<float>").alias("embedding"), F.lit(name).alias("source"), F.lit(0).alias("batch"))
+        collections.upsert_collection(f"{out}/{name}", rows, reset=reset)
+
+
+def recommend_job(spark: SparkSession, stored: str, item_id: int | None, p: Params, two_stage: bool = True) -> DataFrame:
+    """The k items next to one item of the stored collections; without an item_id to the smallest that has both vectors."""
+    t, g = (collections.read_collection(spark, f"{stored}/{name}") for name in ("text", "graph"))
+    if t is None or g is None:
+        raise ValueError(f"{stored} lacks the collections text and graph")
+    common = vectors.require_rows(vectors.id_intersection(t, g), "no item has both a text and a graph vector")
+    asked = common.agg(F.min("item_id").alias("item_id")) if item_id is None else spark.createDataFrame([(item_id,)], "item_id long")
+    if item_id is not None and not vectors.unknown_queries(asked, t, g).isEmpty():
+        raise ValueError(f"item {item_id} does not have both a text and a graph vector")
+    if two_stage:
+        return vectors.two_stage_recommend(t, g, asked, p.k, p.top_m, p.alpha)
+    return vectors.round_scores(vectors.fusion_recommend(t, g, asked, p.k, p.alpha), "score", "sim_text", "sim_graph")
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("job", choices=("graph", "train", "items"))
+    parser.add_argument("job", choices=("graph", "train", "grid", "items", "collections", "recommend"))
     parser.add_argument("--events")
     parser.add_argument("--items")
+    parser.add_argument("--text-vectors")
     parser.add_argument("--graph-vectors")
+    parser.add_argument("--encoder", help="module:function from a list of texts to an array")
+    parser.add_argument("--collections", help="folder of the stored collections to recommend from")
+    parser.add_argument("--item-id", type=int)
+    parser.add_argument("--fusion", action="store_true", help="exact late fusion instead of two stages")
+    parser.add_argument("--reset", action="store_true", help="empty the collections first")
     parser.add_argument("--out", required=True)
     for name, value in vars(Params()).items():
         if isinstance(value, bool):
@@ -82,8 +147,14 @@ def main(argv: list[str] | None = None) -> None:
         graph_job(spark, a["events"], a["items"], a["out"], p, run_id)
     elif a["job"] == "train":
         train_job(spark, a["events"], a["out"], p, run_id)
+    elif a["job"] == "grid":
+        grid_job(spark, a["events"], a["out"], p, run_id)
+    elif a["job"] == "items":
+        items_job(spark, a["items"], a["graph_vectors"], a["out"], p, run_id, a["encoder"])
+    elif a["job"] == "collections":
+        collections_job(spark, a["text_vectors"], a["graph_vectors"], a["out"], a["reset"])
     else:
-        items_job(spark, a["items"], a["graph_vectors"], a["out"], p, run_id)
+        writers.write_recs(recommend_job(spark, a["collections"], a["item_id"], p, not a["fusion"]), f"{a['out']}/recommend/{run_id}")
 
 
 if __name__ == "__main__":
