@@ -40,7 +40,7 @@ CELL_BYTES, MAX_PARTS = 6_000_000, 16_384
 GATHER, COMMON = 1_000_000, 16
 #: Frequencies are kept in a byte; the highest stands for common shingles.
 MOST, COMMON_CLASS = 254, 255
-BLOCK_MEMBERS, BLOCK_ASKING = 4096, 1024
+BLOCK_MEMBERS, BLOCK_ASKING = 1024, 512
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
