@@ -47,8 +47,6 @@ class _Visible(HTMLParser):
 def visible_text(html: str | None) -> str:
     if not html:
         return ""
-    if "<" not in html and "&" not in html:
-        return html.strip()
     p = _Visible()
     p.feed(html)
     p.close()
@@ -56,12 +54,22 @@ def visible_text(html: str | None) -> str:
 
 
 def _visible(texts: pd.Series) -> pd.Series:
-    return texts.map(visible_text)
+    return texts.map(lambda t: None if t is None else visible_text(t))
+
+
+#: White space at the ends of a text, by the same characters as Python's strip(); each run is looked at once.
+_SPACE = r"[\s\x1C-\x1F]"
+_ENDS = rf"(?U)^{_SPACE}++|(?<!{_SPACE}){_SPACE}++$"
 
 
 def strip_html(c: Column) -> Column:
-    """Visible text of HTML: text nodes trimmed and joined by spaces, without scripts, styles, templates and comments."""
-    return F.pandas_udf(_visible, StringType())(c)
+    """Visible text of HTML: text nodes trimmed and joined by spaces, without scripts, styles, templates and comments.
+
+    Texts with neither `<` nor `&` in them have no markup: these never leave the JVM.
+    """
+    marked = F.coalesce(F.contains(c, F.lit("<")) | F.contains(c, F.lit("&")), F.lit(False))
+    seen = F.pandas_udf(_visible, StringType())(F.when(marked, c))
+    return F.when(marked, seen).otherwise(F.coalesce(F.regexp_replace(c, _ENDS, ""), F.lit("")))
 
 
 def normalize_space(c: Column) -> Column:
@@ -93,8 +101,7 @@ def lowercase(c: Column) -> Column:
 
 
 def remove_stopwords(c: Column, words: list[str] = STOPWORDS) -> Column:
-    stop = F.array(*map(F.lit, words))
-    return F.array_join(F.filter(F.split(c, " "), lambda x: ~F.array_contains(stop, x)), " ")
+    return F.array_join(F.filter(F.split(c, " "), lambda x: ~x.isin(*words)), " ")
 
 
 def clean_text(c: Column, *, html: bool = True, urls: bool = True, emails: bool = True, phones: bool = True, numbers: bool = True, punctuation: bool = True, lower: bool = False, stopwords: bool = False) -> Column:

@@ -29,6 +29,9 @@ def test_lower_and_stopwords(spark):
 def test_html(spark):
     d = spark.createDataFrame([("<p>a</p><script>x</script><b>b &amp; c</b><!-- d -->",), ("",), ("plain & simple",)], "t string")
     assert [r[0] for r in d.select(text.strip_html(F.col("t"))).collect()] == ["a b & c", "", "plain & simple"]
+    plain = [" \x1c\u2003\n a  b \x85\u3000\x1f", "a\u200b", "\t" * 30_000 + "a" + " " * 30_000 + "b" + " " * 30_000, " \n ", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(plain)], "i int, t string").orderBy("i")
+    assert [r[0] for r in d.select(text.strip_html(F.col("t"))).collect()] == [(t or "").strip() for t in plain]
 
 
 def test_build_text(spark):
