@@ -1,12 +1,17 @@
 """Text masks, vectors, fusion, upserts on hand-made rows and stored goldens."""
 
+import html
+import os
+
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from graphrec.operators import text, vectors
 from graphrec.sources import collections, readers
 
+SF = "/root/testdata/sf0.01"
 CASES = [
     ("Ara: 0532 123 45 67", "Ara PHONE 67"), ("+90 (212) 555 44 33", "PHONE 33"), ("2024 yılında 12 kişi, 123 ilan", "NUM yılında 12 kişi NUM ilan"), ("12345 adet", "PHONE adet"), ("Bkz. https://ex.com/a?b=1.", "Bkz URL"),
     ("ALI.V@Ex.com.tr yaz", "EMAIL yaz"), ("a b  c\t\nd", "a b c d"), ("%50 prim & SGK/yemek", "%50 prim & SGK/yemek"), ("x123 1234x", "x PHONE x"), ("Satış – Uzmanı (İstanbul)!", "Satış Uzmanı İstanbul"), (None, ""),
@@ -34,6 +39,39 @@ def test_html(spark):
     assert [r[0] for r in d.select(text.strip_html(F.col("t"))).collect()] == [(t or "").strip() for t in plain]
 
 
+def plain_visible(t):
+    """Visible text of well-formed pages by patterns, not by a parser."""
+    t = regex.sub(r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "\0", t)
+    parts = [html.unescape(x).strip() for x in regex.split(r"(?s)<[/!]?[a-zA-Z][^>]*>|\0", t)]
+    return " ".join(x for x in parts if x)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_html_of_whole_tables(spark):
+    d = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = d.select("html", text.strip_html(F.col("html")).alias("t")).collect()
+    assert len(rows) >= 200 and all(r["t"] == plain_visible(r["html"]) for r in rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_cleaning_of_whole_tables(spark):
+    """Every step on every document by another regular-expression library."""
+    steps = [(regex.compile(p.split(")", 1)[1], regex.I if "i" in p.split(")", 1)[0] else 0), to) for p, to in ((text.URL, "<URL>"), (text.EMAIL, "<EMAIL>"), (text.PHONE, "<PHONE>"), (text.NUMBER, "<NUM>"))]
+
+    def clean(t):
+        t = (plain_visible(t) if "<" in t or "&" in t else t.strip()).replace("\u00a0", " ")
+        for pattern, to in steps:
+            t = pattern.sub(to, t)
+        t = " ".join(regex.sub(text.PUNCTUATION, " ", t).split()).lower()
+        return " ".join(w for w in t.split(" ") if w and w not in text.STOPWORDS)
+
+    d = spark.read.parquet(f"{SF}/documents.parquet").filter("text IS NOT NULL")
+    rows = d.select("text", text.clean_text(F.col("text"), lower=True, stopwords=True).alias("t")).collect()
+    assert len(rows) >= 900
+    for r in rows:
+        assert r["t"] == clean(r["text"])
+
+
 def test_build_text(spark):
     d = spark.createDataFrame([("A", "B"), ("A", ""), (None, "B"), (None, None)], "t string, d string")
     assert [r[0] for r in d.select(text.build_text(F.col("t"), F.col("d"))).collect()] == ["A . B", "A", "B", ""]
