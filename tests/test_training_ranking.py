@@ -166,6 +166,17 @@ def test_every_user_with_an_unmet_item_gets_a_negative(spark):
         assert sorted(r[:2] for r in rows if r[0] != "hot") == [("cold", k + 1) for k in range(per_user)] and ("cold", "i0000") not in {(r[0], r[2]) for r in rows}
 
 
+def test_draws_of_many_steps_at_once_are_those_of_each(spark):
+    items = spark.range(30).select(F.format_string("i%02d", "id").alias("item_id"), F.col("id").alias("idx"))
+    met = spark.createDataFrame([(f"c{u}", f"i{i:02d}", 1.0 + i % 3) for u in range(6) for i in range(30) if (u * i) % 5 < 2 or u == 3 and i], "client_id string, item_id string, weight double")
+    users = met.select("client_id").distinct()
+    moments = [(0, 0), (0, 1), (3, 0)]
+    many = users.crossJoin(spark.createDataFrame(moments, "epoch int, step int")).select("epoch", "step", "client_id")
+    for one in (lambda u, *m: sampling.sample_positive(u, met, 42, *m), lambda u, *m: sampling.sample_negatives(u, items, met, 2, 42, *m, draws=1, tries=1)):
+        got = sorted(tuple(r) for r in one(many).collect())
+        assert got == sorted((*m, *r) for m in moments for r in one(users, *m).collect()) and len({r[3:] for r in got}) > 3
+
+
 def test_loss_of_every_user_with_an_unmet_item(spark, tmp_path, monkeypatch):
     from graphrec.jobs import queries
 
