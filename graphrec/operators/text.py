@@ -16,6 +16,7 @@ URL = r"(?iU)\b((?:https?://|www\.)\S+)\b"
 EMAIL = r"(?iU)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b"
 PHONE = r"(?U)(?:\+?\d{1,3}[\s\-.]?)?(?:\(?\d{3}\)?[\s\-.]?)?\d{3}[\s\-.]?\d{2,4}"
 NUMBER = r"(?U)\b\d{3,}\b"
+DIGITS = r"(?U)\d{3}"  # in every phone number
 PUNCTUATION = r"""["'`^~_|<>\[\]{}()=+*#@:;.,!?–—-]"""
 STOPWORDS = "ve veya ile ama fakat ancak ise de da ki mi mu mü bu şu o bir her çok az daha en gibi için üzere diye yada ya hem çünkü eğer şayet".split()
 
@@ -57,9 +58,8 @@ def _visible(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else visible_text(t))
 
 
-#: White space at the ends of a text, by the same characters as Python's strip(); each run is looked at once.
-_SPACE = r"[\s\x1C-\x1F]"
-_ENDS = rf"(?U)^{_SPACE}++|(?<!{_SPACE}){_SPACE}++$"
+#: White space, the characters that Python's strip() takes.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def strip_html(c: Column) -> Column:
@@ -69,23 +69,33 @@ def strip_html(c: Column) -> Column:
     """
     marked = F.coalesce(F.contains(c, F.lit("<")) | F.contains(c, F.lit("&")), F.lit(False))
     seen = F.pandas_udf(_visible, StringType())(F.when(marked, c))
-    return F.when(marked, seen).otherwise(F.coalesce(F.regexp_replace(c, _ENDS, ""), F.lit("")))
+    return F.when(marked, seen).otherwise(F.coalesce(F.btrim(c, F.lit(WHITE)), F.lit("")))
+
+
+def _no_break(c: Column) -> Column:
+    return F.replace(c, F.lit("\u00a0"), F.lit(" "))
 
 
 def normalize_space(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.translate(c, "\u00a0", " "), r"(?U)\s+", " "))
+    """Runs of white space as one space, none at the ends; single spaces, nearly all there are, are not matched."""
+    return F.btrim(F.regexp_replace(_no_break(c), r"(?U)\s{2,}|[\s&&[^ ]]", " "))
+
+
+def _where(c: Column, may: Column, step: Column) -> Column:
+    """step on texts that may match, which a cheaper search tells; other texts as they are."""
+    return F.when(may, step).otherwise(c)
 
 
 def mask_url(c: Column) -> Column:
-    return F.regexp_replace(c, URL, "<URL>")
+    return _where(c, F.contains(c, F.lit("://")) | F.contains(F.lower(c), F.lit("www.")), F.regexp_replace(c, URL, "<URL>"))
 
 
 def mask_email(c: Column) -> Column:
-    return F.regexp_replace(c, EMAIL, "<EMAIL>")
+    return _where(c, F.contains(c, F.lit("@")), F.regexp_replace(c, EMAIL, "<EMAIL>"))
 
 
 def mask_phone(c: Column) -> Column:
-    return F.regexp_replace(c, PHONE, "<PHONE>")
+    return _where(c, F.rlike(c, F.lit(DIGITS)), F.regexp_replace(c, PHONE, "<PHONE>"))
 
 
 def mask_numbers(c: Column) -> Column:
@@ -107,7 +117,7 @@ def remove_stopwords(c: Column, words: list[str] = STOPWORDS) -> Column:
 def clean_text(c: Column, *, html: bool = True, urls: bool = True, emails: bool = True, phones: bool = True, numbers: bool = True, punctuation: bool = True, lower: bool = False, stopwords: bool = False) -> Column:
     """All steps in their fixed order; null becomes ''."""
     c = F.coalesce(c, F.lit(""))
-    c = F.translate(strip_html(c) if html else c, "\u00a0", " ")
+    c = _no_break(strip_html(c) if html else c)
     for on, step in ((urls, mask_url), (emails, mask_email), (phones, mask_phone), (numbers, mask_numbers), (punctuation, strip_punct)):
         c = step(c) if on else c
     c = normalize_space(c) if punctuation else c
