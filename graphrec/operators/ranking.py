@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import written
+from ..functions.lineage import dropped, written
 from .split import leave_last_out, restrict_to_embedded, seen_items, train_minus_last
 from .vectors import block_topk, dot
 
@@ -45,11 +45,14 @@ def ranking_metrics(ranks: DataFrame, ks: tuple[int, ...] = (10, 20, 50)) -> Dat
 
 
 def evaluate(users: DataFrame, items: DataFrame, events: DataFrame, ks: tuple[int, ...] = (10, 20, 50), order: tuple[str, ...] = ("event_id",)) -> DataFrame:
-    """Metrics of embeddings on each client's last event, items of the others masked."""
-    test = restrict_to_embedded(leave_last_out(events, order), users, items)
-    train = restrict_to_embedded(train_minus_last(events, order), users, items).join(test.select("client_id"), "client_id", "left_semi")
+    """Metrics of embeddings on each client's last event, items of the others masked. Ids and test rows are read often, so they are tables."""
+    known, shown = written(users.select("client_id"), "evaluate-users"), written(items.select("item_id"), "evaluate-items")
+    test = written(restrict_to_embedded(leave_last_out(events, order), known, shown), "evaluate-test")
+    train = restrict_to_embedded(train_minus_last(events, order), known, shown).join(test.select("client_id"), "client_id", "left_semi")
     asked = users.join(test.select("client_id"), "client_id", "left_semi")
-    return ranking_metrics(target_rank(topk_items_per_user(asked, items, train, max(ks)), test), ks)
+    top = topk_items_per_user(asked, items, train, max(ks))
+    dropped(known, shown)
+    return ranking_metrics(target_rank(top, test), ks)
 
 
 def grid_best(results: DataFrame) -> DataFrame:
