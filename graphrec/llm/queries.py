@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_main, jaccard, langid, line_dedup, mixing, packing, repetition, sharding, topk, warc
+from . import html_main, jaccard, langid, line_dedup, mixing, packing, repetition, sharding, token_counts, topk, warc
 from .shared import table
 
 
@@ -58,8 +58,12 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_capture_index, op2_source_mix, op3_language_mixture, op4_main_text, op5_line_dedup, op6_jaccard_join, op7_kd_shards, op8_repetition, op9_slack_packing, op10_exact_topk)
+    f.__name__: f for f in (op1_capture_index, op2_source_mix, op3_language_mixture, op4_main_text, op5_line_dedup, op6_jaccard_join, op7_kd_shards, op8_repetition, op9_slack_packing, op10_exact_topk, op13_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {
