@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_main, jaccard, langid, line_dedup, mixing, packing, repetition, sharding, token_counts, topk, warc
+from . import html_main, jaccard, langid, line_dedup, mixing, packing, phrases, repetition, sharding, token_counts, topk, warc, whitening
 from .shared import table
 
 
@@ -58,15 +58,40 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_capture_index, op2_source_mix, op3_language_mixture, op4_main_text, op5_line_dedup, op6_jaccard_join, op7_kd_shards, op8_repetition, op9_slack_packing, op10_exact_topk, op13_token_counts)
+    f.__name__: f for f in (op1_capture_index, op2_source_mix, op3_language_mixture, op4_main_text, op5_line_dedup, op6_jaccard_join, op7_kd_shards, op8_repetition, op9_slack_packing, op10_exact_topk, op11_collocations, op12_whitening, op13_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT lang, k, phrase, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+        s AS (SELECT c.*, fl.f AS l, fr.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (fl.f + fr.f) AS BIGINT) AS score FROM c
+              JOIN f AS fl ON fl.lang = c.lang AND fl.phrase = array_to_string(string_split(c.phrase, ' ')[1:cut], ' ')
+              JOIN f AS fr ON fr.lang = c.lang AND fr.phrase = array_to_string(string_split(c.phrase, ' ')[cut + 1:], ' ')),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        i AS (SELECT lang, f, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' '))) AS phrase FROM f, (SELECT unnest([2, 3]) AS m) WHERE k > m),
+        o AS (SELECT lang, phrase, max(f) AS around FROM i GROUP BY ALL),
+        d AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE around IS NULL OR 100 * CAST(around AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+        SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, score FROM d JOIN t USING (lang)
+        QUALIFY rank <= 2000
+    """,
     "op10_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS v
