@@ -37,7 +37,10 @@ TAGS = ("article main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "nav menu",
 _TAG = {t: i for i, ts in enumerate(TAGS) for t in ts.split()}
 FEATURES = len(TAGS) + 3 * len(PURPOSES) + 26
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|$)|<[a-zA-Z][^>]*$""", re.S)
+#: A quote opens a value only right after `=`; elsewhere it is a character like others. Comments end as browsers end them.
+#: A tag that does not end so within 300 attributes and values of 65536 characters (a value never closed) ends at the
+#: next `>`: this bounds how often a page full of open quotes is read.
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]{1,65536}+|=\s*+(?:"[^"]{0,65536}+"|'[^']{0,65536}+'|[^\s>"'][^\s>]*+)?){0,300}+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _TRUTH = re.compile(r'data-y="(\d)"')
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)?")

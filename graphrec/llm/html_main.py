@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,12 +60,19 @@ def sampled(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", s
     return d.filter(F.col("place") <= max(chosen, default=-(2**63))).dropDuplicates(["place"])
 
 
-def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample_pages: int = 400, page_nodes: int = 5000) -> Trees | None:
-    """Trees fitted on a sample of sample_pages pages (see sampled); None if no node has a label.
+def by_landmarks(page: Page) -> list[str]:
+    """The blocks that landmarks tell to be content, or where none is told so those that are not told to be something else."""
+    label = page.weak_labels()
+    told = any(label[v] == 1 for v, _, _ in page.blocks)
+    return [t for v, t, _ in page.blocks if (label[v] == 1 if told else label[v] != 0)]
+
+
+def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample_pages: int = 400, page_nodes: int = 1000) -> Trees | None:
+    """Trees fitted on a sample of sample_pages pages (see sampled); None where nodes have no label, or too few for any split.
 
     Labels come from landmarks (article, nav, footer, names such as `sidebar`), and from pages composed of the sample's
     texts with other layouts and names, of which each part is known. Figures are made by tasks; what reaches the driver
-    is at most page_nodes seeded rows of figures for each page of the sample.
+    is at most page_nodes seeded rows of figures for each page of the sample, which the fit holds in about 200 MB.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,16 +88,17 @@ def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sam
     rows = sorted((tuple(r) for r in sampled(pages, html_col, id_col, sample_pages).mapInPandas(run, "key long, x binary, y binary").collect()), key=lambda r: r[0])
     if not rows:
         return None
-    x = np.concatenate([np.frombuffer(r[1], dtype=np.float32).reshape(-1, FEATURES) for r in rows]).astype(np.float64)
+    x = np.concatenate([np.frombuffer(r[1], dtype=np.float32).reshape(-1, FEATURES) for r in rows])
     y = np.concatenate([np.frombuffer(r[2], dtype=np.int8) for r in rows]).astype(np.float64)
-    return fit(x, y)
+    model = fit(x, y)
+    return model if np.isfinite(model.cut).any() else None
 
 
 def extract(pages: DataFrame, model: Trees | None, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """(id_col, *keep, text, n_chars): the content blocks of each whole page, joined by two line feeds.
 
     Null and empty pages give an empty text; null ids, repeated rows and empty tables are allowed; columns but those
-    named are ignored. Without a model blocks are told by their landmarks alone (none: content).
+    named are ignored. Without a model blocks are told by their landmarks alone (see by_landmarks).
     """
     cols = [id_col, *keep]
     names = [f"own_{i}" for i in range(len(cols))]
@@ -100,8 +109,7 @@ def extract(pages: DataFrame, model: Trees | None, id_col: str = "page_id", html
         model = pickle.loads(shared.value)
         found = [Page(s or "") for s in sources]
         if model is None:
-            labels = [p.weak_labels() for p in found]
-            return ["\n\n".join(t for v, t, _ in p.blocks if label[v] != 0) for p, label in zip(found, labels)]
+            return ["\n\n".join(by_landmarks(p)) for p in found]
         figures = [p.features() for p in found]
         odds = model.log_odds(np.array([f for page in figures for f in page], dtype=np.float32).astype(np.float64)).tolist()
         out, at = [], 0
@@ -110,14 +118,15 @@ def extract(pages: DataFrame, model: Trees | None, id_col: str = "page_id", html
             at += len(f)
         return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 128):
-                part = b.iloc[at : at + 128]
-                text = texts(part["html"].tolist())
-                yield part[names].assign(text=text, n_chars=[len(t) for t in text])
+                part = b.slice(at, 128)
+                text = texts(part.column("html").to_pylist())
+                # Columns pass as they came: pandas would round long ids beside a null.
+                yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*names, "text", "n_chars"])
 
-    out = pages.select(*[F.col(c).alias(n) for n, c in zip(names, cols)], F.col(html_col).cast("string").alias("html")).mapInPandas(run, schema)
+    out = pages.select(*[F.col(c).alias(n) for n, c in zip(names, cols)], F.col(html_col).cast("string").alias("html")).mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, cols)], "text", "n_chars")
 
 
@@ -125,7 +134,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     """(id_col, *keep, text, n_chars) of every page, by trees fitted on a bounded sample of the same pages.
 
     Null and empty pages have an empty text, pages without markup are one block; null ids are pages, repeated rows are
-    predicted each, an empty table gives no rows; columns but those named are ignored. Pages are read whole, a node for
+    predicted each, an empty table gives no rows; columns but those named are ignored. Where the pages have too few
+    labelled nodes for any split (a table of a page or two), landmarks alone tell the text. Pages are read whole, a node for
     each element whatever the depth and the number of siblings, so memory follows the longest page.
     """
     return extract(pages, train(pages, html_col, id_col), id_col, html_col, keep)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 BUCKETS, SMOOTHING, OVERLAP = 1 << 17, 0.05, 3.0
 #: Bytes looked at together; rounds of EM over all languages and over a smaller set.
 SLICE, ROUNDS, SET_ROUNDS = 1 << 20, 10, 5
-LETTER = re.compile(r"[^\W\d_]")
+ALPHANUMERIC = re.compile(r"[^\W\d_]+")
 _TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
@@ -25,6 +26,11 @@ def plain(text: str) -> bytes:
     return unicodedata.normalize("NFC", text.lower()).encode("utf-8", "replace").translate(_TO_SPACE)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the letter category is in it; numerals such as a half or a Roman eight are none."""
+    return any(any(map(str.isalpha, m[0])) for m in ALPHANUMERIC.finditer(text))
+
+
 def slices(raw: bytes) -> Iterator[bytes]:
     """raw in parts of about SLICE bytes, cut at spaces where there are any."""
     at = 0
@@ -137,7 +143,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     def predict(texts: list) -> tuple[list, list, list]:
         table, parts, owner = shared.value, [], []
         for i, t in enumerate(texts):
-            if t and languages and LETTER.search(t):
+            if t and languages and has_letter(t):
                 for part in slices(plain(t)):
                     parts.append(part)
                     owner.append(i)
@@ -159,9 +165,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 sets[i] = " ".join(f"{languages[k]}:{s[k]:.3f}" for k in np.argsort(-s) if s[k] > 0)
         return pred, score, sets
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b["text" if at is None else names[at]].tolist()
+            texts = b.column("text" if at is None else names[at]).to_pylist()
             cut, chars = [0], 0
             for i, t in enumerate(texts):
                 chars += len(t or "")
@@ -170,10 +176,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                     chars = 0
             for a, z in zip(cut, cut[1:]):
                 pred, score, sets = predict(texts[a:z])
-                yield b.iloc[a:z][names].assign(lang_pred=pred, score=score, languages=sets)
+                # Columns pass as they came: pandas would round long ids beside a null.
+                own = [b.column(n).slice(a, z - a) for n in names]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], [*names, "lang_pred", "score", "languages"])
 
     source = docs.toDF(*names) if keep else docs.select(F.col(id_col).alias(names[0]), F.col(text_col).alias("text"))
-    out = source.mapInPandas(run, schema)
+    out = source.mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, own)], "lang_pred", "score", "languages")
 
 

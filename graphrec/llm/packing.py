@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,28 +110,29 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, id_col:
     """
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder.of(vocabulary)
+        names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("id", "piece", "start", "length", "crc", "ids")}
+            rows, out = [], [[] for _ in names[1:]]
             for at in range(0, len(b), 64):
-                part = b.iloc[at : at + 64]
-                for doc, ids in zip(part["id"], encoder.encode([t or "" for t in part["text"]])):
+                texts = b.column("text").slice(at, 64).to_pylist()
+                for i, ids in enumerate(encoder.encode([t or "" for t in texts])):
                     ids = np.array([*ids, end_id], dtype="<u4")
                     first = (len(ids) - 1) % capacity + 1
                     cuts = [0, *range(first, len(ids) + 1, capacity)]
                     for piece, (a, z) in enumerate(zip(cuts, cuts[1:])):
-                        for c, v in (("id", doc), ("piece", piece), ("start", a), ("length", z - a), ("crc", zlib.crc32(ids[a:z].tobytes()))):
-                            out[c].append(v)
-                        if with_ids:
-                            out["ids"].append(ids[a:z].astype("int32"))
-            frame = pd.DataFrame({id_col: pd.array(out["id"], dtype=object), "piece": out["piece"], "start": out["start"], "length": out["length"], "ids_crc32": out["crc"]})
-            yield frame.assign(ids=out["ids"]) if with_ids else frame
+                        rows.append(at + i)
+                        for c, v in zip(out, (piece, a, z - a, zlib.crc32(ids[a:z].tobytes()), ids[a:z].astype("int32"))):
+                            c.append(v)
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            # Ids pass as they came: pandas would round long ones beside a null.
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows, pa.int64())), *[pa.array(c, k) for c, k in zip(out, kinds)]], names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def fullest(counts: dict[int, int], capacity: int, slack: int = 0) -> list[tuple[int, int]]:
@@ -206,12 +207,13 @@ def pack(pieces: DataFrame, capacity: int = 1024, rows_per_bucket: int = 5_000)
             offset += n * length
         sequence += bins
     tables = {k: np.array(v, dtype=np.int64) for k, v in by.items()}
+    own = pieces.columns
     rows = numbered(pieces, ["length"], [pieces.columns[0], "piece", "ids_crc32"], "_k", rows_per_bucket)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k, length = b["_k"].to_numpy(), b["length"].to_numpy()
+            k, length = b.column("_k").to_numpy(), b.column("length").to_numpy()
             sequence_id, offset = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
             for one in np.unique(length):
                 at = np.flatnonzero(length == one)
@@ -219,9 +221,9 @@ def pack(pieces: DataFrame, capacity: int = 1024, rows_per_bucket: int = 5_000)
                 s = t[np.searchsorted(t[:, 0], k[at], side="right") - 1]
                 since = k[at] - s[:, 0]
                 sequence_id[at], offset[at] = s[:, 2] + since // s[:, 1], s[:, 3] + since % s[:, 1] * one
-            yield b.drop(columns="_k").assign(sequence_id=sequence_id, offset=offset)
+            yield pa.RecordBatch.from_arrays([*map(b.column, own), pa.array(sequence_id), pa.array(offset)], [*own, "sequence_id", "offset"])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def packed_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 5_000) -> DataFrame:

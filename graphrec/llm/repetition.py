@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +95,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_fraction double, longest_repeat long"
 
-    def figures(ids: list, texts: list[str]) -> pd.DataFrame:
+    def figures(texts: list[str]) -> dict[str, np.ndarray]:
         number: defaultdict = defaultdict(count().__next__)
         rows, words, sizes = [], [], []
         for t in texts:
@@ -112,27 +112,24 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         in_windows, in_repeats = total(covered(np.minimum(length, WINDOW), WINDOW)), total(covered(length, min_repeat))
         longest = np.zeros(len(texts), dtype=np.int64)
         np.maximum.at(longest, text, length)
-        f = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines"], dtype="int64")
-        f.insert(0, id_col, pd.array(ids, dtype=object))
-        f["n_repeat_words"] = in_windows
-        f["base_failed"] = (f.n_words < min_words) | (100 * in_windows > max_window_percent * f.n_words)
-        f["covered_fraction"] = in_repeats / np.maximum(sizes, 1)
-        f["longest_repeat"] = longest
-        f["kept"] = ~f.base_failed & (f.covered_fraction <= max_covered) & (longest <= max_longest)
-        return f
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base = np.array(rows, dtype=np.int64).reshape(-1, 4)
+        failed = (base[:, 0] < min_words) | (100 * in_windows > max_window_percent * base[:, 0])
+        share = in_repeats / np.maximum(sizes, 1)
+        kept = ~failed & (share <= max_covered) & (longest <= max_longest)
+        return dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines"), base.T)) | {"n_repeat_words": in_windows, "base_failed": failed, "kept": kept, "covered_fraction": share, "longest_repeat": longest}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts, chars = [], [], 0
-            for doc, t in zip(b["id"], b["text"]):
-                ids.append(doc)
+            texts, chars, at = [], 0, 0
+            every = b.column("text").to_pylist()
+            for i, t in enumerate(every):
                 texts.append(t or "")
                 chars += len(texts[-1])
-                if chars > 6 * BATCH_WORDS:
-                    yield figures(ids, texts)
-                    ids, texts, chars = [], [], 0
-            if ids:
-                yield figures(ids, texts)
+                if chars > 6 * BATCH_WORDS or i == len(every) - 1:
+                    found = figures(texts)
+                    # Ids pass as they came: pandas would round long ones beside a null.
+                    yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(texts)), *[pa.array(np.ascontiguousarray(found[c])) for c in names[1:]]], names)
+                    at, texts, chars = i + 1, [], 0
 
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(lambda it: (f[names] for f in run(it)), schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
