@@ -8,21 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, which driver and executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or else the folder that setCheckpointDir() made: what driver and executors share.
 
-    Only where all tasks run in the driver's own process (master local[...]) and the session has no such setting is a
-    temporary folder made and set; on a cluster that is an error, as no other machine would see the folder.
+    Only where all tasks run in the driver's own process (master local[...]) and the session has neither, a temporary
+    folder is made and set; on a cluster that is an error, as no other machine would see the folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError(f"spark.checkpoint.dir is not set, and {master} has no folder of its own that all executors see")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-work-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is not set, and {sc.master} has no folder of its own that all executors see")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-work-')}")
+        base = sc.getCheckpointDir()
+    return base.rstrip("/")
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -58,7 +62,7 @@ def dropped(*tables: DataFrame) -> None:
     """Removes the files of tables that written() made and that nothing reads any more."""
     for df in tables:
         spark = df.sparkSession
-        base = spark.conf.get("spark.checkpoint.dir").rstrip("/")
+        base = shared_folder(spark)
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if base.split(":", 1)[-1].lstrip("/") not in folder:
                 raise ValueError(f"{folder} is not under {base}")

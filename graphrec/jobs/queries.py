@@ -544,7 +544,7 @@ def encode_input(s, sf):
 
 @query()
 def encode_text(s, sf):
-    return text.encode_text(text.nonblank_text(_cleaned(s, sf), "text_clean"), text.hashed_ngrams()).select("item_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+    return text.encode_text(text.nonblank_text(_cleaned(s, sf), "text_clean"), text.hashed_ngrams).select("item_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS item_id, length(p_type || ' ' || p_brand) AS desc_len FROM part")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import argparse
 import importlib
+from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,20 +73,25 @@ def grid_job(spark: SparkSession, log: str, out: str, p: Params, run_id: str, di
     writers.write_grid(results, ranking.grid_best(results), f"{out}/grid/{run_id}", p.k)
 
 
+def _named_encoder(name: str) -> Callable[[list[str]], np.ndarray]:
+    """The function module:function, or an object of module:Class."""
+    module, _, what = name.partition(":")
+    found = getattr(importlib.import_module(module), what)
+    return found() if isinstance(found, type) else found
+
+
 def items_job(spark: SparkSession, items: str, graph_vectors: str, out: str, p: Params, run_id: str, encoder: str | None = None) -> None:
     """Cleaned texts, their vectors, and fused recommendations for every item that has both kinds of vectors.
 
-    encoder: module:function that takes a list of texts and gives an array, a row a text; hashed n-grams by default.
+    encoder: module:function that takes a list of texts and gives an array, a row a text, or module:Class of which a
+    worker makes one and calls it so; hashed n-grams by default.
     graph_vectors: a table of vectors, or the folder of its runs, of which the newest counts.
     """
     d = readers.read_items(spark, items).withColumn("text_raw", text.build_text(F.col("title"), F.col("description")))
     d = d.withColumn("text_clean", text.clean_text(F.col("text_raw"), lower=True))
     d = text.min_word_filter(d.withColumn("wc", text.word_count(F.col("text_clean"))), p.min_words)
     writers.write_clean_text(d, f"{out}/texts/{run_id}")
-    given = text.hashed_ngrams(p.dim)
-    if encoder:
-        module, _, name = encoder.partition(":")
-        given = getattr(importlib.import_module(module), name)
+    given = partial(_named_encoder, encoder) if encoder else partial(text.hashed_ngrams, p.dim)
     encoded = text.encode_text(text.encode_input(d, ["text_clean"]), given, batch=p.encode_batch, normalize=not p.raw_vectors)
     writers.write_embeddings(encoded.withColumn("item_id", F.col("item_id").cast("long")), f"{out}/text_vectors/{run_id}")
     t, g = spark.read.parquet(f"{out}/text_vectors/{run_id}"), _vectors(spark, graph_vectors)

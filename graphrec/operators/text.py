@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -183,18 +185,32 @@ def hashed_ngrams(dim: int = 64, n: int = 3, slice_bytes: int = 1 << 18) -> Call
     return encode
 
 
-def encode_text(d: DataFrame, encoder: Callable[[list[str]], np.ndarray], id_col: str = "item_id", col: str = "text_clean", batch: int = 256, normalize: bool = True) -> DataFrame:
-    """(item_id, embedding) by a pluggable encoder of lists of texts; texts of like length meet in a batch."""
-    kind = d.schema[id_col].dataType.simpleString()
+_ENCODERS: dict[bytes, Callable[[list[str]], np.ndarray]] = {}
+
+
+def encode_text(d: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], id_col: str = "item_id", col: str = "text_clean", batch: int = 256, normalize: bool = True) -> DataFrame:
+    """(item_id, embedding) by a pluggable encoder of lists of texts; texts of like length meet in a batch.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f = f.sort_values(col, key=lambda s: s.str.len(), kind="stable")
-            for at in range(0, len(f), batch):
-                part = f.iloc[at : at + batch]
-                v = np.asarray(encoder(part[col].tolist()), dtype=np.float32)
+    encoder: makes the encoder, in each worker process once, so that a large model is neither sent with every task nor
+    loaded anew. Ids of whatever type pass as they are; a null text is an empty one.
+    """
+    kind = d.schema[id_col].dataType.simpleString()
+    key = uuid.uuid4().bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[key] = encoder()
+        encode = _ENCODERS[key]
+        for b in batches:
+            texts, ids = b.column(1).to_pylist(), b.column(0)
+            order = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""))
+            for at in range(0, len(order), batch):
+                some = order[at : at + batch]
+                v = np.asarray(encode([texts[i] or "" for i in some]), dtype=np.float32)
                 if normalize:
                     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                yield pd.DataFrame({id_col: part[id_col], "embedding": list(v)})
+                # Ids pass as they came: pandas would round long ones beside a null.
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(some, pa.int64())), pa.array(list(v), pa.list_(pa.float32()))], [id_col, "embedding"])
 
-    return d.select(id_col, col).mapInPandas(run, f"{id_col} {kind}, embedding array<float>")
+    return d.select(id_col, col).mapInArrow(run, f"`{id_col}` {kind}, embedding array<float>")

@@ -79,11 +79,20 @@ def test_build_text(spark):
 
 def test_encoder_gives_unit_vectors(spark):
     d = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(50)], "item_id long, text_clean string")
-    out = text.encode_text(d, text.hashed_ngrams(16), batch=7)
+    out = text.encode_text(d, lambda: text.hashed_ngrams(16), batch=7)
     norms = [r[0] for r in out.select(vectors.vector_norm(F.col("embedding"))).collect()]
     assert len(norms) == 50 and np.allclose(norms, 1, atol=1e-5)
 
 
+def test_encoding_keeps_ids_and_texts_together(spark):
+    big = 2**53 + 1
+    rows = [(big, "aa"), (None, "b"), (big + 2, "cccc"), (7, None)]
+    lengths = lambda: lambda texts: np.array([[len(t), 1] for t in texts])
+    d = spark.createDataFrame(rows, "item_id long, text_clean string").coalesce(1)
+    got = text.encode_text(d, lengths, batch=2, normalize=False).collect()
+    assert {r["item_id"]: r["embedding"][0] for r in got} == {big: 2, None: 1, big + 2: 4, 7: 0} and len(got) == 4
+
+
 def test_encoder_counts_the_whole_text():
     import zlib
 
