@@ -826,6 +826,13 @@ def target_rank(s, sf):
     return ranking.target_rank(_top50(s, sf), split.leave_last_out(a.events(s, sf)))
 
 
+@query(f"WITH {RANKED} SELECT t.client_id, t.item_id, rank FROM test AS t LEFT JOIN top USING (client_id, item_id)")
+def target_ranks(s, sf):
+    """Exact places beyond any list's end."""
+    e = a.events(s, sf)
+    return ranking.target_ranks(a.user_vectors(s, sf), a.item_vectors(s, sf), split.leave_last_out(e), split.train_minus_last(e))
+
+
 @query(f"WITH {RANKED} SELECT client_id, item_id, round(1 / log2(rank + 1), 6) AS gain FROM top WHERE rank <= 50")
 def ndcg_gain(s, sf):
     return _top50(s, sf).select("client_id", "item_id", F.round(1.0 / F.log2(F.col("rank") + 1.0), 6).alias("gain"))

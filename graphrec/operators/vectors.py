@@ -1,16 +1,12 @@
-"""Vectors: arithmetic as expressions, exact block top-k, late and two-stage fusion."""
+"""Vectors: arithmetic as expressions, late and two-stage fusion by exact search."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import dropped, work_dir, written
+from ..functions.lineage import dropped, written
+from .grid import block_topk
 
 EPS = 1e-12
 
@@ -72,89 +68,6 @@ def require_rows(d: DataFrame, message: str) -> DataFrame:
     return d
 
 
-def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, columns) of the k largest finite scores of each row, ties to the first columns."""
-    if score.shape[1] > k:
-        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None]
-        i, j = np.nonzero((score >= least) & (score > -np.inf))
-    else:
-        i, j = np.nonzero(score > -np.inf)
-    order = np.lexsort((j, -score[i, j], i))
-    i, j = i[order], j[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i)
-    return i[place < k], j[place < k]
-
-
-def block_topk(queries: DataFrame, items: DataFrame, k: int, parts: tuple[float, ...] = (1.0,), *, exclude_same_id: bool = False, masked: DataFrame | None = None, at_once: int = 4096, block: int = 4096, tile: int = 256) -> DataFrame:
-    """(query_id, rank, item_id, score, part_0, part_1...): exact top-k by weighted sums of dot products.
-
-    queries: query_id, vecs (an array of one vector a part); items: item_id, vecs; masked: (query_id, item_id) pairs that
-    take no part. Rows with a null id or vector take none either. Both sides are written once; then queries go round by
-    round, about at_once of them broadcast at a time, and items are read in place. A task scores `block` items by `tile`
-    queries at a time, and passes on only rows that are among the k best it has seen for their query; these meet by query.
-    In a round an item carries the numbers of the round's queries that mask it, at_once at most. Scores rank by their first
-    9 decimals, so that equal vectors tie wherever they lie; ties go to the smaller id.
-    """
-    spark = queries.sparkSession
-    whole = lambda d, c: d.filter(F.col(c).isNotNull() & F.coalesce(F.forall("vecs", lambda v: v.isNotNull()), F.lit(False)))
-    q = written(whole(queries.select("query_id", "vecs"), "query_id"), "topk-queries")
-    d = written(whole(items.select("item_id", "vecs"), "item_id"), "topk-items")
-    kind, id_kind = q.schema["query_id"].dataType.simpleString(), d.schema["item_id"].dataType.simpleString()
-    schema = f"query_id {kind}, item_id {id_kind}, score double, " + ", ".join(f"part_{i} double" for i in range(len(parts)))
-    rounds, path = max(1, math.ceil(1.25 * q.count() / at_once)), work_dir(spark, "topk")
-    round_of = F.pmod(F.xxhash64("query_id"), F.lit(rounds))
-    hidden = None if masked is None else written(masked.select("query_id", "item_id").distinct(), "topk-masked")
-    for r in range(rounds):
-        rows = q.filter(round_of == r).collect()
-        if not rows and r < rounds - 1:
-            continue
-        ids = [x["query_id"] for x in rows]
-        mats = [np.array([x["vecs"][p] for x in rows], dtype=np.float64) for p in range(len(parts))] if rows else []
-        shared = spark.sparkContext.broadcast((ids, mats))
-        here = d.withColumn("hides", F.array().cast("array<int>"))
-        if hidden is not None and rows:
-            numbers = spark.createDataFrame(list(enumerate(ids)), f"number int, query_id {kind}")
-            by_item = hidden.filter(round_of == r).join(F.broadcast(numbers), "query_id").groupBy("item_id").agg(F.collect_list("number").alias("hides"))
-            here = d.join(by_item, "item_id", "left")
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, mats = shared.value
-            number = {x: i for i, x in enumerate(ids)}
-            names = np.array(ids, dtype=object)
-            best = np.full((len(ids), k), -np.inf)
-            for f in frames:
-                for at in range(0, len(f) if ids else 0, block):
-                    part = f.iloc[at : at + block].sort_values("item_id", kind="stable")
-                    own = part["item_id"].to_numpy()
-                    vecs = [np.array([v[p] for v in part["vecs"]], dtype=np.float64).T for p in range(len(parts))]
-                    hides = [np.zeros(0, dtype=np.int64) if some is None else np.asarray(some, dtype=np.int64) for some in part["hides"]]
-                    if exclude_same_id:
-                        hides = [np.append(some, number[x]) if x in number else some for x, some in zip(own, hides)]
-                    hides = np.stack([np.concatenate(hides), np.repeat(np.arange(len(own)), [len(x) for x in hides])], axis=1)
-                    hides = hides[np.argsort(hides[:, 0], kind="stable")]
-                    for a in range(0, len(ids), tile):
-                        dots = [m[a : a + tile] @ v for m, v in zip(mats, vecs)]
-                        score = sum(w * x for w, x in zip(parts, dots))
-                        ranked = np.round(score, 9)
-                        x, z = np.searchsorted(hides[:, 0], (a, a + tile))
-                        ranked[hides[x:z, 0] - a, hides[x:z, 1]] = -np.inf
-                        i, j = _best(ranked, k)
-                        found = ranked[i, j]
-                        # The k best so far, these among them, tell which of these can still matter.
-                        new = np.full((len(score), k), -np.inf)
-                        new[i, np.arange(len(i)) - np.searchsorted(i, i)] = found
-                        best[a : a + tile] = np.sort(np.concatenate([best[a : a + tile], new], axis=1), axis=1)[:, k:]
-                        may = found >= best[a + i, 0]
-                        i, j = i[may], j[may]
-                        yield pd.DataFrame({"query_id": names[a + i], "item_id": own[j], "score": score[i, j]} | {f"part_{p}": x[i, j] for p, x in enumerate(dots)})
-
-        here.select("item_id", "vecs", "hides").mapInPandas(run, schema).write.mode("append").parquet(path)
-    dropped(q, d, *([] if hidden is None else [hidden]))
-    found = spark.read.schema(schema).parquet(path)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def fusion_recommend(text: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, alpha: float = 0.5) -> DataFrame:
     """Exact late fusion: (query_item_id, rank, item_id, score, sim_text, sim_graph) for query ids in both sets."""
     both = align_vectors(text, graph).select("item_id", F.array(l2_normalize(F.col("graph_vec")), l2_normalize(F.col("text_vec"))).alias("vecs"))
@@ -215,6 +128,8 @@ def resolve_query_ids(queries: DataFrame, text: DataFrame, graph: DataFrame) ->
 
 def two_stage_recommend(text: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, top_m: int = 200, alpha: float = 0.5, metric: str = "cosine") -> DataFrame:
     """Top-m of each collection, united, -1 where one lacks an item, fused, first k."""
-    ids = resolve_query_ids(queries, text, graph).select("item_id").distinct()
-    t, g = (topm_candidates(ids.join(one_vector_per_id(c), "item_id"), one_vector_per_id(c), top_m, metric) for c in (text, graph))
+    text, graph = (written(one_vector_per_id(c), "two-stage-vectors") for c in (text, graph))
+    ids = written(resolve_query_ids(queries, text, graph).select("item_id").distinct(), "two-stage-ids")
+    t, g = (topm_candidates(ids.join(c, "item_id"), c, top_m, metric) for c in (text, graph))
+    dropped(text, graph, ids)
     return two_stage_topk(fuse_candidates(t, g, alpha), k)

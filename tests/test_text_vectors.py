@@ -128,7 +128,7 @@ def test_topk_matches_numpy_whatever_the_partitions(spark):
         for n in (1, 6):
             got = vectors.topm_candidates(d.repartition(n), d.repartition(n), 5, metric).orderBy("query_item_id", "rank").collect()
             assert {i: [r["item_id"] for r in got if r["query_item_id"] == i] for i in range(120)} == want
-    few = vectors.block_topk(d.select(F.col("item_id").alias("query_id"), F.array("embedding").alias("vecs")), d.select("item_id", F.array("embedding").alias("vecs")), 3, at_once=10, block=16)
+    few = vectors.block_topk(d.select(F.col("item_id").alias("query_id"), F.array("embedding").alias("vecs")), d.select("item_id", F.array("embedding").alias("vecs")), 3, query_block=10, item_block=16)
     assert few.count() == 360
 
 

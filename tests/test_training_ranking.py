@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphrec.operators import graph, lightgcn, ranking, sampling, split, vectors
+from graphrec.operators import graph, grid, lightgcn, ranking, sampling, split, vectors
 
 PAIRS = [("a", "x", 1.0), ("a", "y", 3.0), ("b", "y", 2.0), ("c", "x", 1.0), ("c", "z", 1.0)]
 
@@ -134,10 +134,68 @@ def test_topk_masks_where_it_scores(spark):
     want = {(f"c{a}", n + 1, f"k{b:02}") for a in range(40) for n, b in enumerate([b for b in np.lexsort((np.arange(90), -score[a])) if (f"c{a}", f"k{b:02}") not in known][:5])}
     assert {(x["client_id"], x["rank"], x["item_id"]) for x in got} == want and "c0" not in {x["client_id"] for x in got}
     double = lambda t, c, to: t.select(F.col(c).alias(to), F.array(F.transform("embedding", lambda x: x.cast("double"))).alias("vecs"))
-    small = vectors.block_topk(double(users, "client_id", "query_id"), double(items, "item_id", "item_id"), 5, masked=pairs.withColumnRenamed("client_id", "query_id"), at_once=6, block=8, tile=4)
+    small = vectors.block_topk(double(users, "client_id", "query_id"), double(items, "item_id", "item_id"), 5, masked=pairs.withColumnRenamed("client_id", "query_id"), query_block=6, item_block=8)
     assert {(x["query_id"], x["rank"], x["item_id"]) for x in small.collect()} == want
 
 
+def scored_rows(r, n, m, dim=5):
+    """Vectors of very different norms, some equal, some none, and pairs that take no part."""
+    q, v = r.normal(size=(n, dim)) * r.lognormal(0, 2, size=(n, 1)), r.normal(size=(m, dim)) * r.lognormal(0, 2, size=(m, 1))
+    v[m // 2], v[m // 3], q[1] = v[0], 0.0, 0.0
+    return q, v, {(int(a), int(b)) for a, b in zip(r.integers(0, n, 400), r.integers(0, m, 400))} | {(2, b) for b in range(m)}
+
+
+def grid_frames(spark, q, v, masks):
+    rows = lambda x: [(i, [row.tolist()]) for i, row in enumerate(x)]
+    extra = [(None, [[1.0] * q.shape[1]]), (9000, None), (9001, [None]), (9002, [[float("nan")] * q.shape[1]])]
+    a = spark.createDataFrame(rows(q) + extra, "query_id long, vecs array<array<double>>")
+    b = spark.createDataFrame(rows(v) + extra, "item_id long, vecs array<array<double>>").repartition(3)
+    return a, b, spark.createDataFrame(sorted(masks) + [(None, 1), (77_777, 1), (1, 77_777)], "query_id long, item_id long")
+
+
+@pytest.mark.parametrize(("query_block", "item_block"), [(10_000, 10_000), (7, 16), (50, 40)])
+def test_grid_finds_what_a_loop_finds(spark, monkeypatch, query_block, item_block):
+    q, v, masks = scored_rows(np.random.default_rng(4), 60, 130)
+    a, b, hidden = grid_frames(spark, q, v, masks)
+    got = grid.block_topk(a, b, 7, masked=hidden, query_block=query_block, item_block=item_block).collect()
+    score = np.round(q @ v.T, 9)
+    for i, j in masks:
+        score[i, j] = -np.inf
+    want = {(i, r + 1, int(j)) for i in range(60) for r, j in enumerate([j for j in np.lexsort((np.arange(130), -score[i])) if score[i, j] > -np.inf][:7])}
+    assert {(x["query_id"], x["rank"], x["item_id"]) for x in got} == want and len(got) == len(want) == 59 * 7
+    assert all(x["score"] == pytest.approx(q[x["query_id"]] @ v[x["item_id"]]) == pytest.approx(x["part_0"]) for x in got)
+    own = grid.block_topk(a, b, 3, exclude_same_id=True, query_block=query_block, item_block=item_block).collect()
+    assert len(own) == 180 and all(x["query_id"] != x["item_id"] for x in own)
+    target = np.random.default_rng(1).integers(0, 130, 60)
+    asked = spark.createDataFrame([(i, [q[i].tolist()], int(t), float(q[i] @ v[t])) for i, t in enumerate(target)], "query_id long, vecs array<array<double>>, target long, goal double")
+    ranks = {x["query_id"]: x["rank"] for x in grid.ranks_by_counting(asked, b, masked=hidden, query_block=query_block, item_block=item_block).collect()}
+    goal = np.round((q * v[target]).sum(1), 9)
+    assert ranks == {i: 1 + int(((score[i] > goal[i]) | ((score[i] == goal[i]) & (np.arange(130) < target[i]))).sum()) - int(score[i, target[i]] > goal[i]) for i in range(60)}
+
+
+def test_a_query_meets_only_blocks_that_matter(spark):
+    """Items of one block of large norms and many of small ones: after the first block no cell is left."""
+    v = [(i, [[100.0 - i, 1.0]]) for i in range(20)] + [(i, [[0.001, 0.0]]) for i in range(20, 400)]
+    b = spark.createDataFrame(v, "item_id long, vecs array<array<double>>")
+    a = spark.createDataFrame([(i, [[1.0, float(i)]]) for i in range(5)], "query_id long, vecs array<array<double>>")
+    sides = grid.laid_out(a.withColumn("least", F.lit(50.0)), b, (1.0,), item_block=20)
+    assert len(sides.norms) == 20 and sides.norms == sorted(sides.norms, reverse=True)
+    reach = {r["reach"] for r in sides.queries.select(grid._blocks_to("least", sides.norms)(F.col("norm")).alias("reach")).collect()}
+    assert max(reach) < 4
+    assert {(r["query_id"], r["item_id"]) for r in grid.block_topk(a, b, 2, item_block=20).collect()} == {(i, j) for i in range(5) for j in (0, 1)}
+
+
+def test_searches_without_rows(spark):
+    a = spark.createDataFrame([("a", [[1.0]])], "query_id string, vecs array<array<double>>")
+    b = spark.createDataFrame([(1, [[1.0]])], "item_id long, vecs array<array<double>>")
+    assert [tuple(r)[:3] for r in grid.block_topk(a, b, 2).select("query_id", "rank", "item_id").collect()] == [("a", 1, 1)]
+    assert grid.block_topk(a.limit(0), b, 2).count() == 0 and grid.block_topk(a, b.limit(0), 2).count() == 0
+    q = a.withColumns({"target": F.lit(1).cast("long"), "goal": F.lit(1.0)})
+    assert grid.ranks_by_counting(q, b).first()["rank"] == 1 and grid.ranks_by_counting(q, b.limit(0)).first()["rank"] == 1 and grid.ranks_by_counting(q.limit(0), b).count() == 0
+    with pytest.raises(Exception, match="entries meet"):
+        grid.block_topk(a, spark.createDataFrame([(1, [[1.0, 2.0]])], b.schema), 2).count()
+
+
 def test_positive_samples_follow_weights(spark):
     inter = spark.createDataFrame([(f"c{i}", item, w) for i in range(1500) for item, w in (("x", 1.0), ("y", 3.0))], "client_id string, item_id string, weight double")
     users = inter.select("client_id").distinct()
