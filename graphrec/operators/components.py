@@ -1,12 +1,71 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components: edges contracted within partitions, then alternating large and small stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import dropped, written
 
+#: Edges that a task contracts together.
+TOGETHER = 1 << 21
+
+
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of each of n nodes' components under edges (a, b): larger roots hook onto smaller ones, paths are halved to nothing, until no edge joins two roots."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            above = root[root]
+            if (above == root).all():
+                break
+            root = above
+
+
+def _stars(a: pa.Array, b: pa.Array) -> pa.RecordBatch:
+    """(a, b): each node of some edges and the smallest node of its component among them, which has itself."""
+    coded = pa.chunked_array([a, b]).combine_chunks().dictionary_encode()
+    names = coded.dictionary
+    # Strings in order of their bytes, as Spark has them.
+    order = pc.sort_indices(names.cast(pa.binary()) if pa.types.is_string(names.type) else names).to_numpy()
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    ends = place[coded.indices.to_numpy()]
+    root = roots(ends[: len(a)], ends[len(a) :], len(order))
+    return pa.RecordBatch.from_arrays([names.take(pa.array(order)), names.take(pa.array(order[root]))], ["a", "b"])
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """edges (a, b) with the same components, as stars: each partition's (each TOGETHER of its edges') components, a row a node of these.
+
+    There is no shuffle; a partition gives no more rows than it has nodes, whatever its edges.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        join = lambda c: pa.chunked_array([x.column(c) for x in held]).combine_chunks()
+        for x in batches:
+            held.append(x)
+            if sum(map(len, held)) >= TOGETHER:
+                yield _stars(join(0), join(1))
+                held.clear()
+        if sum(map(len, held)):
+            yield _stars(join(0), join(1))
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbor of a node to the smallest node in its neighborhood."""
@@ -26,32 +85,47 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out
 
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether every larger end has one edge, and no center is a larger end itself."""
-    many = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return many.isEmpty() and edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+def _unfinished(edges: DataFrame) -> DataFrame:
+    """(b): the centers of stars that are no whole component: those that are a larger end themselves, share one with another center, or have one that is a center."""
+    ends = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"))
+    shared = edges.join(ends.filter("n > 1").select("a"), "a", "left_semi").select("b")
+    inner = edges.select("b").join(ends.select(F.col("a").alias("b")), "b", "left_semi")
+    outer = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("b")
+    return shared.unionAll(inner).unionAll(outer).distinct()
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100) -> DataFrame:
     """(node, component) for every end of an edge; component is its smallest node.
 
-    Every round is two map-side minima and two joins over the edges that are left, which become stars around the
-    smallest nodes in a number of rounds that grows with the logarithm of the longest path; a RuntimeError tells if
-    max_rounds did not do. The minima are tables, so a hub is a skewed key of a plain join, which adaptive execution
-    splits. Rounds are written to the shared folder, so the lineage stays short, and removed when the next one stands.
-    Edges with a null end, and loops to other nodes' names, count for nothing but their own node.
+    Edges are contracted twice: within the partitions they are read in, before anything is shuffled, and by their larger
+    end; what is left is a forest of about a row a node and partition. Then rounds of large and small stars make stars
+    around the smallest nodes, in a number of rounds that grows with the logarithm of the longest path; stars that are
+    whole components are laid aside after each round, so a round works on what is unfinished. A RuntimeError tells if
+    max_rounds did not do. Minima are tables, so a hub is a skewed key of a plain join, which adaptive execution splits.
+    Rounds are written to the shared folder, so the lineage stays short, and removed when the next one stands. Edges
+    with a null end, and loops to other nodes' names, count for nothing but their own node.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    given = written(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
-    nodes = written(given.select(F.col("a").alias("node")).unionAll(given.select("b")).distinct(), "cc-nodes")
-    e = given.filter("a <> b")
+    local = written(contracted(e), "cc-local")
+    # A node's own row keeps it where no edge does.
+    stars = written(contracted(local.repartition("a")).distinct(), "cc-stars")
+    dropped(local)
+    given, finished = written(stars.filter("a <> b"), "cc-edges"), []
     for done in range(max_rounds + 1):
-        if _are_stars(e):
+        open_ = written(_unfinished(given), "cc-open")
+        if open_.isEmpty():
+            finished.append(given)
             break
         if done == max_rounds:
             raise RuntimeError(f"components are not found after {max_rounds} rounds")
-        large = _large_star(e)
+        finished.append(written(given.join(open_, "b", "left_anti").select("a", "b"), "cc-finished"))
+        rest = written(given.join(open_, "b", "left_semi").select("a", "b"), "cc-rest")
+        large = _large_star(rest)
         after = _small_star(large)
-        dropped(given, large)
-        e = given = after
-    return nodes.join(e.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        dropped(given, open_, rest, large)
+        given = after
+    found = finished[0]
+    for d in finished[1:]:
+        found = found.unionByName(d)
+    nodes = stars.select(F.col("a").alias("node")).distinct()
+    return nodes.join(found.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -180,3 +180,47 @@ def test_bad_times_are_null(spark):
     d = events.clean_events(spark.createDataFrame([("click", "a", "b", "2024-01-01T00:00:00.5Z"), ("click", "a", "c", "soon")], "event_type string, client_id string, item_id string, timestamp string"))
     assert [r["timestamp"] is None for r in d.orderBy("item_id").collect()] == [False, True]
     assert events.drop_incomplete(d).count() == 1
+
+
+def plain_components(pairs):
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in root}
+
+
+def test_contraction_keeps_components(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    for kind, name in (("long", lambda i: i * 3), ("string", lambda i: f"n{i}é" if i % 3 else f"Z{i}")):
+        pairs = [(name(r.randint(0, 400)), name(r.randint(0, 400))) for _ in range(260)] + [(name(900), name(900))]
+        d = spark.createDataFrame(pairs, f"a {kind}, b {kind}").repartition(4)
+        stars = [tuple(x) for x in components.contracted(d).collect()]
+        nodes = {x for p in pairs for x in p}
+        assert {a for a, _ in stars} == nodes and plain_components(stars) == plain_components(pairs) and len(stars) < 2 * len(pairs)
+        one = dict(map(tuple, components.contracted(d.coalesce(1)).collect()))
+        assert one == plain_components(pairs)
+
+
+def test_stars_that_hang_together_are_not_finished(spark):
+    """Stars whose center is another's leaf, or that share a leaf, are open; whole ones are not."""
+    edges = [(11, 10), (12, 10), (10, 1), (2, 1), (30, 20), (30, 21), (41, 40), (42, 40), (52, 51)]
+    assert {r["b"] for r in components._unfinished(spark.createDataFrame(edges, "a long, b long")).collect()} == {10, 1, 20, 21}
+
+
+def test_components_of_long_paths_and_many_parts(spark):
+    import random
+
+    chain = list(range(300))
+    random.Random(1).shuffle(chain)
+    pairs = list(zip(chain, chain[1:])) + [(1000 + 2 * i, 1001 + 2 * i) for i in range(200)] + [(2000, 2000 + i) for i in range(150)]
+    got = dict(map(tuple, components.connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(6), "a", "b").collect()))
+    assert got == plain_components(pairs)
