@@ -7,13 +7,14 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import dropped, work_dir, written
+from .token_counts import slices
 
 #: Words that a task counts together before anything is shuffled; occurrences that are dealt to one hash bucket.
 TOGETHER, PER_BUCKET = 1 << 20, 1 << 21
@@ -33,8 +34,9 @@ def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
     return d.select("lang", bare.alias("piece")).filter("piece <> ''").groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def _hash(lang: str, word: str) -> int:
-    return xxhash.xxh64_intdigest(f"{lang}\0{word}")
+def _hashes(names: pa.Array) -> np.ndarray:
+    """A number of 64 bits for each string, the same in every process."""
+    return pd.util.hash_array(np.array(names.to_pylist(), dtype=object), categorize=False) if len(names) else np.zeros(0, dtype=np.uint64)
 
 
 def _joined(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -47,77 +49,78 @@ def _bit(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - MAP_BITS.bit_length() + 1)
 
 
-def phrase_hash(lang: str, phrase: str) -> int:
-    """The number under which a phrase is looked up in the map of frequent ones. Others may have it too."""
-    words = phrase.split(" ")
-    h = np.array([_hash(lang, words[0])], dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for w in words[1:]:
-            h = _joined(h, np.array([_hash(lang, w)], dtype=np.uint64))
-    return int(_bit(h)[0])
+def places(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
+    """The number under which each phrase is looked up in the map of frequent ones. Others may have it too."""
+    words = pc.split_pattern(phrases.cast(pa.large_string()), " ")
+    ends = words.offsets.to_numpy()
+    size, word, h = np.diff(ends), _hashes(words.flatten()), _hashes(langs)
+    for k in range(int(size.max(initial=0))):
+        here = np.flatnonzero(size > k)
+        h[here] = _joined(h[here], word[ends[:-1][here] + k])
+    return _bit(h).astype(np.int64)
 
 
-def _grams(langs: list[str], texts: list[str], copies: list[int], n: int, frequent: np.ndarray | None) -> pa.RecordBatch:
-    """(lang, phrase, f): phrases of n words of some pieces, each once, with the copies they occur in summed.
+def _grams(langs: pa.Array, texts: pa.Array, copies: pa.Array, sizes: tuple[int, ...], frequent: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, f): phrases of some numbers of words of some pieces, each once, with the copies they occur in summed.
 
-    frequent: the map of frequent phrases of n - 1 words. A phrase of which a part of n - 1 words is in it for neither
-    itself nor another is infrequent as well, and left out.
+    frequent: the map of frequent phrases of so many words as the shortest has, less one. A phrase with a part of these
+    that is infrequent is infrequent as well, and left out; parts that only share a frequent one's place stay.
     """
-    of_lang = pa.array(langs, pa.string()).dictionary_encode()
-    words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    of_lang = langs.dictionary_encode()
+    words = pc.split_pattern(texts.cast(pa.large_string()), " ")
     ends = words.offsets.to_numpy()
     coded = words.flatten().dictionary_encode()
     size = np.diff(ends)
     piece = np.repeat(np.arange(len(size)), size)
+    word = coded.indices.to_numpy()
     # A word of a language: numbers of both in one, then numbers without gaps.
     lang_of = of_lang.indices.to_numpy()[piece].astype(np.int64)
-    both = pa.array(lang_of * len(coded.dictionary) + coded.indices.to_numpy()).dictionary_encode()
+    both = pa.array(lang_of * len(coded.dictionary) + word).dictionary_encode()
     number, kinds = both.indices.to_numpy().astype(np.int64), both.dictionary.to_numpy()
-    start = np.flatnonzero(np.arange(len(piece)) + n <= ends[1:][piece])
-    if frequent is not None and len(start):
-        lang, word = np.divmod(kinds, max(len(coded.dictionary), 1))
-        names, spelled = of_lang.dictionary.to_pylist(), coded.dictionary.to_pylist()
-        h1 = np.array([_hash(names[a], spelled[b]) for a, b in zip(lang, word)], dtype=np.uint64)[number]
-        h = h1
-        with np.errstate(over="ignore"):
-            for k in range(1, n - 1):
-                h = _joined(h[: len(h1) - k], h1[k:])
+    left = ends[1:][piece] - np.arange(len(piece))  # words from here to the piece's end
+    copies = copies.to_numpy()
+    part = sizes[0] - 1
+    if frequent is not None and len(kinds):
+        lang, spelled = np.divmod(kinds, len(coded.dictionary))
+        one, start = _hashes(coded.dictionary)[spelled][number], _hashes(of_lang.dictionary)[lang][number]
+        h = start
+        for k in range(part):
+            h = _joined(h[: len(one) - k], one[k:])
         bit = _bit(h)
         known = (frequent[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        start = start[known[start] & known[start + 1]]
-    key = number[start]
-    for k in range(1, n):
-        dense = pa.array(key).dictionary_encode().indices.to_numpy().astype(np.int64) if k > 1 else key
-        key = dense * len(kinds) + number[start + k]
-    weight = pa.array(np.array(copies, dtype=np.int64)[piece[start]])
-    summed = pa.table({"key": key, "f": weight, "at": start}).group_by("key", use_threads=False).aggregate([("f", "sum"), ("at", "min")])
-    at = summed["at_min"].to_numpy()
-    word = coded.indices.to_numpy()
-    spelled = [coded.dictionary.take(pa.array(word[at + k])) for k in range(n)]
-    phrase = spelled[0] if n == 1 else pc.binary_join_element_wise(*spelled, pa.scalar(" ", pa.large_string()))
-    lang = of_lang.dictionary.take(pa.array(lang_of[at]))
-    return pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()), summed["f_sum"].combine_chunks().cast(pa.int64())], ["lang", "phrase", "f"])
-
-
-def occurrences(found: DataFrame, n: int, frequent: np.ndarray | None = None) -> DataFrame:
-    """(lang, phrase, f) of phrases of n words, counted within each about TOGETHER words of a task: a phrase has a row for each of these."""
+    for n in sizes:
+        at = np.flatnonzero(left >= n)
+        if frequent is not None and len(at):
+            for k in range(n - part + 1):
+                at = at[known[at + k]]
+        key = number[at]
+        for k in range(1, n):
+            dense = pa.array(key).dictionary_encode().indices.to_numpy().astype(np.int64) if k > 1 else key
+            key = dense * len(kinds) + number[at + k]
+        summed = pa.table({"key": key, "f": copies[piece[at]], "at": at}).group_by("key", use_threads=False).aggregate([("f", "sum"), ("at", "min")])
+        first = summed["at_min"].to_numpy()
+        spelled = [coded.dictionary.take(pa.array(word[first + k])) for k in range(n)]
+        phrase = spelled[0] if n == 1 else pc.binary_join_element_wise(*spelled, pa.scalar(" ", pa.large_string()))
+        lang = of_lang.dictionary.take(pa.array(lang_of[first]))
+        yield pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()), summed["f_sum"].combine_chunks().cast(pa.int64())], ["lang", "phrase", "f"])
+
+
+def occurrences(found: DataFrame, sizes: tuple[int, ...], frequent: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase, f) of phrases of these numbers of words, counted within each about TOGETHER words of a task: a phrase has a row for each of these."""
     shared = None if frequent is None else found.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = None if shared is None else shared.value
-        langs, texts, copies, size = [], [], [], 0
+        held: list[pa.RecordBatch] = []
+        grams = lambda: _grams(*(pa.concat_arrays([b.column(c) for b in held]) for c in range(3)), sizes, frequent)
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in range(3)))
-            for lang, text, m in rows:
-                langs.append(lang)
-                texts.append(text)
-                copies.append(m)
-                size += len(text)
-                if size > 6 * TOGETHER:
-                    yield _grams(langs, texts, copies, n, frequent)
-                    langs, texts, copies, size = [], [], [], 0
-        if texts:
-            yield _grams(langs, texts, copies, n, frequent)
+            for a, z in slices(b.column(1), 6 * TOGETHER):
+                held.append(b.slice(a, z - a))
+                if sum(x.column(1).nbytes for x in held) > 6 * TOGETHER:
+                    yield from grams()
+                    held.clear()
+        if held:
+            yield from grams()
 
     return found.select("lang", "piece", "copies").mapInArrow(run, "lang string, phrase string, f long")
 
@@ -143,8 +146,7 @@ def counted(rows: DataFrame, least: int, buckets: int, spill: str) -> DataFrame:
             bucket = pa.RecordBatchReader.from_batches(schema, (pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in batches))  # noqa: F841  read by name
             found = db.sql(f"SELECT lang, phrase, CAST(sum(f) AS BIGINT) AS f FROM bucket GROUP BY lang, phrase HAVING sum(f) >= {int(least)}")
             for b in found.to_arrow_reader(1 << 16):
-                place = [phrase_hash(*x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.string()), b.column(2), pa.array(place, pa.int64())], ["lang", "phrase", "f", "place"])
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.string()), b.column(2), pa.array(places(b.column(0), b.column(1)))], ["lang", "phrase", "f", "place"])
         finally:
             db.close()
             if own and os.path.isdir(own):
@@ -166,8 +168,8 @@ def frequent_map(found: DataFrame) -> np.ndarray:
 def frequent_phrases(found: DataFrame, least: int, longest: int, n_words: int) -> DataFrame:
     """(lang, phrase, words, f): all phrases of up to `longest` words that occur `least` times in `found`, a table of pieces.
 
-    Longer phrases are counted after shorter ones, and only where both parts that lack an end word may be frequent, as
-    every part of a frequent phrase is. What may be is told by a map of fixed size: where the frequent phrases outgrow
+    Words are counted first, then pairs of frequent words, then all longer phrases whose pairs are frequent, as every
+    part of a frequent phrase is. What may be frequent is told by a map of fixed size: where the frequent phrases outgrow
     it, more phrases are counted, and the result is the same.
     """
     spark = found.sparkSession
@@ -175,11 +177,11 @@ def frequent_phrases(found: DataFrame, least: int, longest: int, n_words: int) -
     spill = re.sub("^file:(//)?", "", folder) if folder.startswith(("file:", "/")) else None
     buckets = max(math.ceil(n_words / PER_BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions")))
     out, frequent = None, None
-    for n in range(1, longest + 1):
-        level = written(counted(occurrences(found, n, frequent), least, buckets, spill), f"phrases-{n}")
-        if n < longest:
+    for sizes in filter(None, ((1,), (2,)[: longest - 1], tuple(range(3, longest + 1)))):
+        level = written(counted(occurrences(found, sizes, frequent), least, buckets, spill), f"phrases-{sizes[0]}")
+        if sizes[-1] < longest:
             frequent = frequent_map(level)
-        level = level.select("lang", "phrase", F.lit(n).alias("words"), "f")
+        level = level.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f")
         out = level if out is None else out.unionByName(level)
     return out
 
@@ -245,6 +247,6 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
     totals = written(found.groupBy("lang").agg(F.sum((F.length("piece") - F.length(F.replace("piece", F.lit(" "), F.lit(""))) + 1) * F.col("copies")).alias("n"), F.sum(F.length("piece") - F.length(F.replace("piece", F.lit(" "), F.lit(""))) + 1).alias("words")), "phrase-totals")
     phrases = frequent_phrases(found, least, longest, totals.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0])
     kept = written(without_contained(scored(phrases), phrases, percent), "phrase-scores")
-    dropped(found)
+    dropped(found, phrases)
     ranked = first_of_each(kept, top, kept.count())
     return ranked.join(totals.select("lang", "n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

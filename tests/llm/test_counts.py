@@ -87,17 +87,17 @@ def test_first_rows_come_from_buckets_as_from_all(spark, monkeypatch):
 
 def test_a_map_leaves_out_no_frequent_phrase(spark):
     langs, texts, copies = zip(*[(lang or "und", " ".join((t or "").lower().split()) or "x", i % 3 + 1) for i, (t, lang) in enumerate(small_texts())])
-    count = lambda n, m: {(b["lang"], b["phrase"]): b["f"] for b in phrases._grams(list(langs), list(texts), list(copies), n, m).to_pylist()}
-    for n in (2, 3, 4):
-        whole, shorter = count(n, None), count(n - 1, None)
+    arrays = (pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(copies, pa.int64()))
+    count = lambda sizes, m: {(r["lang"], r["phrase"]): r["f"] for b in phrases._grams(*arrays, sizes, m) for r in b.to_pylist()}
+    for sizes in ((2,), (3,), (4,), (3, 4)):
+        whole, shorter = count(sizes, None), count((sizes[0] - 1,), None)
         bits = np.zeros(phrases.MAP_BITS // 8, dtype=np.uint8)
-        for (lang, p), f in shorter.items():
-            if f >= 5:
-                at = phrases.phrase_hash(lang, p)
-                bits[at >> 3] |= 1 << (at & 7)
-        some = count(n, bits)
+        often = [k for k, f in shorter.items() if f >= 5]
+        for at in phrases.places(*(pa.array(c, pa.string()) for c in zip(*often))):
+            bits[at >> 3] |= 1 << (at & 7)
+        some = count(sizes, bits)
         assert some.items() <= whole.items() and {k for k, f in whole.items() if f >= 5} <= set(some)
-        assert len(some) < len(whole) and count(n, np.full_like(bits, 255)) == whole
+        assert len(some) < len(whole) and count(sizes, np.full_like(bits, 255)) == whole
 
 
 def test_a_bucket_is_summed_out_of_core(spark, tmp_path):
