@@ -67,3 +67,21 @@ def dropped(*tables: DataFrame) -> None:
             if base.split(":", 1)[-1].lstrip("/") not in folder:
                 raise ValueError(f"{folder} is not under {base}")
             remove(spark, folder)
+
+
+def bucketed(df: DataFrame, key: str, name: str, buckets: int) -> DataFrame:
+    """df as a table in the shared folder, in buckets by key and sorted within them: joins on key and sums by it do not move its rows."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table).alias(table)
+
+
+def unbucketed(df: DataFrame) -> None:
+    """Removes what bucketed() made."""
+    folder = df.inputFiles()
+    spark, path = df.sparkSession, (folder[0].rsplit("/", 1)[0] if folder else None)
+    if path:
+        spark.sql(f"DROP TABLE IF EXISTS `{path.rsplit('/', 1)[1].replace('-', '_')}`")
+        dropped(df)

@@ -67,7 +67,11 @@ def trained_in_memory(pairs, dim, layers, epochs, lr, seed=42):
         e, g, loss, batch = p @ x, np.zeros_like(x), [], []
         for u in users:
             met = {i: w for a, i, w in pairs if a == u}
-            pos = min(met, key=lambda i: (-math.log(even(seed, epoch, 0, u, i)) / met[i], i))
+            at, upto = even(seed, epoch, 0, u, "pos") * sum(met.values()), 0.0
+            for pos in sorted(met):
+                upto += met[pos]
+                if upto > at:
+                    break
             draws = (items[int(even(seed, epoch, 0, "neg", u, k) * len(items))] for k in range(512))
             batch.append([nodes.index(n) for n in (f"u:{u}", f"i:{pos}", f"i:{next(i for i in draws if i not in met)}")])
         for a, b, c in batch:
@@ -97,6 +101,71 @@ def test_training_against_matrices_and_its_loss_falls(spark):
     assert seen[0]["loss"] > seen[-1]["loss"] + 0.01
 
 
+def test_configurations_together_are_those_alone(spark):
+    r = np.random.default_rng(3)
+    pairs = [(f"c{u}", f"k{i}", float(r.integers(1, 4))) for u in range(7) for i in sorted(r.choice(9, 3, replace=False))]
+    inter = spark.createDataFrame(pairs, "client_id string, item_id string, weight double")
+    configs = [lightgcn.Config(2, 1, 1), lightgcn.Config(4, 2, 2), lightgcn.Config(4, 1, 1)]
+    many = lightgcn.lightgcn_train_many(inter, configs, epochs=2, lr=0.05)
+    for i, c in enumerate(configs):
+        one = lightgcn.lightgcn_train(inter, dim=c.dim, layers=c.layers, neg_per_pos=c.neg, epochs=2, lr=0.05)
+        for a, b, name in ((many[i].users, one.users, "client_id"), (many[i].items, one.items, "item_id")):
+            x, y = ({r[name]: r["embedding"] for r in d.collect()} for d in (a, b))
+            assert x.keys() == y.keys() and all(len(v) == c.dim and np.allclose(v, y[k], atol=1e-6) for k, v in x.items())
+        assert [tuple(r) for r in many[i].losses.orderBy("step").collect()] == [pytest.approx(tuple(r)) for r in one.losses.orderBy("step").collect()]
+    asked = []
+    half = lightgcn.lightgcn_train_many(inter, configs, epochs=3, lr=0.05, survivors=lambda epoch, found: asked.append((epoch, sorted(found))) or {0: {0, 2}, 1: {2}}[epoch])
+    assert asked == [(0, [0, 1, 2]), (1, [0, 2])] and {i: t.losses.count() for i, t in half.items()} == {0: 2, 1: 1, 2: 3}
+
+
+def test_hubs_are_kept_apart(spark, inter):
+    adj = graph.normalized_adjacency(graph.symmetric_adjacency(inter))
+    x = sampling.init_embeddings(adj.select(F.col("src").alias("node")).distinct(), 3)
+    want = {r["node"]: r["x"] for r in lightgcn.lightgcn_propagate(adj, x, 3, 2).collect()}
+    for most in (1, 100):
+        stored = lightgcn.stored_adjacency(adj, hub_edges=most)
+        assert (stored.hubs is None) == (most == 100)
+        got = {r["node"]: r["x"] for r in lightgcn.lightgcn_propagate(stored, x, 3, 2).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(v, want[k]) for k, v in got.items())
+        stored.drop()
+
+
+def test_a_layer_moves_vectors_only(spark, inter):
+    """Edges are joined where they lie: no exchange stands above the bucketed scan."""
+    adj = graph.normalized_adjacency(graph.symmetric_adjacency(inter))
+    stored = lightgcn.stored_adjacency(adj)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        x = sampling.init_embeddings(adj.select(F.col("src").alias("node")).distinct(), 2)
+        plan = lightgcn.propagate_once(stored, x, 2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.split("\n")
+    scan = next(i for i, line in enumerate(lines) if "adjacency_buckets" in line and "Scan" in line)
+    depth = len(lines[scan]) - len(lines[scan].lstrip(" :+-"))
+    above = []
+    for line in reversed(lines[:scan]):
+        d = len(line) - len(line.lstrip(" :+-"))
+        if d < depth:
+            above.append(line)
+            depth = d
+    joined = next(i for i, line in enumerate(above) if "SortMergeJoin" in line)
+    assert not any("Exchange" in line for line in above[:joined])
+    stored.drop()
+
+
+def test_drawn_positives_follow_weights(spark):
+    inter = spark.createDataFrame([(f"c{i}", item, w) for i in range(1500) for item, w in (("w", 0.0), ("x", 1.0), ("y", 3.0))], "client_id string, item_id string, weight double")
+    users = inter.select("client_id").distinct()
+    for per_bucket in (4096, 1):
+        table = sampling.positive_table(inter, per_bucket)
+        one = Counter(r["pos"] for r in sampling.draw_positive(users, table, 42, 0, 0).collect())
+        assert sum(one.values()) == 1500 and set(one) == {"x", "y"} and 0.70 < one["y"] / 1500 < 0.80
+    many = users.crossJoin(spark.createDataFrame([(0, 0), (3, 1)], "epoch int, step int"))
+    got = sorted(tuple(r) for r in sampling.draw_positive(many, table, 42).select("epoch", "step", "client_id", "pos").collect())
+    assert got == sorted((*m, r["client_id"], r["pos"]) for m in ((0, 0), (3, 1)) for r in sampling.draw_positive(users, table, 42, *m).collect())
+
+
 def test_training_in_batches_and_on_nothing(spark, inter):
     t = lightgcn.lightgcn_train(inter, dim=2, layers=1, epochs=1, batch_users=1)
     assert t.losses.count() == 3 and t.users.count() == 3 and t.items.count() == 3
