@@ -53,6 +53,13 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in system.listStatus(p) if f.isDirectory()) if system.exists(p) else []
 
 
+def create(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file; False where there is one already, of which only one of several callers is told otherwise."""
+    system, p = _file_system(spark, path)
+    system.mkdirs(p.getParent())
+    return system.createNewFile(p)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     system, p = _file_system(spark, path)
     system.delete(p, True)

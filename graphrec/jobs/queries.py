@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,10 +114,10 @@ def pack_vectors(s, sf):
     return components_of(readers.pack_vectors(wide, "vec_id"), "item_id")
 
 
-@query("SELECT vec_id AS item_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[32] AS DOUBLE) AS last FROM embeddings")
+@query("SELECT vec_id AS item_id, " + ", ".join(f'round(CAST(embedding[{k + 1}] AS DOUBLE), 6) AS "{k}"' for k in range(a.DIM)) + " FROM embeddings")
 def unpack_vectors(s, sf):
     d = readers.unpack_vectors(a.text_vectors(s, sf), a.DIM)
-    return d.select("item_id", F.col("0").cast("double").alias("first"), F.col(str(a.DIM - 1)).cast("double").alias("last"))
+    return d.select("item_id", *[F.round(F.col(str(k)).cast("double"), 6).alias(str(k)) for k in range(a.DIM)])
 
 
 @query("SELECT doc_id AS item_id, unnest(range(64)) AS k, round(CAST(unnest(embedding) AS DOUBLE), 6) AS x FROM documents JOIN embeddings ON vec_id = doc_id")
@@ -133,12 +133,13 @@ def latest_run(s, sf):
     return readers.latest_run(runs, ("0-NONE", "1-URGENT", "2-HIGH")).select("o_orderkey", "run_id")
 
 
-@query(f"WITH {NODES} SELECT kind, count(*) AS n, (SELECT count(*) FROM ed) AS edges FROM st GROUP BY kind")
+@query(f"WITH {NODES} SELECT kind AS a, id AS b, NULL AS weight, NULL AS n FROM st UNION ALL SELECT client_id, item_id, round(weight, 6), n FROM ed")
 def write_graph(s, sf):
+    """All nodes and edges of the stored graph, read back."""
     e, path = a.edges(s, sf), work_dir(s, "graph")
     writers.write_graph(graph.distinct_nodes(e), e, path)
-    n = s.read.parquet(f"{path}/nodes").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(F.broadcast(s.read.parquet(f"{path}/edges").agg(F.count(F.lit(1)).alias("edges"))))
+    nodes = s.read.parquet(f"{path}/nodes").select(F.col("kind").alias("a"), F.col("id").alias("b"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("long").alias("n"))
+    return nodes.unionAll(s.read.parquet(f"{path}/edges").select("client_id", "item_id", F.round("weight", 6), "count"))
 
 
 SUMMARY = f"""WITH {ED} SELECT count(DISTINCT client_id) AS users, count(DISTINCT item_id) AS items, count(*) AS edges, round(count(*) / count(DISTINCT client_id), 3) AS avg_user_degree,
@@ -237,6 +238,22 @@ def drop_incomplete(s, sf):
     return events.drop_incomplete(gaps).select("event_id", "client_id", "item_id", F.unix_micros("timestamp").alias("micros"))
 
 
+@query(f"""WITH {EV}, gaps AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN client_id WHEN event_id % 2 = 0 THEN '  ' END AS c, CASE WHEN event_id % 11 <> 0 THEN item_id END AS i, CASE WHEN event_id % 13 <> 0 THEN "timestamp" END AS t FROM ev),
+    f AS (SELECT event_id, trim(coalesce(c, '')) = '' AS nc, i IS NULL AS ni, t IS NULL AS nt FROM gaps)
+    SELECT 'clean_events' AS step, count(*) AS "rows", count(*) FILTER (nc) AS no_client, count(*) FILTER (ni AND NOT nc) AS no_item, 0 AS no_time, count(*) FILTER (NOT nc AND NOT ni) AS kept FROM f
+    UNION ALL SELECT 'drop_incomplete', count(*), 0, 0, count(*) FILTER (nt), count(*) FILTER (NOT nt) FROM f WHERE NOT nc AND NOT ni""")
+def dropped_counts(s, sf):
+    """What cleaning a log with gaps drops by reason, observed while it is written."""
+    raw = a.raw_events(s, sf)
+    client = F.when(F.col("event_id") % 7 != 0, F.col("client_id")).when(F.col("event_id") % 2 == 0, F.lit("  "))
+    gaps = raw.withColumns({"client_id": client, "item_id": F.when(F.col("event_id") % 11 != 0, F.col("item_id")), "timestamp": F.when(F.col("event_id") % 13 != 0, F.col("timestamp"))})
+    cleaned, first = events.clean_events_counted(gaps)
+    whole, second = events.drop_incomplete_counted(cleaned)
+    written(whole, "whole-events")
+    rows = [(name, *(int(seen.get.get(c, 0)) for c in ("rows", "no_client", "no_item", "no_time", "kept"))) for name, seen in (("clean_events", first), ("drop_incomplete", second))]
+    return s.createDataFrame(rows, "step string, rows long, no_client long, no_item long, no_time long, kept long")
+
+
 @query(f"WITH {EV} SELECT event_id, ds_search_id IS NOT NULL AND trim(ds_search_id) <> '' AND lower(trim(ds_search_id)) <> 'nan' AS usable FROM ev")
 def usable_session(s, sf):
     return a.events(s, sf).select("event_id", events.usable_session(F.col("ds_search_id")).alias("usable"))
@@ -336,6 +353,19 @@ def weight_stats(s, sf):
     return r6(graph.weight_stats(a.edges(s, sf)), "weight_median", "weight_p90", "weight_p99", "weight_std")
 
 
+@query(f"""WITH {ED}, b AS (SELECT weight, hash_part AS run, CAST(ceil(ln(weight) / {math.log(1.01 / 0.99)!r}::DOUBLE) AS INTEGER) AS bin FROM (SELECT *, CAST(client_id AS BIGINT) % 3 AS hash_part FROM ed)),
+    v AS (SELECT exp({math.log(1.01 / 0.99)!r}::DOUBLE * bin) * 0.99::DOUBLE AS x, count(*) AS n FROM b GROUP BY bin), u AS (SELECT x, sum(n) OVER (ORDER BY x) AS upto, sum(n) OVER () AS total FROM v)
+    SELECT {", ".join(f"round(min(x) FILTER (upto > floor({q}::DOUBLE * (total - 1))) + (min(x) FILTER (upto > ceil({q}::DOUBLE * (total - 1))) - min(x) FILTER (upto > floor({q}::DOUBLE * (total - 1)))) * (max({q}::DOUBLE * (total - 1)) - floor(max({q}::DOUBLE * (total - 1)))), 6) AS weight_{n}" for q, n in ((0.5, "median"), (0.9, "p90"), (0.99, "p99")))},
+           (SELECT round(stddev_samp(weight), 6) FROM ed) AS weight_std FROM u""")
+def sketched_weight_stats(s, sf):
+    """Figures of all weights from three runs' stored sketches, which were made of a third of the clients each."""
+    e, path = a.edges(s, sf), work_dir(s, "sketches")
+    for run in range(3):
+        graph.weight_sketch(e.filter(F.col("client_id").cast("long") % 3 == run)).write.parquet(f"{path}/{run}")
+    d = graph.sketched_weight_stats(s.read.parquet(*[f"{path}/{run}" for run in range(3)]))
+    return r6(d, "weight_median", "weight_p90", "weight_p99", "weight_std")
+
+
 @query(f"WITH {NODES} SELECT st.kind, st.id, p_name AS title, length(p_type || ' ' || p_brand) AS desc_len FROM st LEFT JOIN part ON st.kind = 'item' AND st.id = CAST(p_partkey AS VARCHAR)")
 def attach_item_metadata(s, sf):
     return graph.attach_item_metadata(graph.distinct_nodes(a.edges(s, sf)), a.items(s, sf)).withColumn("desc_len", F.col("desc_len").cast("long"))
@@ -351,9 +381,9 @@ def top_users(s, sf):
     return r6(graph.top_users(a.edges(s, sf)), "strength")
 
 
-@query("SELECT source AS item_id, min(doc_id) AS doc_id FROM documents GROUP BY source")
+@query("SELECT source AS item_id, min(doc_id) AS doc_id, arg_min(text, doc_id) AS text FROM documents GROUP BY source")
 def item_dedupe_first(s, sf):
-    return graph.item_dedupe_first(a.table(s, sf, "documents").select(F.col("source").alias("item_id"), "doc_id"), ["doc_id"])
+    return graph.item_dedupe_first(a.table(s, sf, "documents").select(F.col("source").alias("item_id"), "doc_id", "text"), ["doc_id"])
 
 
 @query(f"WITH {ADJ} SELECT src, dst, round(w, 6) AS w FROM adj")
@@ -536,10 +566,10 @@ def nonblank_text(s, sf):
     return text.nonblank_text(a.texts(s, sf).select("item_id", blank.alias("text")), "text")
 
 
-@query("SELECT source AS item_id, min(doc_id) AS doc_id FROM documents WHERE trim(coalesce(text, '')) <> '' GROUP BY source")
+@query("SELECT source AS item_id, min(doc_id) AS doc_id, arg_min(text, doc_id) AS text_clean FROM documents WHERE trim(coalesce(text, '')) <> '' GROUP BY source")
 def encode_input(s, sf):
     d = a.table(s, sf, "documents").select(F.col("source").alias("item_id"), "doc_id", F.col("text").alias("text_clean"))
-    return text.encode_input(d, ["doc_id"]).select("item_id", "doc_id")
+    return text.encode_input(d, ["doc_id"]).select("item_id", "doc_id", "text_clean")
 
 
 @query()
@@ -613,10 +643,11 @@ def fusion_recommend(s, sf):
     return vectors.round_scores(_all_fused(s, sf), "score", "sim_text", "sim_graph")
 
 
-@query(f"WITH {FUSION} SELECT query_item_id, CAST(rank AS INTEGER) AS rank, item_id FROM fr WHERE rank <= 3")
+@query(FUSED_TOP.replace("0.5 * sim_graph + 0.5 * sim_text", "0.25 * sim_graph + 0.75 * sim_text"))
 def fusion_topk(s, sf):
+    """As fusion_recommend, with texts three times as important as the graph."""
     t, g = a.text_vectors(s, sf), a.graph_vectors(s, sf)
-    return vectors.fusion_recommend(t, g, vectors.id_intersection(t, g), k=3).select("query_item_id", "rank", "item_id")
+    return vectors.round_scores(vectors.fusion_recommend(t, g, vectors.id_intersection(t, g), alpha=0.25), "score", "sim_text", "sim_graph")
 
 
 @query(lambda: f"WITH {BOTH_T} SELECT query_item_id, item_id, CAST(rank AS INTEGER) AS rank FROM ({_top_sql('cosine')}) WHERE rank <= 20 AND query_item_id <> item_id")
@@ -645,11 +676,11 @@ def _top_sql(metric: str) -> str:
 BOTH_T = VEC + ", both_t AS (SELECT item_id, tv.v AS v, tn.v AS n FROM tv JOIN tn USING (item_id))"
 
 
-@query(" UNION ALL ".join(f"(WITH {BOTH_T} SELECT '{m}' AS metric, query_item_id, item_id, CAST(rank AS INTEGER) AS rank, round(similarity, 6) AS similarity FROM ({_top_sql(m)}) WHERE rank <= 20)" for m in ("cosine", "ip", "l2")))
+@query(" UNION ALL ".join(f"(WITH {BOTH_T} SELECT '{m}' AS metric, query_item_id, item_id, CAST(rank AS INTEGER) AS rank, round(similarity, 6) AS similarity FROM ({_top_sql(m)}) WHERE rank <= 200)" for m in ("cosine", "ip", "l2")))
 def topm_candidates(s, sf):
     t, out = a.text_vectors(s, sf), None
     for m in ("cosine", "ip", "l2"):
-        d = vectors.topm_candidates(t, t, 20, m).select(F.lit(m).alias("metric"), "query_item_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
+        d = vectors.topm_candidates(t, t, metric=m).select(F.lit(m).alias("metric"), "query_item_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
         out = d if out is None else out.unionByName(d)
     return out
 
@@ -702,8 +733,9 @@ def resolve_query_ids(s, sf):
 # --- Samplers and training
 
 
-PROPAGATED = NORM + """, x0 AS (SELECT node, k, 0.01 * sqrt(-2 * ln({u})) * cos(2 * pi() * {v}) AS x FROM (SELECT DISTINCT src AS node FROM nadj) CROSS JOIN (SELECT unnest(range(8)) AS k)),
-    x1 AS (SELECT dst AS node, k, sum(w * x) AS x FROM nadj JOIN x0 ON src = node GROUP BY ALL), x2 AS (SELECT dst AS node, k, sum(w * x) AS x FROM nadj JOIN x1 ON src = node GROUP BY ALL)""".format(u=U("'42|' || node || '|' || k || '|u'"), v=U("'42|' || node || '|' || k || '|v'"))
+PROPAGATED = NORM + """, x0 AS (SELECT node, k, 0.01 * sqrt(-2 * ln({u})) * cos(2 * pi() * {v}) AS x FROM (SELECT DISTINCT src AS node FROM nadj) CROSS JOIN (SELECT unnest(range(64)) AS k)),
+    x1 AS (SELECT dst AS node, k, sum(w * x) AS x FROM nadj JOIN x0 ON src = node GROUP BY ALL), x2 AS (SELECT dst AS node, k, sum(w * x) AS x FROM nadj JOIN x1 ON src = node GROUP BY ALL),
+    x3 AS (SELECT dst AS node, k, sum(w * x) AS x FROM nadj JOIN x2 ON src = node GROUP BY ALL)""".format(u=U("'42|' || node || '|' || k || '|u'"), v=U("'42|' || node || '|' || k || '|v'"))
 
 
 def _nadj(s: SparkSession, sf: str) -> DataFrame:
@@ -712,23 +744,23 @@ def _nadj(s: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {PROPAGATED} SELECT node, k, round(x, 9) AS x FROM x0")
 def init_embeddings(s, sf):
-    d = sampling.init_embeddings(_nadj(s, sf).select(F.col("src").alias("node")).distinct(), 8)
+    d = sampling.init_embeddings(_nadj(s, sf).select(F.col("src").alias("node")).distinct(), Params().dim)
     return d.select("node", F.posexplode("x").alias("k", "x")).select("node", F.col("k").cast("long").alias("k"), F.round("x", 9).alias("x"))
 
 
 @query(f"WITH {PROPAGATED} SELECT node, k, round(x, 8) AS x FROM x1")
 def propagate(s, sf):
     adj = _nadj(s, sf)
-    x = sampling.init_embeddings(adj.select(F.col("src").alias("node")).distinct(), 8)
-    d = lightgcn.propagate_once(adj, x, 8)
+    x = sampling.init_embeddings(adj.select(F.col("src").alias("node")).distinct(), Params().dim)
+    d = lightgcn.propagate_once(adj, x, Params().dim)
     return d.select("node", F.posexplode("x").alias("k", "x")).select("node", F.col("k").cast("long").alias("k"), F.round("x", 8).alias("x"))
 
 
-@query(f"WITH {PROPAGATED} SELECT node, k, round(sum(x) / 3, 8) AS x FROM (SELECT * FROM x0 UNION ALL SELECT * FROM x1 UNION ALL SELECT * FROM x2) GROUP BY ALL")
+@query(f"WITH {PROPAGATED} SELECT node, k, round(sum(x) / 4, 8) AS x FROM (SELECT * FROM x0 UNION ALL SELECT * FROM x1 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM x3) GROUP BY ALL")
 def lightgcn_propagate(s, sf):
-    adj = _nadj(s, sf)
-    x = sampling.init_embeddings(adj.select(F.col("src").alias("node")).distinct(), 8)
-    d = lightgcn.lightgcn_propagate(adj, x, 8, 2)
+    p, adj = Params(), _nadj(s, sf)
+    x = written(sampling.init_embeddings(adj.select(F.col("src").alias("node")).distinct(), p.dim), "start")
+    d = lightgcn.lightgcn_propagate(lightgcn.stored_adjacency(adj), x, p.dim, p.layers)
     return d.select("node", F.posexplode("x").alias("k", "x")).select("node", F.col("k").cast("long").alias("k"), F.round("x", 8).alias("x"))
 
 
@@ -755,6 +787,15 @@ def sample_positive(s, sf):
     return sampling.sample_positive(users, e, 42, 0, 0)
 
 
+@query(f"""WITH {ED}, steps AS (SELECT *, sum(weight) OVER (PARTITION BY client_id ORDER BY item_id ROWS UNBOUNDED PRECEDING) AS upto FROM ed),
+    drawn AS (SELECT client_id, max(upto) * {U("'42|0|0|' || client_id || '|pos'")} AS place FROM steps GROUP BY client_id)
+    SELECT client_id, min_by(item_id, upto) AS pos FROM steps JOIN drawn USING (client_id) WHERE upto > place GROUP BY client_id""")
+def draw_positive(s, sf):
+    """Draws by running sums, made once for all steps of a training."""
+    e, users, _ = _sampled(s, sf)
+    return sampling.draw_positive(users, written(sampling.positive_table(e), "positives"), 42, 0, 0)
+
+
 @query(f"WITH {ED}, {NEG} SELECT client_id, draw, neg FROM neg")
 def negative_candidates(s, sf):
     e, users, items = _sampled(s, sf)
@@ -777,13 +818,13 @@ def bpr_loss(s, sf):
     n = sampling.sample_negatives(users, items, e, 1, 42, 0, 0)
     batch = p.join(n, "client_id").select(F.concat(F.lit("u:"), "client_id").alias("u"), F.concat(F.lit("i:"), "pos").alias("p"), F.concat(F.lit("i:"), "neg").alias("n"))
     nodes = graph.symmetric_adjacency(e).select(F.col("src").alias("node")).distinct()
-    return r6(lightgcn.bpr_loss(lightgcn.triples(batch, sampling.init_embeddings(nodes, 8))).select("loss"), "loss")
+    return r6(lightgcn.bpr_loss(lightgcn.triples(batch, sampling.init_embeddings(nodes, Params().dim))).select("loss"), "loss")
 
 
 @query()
 def lightgcn_train(s, sf):
-    """A whole training, all epochs, of embeddings smaller than the defaults: the loss of each step, each embedding's norm and first component."""
-    p = replace(Params(), dim=16, layers=2)
+    """A whole training by the defaults: the loss of each step, each embedding's norm and first component."""
+    p = Params()
     t = lightgcn.lightgcn_train(graph.interactions(a.weighted(s, sf)), dim=p.dim, layers=p.layers, epochs=p.epochs, batch_users=p.batch_users, neg_per_pos=p.neg_per_pos, lr=p.lr, seed=p.seed)
     one = lambda d, c, kind: d.select(F.lit(kind).alias("kind"), F.col(c).alias("id"), F.round(vectors.vector_norm(F.col("embedding")), 4).alias("value"), F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
     losses = t.losses.select(F.lit("loss").alias("kind"), F.col("step").cast("string").alias("id"), F.round("loss", 4).alias("value"), F.lit(None).cast("double").alias("first"))
@@ -860,9 +901,9 @@ def ranking_metrics(s, sf):
 
 @query()
 def grid_search(s, sf):
-    """Two trainings of two epochs each, and their metrics: a small grid, as a grid is what its caller asks for."""
-    p = replace(Params(), epochs=2)
-    return r6(trained_grid(a.events(s, sf), p, (8, 16), (1,), (1,), p.k), "recall", "ndcg", "mrr")
+    """The whole grid of twelve configurations, trained together by the defaults, and their metrics."""
+    p = Params()
+    return r6(trained_grid(a.events(s, sf), p, (32, 64, 128), (2, 3), (1, 2), p.k), "recall", "ndcg", "mrr")
 
 
 def _grid(s: SparkSession, sf: str) -> DataFrame:
@@ -881,11 +922,13 @@ def grid_best(s, sf):
     return r6(ranking.grid_best(written(_grid(s, sf), "grid")), "recall", "ndcg", "mrr")
 
 
-@query(f"SELECT 10 AS k, dim, 2 AS configurations FROM ({GRID_SQL}) ORDER BY recall + ndcg DESC, grid_order LIMIT 1")
+@query(f"WITH g AS ({GRID_SQL}) SELECT 10 AS k, (SELECT grid_order FROM g ORDER BY recall + ndcg DESC, grid_order LIMIT 1) AS best, * FROM g")
 def write_grid(s, sf):
+    """The stored document, a row a configuration with the best one's number."""
     results, path = written(_grid(s, sf), "grid"), work_dir(s, "grid-json")
-    writers.write_grid(results, ranking.grid_best(results), path, 10)
-    return s.read.json(path).select(F.col("K").cast("int").alias("k"), F.col("best.dim").cast("int").alias("dim"), F.size("all").alias("configurations"))
+    writers.write_grid(r6(results, "recall", "ndcg", "mrr"), ranking.grid_best(results), path, 10)
+    d = s.read.json(path).select(F.col("K").cast("int").alias("k"), F.col("best.grid_order").cast("int").alias("best"), F.explode("all").alias("r")).select("k", "best", "r.*")
+    return d.withColumns({c: F.col(c).cast("int") for c in ("grid_order", "dim", "layers", "neg")})
 
 
 @query(FUSED_TOP)

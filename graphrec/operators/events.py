@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 MICROS_PER_DAY = 8.64e10
@@ -21,6 +21,32 @@ def clean_events(d: DataFrame) -> DataFrame:
     return out.filter("client_id <> '' AND item_id <> ''")
 
 
+def counted_drops(d: DataFrame, reasons: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """d, and what its next job counts in passing: `rows`, for each reason the rows of which it is the first that holds, and `kept`.
+
+    The figures are there (Observation.get) once a job has read d to its end; no job of their own reads it again.
+    """
+    seen, before, figures = Observation(), F.lit(False), [F.count(F.lit(1)).alias("rows")]
+    for name, holds in reasons.items():
+        holds = F.coalesce(holds, F.lit(False))
+        figures.append(F.count_if(holds & ~before).alias(name))
+        before = before | holds
+    return d.observe(seen, *figures, F.count_if(~before).alias("kept")), seen
+
+
+def clean_events_counted(d: DataFrame) -> tuple[DataFrame, Observation]:
+    """clean_events(d), and the count of rows that it drops by reason: no client, else no item."""
+    blank = lambda c: F.col(c).isNull() | (F.btrim(F.col(c).cast("string")) == "")
+    watched, seen = counted_drops(d, {"no_client": blank("client_id"), "no_item": blank("item_id")})
+    return clean_events(watched), seen
+
+
+def drop_incomplete_counted(d: DataFrame) -> tuple[DataFrame, Observation]:
+    """drop_incomplete(d), and the count of rows that it drops by what they lack first."""
+    watched, seen = counted_drops(d, {f"no_{c}": F.col(n).isNull() for c, n in (("client", "client_id"), ("item", "item_id"), ("time", "timestamp"))})
+    return drop_incomplete(watched), seen
+
+
 def drop_incomplete(d: DataFrame) -> DataFrame:
     return d.dropna(subset=["client_id", "item_id", "timestamp"])
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import dropped, written
@@ -92,6 +94,48 @@ def weight_stats(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(c) for c, v in row.items()])
 
 
+def weight_sketch(edges: DataFrame, error: float = 0.01) -> DataFrame:
+    """(error, bin, n, mean, m2): weights by logarithmic bins, to be stored a run and merged over many; a row a bin, a thousand or so.
+
+    Bin b (from 1, for weights below 0 its negative) has sizes in (g^(b - 1 - 2^20), g^(b - 2^20)] with g = (1 + error) /
+    (1 - error); bin 0 has zeros. m2: sum of squares about the mean. Partial sums precede the one shuffle.
+    """
+    g = math.log((1 + error) / (1 - error))
+    w = F.col("weight").cast("double")
+    size = F.ceil(F.log(F.abs(w)) / F.lit(g)).cast("int") + (1 << 20)
+    d = edges.select(w.alias("weight"), F.when(w == 0, F.lit(0)).when(w > 0, size).otherwise(-size).alias("bin")).filter("weight IS NOT NULL AND NOT isnan(weight)")
+    d = d.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("mean"), F.coalesce(F.var_pop("weight"), F.lit(0.0)).alias("m2"))
+    return d.select(F.lit(error).alias("error"), "bin", "n", "mean", (F.col("m2") * F.col("n")).alias("m2"))
+
+
+def sketched_weight_stats(sketches: DataFrame) -> DataFrame:
+    """One row as weight_stats() of all edges that the sketches (any number, united) were made of, without reading edges.
+
+    A quantile is that of the places next to it, each off by at most `error` of its size; the deviation is exact but for
+    rounding. Sketches of different errors do not merge: a ValueError.
+    """
+    if sketches.select("error").distinct().count() > 1:
+        raise ValueError("sketches of different errors do not merge")
+    d = sketches.groupBy("error", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("mean") * F.col("n")).alias("s"), F.collect_list(F.struct("n", "mean", "m2")).alias("parts"))
+    d = d.withColumn("mean", F.col("s") / F.col("n")).withColumn("m2", F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["m2"] + x["n"] * (x["mean"] - F.col("mean")) * (x["mean"] - F.col("mean"))))
+    g = F.log((1 + F.col("error")) / (1 - F.col("error")))
+    middle = F.exp(g * (F.abs("bin") - (1 << 20))) * (1 - F.col("error"))  # within error of both ends of its bin
+    d = d.withColumn("value", F.when(F.col("bin") == 0, F.lit(0.0)).otherwise(F.signum(F.col("bin").cast("double")) * middle))
+    # A row a bin, so the windows are small whatever was sketched; bins of negative weights come in order of their values.
+    w = Window.orderBy("value")
+    d = d.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy())).withColumn("whole", F.sum("s").over(Window.partitionBy()) / F.col("total"))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
+
+    def quantile(share: float) -> Column:
+        exact = F.lit(share) * (F.col("total") - 1)
+        low, high = at(F.floor(exact)), at(F.ceil(exact))
+        return low + (high - low) * (F.max(exact) - F.floor(F.max(exact)))
+
+    spread = F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("whole")) * (F.col("mean") - F.col("whole")))
+    std = F.when(F.max("total") > 1, F.sqrt(spread / (F.max("total") - 1)))
+    return d.agg(*[quantile(s).alias(f"weight_{n}") for s, n in ((0.5, "median"), (0.9, "p90"), (0.99, "p99"))], std.alias("weight_std"))
+
+
 def top_items(edges: DataFrame, items: DataFrame | None, n: int = 20) -> DataFrame:
     """The n items of largest strength, then degree; titles join n rows only ('' where there is none)."""
     top = node_stats(edges, "item_id").orderBy(F.desc("strength"), F.desc("degree"), "item_id").limit(n)

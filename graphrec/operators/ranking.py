@@ -59,11 +59,15 @@ def ranking_metrics(ranks: DataFrame, ks: tuple[int, ...] = (10, 20, 50)) -> Dat
     return d.groupBy("k").agg(mean(F.lit(1.0)).alias("recall"), mean(1.0 / F.log2(r + 1.0)).alias("ndcg"), mean(1.0 / r).alias("mrr"), F.count(F.lit(1)).alias("targets"))
 
 
-def evaluate(users: DataFrame, items: DataFrame, events: DataFrame, ks: tuple[int, ...] = (10, 20, 50), order: tuple[str, ...] = ("event_id",)) -> DataFrame:
-    """Metrics of embeddings on each client's last event, items of the others masked: exact ranks by counting, no lists. Ids and test rows are read often, so they are tables."""
+def evaluate(users: DataFrame, items: DataFrame, events: DataFrame, ks: tuple[int, ...] = (10, 20, 50), order: tuple[str, ...] = ("event_id",), rows: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Metrics of embeddings on each client's last event, items of the others masked: exact ranks by counting, no lists.
+
+    rows: the test rows and the other rows of events, where these are at hand already. Ids and test rows are read often, so they are tables.
+    """
     known, shown = written(users.select("client_id"), "evaluate-users"), written(items.select("item_id"), "evaluate-items")
-    test = written(restrict_to_embedded(leave_last_out(events, order), known, shown), "evaluate-test")
-    train = restrict_to_embedded(train_minus_last(events, order), known, shown).join(test.select("client_id"), "client_id", "left_semi")
+    last, others = rows or (leave_last_out(events, order), train_minus_last(events, order))
+    test = written(restrict_to_embedded(last, known, shown), "evaluate-test")
+    train = restrict_to_embedded(others, known, shown).join(test.select("client_id"), "client_id", "left_semi")
     ranks = written(target_ranks(users, items, test, train), "evaluate-ranks")
     dropped(known, shown, test)
     return ranking_metrics(ranks, ks)
@@ -75,13 +79,15 @@ def grid_best(results: DataFrame) -> DataFrame:
 
 
 def grid_search(train: Callable[[int, int, int], tuple[DataFrame, DataFrame]], events: DataFrame, dims: tuple[int, ...] = (32, 64, 128), layers: tuple[int, ...] = (2, 3), negatives: tuple[int, ...] = (1, 2), k: int = 10) -> DataFrame:
-    """(grid_order, dim, layers, neg, recall, ndcg, mrr): each configuration trained and evaluated; a loop over configurations.
+    """(grid_order, dim, layers, neg, recall, ndcg, mrr): each configuration evaluated; the log is split once for all.
 
     train(dim, layers, neg) returns user and item embeddings, of events without the rows that evaluate() asks for.
     """
+    rows = written(leave_last_out(events), "grid-test"), written(seen_items(train_minus_last(events)), "grid-train")
     out = None
     for i, (d, n_layers, neg) in enumerate(product(dims, layers, negatives)):
-        m = evaluate(*train(d, n_layers, neg), events, (k,)).select(F.lit(i).alias("grid_order"), F.lit(d).alias("dim"), F.lit(n_layers).alias("layers"), F.lit(neg).alias("neg"), "recall", "ndcg", "mrr")
+        m = evaluate(*train(d, n_layers, neg), events, (k,), rows=rows).select(F.lit(i).alias("grid_order"), F.lit(d).alias("dim"), F.lit(n_layers).alias("layers"), F.lit(neg).alias("neg"), "recall", "ndcg", "mrr")
         m = written(m, "grid-row")
         out = m if out is None else out.unionByName(m)
+    dropped(*rows)
     return out

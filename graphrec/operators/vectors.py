@@ -126,10 +126,11 @@ def resolve_query_ids(queries: DataFrame, text: DataFrame, graph: DataFrame) ->
     return known.join(F.broadcast(common.agg(F.min("item_id").alias("least")))).select("asked", F.coalesce("item_id", "least").alias("item_id"))
 
 
-def two_stage_recommend(text: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, top_m: int = 200, alpha: float = 0.5, metric: str = "cosine") -> DataFrame:
-    """Top-m of each collection, united, -1 where one lacks an item, fused, first k."""
+def two_stage_recommend(text: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, top_m: int = 200, alpha: float = 0.5, metric: str | tuple[str, str] = "cosine") -> DataFrame:
+    """Top-m of each collection, united, -1 where one lacks an item, fused, first k. metric: of both, or one for each."""
     text, graph = (written(one_vector_per_id(c), "two-stage-vectors") for c in (text, graph))
     ids = written(resolve_query_ids(queries, text, graph).select("item_id").distinct(), "two-stage-ids")
-    t, g = (topm_candidates(ids.join(c, "item_id"), c, top_m, metric) for c in (text, graph))
+    each = (metric, metric) if isinstance(metric, str) else metric
+    t, g = (topm_candidates(ids.join(c, "item_id"), c, top_m, m) for c, m in zip((text, graph), each))
     dropped(text, graph, ids)
     return two_stage_topk(fuse_candidates(t, g, alpha), k)

@@ -179,13 +179,44 @@ def test_stored_collections(spark, tmp_path):
     assert collections.read_collection(spark, path) is None
     assert put([("t", 1, [1.0], "a", 0), ("t", 2, [1.0], "a", 0)]) == {(1, 1.0, "a"), (2, 1.0, "a")}
     assert put([("t", 2, [9.0], "b", 0), ("t", 3, [3.0], "b", 0)]) == {(1, 1.0, "a"), (2, 9.0, "b"), (3, 3.0, "b")}
-    os.makedirs(f"{path}/version=00000003/_temporary")  # a job that failed half way
-    with open(f"{path}/version=00000003/part-0.parquet", "w") as f:
-        f.write("half")
+    os.makedirs(f"{path}/vectors/version=00000003/_temporary")  # a job that died half way, under its lock
+    open(f"{path}/lock", "w").close()
     assert collections.read_collection(spark, path).count() == 3
-    assert put([("t", 1, [4.0], "c", 0)]) == {(1, 4.0, "c"), (2, 9.0, "b"), (3, 3.0, "b")}
+    with pytest.raises(RuntimeError, match="another writer"):
+        put([("t", 1, [4.0], "c", 0)])
+    assert put([("t", 1, [4.0], "c", 0)], break_lock=True) == {(1, 4.0, "c"), (2, 9.0, "b"), (3, 3.0, "b")}
+    assert not os.path.exists(f"{path}/lock") and "version=00000003" not in os.listdir(f"{path}/vectors")
     assert put([("t", 7, [7.0], "d", 0)], reset=True) == {(7, 7.0, "d")}
-    assert sorted(os.listdir(path)) == ["version=00000004", "version=00000005"]
+    assert sorted(os.listdir(f"{path}/records")) == ["version=00000004", "version=00000005"]
+    assert put([], reset=False) == {(7, 7.0, "d")} and put([], reset=True) == set() and put([("t", 1, [1.0], "a", 0)]) == {(1, 1.0, "a")}
+
+
+def test_an_upsert_writes_only_the_buckets_it_touches(spark, tmp_path):
+    import os
+
+    path, row = f"{tmp_path}/text", "collection string, item_id long, embedding array<float>, source string, batch long"
+    frame = lambda ids, x: spark.createDataFrame([("t", i, [x], "s", 0) for i in ids], row)
+    collections.upsert_collection(path, frame(range(500), 1.0), buckets=16)
+    collections.upsert_collection(path, frame([3], 2.0))
+    assert [len([b for b in os.listdir(f"{path}/vectors/version={v:08d}") if b.startswith("bucket=")]) for v in (1, 2)] == [16, 1]
+    collections.upsert_collection(path, frame([3], 3.0))
+    assert len([b for b in os.listdir(f"{path}/vectors/version=00000001") if b.startswith("bucket=")]) == 15  # that bucket is named no more
+    got = {r["item_id"]: r["embedding"][0] for r in collections.read_collection(spark, path).collect()}
+    assert got == {i: 3.0 if i == 3 else 1.0 for i in range(500)} and collections.stored(spark, path).buckets == 16
+
+
+def test_a_collection_keeps_its_metric(spark, tmp_path):
+    path, row = f"{tmp_path}/text", "collection string, item_id long, embedding array<float>, source string, batch long"
+    d = spark.createDataFrame([("t", 1, [1.0], "a", 0)], row)
+    collections.upsert_collection(path, d, metric="l2")
+    assert collections.collection_metric(spark, path) == "l2"
+    collections.upsert_collection(path, d)
+    with pytest.raises(ValueError, match="l2"):
+        collections.upsert_collection(path, d, metric="ip")
+    collections.upsert_collection(path, d, metric="ip", reset=True)
+    assert collections.collection_metric(spark, path) == "ip"
+    with pytest.raises(ValueError, match="none of"):
+        collections.upsert_collection(path, d, metric="angle")
 
 
 def test_no_common_items(spark):
