@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .token_counts import slices as slices_of
+
 #: Buckets of hashed byte trigrams, added to each count, and what a trigram's log-likelihood is divided by: a byte
 #: stands in three trigrams.
 BUCKETS, SMOOTHING, OVERLAP = 1 << 17, 0.05, 3.0
@@ -167,18 +169,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text" if at is None else names[at]).to_pylist()
-            cut, chars = [0], 0
-            for i, t in enumerate(texts):
-                chars += len(t or "")
-                if chars > together or i == len(texts) - 1:
-                    cut.append(i + 1)
-                    chars = 0
-            for a, z in zip(cut, cut[1:]):
-                pred, score, sets = predict(texts[a:z])
+            texts = b.column("text" if at is None else names[at])
+            for a, z in slices_of(texts, together):
+                pred, score, sets = predict(texts.slice(a, z - a).to_pylist())
                 # Columns pass as they came: pandas would round long ids beside a null.
                 own = [b.column(n).slice(a, z - a) for n in names]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], [*names, "lang_pred", "score", "languages"])
+        # The worker process goes on to other stages: what this one's batches took is given back.
+        pa.default_memory_pool().release_unused()
 
     source = docs.toDF(*names) if keep else docs.select(F.col(id_col).alias(names[0]), F.col(text_col).alias("text"))
     out = source.mapInArrow(run, schema)
