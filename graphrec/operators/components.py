@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import dropped, written
+from ..functions.memory import give_back
 
 #: Edges that a task contracts together.
 TOGETHER = 1 << 21
@@ -62,6 +63,8 @@ def contracted(edges: DataFrame) -> DataFrame:
                 held.clear()
         if sum(map(len, held)):
             yield _stars(join(0), join(1))
+            held.clear()
+        give_back()
 
     kind = edges.schema["a"].dataType.simpleString()
     return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")

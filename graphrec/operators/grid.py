@@ -39,7 +39,7 @@ class Sides(NamedTuple):
     made: list[DataFrame]
 
 
-def _norm(vecs: Column, weights: tuple[float, ...]) -> Column:
+def norm_of(vecs: Column, weights: tuple[float, ...]) -> Column:
     square = lambda p: F.aggregate(F.element_at(vecs, p + 1), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return F.sqrt(sum((F.lit(float(w) ** 2) * square(p) for p, w in enumerate(weights)), F.lit(0.0)))
 
@@ -52,8 +52,8 @@ def laid_out(queries: DataFrame, items: DataFrame, weights: tuple[float, ...], m
     """
     spark = queries.sparkSession
     whole = lambda d, c: d.filter(F.col(c).isNotNull() & F.coalesce(F.forall("vecs", lambda v: v.isNotNull()), F.lit(False)) & ~F.isnan("norm"))
-    q = written(whole(queries.withColumn("norm", _norm(F.col("vecs"), weights)), "query_id"), "grid-queries")
-    i = written(whole(items.select("item_id", "vecs", _norm(F.col("vecs"), (1.0,) * len(weights)).alias("norm")), "item_id"), "grid-items")
+    q = written(whole(queries.withColumn("norm", norm_of(F.col("vecs"), weights)), "query_id"), "grid-queries")
+    i = written(whole(items.select("item_id", "vecs", norm_of(F.col("vecs"), (1.0,) * len(weights)).alias("norm")), "item_id"), "grid-items")
     n_queries, n_items = q.count(), i.count()
     blocks = max(1, math.ceil(n_queries / query_block), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_queries / TILE)))
     of_query = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
@@ -187,22 +187,14 @@ def _blocks_to(least: str, norms: list[float]) -> Callable[[Column], Column]:
     return lambda norm: F.size(F.filter(bounds, lambda m: m * norm * (1 + 1e-12) + SLACK >= F.col(least)))
 
 
-def block_topk(queries: DataFrame, items: DataFrame, k: int, parts: tuple[float, ...] = (1.0,), *, exclude_same_id: bool = False, masked: DataFrame | None = None, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
-    """(query_id, rank, item_id, score, part_0, part_1...): exact top-k by weighted sums of dot products.
-
-    queries: query_id (once each), vecs (an array of one vector a part); items: item_id, vecs; masked: (query_id,
-    item_id) pairs that take no part. Rows with a null id or vector take none either. Two jobs, whatever the sizes: all
-    queries meet the block of largest norms, which gives each a score to beat; then each meets the blocks whose bound is
-    not below that, and passes on what beats it. Scores rank by their first 9 decimals; ties go to the smaller id.
-    """
-    sides = laid_out(queries.select("query_id", "vecs"), items, parts, masked, query_block, item_block)
-    kind, id_kind = (d.schema[c].dataType.simpleString() for d, c in ((sides.queries, "query_id"), (sides.items, "item_id")))
-    schema = f"query_id {kind}, item_id {id_kind}, ranked double, score double, " + ", ".join(f"part_{p} double" for p in range(len(parts)))
-
-    types = [*(to_arrow_type(d.schema[c].dataType) for d, c in ((sides.queries, "query_id"), (sides.items, "item_id"))), *[pa.float64()] * (2 + len(parts))]
+def best_of_cell(queries: DataFrame, items: DataFrame, k: int, parts: tuple[float, ...], exclude_same_id: bool = False) -> tuple[Callable, str]:
+    """What finds a cell's k best items for each of its queries (columns query_id, vecs, norm, least), none below `least`, and the schema of (query_id, item_id, ranked, score, part_0...)."""
+    kinds = [d.schema[c].dataType for d, c in ((queries, "query_id"), (items, "item_id"))]
+    names = ["query_id", "item_id", "ranked", "score", *[f"part_{p}" for p in range(len(parts))]]
+    schema = ", ".join(f"{n} {kinds[i].simpleString() if i < 2 else 'double'}" for i, n in enumerate(names))
+    types = [*map(to_arrow_type, kinds), *[pa.float64()] * (2 + len(parts))]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "item_id", "ranked", "score", *[f"part_{p}" for p in range(len(parts))]]
         if not len(left) or not len(right):
             return pa.Table.from_arrays([pa.array([], t) for t in types], names)
         cell = Cell(left, right, parts, exclude_same_id)
@@ -225,6 +217,25 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, parts: tuple[float,
         columns = [left["query_id"].take(pa.array(i)), cell.right["item_id"].take(pa.array(j)), pa.array(score[i, r]), pa.array(sum(w * d for w, d in zip(parts, dots)))]
         return pa.Table.from_arrays([*columns, *map(pa.array, dots)], names)
 
+    return run, schema
+
+
+def first_k(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their rank, of what cells found."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ranked"), "item_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("ranked")
+
+
+def block_topk(queries: DataFrame, items: DataFrame, k: int, parts: tuple[float, ...] = (1.0,), *, exclude_same_id: bool = False, masked: DataFrame | None = None, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """(query_id, rank, item_id, score, part_0, part_1...): exact top-k by weighted sums of dot products.
+
+    queries: query_id (once each), vecs (an array of one vector a part); items: item_id, vecs; masked: (query_id,
+    item_id) pairs that take no part. Rows with a null id or vector take none either. Two jobs, whatever the sizes: all
+    queries meet the block of largest norms, which gives each a score to beat; then each meets the blocks whose bound is
+    not below that, and passes on what beats it. Scores rank by their first 9 decimals; ties go to the smaller id.
+    """
+    sides = laid_out(queries.select("query_id", "vecs"), items, parts, masked, query_block, item_block)
+    run, schema = best_of_cell(sides.queries, sides.items, k, parts, exclude_same_id)
     least, made = F.lit(float("-inf")), sides.made
     found = written(_cells(sides, sides.queries.withColumn("least", least), lambda norm: F.lit(1), 0, run, schema), "grid-first")
     if len(sides.norms) > 1:
@@ -233,8 +244,7 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, parts: tuple[float,
         beaten = written(_cells(sides, q, _blocks_to("least", sides.norms), 1, run, schema), "grid-rest")
         found, made = found.unionByName(beaten), [*made, q]
     dropped(*made)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ranked"), "item_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("ranked")
+    return first_k(found, k)
 
 
 def ranks_by_counting(queries: DataFrame, items: DataFrame, *, masked: DataFrame | None = None, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:

@@ -81,7 +81,7 @@ def unknown_queries(queries: DataFrame, text: DataFrame, graph: DataFrame) -> Da
     return queries.select("item_id").distinct().join(id_intersection(text, graph), "item_id", "left_anti")
 
 
-def _for_metric(v: Column, metric: str, query: bool) -> Column:
+def for_metric(v: Column, metric: str, query: bool) -> Column:
     """Vectors whose dot product orders by the metric: for l2, -|a - b|^2 = 2 ab - |b|^2 - |a|^2."""
     if metric == "cosine":
         return l2_normalize(v)
@@ -92,10 +92,21 @@ def _for_metric(v: Column, metric: str, query: bool) -> Column:
     return F.concat(F.transform(d, lambda x: x * 2), F.array(F.lit(-1.0), -square)) if query else F.concat(d, F.array(square, F.lit(1.0)))
 
 
-def topm_candidates(queries: DataFrame, collection: DataFrame, m: int = 200, metric: str = "cosine") -> DataFrame:
-    """(query_item_id, rank, item_id, similarity): the m nearest of a collection; similarity is 1 - distance."""
-    q = queries.select(F.col("item_id").alias("query_id"), F.array(_for_metric(F.col("embedding"), metric, True)).alias("vecs"))
-    c = collection.select("item_id", F.array(_for_metric(F.col("embedding"), metric, False)).alias("vecs"))
+def topm_candidates(queries: DataFrame, collection: DataFrame, m: int = 200, metric: str = "cosine", recall: float | None = None) -> DataFrame:
+    """(query_item_id, rank, item_id, similarity): the m nearest of a collection; similarity is 1 - distance.
+
+    Exact, or with `recall` by an index of inverted lists (see inverted.py), of which as many are looked into as find
+    this share of the exact rows of a sample of queries.
+    """
+    if recall is not None:
+        from . import inverted
+
+        index = inverted.build_index(collection, metric)
+        found = inverted.search(index, queries, m, inverted.probes_for(index, queries, collection, m, recall))
+        index.drop()
+        return found
+    q = queries.select(F.col("item_id").alias("query_id"), F.array(for_metric(F.col("embedding"), metric, True)).alias("vecs"))
+    c = collection.select("item_id", F.array(for_metric(F.col("embedding"), metric, False)).alias("vecs"))
     top = block_topk(q, c, m)
     return top.select(F.col("query_id").alias("query_item_id"), "rank", "item_id", (F.col("score") + (1.0 if metric == "l2" else 0.0)).alias("similarity"))
 
@@ -126,11 +137,11 @@ def resolve_query_ids(queries: DataFrame, text: DataFrame, graph: DataFrame) ->
     return known.join(F.broadcast(common.agg(F.min("item_id").alias("least")))).select("asked", F.coalesce("item_id", "least").alias("item_id"))
 
 
-def two_stage_recommend(text: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, top_m: int = 200, alpha: float = 0.5, metric: str | tuple[str, str] = "cosine") -> DataFrame:
-    """Top-m of each collection, united, -1 where one lacks an item, fused, first k. metric: of both, or one for each."""
+def two_stage_recommend(text: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, top_m: int = 200, alpha: float = 0.5, metric: str | tuple[str, str] = "cosine", recall: float | None = None) -> DataFrame:
+    """Top-m of each collection, united, -1 where one lacks an item, fused, first k. metric: of both, or one for each; recall: as for topm_candidates."""
     text, graph = (written(one_vector_per_id(c), "two-stage-vectors") for c in (text, graph))
     ids = written(resolve_query_ids(queries, text, graph).select("item_id").distinct(), "two-stage-ids")
     each = (metric, metric) if isinstance(metric, str) else metric
-    t, g = (topm_candidates(ids.join(c, "item_id"), c, top_m, m) for c, m in zip((text, graph), each))
+    t, g = (topm_candidates(ids.join(c, "item_id"), c, top_m, m, recall) for c, m in zip((text, graph), each))
     dropped(text, graph, ids)
     return two_stage_topk(fuse_candidates(t, g, alpha), k)

@@ -8,7 +8,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from graphrec.operators import text, vectors
+from graphrec.operators import inverted, text, vectors
 from graphrec.sources import collections, readers
 
 SF = "/root/testdata/sf0.01"
@@ -229,3 +229,37 @@ def test_latest_run(spark):
     d = spark.createDataFrame([("20240101T000000Z", "a", 1), ("20240301T000000Z", "b", 2), ("20240201T000000Z", "a", 3)], "run_id string, source string, v int")
     assert readers.latest_run(d).first()["v"] == 2
     assert [r["v"] for r in readers.latest_run(d, ("x", "a")).collect()] == [3]
+
+
+def clustered(n, dim=8, groups=20, seed=3):
+    r = np.random.default_rng(seed)
+    centers = r.normal(size=(groups, dim)) * 3
+    return centers[r.integers(0, groups, n)] + r.normal(size=(n, dim)) * r.lognormal(-0.5, 0.5, size=(n, 1))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_inverted_lists_find_most_of_the_nearest(spark, metric):
+    x = clustered(900)
+    d = vecs(spark, [(i, row.astype(np.float32).tolist()) for i, row in enumerate(x)] + [(None, [1.0] * 8), (5000, None), (5001, [float("nan")] * 8)]).repartition(3)
+    q = d.filter("item_id < 120")
+    exact = vectors.topm_candidates(q, d, 10, metric)
+    index = inverted.build_index(d, metric, list_block=40)
+    assert index.items.count() == 900 and len(index.centers) == 30 and sum(map(len, index.places)) > 30
+    probes = inverted.probes_for(index, q, d, 10, 0.95)
+    found = inverted.search(index, q, 10, probes)
+    assert probes < 30 and inverted.recall_of(found, exact) >= 0.9
+    whole = inverted.search(index, q, 10, 30)  # all lists: the exact answer
+    rows = lambda f: sorted((r["query_item_id"], r["rank"], r["item_id"], round(r["similarity"], 9)) for r in f.collect())
+    assert rows(whole) == rows(exact) and inverted.recall_of(whole, exact) == 1.0
+    scores = {(r["query_item_id"], r["item_id"]): r["similarity"] for r in exact.collect()}
+    assert all(abs(r["similarity"] - scores[r["query_item_id"], r["item_id"]]) < 1e-9 for r in found.collect() if (r["query_item_id"], r["item_id"]) in scores)
+    index.drop()
+
+
+def test_approximate_candidates_as_an_option(spark):
+    d = vecs(spark, [(i, row.astype(np.float32).tolist()) for i, row in enumerate(clustered(400))])
+    found, exact = vectors.topm_candidates(d, d, 5, recall=0.95), vectors.topm_candidates(d, d, 5)
+    assert inverted.recall_of(found, exact) >= 0.9 and found.count() == 2000
+    same = vecs(spark, [(i, [1.0, 2.0]) for i in range(50)])  # one list holds all
+    assert vectors.topm_candidates(same, same, 3, recall=1.0).count() == 150
+    assert vectors.topm_candidates(d, d.limit(0), 3, recall=0.9).count() == 0 and vectors.topm_candidates(d.limit(0), d, 3, recall=0.9).count() == 0
