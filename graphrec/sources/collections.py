@@ -128,8 +128,9 @@ def _forget(spark: SparkSession, path: str, keep: int) -> None:
     named = {(r["written_in"], r["bucket"]) for r in rows}
     for folder in folders(spark, f"{path}/vectors"):
         v = int(folder.split("=")[1])
-        for b in folders(spark, f"{path}/vectors/{folder}"):
-            if v <= kept[-1] and (v, int(b.split("=")[1])) not in named:
-                remove(spark, f"{path}/vectors/{folder}/{b}")
-        if v <= kept[-1] and v not in {x for x, _ in named}:
-            remove(spark, f"{path}/vectors/{folder}")
+        if v > kept[-1]:
+            continue
+        mine = [b for b in folders(spark, f"{path}/vectors/{folder}") if b.startswith("bucket=")]
+        gone = [b for b in mine if (v, int(b.split("=")[1])) not in named]
+        for at in [folder] if len(gone) == len(mine) else [f"{folder}/{b}" for b in gone]:
+            remove(spark, f"{path}/vectors/{at}")
