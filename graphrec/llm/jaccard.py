@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import give_back
 from ..operators.components import connected_components
 from .shared import dropped, written
 
@@ -167,6 +168,8 @@ def scatter(docs: DataFrame, parts: int, inside: int, words: int) -> DataFrame:
                     seen, sets, ids, docs_nodes, docs_sizes, total = {}, [], [], [], [], 0
         if ids:
             yield flush()
+            seen, sets, ids, docs_nodes, docs_sizes = {}, [], [], [], []
+        give_back()
 
     return docs.mapInPandas(run, _PACKED)
 
@@ -228,6 +231,8 @@ def by_cell(packed: DataFrame, parts: int, inside: int, by_node: bool, f: Callab
                 held.append(b.iloc[s:e])
         if held:
             yield f(pd.concat(held))
+            held = []
+        give_back()
 
     return d.mapInPandas(run, schema)
 
