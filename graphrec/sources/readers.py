@@ -11,26 +11,34 @@ from ..functions.lineage import exists, folders
 from .schemas import EVENT_ALIASES, ITEM_NAMES
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """line_breaks: quoted values may hold line breaks; a CSV file is then read by one task, whatever its size."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+    return spark.read.csv(path, header=True, multiLine=line_breaks, quote='"', escape='"', inferSchema=False)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """An event log with trimmed lower-case headers, all text but the time, ds_search_id null where the log has none."""
-    d = _read(spark, path)
+def read_events(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """An event log with trimmed lower-case headers, all text but the time, ds_search_id null where the log has none.
+
+    CSV files are split among tasks; with line_breaks quoted values may hold line breaks, and a file is one task's.
+    """
+    d = _read(spark, path, line_breaks)
     d = d.toDF(*[c.strip().lower() for c in d.columns])
     if "ds_search_id" not in d.columns:
         d = d.withColumn("ds_search_id", F.lit(None).cast("string"))
     return d.select("event_type", "client_id", "item_id", "ds_search_id", "timestamp", *[c for c in ("event_id",) if c in d.columns])
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame | None:
-    """The catalogue (item_id, title, description), or None where there is no file or no item_id in it."""
+def read_items(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame | None:
+    """The catalogue (item_id, title, description), or None where there is no file or no item_id in it.
+
+    Descriptions may hold line breaks, so a CSV file is one task's unless line_breaks is off; a large catalogue is given
+    in several files, or as Parquet.
+    """
     if not exists(spark, path):
         return None
-    return standardize_items(_read(spark, path))
+    return standardize_items(_read(spark, path, line_breaks))
 
 
 def standardize_items(d: DataFrame) -> DataFrame | None:
@@ -62,7 +70,7 @@ def read_text_input(spark: SparkSession, parquet: str, csv: str, required: tuple
     path = next((p for p in (parquet, csv) if p and exists(spark, p)), None)
     if path is None:
         raise ValueError(f"neither {parquet} nor {csv} exists")
-    d = spark.read.parquet(path) if path == parquet else _read(spark, path)
+    d = spark.read.parquet(path) if path == parquet else _read(spark, path, line_breaks=True)
     lacking = [c for c in required if c not in d.columns]
     if lacking:
         raise ValueError(f"{path} lacks {', '.join(lacking)}")
