@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import html_main, jaccard, langid, line_dedup, mixing, packing, phrases, repetition, sharding, token_counts, topk, warc, whitening
 from .shared import table
@@ -38,6 +39,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def line_dedup_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of raw pages, without those on over 5 % of the pages of their host."""
+    d = line_dedup.drop_boilerplate(table(spark, sf_dir, "pages"), "page_id", "html", "url", report=True)
+    return d.select("page_id", "url", F.col("html").alias("text"), "n_lines", "n_dropped")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -71,7 +78,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_capture_index, op2_source_mix, op3_language_mixture, op4_main_text, op5_line_dedup, op6_jaccard_join, op7_kd_shards, op8_repetition, op9_slack_packing, op10_exact_topk, op11_collocations, op12_whitening, op13_token_counts)
+    f.__name__: f for f in (op1_capture_index, op2_source_mix, op3_language_mixture, op4_main_text, op5_line_dedup, line_dedup_by_host, op6_jaccard_join, op7_kd_shards, op8_repetition, op9_slack_packing, op10_exact_topk, op11_collocations, op12_whitening, op13_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -162,3 +169,9 @@ ORACLE_SQL: dict[str, str] = {
         FROM f JOIN seats USING (place)
     """,
 }
+
+_BY_HOST = {"doc_id, source, text, string_split(text": "page_id, url, html AS text, string_split(html", "source": "url", "documents": "pages", "doc_id": "page_id"}
+_LINES = ORACLE_SQL["op5_line_dedup"]
+for _given, _other in _BY_HOST.items():
+    _LINES = _LINES.replace(_given, _other)
+ORACLE_SQL["line_dedup_by_host"] = _LINES
