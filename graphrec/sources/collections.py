@@ -76,7 +76,7 @@ def collection_metric(spark: SparkSession, path: str) -> str | None:
     return None if at is None else at.metric
 
 
-def upsert_collection(path: str, batches: DataFrame, reset: bool = False, keep: int = 2, buckets: int = 64, metric: str | None = None, break_lock: bool = False) -> DataFrame:
+def upsert_collection(path: str, batches: DataFrame, reset: bool = False, keep: int = 2, buckets: int = 16, metric: str | None = None, break_lock: bool = False) -> DataFrame:
     """Puts batches into the collection stored under path, which the first call makes; returns it as it is then.
 
     Ids lie in buckets by hash; a call reads and writes only the buckets that its ids fall in, in a folder of its own,
