@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -685,7 +686,7 @@ def test_top_k(spark):
             best = sorted((-int(v @ w), c) for i, (c, w) in enumerate(pad) if i != at)[:5]
             want.update((q, n + 1, c, -s) for n, (s, c) in enumerate(best))
     assert Counter(map(tuple, topk.top_k(d).collect())) == want
-    assert Counter(map(tuple, topk.top_k(d.repartition(1), queries_at_once=2).collect())) == want
+    assert Counter(map(tuple, topk.top_k(d.repartition(1), block_rows=3, cell_queries=2).collect())) == want
     assert topk.top_k(d.limit(0)).count() == 0 and topk.top_k(d.filter("vec_id = 50")).count() == 0
 
 
@@ -693,3 +694,10 @@ def test_large_components_stay_exact(spark):
     d = spark.createDataFrame([(0, [3e6, 1.0]), (1, [3e6, 2.0]), (2, [3e6, 1.0])], "vec_id long, embedding array<double>")
     x = 3_000_000 * 256
     assert [r["score"] for r in topk.top_k(d).orderBy("rank").collect()] == [x * x + 256 * 512, x * x + 256 * 256]
+
+
+def test_rows_of_lists_as_a_matrix():
+    lists = pa.chunked_array([pa.array([[9], [1, 2, 3], [], [4]], pa.list_(pa.int64())).slice(1), pa.array([[5, 6]], pa.list_(pa.int64()))])
+    assert topk.matrix(lists).tolist() == [[1, 2, 3], [0, 0, 0], [4, 0, 0], [5, 6, 0]]
+    assert topk.matrix(lists, 2).tolist() == [[1, 2], [0, 0], [4, 0], [5, 6]] and topk.matrix(lists, 0).shape == (4, 0)
+    assert topk.matrix(pa.chunked_array([], pa.list_(pa.int64()))).shape == (0, 0)
