@@ -9,7 +9,7 @@ from .shared import dropped, numbered, written
 
 #: Coordinates are integers below 2 ** BITS; a median is found by reading STEP bits in each pass.
 BITS, STEP = 36, 12
-#: A median may miss its goal by this share of its node's weight before the next widest dimension is preferred.
+#: Default of `slack`: a median may miss its goal by this share of its node's weight before the next widest dimension is preferred.
 SLACK = 0.002
 
 
@@ -51,13 +51,13 @@ def _medians(here: DataFrame, splits: list[dict]) -> None:
         s["miss"] = abs(s["below"] - s["goal"])
 
 
-def tree(groups: DataFrame, dims: list[str], leaves: int, target_bytes: float | None = None) -> list[dict]:
+def tree(groups: DataFrame, dims: list[str], leaves: int, target_bytes: float | None = None, slack: float = SLACK) -> list[dict]:
     """Splits of a k-d tree over groups (columns digest, dims, tie, weight) into leaves of near equal weight.
 
     Each node splits along its widest dimension (by the range of its groups, as a share of the whole range) at the
     weighted median that leaves each side its share of the leaves. Where a heavy group lies across that median, so that it
-    misses its goal by more than SLACK of the node's weight, the next widest dimension whose median does not is taken, or
-    the one that misses least. Equal coordinates are parted by `tie`, an even hash. A group of at least a leaf's weight,
+    misses its goal by more than `slack` of the node's weight, the next widest dimension whose median does not is taken, or
+    the one that misses least; with slack=1 it is always the widest. `rank` of a split tells which was taken (0: the widest). Equal coordinates are parted by `tie`, an even hash. A group of at least a leaf's weight,
     which no cut can divide, is a leaf of its own, split off by its digest. A level takes one job for ranges, one for such
     groups (fewer than leaves) and BITS / STEP for the medians of all dimensions. A node stops at one leaf, or at
     target_bytes or less if given.
@@ -80,12 +80,12 @@ def tree(groups: DataFrame, dims: list[str], leaves: int, target_bytes: float |
                 new.append({"node": r["node"], "own": r["top"]["digest"], "own_weight": r["top"]["weight"], "left": 1, "right": n - 1})
                 continue
             wide = sorted(dims, key=lambda d: (-(r[f"hi_{d}"] - r[f"lo_{d}"]) / whole[d], d))
-            asked += [{"node": r["node"], "own": None, "dim": d, "lo": r[f"lo_{d}"], "hi": r[f"hi_{d}"], "left": n // 2, "right": n - n // 2, "weight": r["weight"], "goal": r["weight"] * (n // 2) / n, "at": 0, "below": 0} for d in wide]
+            asked += [{"node": r["node"], "own": None, "dim": d, "lo": r[f"lo_{d}"], "hi": r[f"hi_{d}"], "left": n // 2, "right": n - n // 2, "weight": r["weight"], "goal": r["weight"] * (n // 2) / n, "at": 0, "below": 0, "rank": i} for i, d in enumerate(wide)]
         if asked:
             _medians(here, asked)
         for node in dict.fromkeys(s["node"] for s in asked):
             mine = [s for s in asked if s["node"] == node]
-            new.append(next((s for s in mine if s["miss"] <= SLACK * s["weight"]), None) or min(mine, key=lambda s: s["miss"]))
+            new.append(next((s for s in mine if s["miss"] <= slack * s["weight"]), None) or min(mine, key=lambda s: s["miss"]))
         made += new
         nodes = {child: s[side] for s in new for child, side in ((2 * s["node"], "left"), (2 * s["node"] + 1, "right"))}
     return made
@@ -134,11 +134,11 @@ def text_groups(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     return groups.select("digest", "weight", tie.alias("tie"), *[c.alias(f"x_{k}") for k, c in dims.items()]), [f"x_{k}" for k in dims]
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 5_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 5_000, slack: float = SLACK) -> DataFrame:
     """Puts every document into one of `shards` leaves of a k-d tree of near equal bytes; equal texts share a leaf.
 
     Points are the distinct texts, weighted by the bytes of all their copies, so copies stay together (a text that
-    alone outweighs a leaf makes that leaf larger). Returns id_col, size (UTF-8 bytes and 1), text_crc32, law ('bytes'),
+    alone outweighs a leaf makes that leaf larger). slack: see tree. Returns id_col, size (UTF-8 bytes and 1), text_crc32, law ('bytes'),
     shard, slot (0, 1... within the shard), grown_shard (null). A null text has no bytes: size 1, crc32 0, a group with
     the empty one. Texts are read once, whole, by built-in functions. Null ids, repeated rows (each its own slot) and
     empty tables are allowed; lang and source count if docs has them, all other columns are ignored.
@@ -149,7 +149,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     d = written(d, "shard-rows")
     groups, dims = text_groups(d)
     groups = written(groups, "shard-groups")
-    splits = tree(groups, dims, shards)
+    splits = tree(groups, dims, shards, slack=slack)
     which = F.lit(0)
     for node, n in leaf_numbers(splits, shards).items():
         which = F.when(F.col("node") == node, n).otherwise(which)
