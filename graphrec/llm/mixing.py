@@ -66,7 +66,8 @@ def quotas(with_targets: DataFrame, block_words: int, shards: int) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = (1, 2, 3), block_words: int = 16, shards: int = 8, seed: str = "mix-1", rows_per_bucket: int = 5_000, keep_text: bool = False) -> DataFrame:
     """How much of each document the mix takes.
 
-    A source's documents lie in the order of a seeded digest of their ids, end to end, as a ring of words. The source's
+    A source's documents lie in the order of a seeded digest of their ids (of null ids: their texts), end to end, as a
+    ring of words; rows of one id by size, then by a hash of the text, so that reruns take the same texts. The source's
     blocks are the consecutive runs of block_words words from a seeded start, round the ring as often as its quota asks
     for. So the words taken of a document are the overlap of two intervals plus whole rounds; no block is ever listed.
     Positions are running sums within (source, range of digests) plus the sums of the ranges before, so a source that
@@ -79,10 +80,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     before any is added, so clashing names do no harm.
     """
     own = [F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns)] if keep_text else []
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("|"), F.col(text_col)), F.lit(""))).cast("binary"))
     n = buckets_for(docs, rows_per_bucket)
     d = docs.select(
-        *own, F.col(id_col).alias("id"), n_words(F.col(text_col)).alias("size"), F.col(source_col).isNull().alias("src_null"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src_key"), digest.alias("digest")
+        *own, F.col(id_col).alias("id"), n_words(F.col(text_col)).alias("size"), F.col(source_col).isNull().alias("src_null"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src_key"), digest.alias("digest"), F.xxhash64(text_col).alias("tie")
     ).withColumn("bucket", F.floor(_first_bits(F.col("digest")) * n / F.lit(2**32)).cast("int"))
     if not keep_text:  # without texts the rows are thin: one pass over docs makes them
         d = written(d, "mix-rows")
@@ -94,7 +95,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     start = _first_bits(F.md5(F.concat(F.lit(f"{seed}|start|"), F.col("src_key")).cast("binary")))
     plan = plan.withColumn("start", F.when(F.col("source_size") > 0, start % F.greatest(F.col("source_size"), F.lit(1))).otherwise(0))
     starts = sums.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words").join(plan, ["src_null", "src_key"])
-    within = Window.partitionBy("src_null", "src_key", "bucket").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("src_null", "src_key", "bucket").orderBy("digest", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("upto", F.sum("size").over(within)).join(starts, ["src_null", "src_key", "bucket"])
     z, whole_ring = F.col("source_size"), F.greatest(F.col("source_size"), F.lit(1))
     at = F.pmod(F.col("base") + F.col("upto") - F.col("size") - F.col("start"), whole_ring)

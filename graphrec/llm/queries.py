@@ -133,7 +133,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_source_mix": """
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-                   md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+                   md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '|' || text, '')) AS h FROM documents
         ), s AS (
             SELECT source IS NULL AS src_null, coalesce(source, '') AS src_key, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY ALL
         ), w AS (

@@ -147,6 +147,14 @@ def test_seats_are_sainte_lague(spark):
     assert all(a <= b for r in rows for a, b in zip(r["seats"], r["seats"][1:]))
 
 
+def test_mix_of_null_ids_spreads_and_repeats(spark):
+    rows = [(None, f"nr{i} " + "wort " * 4, "xa", "s0") for i in range(400)] + [(7, f"gleich{i} " + "wort " * 4, "xa", "s0") for i in range(40)] + [(i, "wort " * 9, "xa", "s1") for i in range(100, 160)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    runs = [sorted(map(tuple, mixing.mixed_documents(d.repartition(n), block_words=4, rows_per_bucket=b).collect()), key=repr) for n, b in ((1, 50), (7, 13))]
+    assert runs[0] == runs[1]
+    assert any(len(words(r[1])) and r[0] is None for r in runs[0])
+
+
 def test_mixed_texts_hold_the_words_taken(docs):
     got = mixing.mix(docs, block_words=4, rows_per_bucket=16).groupBy("doc_id").agg(F.sum("taken")).collect()
     made = defaultdict(int)
@@ -546,6 +554,7 @@ def test_shards_against_a_tree_in_memory(spark, heavy):
     got = sharding.shard(d).collect()
     assert {r["doc_id"]: r["shard"] for r in got} == {i: want[x] for i, x in digest.items()}
     assert (alone > 0) == heavy
+    assert {s["rank"] for s in sharding.tree(groups, dims, 8, slack=1) if s["own"] is None} == {0}
 
 
 def test_numbered(spark):
