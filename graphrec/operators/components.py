@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.lineage import dropped, written
 from ..functions.memory import give_back
 
-#: Edges that a task contracts together.
-TOGETHER = 1 << 21
+#: Edges that a task contracts together: what they need, times the tasks of an executor, is its Python's memory.
+TOGETHER = 1 << 18
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

@@ -224,3 +224,19 @@ def test_components_of_long_paths_and_many_parts(spark):
     pairs = list(zip(chain, chain[1:])) + [(1000 + 2 * i, 1001 + 2 * i) for i in range(200)] + [(2000, 2000 + i) for i in range(150)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(6), "a", "b").collect()))
     assert got == plain_components(pairs)
+
+
+def test_edges_contracted_together_fit_a_worker(monkeypatch):
+    """What a task contracts at once is bounded, and by little: a worker's memory is some 600 bytes an edge."""
+    import pyarrow as pa
+
+    class Frame:
+        schema = {"a": type("Field", (), {"dataType": type("Kind", (), {"simpleString": lambda self: "long"})()})()}
+        select = lambda self, *cols: self
+        mapInArrow = lambda self, run, schema: run
+
+    seen, real = [], components._stars
+    monkeypatch.setattr(components, "_stars", lambda a, b: seen.append(len(a)) or real(a, b))
+    batch = lambda at: pa.RecordBatch.from_arrays([pa.array(range(at, at + 10_000)), pa.array(range(at + 1, at + 10_001))], ["a", "b"])
+    rows = sum(len(x) for x in components.contracted(Frame())(batch(at) for at in range(0, 600_000, 10_000)))
+    assert sum(seen) == 600_000 and max(seen) <= (1 << 18) + 10_000 and rows == 600_000 + len(seen)
