@@ -347,3 +347,14 @@ def test_best_of_a_stored_grid(spark):
     ]
     d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "grid_order int, dim int, layers int, neg int, recall double, ndcg double, mrr double")
     assert tuple(ranking.grid_best(d).first())[1:4] == (128, 2, 2)
+
+
+def test_start_vectors_are_made_once_a_node_in_all_tasks(spark):
+    from graphrec.jobs import queries
+
+    d = queries.QUERIES["init_embeddings"](spark, "/root/testdata/sf0.001")
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" in plan and not any("md5" in line for line in plan.split("\n") if "Filter" in line)
+    few = spark.range(40).select(F.col("id").cast("string").alias("node")).coalesce(1)
+    made = sampling.init_embeddings(few, 2)
+    assert made.withColumn("p", F.spark_partition_id()).select("p").distinct().count() == 4
