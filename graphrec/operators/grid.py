@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.lineage import dropped, written
 
 #: Rows of a cell's sides; items and queries scored together.
-QUERY_BLOCK, ITEM_BLOCK, CHUNK, TILE = 8192, 32768, 2048, 256
+QUERY_BLOCK, ITEM_BLOCK, CHUNK, TILE = 16384, 131072, 2048, 256
 #: Decimals by which scores rank, so that equal vectors tie wherever they lie, and what a bound is raised by for rounding.
 DECIMALS, SLACK = 9, 1e-8
 
@@ -117,6 +117,7 @@ class Cell:
         if len(left) and len(right) and parts != self.parts:
             raise ValueError(f"vectors of {self.parts} entries meet some of {parts}")
         self.q = self.raw * np.repeat(weights, self.parts) if len(left) else self.raw
+        self.short = self.items.astype(np.float32)
         self.norm, self.q_norm = right["norm"].to_numpy(), left["norm"].to_numpy()
         # Ids in order, as numbers: ties go to the smaller one.
         self.order = sorted(range(len(self.ids)), key=self.ids.__getitem__)
@@ -164,6 +165,66 @@ class Cell:
                     at[tile] = -1
                 yield tile, a, score
 
+    def best_of_tile(self, tile: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in tile, item, score) of each query's k best items, none below `least`; ties by smaller id.
+
+        Single precision tells which pairs may reach the score that their query has to beat: those that come within its
+        largest error of it. These alone are scored exactly, and are put in order when there are many of them.
+        """
+        q, norm, n = self.q[tile], self.q_norm[tile], len(tile)
+        short = q.astype(np.float32)
+        beat = least.copy()
+        kept = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        waiting, at = 0, np.full(len(self.q), -1)
+        at[tile] = np.arange(n)
+
+        def in_order() -> None:
+            i, j, score = (np.concatenate(c) for c in zip(*kept))
+            order = np.lexsort((self.place[j], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            kth = rank == k - 1
+            beat[i[kth]] = np.maximum(beat[i[kth]], score[kth])
+            kept[:] = [(i[rank < k], j[rank < k], score[rank < k])]
+
+        for a in range(0, len(self.items), CHUNK):
+            z = min(a + CHUNK, len(self.items))
+            here = norm * self.norm[a] * (1 + 1e-12) + SLACK >= beat
+            if not here.any():
+                break
+            error = (q.shape[1] + 8) * 2.0**-23 * norm * self.norm[a] + SLACK
+            # Without a score to beat, or with numbers that single precision does not hold, all are scored exactly.
+            plain = here & (np.isneginf(beat) | ~(norm * self.norm[a] < 1e30) | ~(norm < 1e30) | (self.norm[a] >= 1e30))
+            near = np.flatnonzero(here & ~plain)
+            x, y = np.searchsorted(self.hidden[:, 0], (a, z))
+            hidden = self.hidden[x:y][at[self.hidden[x:y, 1]] >= 0]
+            codes = at[hidden[:, 1]] * CHUNK + hidden[:, 0] - a
+            if len(near):
+                i, j = np.divmod(np.flatnonzero((short[near] @ self.short[a:z].T >= (beat - error)[near, None].astype(np.float32)).ravel()), z - a)
+                i = near[i]
+                score = np.round(np.einsum("ij,ij->i", q[i], self.items[a + j]), DECIMALS)
+                good = score >= beat[i]
+                if len(codes):
+                    good &= ~np.isin(i * CHUNK + j, codes)
+                kept.append((i[good], a + j[good], score[good]))
+                waiting += int(good.sum())
+            if plain.any():
+                rows = np.flatnonzero(plain)
+                score = np.full((n, z - a), -np.inf)
+                score[rows] = np.round(q[rows] @ self.items[a:z].T, DECIMALS)
+                score[np.isnan(score)] = -np.inf
+                score[codes // CHUNK, codes % CHUNK] = -np.inf
+                score[score < beat[:, None]] = -np.inf
+                best = _first(score, np.broadcast_to(self.place[a:z], score.shape), k)
+                i, r = np.nonzero(best >= 0)
+                kept.append((i, a + best[i, r], score[i, best[i, r]]))
+                waiting += len(i)
+            if waiting >= n * min(k, 64) or (plain.any() and waiting >= n):
+                in_order()
+                waiting = 0
+        in_order()
+        return kept[0]
+
 
 def _first(score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest scores of each row, ties by smaller place; -1 where there are fewer finite ones."""
@@ -198,24 +259,15 @@ def best_of_cell(queries: DataFrame, items: DataFrame, k: int, parts: tuple[floa
         if not len(left) or not len(right):
             return pa.Table.from_arrays([pa.array([], t) for t in types], names)
         cell = Cell(left, right, parts, exclude_same_id)
-        n = len(left)
-        least = left["least"].to_numpy()
-        score, at = np.full((n, k), -np.inf), np.full((n, k), -1)
-        place = np.append(cell.place, len(cell.place))
-        for tile, a, found in cell.chunks(lambda bound: bound >= np.maximum(score[:, k - 1], least)):
-            found[found < least[tile, None]] = -np.inf
-            j = _first(found, np.broadcast_to(cell.place[a : a + found.shape[1]], found.shape), k)
-            both = np.concatenate([score[tile], np.where(j >= 0, np.take_along_axis(found, np.maximum(j, 0), 1), -np.inf)], axis=1)
-            where = np.concatenate([at[tile], np.where(j >= 0, j + a, -1)], axis=1)
-            best = _first(both, place[where], k)
-            score[tile] = np.where(best >= 0, np.take_along_axis(both, np.maximum(best, 0), 1), -np.inf)
-            at[tile] = np.where(best >= 0, np.take_along_axis(where, np.maximum(best, 0), 1), -1)
-        i, r = np.nonzero(at >= 0)
-        j = at[i, r]
         cuts = np.cumsum([0, *cell.parts])
-        dots = [np.einsum("ij,ij->i", cell.raw[i, a:z], cell.items[j, a:z]) for a, z in zip(cuts, cuts[1:])]
-        columns = [left["query_id"].take(pa.array(i)), cell.right["item_id"].take(pa.array(j)), pa.array(score[i, r]), pa.array(sum(w * d for w, d in zip(parts, dots)))]
-        return pa.Table.from_arrays([*columns, *map(pa.array, dots)], names)
+        found = []
+        for t in range(0, len(left), TILE):
+            tile = np.arange(t, min(t + TILE, len(left)))
+            i, j, score = cell.best_of_tile(tile, left["least"].to_numpy()[tile], k)
+            dots = [np.einsum("ij,ij->i", cell.raw[tile[i], a:z], cell.items[j, a:z]) for a, z in zip(cuts, cuts[1:])]
+            found.append((tile[i], j, score, sum(w * d for w, d in zip(parts, dots)), *dots))
+        i, j, *numbers = (np.concatenate(c) for c in zip(*found))
+        return pa.Table.from_arrays([left["query_id"].take(pa.array(i)), cell.right["item_id"].take(pa.array(j)), *map(pa.array, numbers)], names)
 
     return run, schema
 

@@ -358,3 +358,29 @@ def test_start_vectors_are_made_once_a_node_in_all_tasks(spark):
     few = spark.range(40).select(F.col("id").cast("string").alias("node")).coalesce(1)
     made = sampling.init_embeddings(few, 2)
     assert made.withColumn("p", F.spark_partition_id()).select("p").distinct().count() == 4
+
+
+@pytest.mark.parametrize("size", [1.0, 1e-20, 1e20])
+def test_single_precision_loses_no_item(size):
+    """Scores closer than single precision tells, ties, and sizes that it does not hold; rows that a cell scores exactly are few."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(7)
+    v = np.repeat(r.normal(size=(600, 5)), 10, axis=0) * (1 + r.integers(-3, 4, size=(6000, 1)) * 1e-8)
+    q = r.normal(size=(300, 5))
+    q, v = q / np.linalg.norm(q, axis=1)[:, None], v / np.linalg.norm(v, axis=1).max()
+    q[0], v[17] = 0.0, v[4]
+    q, v = q * size, v / (size if size < 1 else 1.0)
+    vecs = lambda x: pa.array([[row.tolist()] for row in x])
+    norm = lambda x: np.sqrt((x * x).sum(1))
+    left, right = pa.table({"query_id": list(range(300)), "vecs": vecs(q), "norm": norm(q)}), pa.table({"item_id": list(range(6000)), "vecs": vecs(v), "norm": norm(v), "query_id": pa.nulls(6000, pa.int64())})
+    cell = grid.Cell(left, right, (1.0,), True)
+    ids = np.array(cell.ids)
+    for t in (0, 256):
+        tile = np.arange(t, min(t + 256, 300))
+        i, j, score = cell.best_of_tile(tile, np.full(len(tile), -np.inf), 7)
+        for n, x in enumerate(tile):
+            want = np.round(cell.items @ cell.q[x], grid.DECIMALS)
+            want[ids == x] = -np.inf
+            order = np.lexsort((ids, -want))[:7]
+            assert ids[j[i == n]].tolist() == ids[order].tolist() or np.allclose(score[i == n], want[order], rtol=1e-12, atol=2e-9)
