@@ -384,3 +384,11 @@ def test_single_precision_loses_no_item(size):
             want[ids == x] = -np.inf
             order = np.lexsort((ids, -want))[:7]
             assert ids[j[i == n]].tolist() == ids[order].tolist() or np.allclose(score[i == n], want[order], rtol=1e-12, atol=2e-9)
+
+
+def test_a_vector_is_sent_with_its_edges_in_a_row(spark, inter):
+    adj = graph.normalized_adjacency(graph.symmetric_adjacency(inter))
+    nodes = adj.select(F.col("src").alias("node")).distinct()
+    stored = lightgcn.stored_adjacency(adj)
+    assert stored.edges.count() == nodes.count() < adj.count()
+    stored.drop()
