@@ -917,7 +917,7 @@ def grid_search(s, sf):
 
 def _grid(s: SparkSession, sf: str) -> DataFrame:
     """Results to choose from that SQL can give too: embeddings of two sizes cut from given vectors, evaluated."""
-    u, i = a.user_vectors(s, sf), a.item_vectors(s, sf)
+    u, i = written(a.user_vectors(s, sf), "grid-users"), written(a.item_vectors(s, sf), "grid-items")
     cut = lambda d, dim: d.withColumn("embedding", F.slice("embedding", 1, dim))
     return ranking.grid_search(lambda dim, layers, neg: (cut(u, dim), cut(i, dim)), a.events(s, sf), dims=(16, 64), layers=(2,), negatives=(1,))
 

@@ -392,3 +392,12 @@ def test_a_vector_is_sent_with_its_edges_in_a_row(spark, inter):
     stored = lightgcn.stored_adjacency(adj)
     assert stored.edges.count() == nodes.count() < adj.count()
     stored.drop()
+
+
+def test_an_evaluation_makes_its_vectors_once(spark, monkeypatch):
+    made, real = [], ranking.written
+    monkeypatch.setattr(ranking, "written", lambda d, name: made.append((name, tuple(d.columns))) or real(d, name))
+    e = spark.createDataFrame([(0, "c", "i", "2024-01-01"), (1, "c", "j", "2024-01-02")], "event_id long, client_id string, item_id string, timestamp string")
+    users, items = spark.createDataFrame([("c", [1.0])], "client_id string, embedding array<double>"), spark.createDataFrame([("i", [1.0]), ("j", [2.0])], "item_id string, embedding array<double>")
+    assert ranking.evaluate(users, items, e, (1,)).first()["recall"] == 1.0
+    assert made[:2] == [("evaluate-user-vectors", ("client_id", "embedding")), ("evaluate-item-vectors", ("item_id", "embedding"))]
