@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import bucketed, dropped, unbucketed, written
@@ -17,6 +17,8 @@ from .vectors import for_metric, l2_normalize
 
 #: Vectors that the centers are fitted on at most, lists at most, rounds of fitting.
 SAMPLE, LISTS, ROUNDS = 16384, 4096, 10
+#: Lists that a query looks into first.
+NEAR = 4
 
 
 class Index(NamedTuple):
@@ -152,12 +154,26 @@ def search(index: Index, queries: DataFrame, m: int, probes: int) -> DataFrame:
     blocks = max(1, math.ceil(q.count() / QUERY_BLOCK))
     places = F.split(F.lit(";".join(",".join(map(str, p)) for p in index.places)), ";")
     at = F.explode(F.flatten(F.transform("lists", lambda i: F.split(F.get(places, i), ",").cast("array<int>"))))
-    q_at = q.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), at.alias("at"), "query_id", "vecs", "norm", F.lit(float("-inf")).alias("least"))
-    wanted = written(q_at.select("at", "block").distinct(), "index-wanted")
-    items = index.items.join(wanted, "at").select("block", "at", "item_id", "vecs", "norm", F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"))
     run, schema = best_of_cell(q, index.items, m, (1.0,))
-    found = written(q_at.groupBy("block", "at").cogroup(items.groupBy("block", "at")).applyInArrow(run, schema), "index-found")
-    dropped(q, wanted)
+
+    def met(asked: DataFrame, name: str) -> DataFrame:
+        """What queries (their lists, and least, the score to beat) find in their lists."""
+        q_at = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), at.alias("at"), "query_id", "vecs", "norm", "least")
+        wanted = written(q_at.select("at", "block").distinct(), "index-wanted")
+        items = index.items.join(wanted, "at").select("block", "at", "item_id", "vecs", "norm", F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"))
+        out = written(q_at.groupBy("block", "at").cogroup(items.groupBy("block", "at")).applyInArrow(run, schema), name)
+        dropped(wanted)
+        return out
+
+    # The m best of the nearest lists give each query a score to beat: other lists pass on what reaches it, not m rows each.
+    lowest = F.lit(float("-inf"))
+    near = met(q.withColumn("lists", F.slice("lists", 1, NEAR)).withColumn("least", lowest), "index-near")
+    best = written(near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ranked"), "item_id"))).filter(F.col("place") <= m), "index-best")
+    beat = best.filter(F.col("place") == m).select("query_id", F.col("ranked").alias("least"))
+    rest = q.filter(F.size("lists") > NEAR).withColumn("lists", F.slice("lists", F.lit(NEAR + 1), F.size("lists") - NEAR))
+    rest = written(rest.join(beat, "query_id", "left").withColumn("least", F.coalesce("least", lowest)), "index-asked")
+    found = best.drop("place").unionByName(met(rest, "index-rest"))
+    dropped(q, near, rest)
     return first_k(found, m).select(F.col("query_id").alias("query_item_id"), "rank", "item_id", (F.col("score") + (1.0 if index.metric == "l2" else 0.0)).alias("similarity"))
 
 

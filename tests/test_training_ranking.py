@@ -401,3 +401,24 @@ def test_an_evaluation_makes_its_vectors_once(spark, monkeypatch):
     users, items = spark.createDataFrame([("c", [1.0])], "client_id string, embedding array<double>"), spark.createDataFrame([("i", [1.0]), ("j", [2.0])], "item_id string, embedding array<double>")
     assert ranking.evaluate(users, items, e, (1,)).first()["recall"] == 1.0
     assert made[:2] == [("evaluate-user-vectors", ("client_id", "embedding")), ("evaluate-item-vectors", ("item_id", "embedding"))]
+
+
+def test_lists_pass_on_what_reaches_the_score_to_beat(spark, monkeypatch):
+    from graphrec.operators import inverted, vectors
+
+    r = np.random.default_rng(5)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.normal(size=(800, 3)))], "item_id long, embedding array<double>")
+    made, real = [], inverted.written
+
+    def noted(d, name):
+        out = real(d, name)
+        made.append((name, out.count()))
+        return out
+
+    index = inverted.build_index(d, lists=20)
+    monkeypatch.setattr(inverted, "written", noted)
+    found = inverted.search(index, d, 10, 20).select("query_item_id", "rank", "item_id").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, vectors.topm_candidates(d, d, 10).select("query_item_id", "rank", "item_id").collect()))
+    passed = dict(made)
+    assert passed["index-best"] == 8000 and passed["index-rest"] < 8000  # 16 lists of 10 rows for each of 800 queries before
+    index.drop()
