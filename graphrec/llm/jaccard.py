@@ -285,34 +285,26 @@ def survivors(b: pd.DataFrame) -> pd.DataFrame:
         rare, prefix = n - (z - a), n - (4 * n + 4) // 5 + 1
         if rare < prefix:
             mine = h[a:z].view(np.int64)
-            rows.append((int(node[a]), n, int(rare), np.sort(mine).astype("<i8").tobytes(), mine[: prefix - rare]))
+            rows.append((int(node[a]), n, int(rare), mine, mine[: prefix - rare]))
     return pd.DataFrame(rows, columns=["node", "n", "rare", "shared", "rarest"])
 
 
 def compare_with_leader(pairs: DataFrame) -> DataFrame:
     """pairs: leader, l_n, l_shared, node, n, shared -> leader, l_size, node, n, linked, less, diff.
 
-    less: the leader's shingles that node lacks; diff: these and those that only node has.
+    less: how many of the leader's shingles node lacks; diff: these and those that only node has.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for leader, l_n, l_shared, node, n, shared in b.itertuples(index=False):
-                x, y = np.frombuffer(l_shared, "<i8"), np.frombuffer(shared, "<i8")
-                diff = np.setxor1d(x, y, assume_unique=True)
-                both = (len(x) + len(y) - len(diff)) // 2
-                rows.append((leader, len(x), node, n, 100 * both >= 80 * (l_n + n - both), len(x) - both, diff.tobytes()))
-            yield pd.DataFrame(rows, columns=["leader", "l_size", "node", "n", "linked", "less", "diff"])
-
-    return pairs.select("leader", "l_n", "l_shared", "node", "n", "shared").mapInPandas(run, "leader long, l_size int, node long, n int, linked boolean, less int, diff binary")
+    both = (F.col("l_size") - F.col("less")).cast("long")
+    d = pairs.select("leader", "l_n", F.size("l_shared").alias("l_size"), "node", "n", F.array_except("l_shared", "shared").alias("lacks"), F.array_except("shared", "l_shared").alias("adds"))
+    d = d.select("*", F.size("lacks").alias("less"), F.concat("lacks", "adds").alias("diff"))
+    return d.select("leader", "l_size", "node", "n", (100 * both >= 80 * (F.col("l_n").cast("long") + F.col("n") - both)).alias("linked"), "less", "diff")
 
 
 def links_by_difference(asking: pd.DataFrame, members: pd.DataFrame) -> list[tuple[int, int]]:
     """Linked pairs of asking rows with members of one leader, from their differences to it."""
     members = members.sort_values("n", kind="stable")
     n, less, nodes = (members[c].to_numpy(dtype=np.int64) for c in ("n", "less", "node"))
-    diffs = [np.frombuffer(x, "<i8") for x in members["diff"]]
+    diffs = [np.asarray(x, dtype=np.int64) for x in members["diff"]]
     sizes = np.array([len(x) for x in diffs])
     bits = max(1, int(len(members)).bit_length())
     # An index entry is its shingle's number and its owner's place in the order of size: the entries of a shingle whose
@@ -324,7 +316,7 @@ def links_by_difference(asking: pd.DataFrame, members: pd.DataFrame) -> list[tup
         low, high = np.searchsorted(n, -(-4 * size // 5)), np.searchsorted(n, 5 * size // 4, side="right")
         if low >= high:
             continue
-        mine = np.frombuffer(diff, "<i8")
+        mine = np.asarray(diff, dtype=np.int64)
         at = np.searchsorted(known, mine)
         mine = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == mine)] << bits if len(known) else at[:0]
         a, z = np.searchsorted(entries, mine | low), np.searchsorted(entries, mine + high)
@@ -405,7 +397,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pd.DataFrame({"id": pd.array(ids if null != b"null" else [None] * len(ids), dtype="Int64"), "n": np.frombuffer(sizes, "<u4").astype(np.int64), "node": np.frombuffer(nodes, "<i8")})
 
     all_docs = written(first.filter("kind = 1").mapInPandas(documents, "id long, n long, node long"), "jaccard-documents")
-    sets = written(by_cell(first.filter("kind <> 1"), parts, inside, True, survivors, "node long, n int, rare int, shared binary, rarest array<long>"), "jaccard-sets")
+    sets = written(by_cell(first.filter("kind <> 1"), parts, inside, True, survivors, "node long, n int, rare int, shared array<long>, rarest array<long>"), "jaccard-sets")
     listed = sets.select("node", "n", F.posexplode("rarest").alias("place", "shingle"), "rare")
     position = F.struct((F.col("rare") + F.col("place")).alias("at"), (-F.col("n")).alias("less"), F.col("node"))
     leaders = listed.groupBy("shingle").agg(F.min(position)["node"].alias("leader"), F.count(F.lit(1)).alias("owners")).filter("owners > 1").drop("owners")
@@ -416,13 +408,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared = written(compare_with_leader(pairs.join(mine, "node").join(theirs, "leader")), "jaccard-compared")
     links = compared.filter("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")).unionAll(links_beside_leaders(compared, parts))
     labels = written(connected_components(links, "a", "b"), "jaccard-labels")
-    by_node = written(all_docs.filter("n > 0").groupBy("node").agg(F.min("id").alias("least")), "jaccard-nodes")
-    by_label = written(labels.join(by_node, "node").groupBy("component").agg(F.min("least").alias("least")), "jaccard-least")
-    linked = labels.join(by_label, "component").select("node", F.col("least").alias("of_all"))
-    named = written(by_node.join(linked, "node", "left").select("node", F.when(F.col("of_all").isNull(), F.col("least")).otherwise(F.col("of_all")).alias("least")), "jaccard-named")
-    dropped(first, sets, leaders, compared, labels, by_node, by_label)
-    d = all_docs.join(named, "node", "left")
-    return d.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    dropped(first, sets, leaders, compared)
+    # A group is a component of linked sets, or the copies of a set without links; those of one document need no row.
+    group = F.when(F.col("n") > 0, F.coalesce("component", "node"))
+    d = all_docs.join(labels, "node", "left").select("id", "n", group.alias("group"))
+    least = written(d.filter("n > 0").groupBy("group").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("docs")).filter("docs > 1").drop("docs"), "jaccard-least")
+    return d.join(least, "group", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Connected components: edges contracted within partitions, then alternating large and small stars."""
+"""Connected components: edges contracted within partitions, then alternating large and small stars until a task can contract the rest."""
 
 from __future__ import annotations
 
@@ -70,6 +70,11 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _whole(edges: DataFrame) -> DataFrame | None:
+    """contracted() of edges (a table) in one task: whole components, a row a node; None if they are more than a task contracts together."""
+    return contracted(edges.coalesce(1)) if edges.count() <= TOGETHER else None
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbor of a node to the smallest node in its neighborhood."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -103,13 +108,18 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     Edges are contracted twice: within the partitions they are read in, before anything is shuffled, and by their larger
     end; what is left is a forest of about a row a node and partition. Then rounds of large and small stars make stars
     around the smallest nodes, in a number of rounds that grows with the logarithm of the longest path; stars that are
-    whole components are laid aside after each round, so a round works on what is unfinished. A RuntimeError tells if
-    max_rounds did not do. Minima are tables, so a hub is a skewed key of a plain join, which adaptive execution splits.
+    whole components are laid aside after each round, so a round works on what is unfinished. As soon as no more than
+    TOGETHER edges are left, which is what any task contracts together, a task contracts them and no round follows, so
+    few edges in many partitions cost no rounds. A RuntimeError tells if max_rounds did not do. Minima are tables, so a hub is a skewed key of a plain join, which adaptive execution splits.
     Rounds are written to the shared folder, so the lineage stays short, and removed when the next one stands. Edges
     with a null end, and loops to other nodes' names, count for nothing but their own node.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     local = written(contracted(e), "cc-local")
+    if (whole := _whole(local)) is not None:
+        stars = written(whole, "cc-stars")
+        dropped(local)
+        return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     # A node's own row keeps it where no edge does.
     stars = written(contracted(local.repartition("a")).distinct(), "cc-stars")
     dropped(local)
@@ -123,6 +133,10 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
             raise RuntimeError(f"components are not found after {max_rounds} rounds")
         finished.append(written(given.join(open_, "b", "left_anti").select("a", "b"), "cc-finished"))
         rest = written(given.join(open_, "b", "left_semi").select("a", "b"), "cc-rest")
+        if (whole := _whole(rest)) is not None:
+            finished.append(written(whole.filter("a <> b"), "cc-finished"))
+            dropped(given, open_, rest)
+            break
         large = _large_star(rest)
         after = _small_star(large)
         dropped(given, open_, rest, large)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from graphrec.llm import boosting, dom, html_main, jaccard, langid, line_dedup, mixing, packing, repetition, sharding, topk, warc
 from graphrec.llm.queries import vocabulary_path
 from graphrec.llm.shared import numbered, work_dir
+from graphrec.operators import components
 
 #: Column names that the operators use themselves.
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, size string, bucket string, shard string, digest string, site string, taken string, rank string, score string, node string, part string"
@@ -456,6 +457,35 @@ def test_jaccard_of_chains_around_many_leaders(spark, monkeypatch):
     assert Counter(map(tuple, got.collect())) == brute_components(rows)
 
 
+def test_jaccard_of_chains_in_many_parts_takes_few_tables(spark, monkeypatch):
+    """Chains of near copies, dealt over many parts, with copies that link with nothing and without ids: no rounds, which are many small jobs."""
+    r, rows = random.Random(12), []
+    for g in range(6):
+        w = [f"{x}{g}" for x in prose("xa", 120, r).split()]
+        for _ in range(14):
+            w = w[:]
+            for k in r.sample(range(120), 3):
+                w[k] = f"n{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    alone = prose("xb", 80, r)
+    rows += [(None, alone), (905, alone), (903, alone), (None, prose("xc", 40, r)), (907, ""), (908, None), (None, "")]
+    r.shuffle(rows)
+    names = []
+    for module in (jaccard, components):
+        monkeypatch.setattr(module, "written", lambda df, name, real=module.written: names.append(name) or real(df, name))
+    settings = {"spark.sql.shuffle.partitions": "25", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(30))
+        assert Counter(map(tuple, got.collect())) == brute_components(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(names) <= 10 and not {"cc-large", "cc-round"} & set(names)
+
+
 def test_jaccard_cells_and_parts(spark, docs, monkeypatch):
     """The same answer from many cells, in parts of their own and several to a part, as from one."""
     parts, inside = jaccard.cells_for(10**14)

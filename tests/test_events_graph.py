@@ -226,6 +226,31 @@ def test_components_of_long_paths_and_many_parts(spark):
     assert got == plain_components(pairs)
 
 
+@pytest.mark.parametrize("together", (1 << 18, 600, 20))
+def test_few_edges_in_many_parts_take_no_rounds(spark, monkeypatch, together):
+    """Edges that a task may contract together are contracted by one, at once or as soon as rounds have left no more."""
+    import random
+
+    r = random.Random(8)
+    chain = list(range(400))
+    r.shuffle(chain)
+    pairs = list(zip(chain, chain[1:])) + [(1000 + 2 * i, 1001 + 2 * i) for i in range(50)] + [(2000, 2000 + i) for i in range(60)]
+    names, real = [], components.written
+    monkeypatch.setattr(components, "TOGETHER", together)
+    monkeypatch.setattr(components, "written", lambda df, name: names.append(name) or real(df, name))
+    settings = {"spark.sql.shuffle.partitions": "25", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = list(map(tuple, components.connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(60), "a", "b").collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert dict(got) == plain_components(pairs) and len(got) == len(dict(got))
+    assert (names == ["cc-local", "cc-stars"]) == (together == 1 << 18) and ("cc-rest" in names) == (together < 1 << 18) and ("cc-round" in names) == (together == 20)
+
+
 def test_edges_contracted_together_fit_a_worker(monkeypatch):
     """What a task contracts at once is bounded, and by little: a worker's memory is some 600 bytes an edge."""
     import pyarrow as pa
