@@ -26,12 +26,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.memory import give_back
-from ..operators.components import connected_components
+from ..functions.memory import returning
+from ..operators.components import connected_components, contracted, stars
 from .shared import dropped, written
 
 SHINGLE_WORDS = 5
@@ -39,6 +40,8 @@ SHINGLE_WORDS = 5
 CELL_BYTES, MAX_PARTS = 6_000_000, 16_384
 #: Shingles gathered before a task passes them on; owners in one such gathering from which a shingle counts as common.
 GATHER, COMMON = 1_000_000, 16
+#: Texts of a batch that are strings of Python at a time.
+TEXTS = 64
 #: Frequencies are kept in a byte; the highest stands for common shingles.
 MOST, COMMON_CLASS = 254, 255
 BLOCK_MEMBERS, BLOCK_ASKING = 1024, 512
@@ -116,12 +119,12 @@ def _of_node(nodes: np.ndarray, modulus: int) -> np.ndarray:
 def scatter(docs: DataFrame, parts: int, inside: int, words: int) -> DataFrame:
     """Documents' sets as packed rows by the shingles' part (cell 0 where parts have several). docs: id (text), text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         sets: list[np.ndarray] = []
         ids, docs_nodes, docs_sizes, total = [], [], [], 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             rows = []
             for null in (False, True):
                 at = [i for i, x in enumerate(ids) if (x is None) == null]
@@ -150,28 +153,27 @@ def scatter(docs: DataFrame, parts: int, inside: int, words: int) -> DataFrame:
                         h, owner = h[rest], owner[rest]
                 for p, e in _split(_of_shingle(h, parts * inside) // inside, parts):
                     rows.append(_entries((p, 0), 0, nodes[owner[e]], sizes[owner[e]], h[e], None))
-            return _frame(rows)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32()] * 3 + [pa.binary()] * 5)], _COLUMNS)
 
         for b in batches:
-            for doc, text in zip(b["id"], b["text"]):
-                h = shingles(text, words)
-                node = node_of(h) if len(h) else 0
-                ids.append(doc)
-                docs_nodes.append(node)
-                docs_sizes.append(len(h))
-                if len(h) and node not in seen:
-                    seen[node] = len(h)
-                    sets.append(h)
-                    total += len(h)
-                if total >= GATHER or len(ids) >= 100_000:
-                    yield flush()
-                    seen, sets, ids, docs_nodes, docs_sizes, total = {}, [], [], [], [], 0
+            for at in range(0, len(b), TEXTS):
+                for doc, text in zip(*(b.column(c).slice(at, TEXTS).to_pylist() for c in ("id", "text"))):
+                    h = shingles(text, words)
+                    node = node_of(h) if len(h) else 0
+                    ids.append(doc)
+                    docs_nodes.append(node)
+                    docs_sizes.append(len(h))
+                    if len(h) and node not in seen:
+                        seen[node] = len(h)
+                        sets.append(h)
+                        total += len(h)
+                    if total >= GATHER or len(ids) >= 100_000:
+                        yield flush()
+                        seen, sets, ids, docs_nodes, docs_sizes, total = {}, [], [], [], [], 0
         if ids:
             yield flush()
-            seen, sets, ids, docs_nodes, docs_sizes = {}, [], [], [], []
-        give_back()
 
-    return docs.mapInPandas(run, _PACKED)
+    return docs.mapInArrow(returning(run), _PACKED)
 
 
 def _cells_apart(whole: int, inside: int, by_node: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -214,7 +216,7 @@ def by_cell(packed: DataFrame, parts: int, inside: int, by_node: bool, f: Callab
     """f on the rows of each cell, one after the other in the task of its part."""
     d = packed.repartitionById(parts, F.col("part"))
     if inside > 1:
-        d = d.mapInPandas(_cells_apart(parts * inside, inside, by_node), _PACKED).sortWithinPartitions("part", "cell")
+        d = d.mapInPandas(returning(_cells_apart(parts * inside, inside, by_node)), _PACKED).sortWithinPartitions("part", "cell")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, now = [], None
@@ -231,10 +233,8 @@ def by_cell(packed: DataFrame, parts: int, inside: int, by_node: bool, f: Callab
                 held.append(b.iloc[s:e])
         if held:
             yield f(pd.concat(held))
-            held = []
-        give_back()
 
-    return d.mapInPandas(run, schema)
+    return d.mapInPandas(returning(run), schema)
 
 
 def count_owners(parts: int, inside: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -330,7 +330,7 @@ def links_by_difference(asking: pd.DataFrame, members: pd.DataFrame) -> list[tup
 
 
 def links_beside_leaders(compared: DataFrame, parts: int) -> DataFrame:
-    """(a, b): links between members of a leader of which one at least isn't linked with it.
+    """(a, b): links between members of a leader of which one at least isn't linked with it, contracted in the task that finds them.
 
     A leader's members meet in blocks of bounded size: every asking member with every member. The leaders' counts are a
     table, so a leader of many members is a skewed key of a plain join, which adaptive execution splits.
@@ -344,33 +344,34 @@ def links_beside_leaders(compared: DataFrame, parts: int) -> DataFrame:
     members = d.select(*cols, F.lit(False).alias("asks"), F.pmod(own, F.col("mb")).cast("int").alias("m"), every("ab").alias("a"))
     asking = d.filter("NOT linked").select(*cols, F.lit(True).alias("asks"), every("mb").alias("m"), F.pmod(own, F.col("ab")).cast("int").alias("a"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
         key = None
 
-        def done() -> pd.DataFrame:
+        def done() -> Iterator[pa.RecordBatch]:
             g = pd.concat(held)
             asks = g["asks"].to_numpy()
-            found = links_by_difference(g[asks], g[~asks]) if asks.any() and not asks.all() else []
-            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            ends = np.array(links_by_difference(g[asks], g[~asks]) if asks.any() and not asks.all() else [], dtype=np.int64).reshape(-1, 2)
+            for at in range(0, len(ends), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in ends[at : at + 10_000].T], ["a", "b"])
 
-        for b in batches:
+        for b in map(pa.RecordBatch.to_pandas, batches):
             ends = np.flatnonzero((b[["leader", "m", "a"]].to_numpy()[1:] != b[["leader", "m", "a"]].to_numpy()[:-1]).any(1)) + 1
             for s, e in zip([0, *ends], [*ends, len(b)]):
                 if s == e:
                     continue
                 now = tuple(b[["leader", "m", "a"]].iloc[s])
                 if held and now != key:
-                    yield done()
+                    yield from done()
                     held = []
                 key = now
                 held.append(b.iloc[s:e])
         if held:
-            yield done()
+            yield from done()
 
     met = members.unionByName(asking)
     n = max(parts, int(compared.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return met.repartition(n, "leader", "m", "a").sortWithinPartitions("leader", "m", "a").mapInPandas(run, "a long, b long")
+    return met.repartition(n, "leader", "m", "a").sortWithinPartitions("leader", "m", "a").mapInArrow(returning(lambda batches: stars(found(batches))), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -406,8 +407,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = listed.select("shingle", "node").join(leaders, "shingle").filter("leader <> node").select("leader", "node").distinct()
     mine, theirs = sets.select("node", "n", "shared"), sets.select(F.col("node").alias("leader"), F.col("n").alias("l_n"), F.col("shared").alias("l_shared"))
     compared = written(compare_with_leader(pairs.join(mine, "node").join(theirs, "leader")), "jaccard-compared")
-    links = compared.filter("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")).unionAll(links_beside_leaders(compared, parts))
-    labels = written(connected_components(links, "a", "b"), "jaccard-labels")
+    with_leaders = contracted(compared.filter("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    # Both are contracted as they are made: two steps in Python one after the other in a task take two workers a core,
+    # which then stay with the executor.
+    links = with_leaders.unionAll(links_beside_leaders(compared, parts))
+    labels = written(connected_components(links, "a", "b", as_stars=True), "jaccard-labels")
     dropped(first, sets, leaders, compared)
     # A group is a component of linked sets, or the copies of a set without links; those of one document need no row.
     group = F.when(F.col("n") > 0, F.coalesce("component", "node"))

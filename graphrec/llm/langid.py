@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.memory import give_back
+from ..functions.memory import returning
 from .token_counts import slices as slices_of
 
 #: Buckets of hashed byte trigrams, added to each count, and what a trigram's log-likelihood is divided by: a byte
@@ -85,9 +85,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     total[languages.index(lang)] += np.bincount(trigrams([part])[0], minlength=BUCKETS)
         row, bucket = np.nonzero(total)
         yield pd.DataFrame({"language": row.astype("int32"), "bucket": bucket.astype("int32"), "n": total[row, bucket]})
-        give_back()
 
-    counted = sample.mapInPandas(run, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.mapInPandas(returning(run), "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros((BUCKETS, len(languages)))
     n[counted["bucket"], counted["language"]] = counted["n"]
     return languages, (np.log((n + SMOOTHING) / (n.sum(0) + SMOOTHING * BUCKETS)) / OVERLAP).astype(np.float32)
@@ -177,10 +176,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 # Columns pass as they came: pandas would round long ids beside a null.
                 own = [b.column(n).slice(a, z - a) for n in names]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], [*names, "lang_pred", "score", "languages"])
-        give_back()
 
     source = docs.toDF(*names) if keep else docs.select(F.col(id_col).alias(names[0]), F.col(text_col).alias("text"))
-    out = source.mapInArrow(run, schema)
+    out = source.mapInArrow(returning(run), schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, own)], "lang_pred", "score", "languages")
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import returning
 from .shared import numbered, written
 
 END_ID = 2
@@ -132,7 +133,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, id_col:
             # Ids pass as they came: pandas would round long ones beside a null.
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows, pa.int64())), *[pa.array(c, k) for c, k in zip(out, kinds)]], names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(returning(run), schema)
 
 
 def fullest(counts: dict[int, int], capacity: int, slack: int = 0) -> list[tuple[int, int]]:
@@ -223,7 +224,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, rows_per_bucket: int = 5_000)
                 sequence_id[at], offset[at] = s[:, 2] + since // s[:, 1], s[:, 3] + since % s[:, 1] * one
             yield pa.RecordBatch.from_arrays([*map(b.column, own), pa.array(sequence_id), pa.array(offset)], [*own, "sequence_id", "offset"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(returning(run), schema)
 
 
 def packed_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 5_000) -> DataFrame:

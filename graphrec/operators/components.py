@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import dropped, written
-from ..functions.memory import give_back
+from ..functions.memory import returning
 
 #: Edges that a task contracts together: what they need, times the tasks of an executor, is its Python's memory.
 TOGETHER = 1 << 18
@@ -47,27 +47,26 @@ def _stars(a: pa.Array, b: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([names.take(pa.array(order)), names.take(pa.array(order[root]))], ["a", "b"])
 
 
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) with the same components as those of batches: the components of each TOGETHER of them, a row a node of these."""
+    held: list[pa.RecordBatch] = []
+    join = lambda c: pa.chunked_array([x.column(c) for x in held]).combine_chunks()
+    for x in batches:
+        held.append(x)
+        if sum(map(len, held)) >= TOGETHER:
+            yield _stars(join(0), join(1))
+            held.clear()
+    if sum(map(len, held)):
+        yield _stars(join(0), join(1))
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """edges (a, b) with the same components, as stars: each partition's (each TOGETHER of its edges') components, a row a node of these.
 
     There is no shuffle; a partition gives no more rows than it has nodes, whatever its edges.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        join = lambda c: pa.chunked_array([x.column(c) for x in held]).combine_chunks()
-        for x in batches:
-            held.append(x)
-            if sum(map(len, held)) >= TOGETHER:
-                yield _stars(join(0), join(1))
-                held.clear()
-        if sum(map(len, held)):
-            yield _stars(join(0), join(1))
-            held.clear()
-        give_back()
-
     kind = edges.schema["a"].dataType.simpleString()
-    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
+    return edges.select("a", "b").mapInArrow(returning(stars), f"a {kind}, b {kind}")
 
 
 def _whole(edges: DataFrame) -> DataFrame | None:
@@ -102,7 +101,7 @@ def _unfinished(edges: DataFrame) -> DataFrame:
     return shared.unionAll(inner).unionAll(outer).distinct()
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100, as_stars: bool = False) -> DataFrame:
     """(node, component) for every end of an edge; component is its smallest node.
 
     Edges are contracted twice: within the partitions they are read in, before anything is shuffled, and by their larger
@@ -112,18 +111,19 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     TOGETHER edges are left, which is what any task contracts together, a task contracts them and no round follows, so
     few edges in many partitions cost no rounds. A RuntimeError tells if max_rounds did not do. Minima are tables, so a hub is a skewed key of a plain join, which adaptive execution splits.
     Rounds are written to the shared folder, so the lineage stays short, and removed when the next one stands. Edges
-    with a null end, and loops to other nodes' names, count for nothing but their own node.
+    with a null end, and loops to other nodes' names, count for nothing but their own node. `as_stars`: edges are contracted
+    within their partitions as they come.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    local = written(contracted(e), "cc-local")
+    local = written(e if as_stars else contracted(e), "cc-local")
     if (whole := _whole(local)) is not None:
-        stars = written(whole, "cc-stars")
+        whole = written(whole, "cc-stars")
         dropped(local)
-        return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return whole.select(F.col("a").alias("node"), F.col("b").alias("component"))
     # A node's own row keeps it where no edge does.
-    stars = written(contracted(local.repartition("a")).distinct(), "cc-stars")
+    forest = written(contracted(local.repartition("a")).distinct(), "cc-stars")
     dropped(local)
-    given, finished = written(stars.filter("a <> b"), "cc-edges"), []
+    given, finished = written(forest.filter("a <> b"), "cc-edges"), []
     for done in range(max_rounds + 1):
         open_ = written(_unfinished(given), "cc-open")
         if open_.isEmpty():
@@ -144,5 +144,5 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     found = finished[0]
     for d in finished[1:]:
         found = found.unionByName(d)
-    nodes = stars.select(F.col("a").alias("node")).distinct()
+    nodes = forest.select(F.col("a").alias("node")).distinct()
     return nodes.join(found.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

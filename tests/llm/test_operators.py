@@ -740,3 +740,65 @@ def test_rows_of_lists_as_a_matrix():
     assert topk.matrix(lists).tolist() == [[1, 2, 3], [0, 0, 0], [4, 0, 0], [5, 6, 0]]
     assert topk.matrix(lists, 2).tolist() == [[1, 2], [0, 0], [4, 0], [5, 6]] and topk.matrix(lists, 0).shape == (4, 0)
     assert topk.matrix(pa.chunked_array([], pa.list_(pa.int64()))).shape == (0, 0)
+
+
+def test_tasks_of_near_copies_have_one_worker(spark, docs, monkeypatch):
+    """Two steps in Python in one task would take two workers a core, which stay with the executor: of what is written no part has them."""
+    plans, out = [], Counter(map(tuple, jaccard.near_duplicates(docs).collect()))
+    for module in (jaccard, components):
+        monkeypatch.setattr(module, "written", lambda df, name, real=module.written: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
+    assert Counter(map(tuple, jaccard.near_duplicates(docs).collect())) == out
+    found = 0
+    for plan in plans:
+        above = []  # depths of the Python steps over a line, of the task it is in
+        for line in plan.splitlines():
+            depth = len(line) - len(line.lstrip(" :+-"))
+            above = [d for d in above if d < depth]
+            if "MapInPandas" in line or "MapInArrow" in line:
+                assert not above, plan
+                above.append(depth)
+                found += 1
+            elif "Repartition" in line or "Join" in line or "Aggregate" in line:
+                above = []
+    assert found >= 5
+
+
+def test_tasks_of_near_copies_hold_little():
+    """A task's texts are strings a few at a time, and what it held is free when memory is given back."""
+    import tracemalloc
+    import weakref
+
+    from graphrec.functions import memory
+
+    class Frame:
+        mapInPandas = mapInArrow = lambda self, run, schema: run
+
+    text = [f"{i} " + "x" * 5_000 for i in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(10_000))), pa.array(text)], ["id", "text"])
+    del text
+    tracemalloc.start()
+    rows = sum(len(x) for x in jaccard.scatter(Frame(), 4, 1, 5)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 0 and most < 20_000_000
+
+    class Held:
+        pass
+
+    def run(batches):
+        for b in batches:
+            yield id(b)
+
+    given, real = [], memory.give_back
+    refs = []
+
+    def batches():
+        b = Held()
+        refs.append(weakref.ref(b))
+        yield b
+
+    memory.give_back = lambda: given.append(refs[0]() is None)
+    try:
+        assert len(list(memory.returning(run)(batches()))) == 1 and given == [True]
+    finally:
+        memory.give_back = real
