@@ -422,3 +422,37 @@ def test_lists_pass_on_what_reaches_the_score_to_beat(spark, monkeypatch):
     passed = dict(made)
     assert passed["index-best"] == 8000 and passed["index-rest"] < 8000  # 16 lists of 10 rows for each of 800 queries before
     index.drop()
+
+
+def test_parts_train_as_joins_do(spark, monkeypatch):
+    """A graph that a task can hold is trained without a join of edges, to the same embeddings and losses; others by joins."""
+    r = np.random.default_rng(4)
+    pairs = [(f"c{u}", f"k{i}", float(r.integers(1, 4))) for u in range(12) for i in sorted(r.choice(9, 3, replace=False))]
+    inter = spark.createDataFrame(pairs, "client_id string, item_id string, weight double")
+    configs, got = [lightgcn.Config(3, 1, 1), lightgcn.Config(5, 2, 2)], []
+    monkeypatch.setattr(lightgcn.parts, "NARROW", 2)
+    for most in (lightgcn.parts.PAIRS, 0):
+        monkeypatch.setattr(lightgcn.parts, "PAIRS", most)
+        joins, real = [], lightgcn.stored_adjacency
+        with monkeypatch.context() as m:
+            m.setattr(lightgcn, "stored_adjacency", lambda d: joins.append(d) or real(d))
+            many = lightgcn.lightgcn_train_many(inter, configs, epochs=2, batch_users=5, lr=0.05, sampled_rows=20, survivors=lambda epoch, found: {1})
+        assert len(joins) == (most == 0)
+        got.append([({x[0]: x[1] for x in (*t.users.collect(), *t.items.collect())}, [tuple(x) for x in t.losses.orderBy("step").collect()]) for t in (many[0], many[1])])
+    for (x, a), (y, b) in zip(*got):
+        assert x.keys() == y.keys() and all(np.allclose(v, y[k], atol=1e-6) for k, v in x.items())
+        assert a == [pytest.approx(t) for t in b]
+    assert [len(losses) for _, losses in got[0]] == [2, 4]
+
+
+def test_a_graph_by_matrix_and_lists():
+    r = np.random.default_rng(6)
+    n = 40
+    u, v = np.nonzero(np.triu(r.random((n, n)) < 0.08, 1))
+    u, v = np.concatenate([u, np.zeros(20, dtype=int)]), np.concatenate([v, np.arange(20, 40)])
+    w = r.random(len(u))
+    dense = np.zeros((n, n))
+    np.add.at(dense, (u, v), w)
+    g, x = lightgcn.parts.Graph(n, u, v, w), r.normal(size=(3, n))
+    assert 0 < len(g.hubs) < n and len(g.w) and np.allclose(g.once(x), x @ (dense + dense.T))
+    assert np.allclose(g.mean(x, 2), (x + g.once(x) + g.once(g.once(x))) / 3)
