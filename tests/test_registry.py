@@ -31,3 +31,13 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_entry(spark):
     assert registry.entry(spark).count() == 20
+
+
+def test_the_grid_trains_by_the_defaults(spark, monkeypatch):
+    from graphrec.jobs import queries
+    from graphrec.jobs.params import Params
+
+    given = []
+    monkeypatch.setattr(queries, "trained_grid", lambda log, p, *rest: given.append((p, *rest)) or spark.range(1).selectExpr("1.0D AS recall", "1.0D AS ndcg", "1.0D AS mrr"))
+    queries.QUERIES["grid_search"](spark, "/root/testdata/sf0.001")
+    assert given == [(Params(), (32, 64, 128), (2, 3), (1, 2), 10)] and given[0][0].epochs == 20
