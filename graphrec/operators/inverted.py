@@ -8,11 +8,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import bucketed, dropped, unbucketed, written
-from .grid import ITEM_BLOCK, QUERY_BLOCK, best_of_cell, first_k, norm_of
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..functions.lineage import bucketed, dropped, read_here, unbucketed, written
+from .grid import ITEM_BLOCK, QUERY_BLOCK, TILE, Best, best_of_files, first_k, norm_of
 from .vectors import for_metric, l2_normalize
 
 #: Vectors that the centers are fitted on at most, lists at most, rounds of fitting.
@@ -140,8 +142,8 @@ def probes_for(index: Index, queries: DataFrame, collection: DataFrame, m: int,
 def search(index: Index, queries: DataFrame, m: int, probes: int) -> DataFrame:
     """(query_item_id, rank, item_id, similarity): the m best items of each query (item_id once each, embedding) in its `probes` nearest lists, or in as many as hold m items.
 
-    A query is sent to the places of these lists, in blocks of QUERY_BLOCK queries, and met there by the items; cells are
-    those of the exact search, so scores and ties are the same.
+    A task reads the index file by file for its block of at most about QUERY_BLOCK queries, each of which meets the items of its lists;
+    cells are those of the exact search, so scores and ties are the same. Neither queries nor items are sent a list each.
     """
     v = F.col("embedding")
     if not sum(index.sizes):
@@ -151,29 +153,43 @@ def search(index: Index, queries: DataFrame, m: int, probes: int) -> DataFrame:
     q = queries.filter(F.col("item_id").isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False)))
     q = q.select(F.col("item_id").alias("query_id"), _key(v, index.metric).alias("key"), vecs.alias("vecs"), norm_of(vecs, (1.0,)).alias("norm"))
     q = written(_with_lists(q, index.centers, index.metric, probes, index.sizes, m), "index-queries")
-    blocks = max(1, math.ceil(q.count() / QUERY_BLOCK))
-    places = F.split(F.lit(";".join(",".join(map(str, p)) for p in index.places)), ";")
-    at = F.explode(F.flatten(F.transform("lists", lambda i: F.split(F.get(places, i), ",").cast("array<int>"))))
-    run, schema = best_of_cell(q, index.items, m, (1.0,))
+    n, tasks = q.count(), int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, math.ceil(n / QUERY_BLOCK), min(tasks, math.ceil(n / (4 * TILE))))
+    kind = index.items.schema["item_id"].dataType
+    files, places, id_type = tuple(sorted(index.items.inputFiles())), index.places, to_arrow_type(kind)
+
+    def cells(left: pa.Table, best: Best) -> Iterator[tuple[np.ndarray, pa.Table]]:
+        lists = left["lists"].combine_chunks()
+        row = np.repeat(np.arange(len(left)), np.diff(lists.offsets.to_numpy()))
+        listed = lists.flatten().to_numpy()
+        order = np.argsort(listed, kind="stable")
+        row, listed = row[order], listed[order]
+        of_place = {p: i for i, some in enumerate(places) for p in some}
+        for file in files:
+            for t in read_here((file,), ["at", "item_id", "vecs", "norm"], ITEM_BLOCK):
+                at = t["at"].to_numpy()
+                starts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+                for x, y in zip(starts, starts[1:]):
+                    if y > x:
+                        a, z = np.searchsorted(listed, (of_place[int(at[x])], of_place[int(at[x])] + 1))
+                        right = t.slice(x, y - x)
+                        yield row[a:z], right.set_column(1, "item_id", right["item_id"].cast(id_type))
+
+    run, schema = best_of_files(q, kind, m, (1.0,), cells)
 
     def met(asked: DataFrame, name: str) -> DataFrame:
-        """What queries (their lists, and least, the score to beat) find in their lists."""
-        q_at = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), at.alias("at"), "query_id", "vecs", "norm", "least")
-        wanted = written(q_at.select("at", "block").distinct(), "index-wanted")
-        items = index.items.join(wanted, "at").select("block", "at", "item_id", "vecs", "norm", F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"))
-        out = written(q_at.groupBy("block", "at").cogroup(items.groupBy("block", "at")).applyInArrow(run, schema), name)
-        dropped(wanted)
-        return out
+        """What queries (their lists, and least, the score to beat) find in their lists: m rows at most each."""
+        d = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "lists", "query_id", "vecs", "norm", "least")
+        return written(d.repartitionByRange(blocks, "block").groupBy("block").applyInArrow(run, schema), name)
 
     # The m best of the nearest lists give each query a score to beat: other lists pass on what reaches it, not m rows each.
     lowest = F.lit(float("-inf"))
-    near = met(q.withColumn("lists", F.slice("lists", 1, NEAR)).withColumn("least", lowest), "index-near")
-    best = written(near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ranked"), "item_id"))).filter(F.col("place") <= m), "index-best")
-    beat = best.filter(F.col("place") == m).select("query_id", F.col("ranked").alias("least"))
+    best = met(q.withColumn("lists", F.slice("lists", 1, NEAR)).withColumn("least", lowest), "index-best")
+    beat = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("ranked").alias("least")).filter(F.col("n") >= m).select("query_id", "least")
     rest = q.filter(F.size("lists") > NEAR).withColumn("lists", F.slice("lists", F.lit(NEAR + 1), F.size("lists") - NEAR))
     rest = written(rest.join(beat, "query_id", "left").withColumn("least", F.coalesce("least", lowest)), "index-asked")
-    found = best.drop("place").unionByName(met(rest, "index-rest"))
-    dropped(q, near, rest)
+    found = best.unionByName(met(rest, "index-rest"))
+    dropped(q, rest)
     return first_k(found, m).select(F.col("query_id").alias("query_item_id"), "rank", "item_id", (F.col("score") + (1.0 if index.metric == "l2" else 0.0)).alias("similarity"))
 
 

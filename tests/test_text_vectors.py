@@ -263,3 +263,16 @@ def test_approximate_candidates_as_an_option(spark):
     same = vecs(spark, [(i, [1.0, 2.0]) for i in range(50)])  # one list holds all
     assert vectors.topm_candidates(same, same, 3, recall=1.0).count() == 150
     assert vectors.topm_candidates(d, d.limit(0), 3, recall=0.9).count() == 0 and vectors.topm_candidates(d.limit(0), d, 3, recall=0.9).count() == 0
+
+
+def test_fused_lists_are_sent_once(spark):
+    """One exchange for pairs to meet and be ranked by query: a join on pairs sends both lists, and ranking sends them again."""
+    rows = lambda shift: spark.createDataFrame([(q, (q * 7 + i + shift) % 50, i / 10) for q in range(20) for i in range(8)], "query_item_id long, item_id long, similarity double")
+    t, g = rows(0), rows(4)
+    fused = vectors.fuse_candidates(t, g)
+    want = {(r["query_item_id"], r["item_id"]): [r["similarity"], -1.0] for r in t.collect()}
+    for r in g.collect():
+        want.setdefault((r["query_item_id"], r["item_id"]), [-1.0, -1.0])[1] = r["similarity"]
+    assert {(r["query_item_id"], r["item_id"]): [r["sim_text"], r["sim_graph"]] for r in fused.collect()} == want
+    plan = vectors.two_stage_topk(fused)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

@@ -456,3 +456,24 @@ def test_a_graph_by_matrix_and_lists():
     g, x = lightgcn.parts.Graph(n, u, v, w), r.normal(size=(3, n))
     assert 0 < len(g.hubs) < n and len(g.w) and np.allclose(g.once(x), x @ (dense + dense.T))
     assert np.allclose(g.mean(x, 2), (x + g.once(x) + g.once(g.once(x))) / 3)
+
+
+def test_a_search_passes_on_k_rows_a_query(spark, monkeypatch):
+    """Whatever the blocks of items: a task reads them one after the other, and none is sent to it."""
+    r = np.random.default_rng(8)
+    v = r.normal(size=(600, 3))
+    d = spark.createDataFrame([(i, [x.tolist()]) for i, x in enumerate(v)], "query_id long, vecs array<array<double>>")
+    made, real = {}, grid.written
+
+    def noted(d, name):
+        made[name] = d._jdf.queryExecution().executedPlan().toString()
+        out = real(d, name)
+        made[name] = (out.count(), made[name])
+        return out
+
+    monkeypatch.setattr(grid, "written", noted)
+    got = grid.block_topk(d, d.withColumnRenamed("query_id", "item_id"), 5, query_block=150, item_block=100)
+    order = np.lexsort((np.broadcast_to(np.arange(600), (600, 600)), -np.round(v @ v.T, 9)), axis=1)[:, :5]
+    assert {(x["query_id"], x["rank"], x["item_id"]) for x in got.collect()} == {(i, n + 1, int(j)) for i in range(600) for n, j in enumerate(order[i])}
+    rows, plan = made["grid-found"]
+    assert rows == 3000 and "CoGroup" not in plan and plan.count("Exchange") == 1
