@@ -44,18 +44,18 @@ def norm_of(vecs: Column, weights: tuple[float, ...]) -> Column:
     return F.sqrt(sum((F.lit(float(w) ** 2) * square(p) for p, w in enumerate(weights)), F.lit(0.0)))
 
 
-def laid_out(queries: DataFrame, items: DataFrame, weights: tuple[float, ...], masked: DataFrame | None = None, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK) -> Sides:
+def laid_out(queries: DataFrame, items: DataFrame, weights: tuple[float, ...], masked: DataFrame | None = None, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK, least_block: int = TILE) -> Sides:
     """Both sides as tables in blocks. queries: query_id, vecs (an array of one vector a weight) and more columns; items: item_id, vecs; masked: (query_id, item_id).
 
     Rows with a null id or vector, or with NaN in one, take no part. Few queries are dealt to as many blocks as there
-    are shuffle partitions. Blocks of items are ranges of (norm, hash of the id), so equal norms are no large block.
+    are shuffle partitions, of least_block at least. Blocks of items are ranges of (norm, hash of the id), so equal norms are no large block.
     """
     spark = queries.sparkSession
     whole = lambda d, c: d.filter(F.col(c).isNotNull() & F.coalesce(F.forall("vecs", lambda v: v.isNotNull()), F.lit(False)) & ~F.isnan("norm"))
     q = written(whole(queries.withColumn("norm", norm_of(F.col("vecs"), weights)), "query_id"), "grid-queries")
     i = written(whole(items.select("item_id", "vecs", norm_of(F.col("vecs"), (1.0,) * len(weights)).alias("norm")), "item_id"), "grid-items")
     n_queries, n_items = q.count(), i.count()
-    blocks = max(1, math.ceil(n_queries / query_block), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_queries / TILE)))
+    blocks = max(1, math.ceil(n_queries / query_block), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_queries / least_block)))
     of_query = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     n = math.ceil(n_items / item_block)
     if n > 1:
@@ -372,7 +372,8 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, parts: tuple[float,
     With them it is two jobs, whatever the sizes: all queries meet the block of largest norms, which gives each a score to
     beat; then each meets the blocks whose bound is not below that, and passes on what beats it.
     """
-    sides = laid_out(queries.select("query_id", "vecs"), items, parts, masked, query_block, item_block)
+    # A task that reads the items makes ready all of them, so its block of queries is not too small.
+    sides = laid_out(queries.select("query_id", "vecs"), items, parts, masked, query_block, item_block, TILE if masked is not None else 2 * TILE)
     lowest = F.lit(float("-inf"))
     if masked is None:
         return _by_files(sides, k, parts, exclude_same_id)
